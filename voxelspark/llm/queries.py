@@ -6,20 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import contentsort, minhash, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in shards 0 to 7 by rendezvous hashing of doc_id."""
+    return sharding.rendezvous_shards(_table(spark, sf_dir, "documents"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of documents."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_contentsort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact duplicates among documents."""
+    return contentsort.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op3_minhash": op3_minhash,
+    "op9_contentsort": op9_contentsort,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_sharding": sharding.oracle_sql(),
+    "op9_contentsort": contentsort.ORACLE,
+}
