@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contentsort, minhash, sharding
+from . import contentsort, minhash, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of documents, learnt from trusted positives and unlabelled texts."""
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_contentsort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates among documents."""
     return contentsort.exact_duplicates(_table(spark, sf_dir, "documents"))
@@ -31,6 +36,7 @@ def op9_contentsort(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_minhash": op3_minhash,
+    "op8_quality": op8_quality,
     "op9_contentsort": op9_contentsort,
 }
 
