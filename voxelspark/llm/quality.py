@@ -109,15 +109,16 @@ def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int, seed: int,
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Share of positives in unlabelled scores: the least ratio of upper tails, each with a margin for sampling error.
+    """Share of positives in unlabelled scores: the ratio of upper tails at the threshold where its upper bound is least.
 
-    Above a threshold that negatives hardly reach, the unlabelled tail is the prior times the positive tail.  The margin makes it an
-    upper bound: with few labels it is rather too high than too low, which keeps clean documents.
+    Above a threshold that negatives hardly reach, the unlabelled tail is the prior times the positive tail.  A quarter of the margin
+    for sampling error is added: the least of noisy ratios is too low, and a prior that is too low rejects clean documents.
     """
     cuts = np.quantile(positive, np.linspace(0.02, 0.9, 60))
     p, u = ((x[None, :] >= cuts[:, None]).mean(1) for x in (positive, unlabelled))
     margin = np.sqrt(np.log(20) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(len(unlabelled)))
-    return float(np.clip(((u + margin) / np.maximum(p, 1e-9)).min(), 0.05, 0.95))
+    best = np.argmin((u + margin) / np.maximum(p, 1e-9))
+    return float(np.clip((u[best] + margin / 4) / max(p[best], 1e-9), 0.05, 0.95))
 
 
 def fit(p: np.ndarray, u: np.ndarray, steps: int = 1200, seed: int = 0) -> Model:
@@ -130,11 +131,15 @@ def fit(p: np.ndarray, u: np.ndarray, steps: int = 1200, seed: int = 0) -> Model
         return Model(np.zeros(d), np.ones(d), np.zeros(d), 40.0 if len(p) else 0.0, 1.0)
     mean, scale = u.mean(0), u.std(0) + 1e-2
     p, u = (((x - mean) / scale).clip(-8, 8) for x in (p, u))
-    # The prior comes from scores of rows that its own model didn't see.
-    w, b = _descend(p[::2], u[::2], 0.5, steps // 2, seed)
-    held_p, held_u = (p[1::2], u[1::2]) if len(p) > 1 and len(u) > 1 else (p, u)
-    prior = estimate_prior(held_p @ w + b, held_u @ w + b)
-    w, b = _descend(p, u, prior, steps, seed + 1)
+    # The prior comes from scores of rows that their own model didn't see.
+    seen = [[], []]
+    for fold in (0, 1):
+        own = [x[fold::2] if len(x) > 1 else x for x in (p, u)]
+        w, b = _descend(*own, 0.5, steps // 2, seed + fold, 1e-2)
+        for scores, x in zip(seen, (p, u), strict=True):
+            scores.append((x[1 - fold :: 2] if len(x) > 1 else x) @ w + b)
+    prior = estimate_prior(*map(np.concatenate, seen))
+    w, b = _descend(p, u, prior, steps, seed + 2)
     return Model(mean, scale, w, b, prior)
 
 
