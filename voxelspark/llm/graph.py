@@ -8,20 +8,31 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Ids that may be broadcast at once (8 bytes each, so at most some tens of MB in hash form); above it, joins shuffle.
 BROADCAST_IDS = 500_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder and forget the lineage; survives lost executors."""
-    context = df.sparkSession.sparkContext
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def cut(df: DataFrame, batch: int = 1000) -> DataFrame:
+    """Materialise in the shared checkpoint folder and forget the lineage; survives lost executors.
+
+    batch: rows of an Arrow batch meanwhile; batches of whole texts must stay small.
+    """
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         # The cluster names its shared folder; a local one is only for sessions without that setting, as in tests.
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-ckpt"))
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, batch)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
 
 
 def empty_links(spark: SparkSession) -> DataFrame:
@@ -57,10 +68,11 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("comp")).union(roots)
 
 
-def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 4) -> DataFrame:
+def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], traits: Callable[[DataFrame], DataFrame], possible: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], rounds: int = 2) -> DataFrame:
     """Components under verified links between ids that share a bucket.
 
-    buckets: (key, id), ids of at least 64 bits.  verify: candidate pairs (a, b) to the linked ones among them.  Result: (id, comp) of linked ids.
+    buckets: (key, id).  verify: candidate pairs (a, b) to the linked ones among them.  traits: ids to (id, traits), a struct from which
+    possible(x, y) tells, before a pair is made, whether it may be linked at all.  Result: (id, comp) of linked ids.
 
     No bucket is expanded into all its pairs.  First each id is compared with one member of the leading component of its
     bucket, in a few rounds with other members; a large group of near copies merges there.  Then every pair that shares
@@ -92,8 +104,12 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], r
         links = found if links is None else links.union(found)
         labels = cut(components(links))
     mixed = tagged.join(lead.select("key", "top"), "key")
-    left = mixed.where("comp <> top").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"))
-    right = mixed.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), "top")
-    pairs = left.join(right, "key").where("cx <> cy and (cy = top or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    known = cut(traits(cut(mixed.select("id").distinct())))
+    mixed = cut(mixed.join(known, "id"))
+    left = mixed.where("comp <> top").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("traits").alias("tx"))
+    right = mixed.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), "top", F.col("traits").alias("ty"))
+    may = possible(lambda c: F.col(f"tx.{c}"), lambda c: F.col(f"ty.{c}"))
+    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("top")) | (F.col("x") < F.col("y"))) & may)
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     found = cut(verify(pairs))
     return cut(components(links.union(found))) if found.head(1) else labels

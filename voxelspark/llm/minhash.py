@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .graph import components, cut, keep_ids, link_buckets
+from .graph import cut, keep_ids, link_buckets
 
 SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: Signature values of a document that candidates are compared on.
 HASHES = 128
-#: Rows of a band: a pair at the threshold meets in one of 32 bands but for (1 - 0.75**4)**32 = 5e-6.
-ROWS = 4
+#: Bands and their rows: a pair at the threshold meets in one of them but for (1 - 0.75**6)**64 = 4e-6.  Bands take hashes of their own
+#: beyond the signature and leave only a key each.
+BANDS, ROWS = 64, 6
 #: Signature values compared before the next pruning decision.
 BATCH = 16
 #: A candidate is pruned once its posterior probability of reaching the threshold is below this.
@@ -28,28 +30,39 @@ MISS = 1e-6
 
 @lru_cache(maxsize=1)
 def _family() -> tuple[np.ndarray, np.ndarray]:
-    seeds = tokens.mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    n = HASHES + BANDS * ROWS
+    seeds = tokens.mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     odd = (seeds >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    return odd[:HASHES], odd[HASHES:]
+    return odd[:n], odd[n:]
 
 
-def signatures(values: np.ndarray, bound: np.ndarray) -> np.ndarray:
-    """MinHash signatures (texts x HASHES, uint32) of the sets values[bound[i]:bound[i + 1]]; all ones for an empty set."""
-    out = np.full((len(bound) - 1, HASHES), 0xFFFFFFFF, np.uint32)
+def signatures(values: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures (texts x HASHES, uint32) and band keys (texts x BANDS) of the sets values[bound[i]:bound[i + 1]]."""
+    p, q = _family()
+    out = np.full((len(bound) - 1, len(p)), 0xFFFFFFFF, np.uint32)
     full = np.flatnonzero(np.diff(bound))
     if len(full):
         low, high = values.astype(np.uint32), (values >> np.uint64(32)).astype(np.uint32)
         starts, work, more = bound[full], np.empty_like(low), np.empty_like(low)
-        for j, (p, q) in enumerate(zip(*_family(), strict=True)):
-            np.multiply(low, p, out=work)
-            np.multiply(high, q, out=more)
+        for j in range(len(p)):
+            np.multiply(low, p[j], out=work)
+            np.multiply(high, q[j], out=more)
             work += more
             out[full, j] = np.minimum.reduceat(work, starts)
-    return out
+    keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(out), 1))
+    for j in range(ROWS):
+        keys = tokens.mix(keys) + out[:, HASHES + j :: ROWS]
+    return out[:, :HASHES], tokens.mix(keys)
+
+
+def _binary(matrix: np.ndarray) -> pa.Array:
+    """One binary value per row."""
+    size = matrix.shape[1] * matrix.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(np.arange(0, size * len(matrix) + 1, size, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(matrix))])
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text to doc_id, number of shingles, two set hashes, signature."""
+    """doc_id, text to doc_id, number of shingles, two set hashes, signature, band keys."""
     for batch in batches:
         ids = batch.column(0)
         for start, end, w in tokens.text_blocks(batch.column(1), 1 << 20):
@@ -60,10 +73,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total = np.zeros(len(values) + 1, np.uint64)
                 np.cumsum(tokens.mix(values + np.uint64(salt)), out=total[1:])
                 sums.append((total[bound[1:]] - total[bound[:-1]]).view(np.int64))
-            raw = signatures(values, bound).tobytes()
-            size = 4 * HASHES
-            sig = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.arange(0, size * len(n) + 1, size, dtype=np.int32)), pa.py_buffer(raw)])
-            yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), sig], ["doc_id", "n", "k1", "k2", "sig"])
+            sig, keys = signatures(values, bound)
+            keys = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel().view(np.int64))
+            yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), _binary(sig), keys], ["doc_id", "n", "k1", "k2", "sig", "bands"])
 
 
 @lru_cache(maxsize=8)
@@ -123,25 +135,55 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(good))
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text to doc_id, hash: a row for each distinct shingle."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        for start, end, w in tokens.text_blocks(batch.column(1), 1 << 19):
+            values, bound = tokens.distinct(*tokens.shingles(w, SHINGLE))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[start:end], np.diff(bound))), pa.array(values.view(np.int64))], ["id", "hash"])
+
+
+#: Differing bits of 128 beyond which two one-bit MinHash sketches are pruned: at the threshold a bit differs with probability
+#: (1 - 0.75) / 2, and so many differ with probability below 1e-6.
+_SKETCH = next(d for d in range(129) if sum(comb(128, k) * 0.125**k * 0.875 ** (128 - k) for k in range(d + 1, 129)) < MISS)
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, n, sig to id, n, the lowest bits of the signature as two longs."""
+    for batch in batches:
+        bits = np.packbits((_as_matrix(batch.column(2)) & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits[:, 0]), pa.array(bits[:, 1])], ["id", "n", "s1", "s2"])
+
+
+def _possible(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+    """What both sides alone say about a pair: sizes, shingles that others have too, and one-bit sketches."""
+    shared, total = F.least(x("c"), y("c")), x("n") + y("n")
+    differ = F.bit_count(x("s1").bitwiseXOR(y("s1"))) + F.bit_count(x("s2").bitwiseXOR(y("s2")))
+    return (100 * shared >= PERCENT * (total - shared)) & (differ <= _SKETCH)
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Near-duplicate groups of whole texts: doc_id, n_shingles, component_id, kept; one row for each row of docs.
 
     Sets of distinct five-word shingles (shorter texts: the whole sequence) are linked when 100 * intersection >= 75 * union.
     Equal sets are collapsed first.  The rest are banded by MinHash, candidate pairs pass through a sequential Bayesian test on
     batches of 16 signature values (pruned at a posterior below 1e-6), and survivors are confirmed on full sets of 64-bit
-    shingle hashes.  component_id is the smallest id reachable over links, kept marks that document.
+    shingle hashes.  In large buckets, pairs are not even made where set sizes, shingles that no other candidate has, or
+    one-bit sketches rule a link out.  component_id is the smallest id reachable over links, kept marks that document.
 
     Null and empty texts and texts without words: n_shingles 0, linked with nothing, kept.  A row with a null id: component_id
     null and kept.  Ids must be integers; an id that occurs in several rows gives several rows and is one document, linked through any of its
     texts.  Other columns of docs are not looked at.
     """
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    seen = cut(texts.mapInArrow(_describe, "doc_id long, n long, k1 long, k2 long, sig binary"))
-    classes = seen.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("k1", "k2", "n", F.col("m.doc_id").alias("id"), F.col("m.sig").alias("sig"))
-    reps = cut(classes.select("id", "n", "sig"))
-    # One 64-bit key per band: the band's bytes with its number.
-    size = 4 * ROWS
-    bands = reps.select("id", F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 1 + size * i, size)) for i in range(HASHES // ROWS)])).alias("key"))
+    seen = cut(texts.mapInArrow(_describe, "doc_id long, n long, k1 long, k2 long, sig binary, bands array<long>"))
+    classes = seen.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"))
+    classes = cut(classes)
+    first = seen.join(classes, ["k1", "k2", "n"]).where("doc_id = id")
+    bands = first.select("id", F.explode("bands").alias("key"))
+    # Repeated ids repeat a class; one row of each is enough.
+    reps = first.select("id", "k1", "n", "sig").dropDuplicates(["id", "k1"]).select("id", "n", "sig")
 
     def verify(pairs: DataFrame) -> DataFrame:
         own = lambda x: reps.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
@@ -152,8 +194,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         of = lambda x: some.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
         return likely.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
 
-    labels = link_buckets(bands.select("key", "id"), verify)
-    found = seen.select("doc_id", "n", "k1", "k2").join(classes.select("k1", "k2", "n", "id"), ["k1", "k2", "n"], "left")
+    def traits(ids: DataFrame) -> DataFrame:
+        """n: set size; c: shingles that another of these ids has too; s1, s2: sketch."""
+        some = keep_ids(texts.where("doc_id is not null"), "doc_id", ids, "id", ids.count())
+        sets = some.mapInArrow(_sets, "id long, hash long")
+        alone = sets.groupBy("hash").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").groupBy("id").agg(F.count("*").alias("alone"))
+        sketches = reps.join(ids, "id", "left_semi").mapInArrow(_sketch, "id long, n long, s1 long, s2 long")
+        return sketches.join(alone, "id", "left").select("id", F.struct("n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"), "s1", "s2").alias("traits"))
+
+    labels = link_buckets(bands.select("key", "id"), verify, traits, _possible)
+    found = seen.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
     found = found.join(labels, "id", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("comp", "id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
