@@ -69,47 +69,54 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], traits: Callable[[DataFrame], DataFrame], possible: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], rounds: int = 2) -> DataFrame:
-    """Components under verified links between ids that share a bucket.
+    """Components under verified links between ids that share a bucket: (id, comp) of linked ids.
 
-    buckets: (key, id).  verify: candidate pairs (a, b) to the linked ones among them.  traits: ids to (id, traits), a struct from which
-    possible(x, y) tells, before a pair is made, whether it may be linked at all.  Result: (id, comp) of linked ids.
+    buckets: (key, id).  verify: candidate pairs (a, b) to the linked ones among them.  traits: ids to (id, rank, traits) of those that
+    can have a link among them at all; possible(x, y) tells from two structs of traits whether a pair may be linked.
 
-    No bucket is expanded into all its pairs.  First each id is compared with one member of the leading component of its
-    bucket, in a few rounds with other members; a large group of near copies merges there.  Then every pair that shares
-    a bucket and is still in different components is compared, without any cap: pairs within a component can't change it, so
-    no component differs from that of all pairs.
+    No bucket is expanded into all its pairs.  First each id is compared with one member of its bucket.  Then ids whose
+    bucket holds several components are compared with the member of highest rank in the bucket's leading component, so that
+    a large group around a typical member merges.  At last every pair that shares a bucket, is still in different components and
+    is possible gets compared, without any cap: pairs within a component can't change it.
     """
-    spark = buckets.sparkSession
-    chance = lambda t: F.struct(F.xxhash64("id", F.lit(t)).alias("h"), "id")
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = cut(buckets.join(shared, "key", "left_semi"))
-    rows = buckets.count()
-    links, labels = None, None
+    pick = F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"].alias("hub")
+    pairs = buckets.join(buckets.groupBy("key").agg(pick), "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    links = cut(verify(pairs))
+    labels = cut(components(links))
+    known = None
     for t in range(rounds + 1):
-        tagged = buckets.withColumn("comp", F.col("id")) if labels is None else buckets.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        if labels is not None:
-            tagged = cut(tagged)
-        each = tagged.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min(chance(t)).alias("pick"))
-        lead = each.groupBy("key").agg(F.max(F.struct("n", F.col("pick.h").alias("h"), "comp", F.col("pick.id").alias("hub"))).alias("top"), F.count("*").alias("comps"), F.sum("n").alias("total")).where("comps > 1")
-        lead = lead.select("key", F.col("top.comp").alias("top"), "top.hub", (F.col("total") - F.col("top.n")).alias("rest"), "total")
-        if t:
-            lead = cut(lead)
-            cross = lead.agg(F.coalesce(F.sum(F.col("rest").cast("double") * F.col("total")), F.lit(0.0))).head()[0]
-            if not cross:
-                return labels
-            if cross <= 2 * rows or t == rounds:
-                break
-        pairs = tagged.join(lead, "key").where("comp <> top").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        tagged = (buckets if known is None else mixed.select("key", "id")).join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))  # noqa: F821
+        if known is not None:
+            tagged = tagged.join(known, "id")
+        tagged = cut(tagged)
+        several = tagged.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+        mixed = tagged.join(several, "key", "left_semi")
+        if known is None:
+            known = cut(traits(cut(mixed.select("id").distinct())))
+            mixed = mixed.join(known, "id")
+        mixed = cut(mixed)
+        if not mixed.head(1):
+            return labels
+        each = mixed.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max(F.struct("rank", "id", "traits")).alias("best"))
+        lead = each.groupBy("key").agg(F.max(F.struct("n", "comp", "best")).alias("top")).select("key", F.col("top.comp").alias("top"), F.col("top.best.id").alias("hub"), F.col("top.best.traits").alias("other"))
+        mixed = mixed.join(lead, "key")
+        may = possible(lambda c: F.col(f"traits.{c}"), lambda c: F.col(f"other.{c}"))
+        if t == rounds:
+            break
+        pairs = mixed.where((F.col("comp") != F.col("top")) & may).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         found = cut(verify(pairs))
-        links = found if links is None else links.union(found)
-        labels = cut(components(links))
-    mixed = tagged.join(lead.select("key", "top"), "key")
-    known = cut(traits(cut(mixed.select("id").distinct())))
-    mixed = cut(mixed.join(known, "id"))
-    left = mixed.where("comp <> top").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("traits").alias("tx"))
-    right = mixed.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), "top", F.col("traits").alias("ty"))
+        if found.head(1):
+            links = links.union(found)
+            labels = cut(components(links))
+    # A pair is made in the least bucket that it shares.
+    keys = mixed.groupBy("id").agg(F.collect_list("key").alias("keys"))
+    mixed = cut(mixed.drop("hub", "other").join(keys, "id"))
+    left = mixed.where("comp <> top").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("traits").alias("tx"), F.col("keys").alias("kx"))
+    right = mixed.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), "top", F.col("traits").alias("ty"), F.col("keys").alias("ky"))
     may = possible(lambda c: F.col(f"tx.{c}"), lambda c: F.col(f"ty.{c}"))
-    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("top")) | (F.col("x") < F.col("y"))) & may)
+    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("top")) | (F.col("x") < F.col("y"))) & may & (left["key"] == F.array_min(F.array_intersect("kx", "ky"))))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     found = cut(verify(pairs))
     return cut(components(links.union(found))) if found.head(1) else labels

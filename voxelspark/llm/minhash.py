@@ -17,27 +17,26 @@ from .graph import cut, keep_ids, link_buckets
 SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Signature values of a document that candidates are compared on.
-HASHES = 128
-#: Bands and their rows: a pair at the threshold meets in one of them but for (1 - 0.75**6)**64 = 4e-6.  Bands take hashes of their own
-#: beyond the signature and leave only a key each.
+#: Hash functions; of each minimum a byte is kept as signature, which differs for all but 1 of 256 unequal minima.
+HASHES = 512
+#: Bands and their rows: a pair at the threshold meets in one of them but for (1 - 0.75**6)**64 = 4e-6.
 BANDS, ROWS = 64, 6
 #: Signature values compared before the next pruning decision.
-BATCH = 16
+BATCH = 64
 #: A candidate is pruned once its posterior probability of reaching the threshold is below this.
 MISS = 1e-6
 
 
 @lru_cache(maxsize=1)
 def _family() -> tuple[np.ndarray, np.ndarray]:
-    n = HASHES + BANDS * ROWS
+    n = HASHES
     seeds = tokens.mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     odd = (seeds >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     return odd[:n], odd[n:]
 
 
 def signatures(values: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures (texts x HASHES, uint32) and band keys (texts x BANDS) of the sets values[bound[i]:bound[i + 1]]."""
+    """Signatures (texts x HASHES, uint8) and band keys (texts x BANDS) of the sets values[bound[i]:bound[i + 1]]."""
     p, q = _family()
     out = np.full((len(bound) - 1, len(p)), 0xFFFFFFFF, np.uint32)
     full = np.flatnonzero(np.diff(bound))
@@ -51,8 +50,8 @@ def signatures(values: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.nd
             out[full, j] = np.minimum.reduceat(work, starts)
     keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(out), 1))
     for j in range(ROWS):
-        keys = tokens.mix(keys) + out[:, HASHES + j :: ROWS]
-    return out[:, :HASHES], tokens.mix(keys)
+        keys = tokens.mix(keys) + out[:, j : BANDS * ROWS : ROWS]
+    return ((out * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8), tokens.mix(keys)
 
 
 def _binary(matrix: np.ndarray) -> pa.Array:
@@ -65,7 +64,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text to doc_id, number of shingles, two set hashes, signature, band keys."""
     for batch in batches:
         ids = batch.column(0)
-        for start, end, w in tokens.text_blocks(batch.column(1), 1 << 20):
+        for start, end, w in tokens.text_blocks(batch.column(1), 1 << 19):
             values, bound = tokens.distinct(*tokens.shingles(w, SHINGLE))
             n = np.diff(bound)
             sums = []
@@ -80,7 +79,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @lru_cache(maxsize=8)
 def fewest_matches(percent: int = PERCENT, miss: float = MISS) -> tuple[int, ...]:
-    """For 16, 32, ... compared values: the fewest matches with which P(similarity >= threshold | matches) >= miss.
+    """For 64, 128, ... compared values: the fewest matches with which P(similarity >= threshold | matches) >= miss.
 
     With a uniform prior the posterior is Beta(m + 1, n - m + 1), whose upper tail at t is P(Binomial(n + 1, t) <= m).
     """
@@ -97,7 +96,7 @@ def fewest_matches(percent: int = PERCENT, miss: float = MISS) -> tuple[int, ...
 
 def _as_matrix(column: pa.Array) -> np.ndarray:
     raw, _ = tokens.buffers(column)
-    return np.frombuffer(raw, np.uint32).reshape(len(column), HASHES)
+    return raw.reshape(len(column), HASHES)
 
 
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,23 +143,25 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[start:end], np.diff(bound))), pa.array(values.view(np.int64))], ["id", "hash"])
 
 
-#: Differing bits of 128 beyond which two one-bit MinHash sketches are pruned: at the threshold a bit differs with probability
-#: (1 - 0.75) / 2, and so many differ with probability below 1e-6.
-_SKETCH = next(d for d in range(129) if sum(comb(128, k) * 0.125**k * 0.875 ** (128 - k) for k in range(d + 1, 129)) < MISS)
+#: Longs of a one-bit sketch, and the differing bits beyond which a pair is pruned: at the threshold a bit differs with probability
+#: (1 - 0.75) / 2, and so many do with probability below 1e-6.
+LONGS = HASHES // 64
+_DIFFER = next(d for d in range(HASHES) if sum(comb(HASHES, k) * 0.125**k * 0.875 ** (HASHES - k) for k in range(d + 1, HASHES + 1)) < MISS)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, n, sig to id, n, the lowest bits of the signature as two longs."""
+    """id, n, sig to id, n, the lowest bits of the signature as longs."""
+    names = ["id", "n", *[f"s{i}" for i in range(LONGS)]]
     for batch in batches:
-        bits = np.packbits((_as_matrix(batch.column(2)) & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits[:, 0]), pa.array(bits[:, 1])], ["id", "n", "s1", "s2"])
+        bits = np.packbits(_as_matrix(batch.column(2)) & np.uint8(1), axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(bits[:, i]) for i in range(LONGS)]], names)
 
 
 def _possible(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
     """What both sides alone say about a pair: sizes, shingles that others have too, and one-bit sketches."""
     shared, total = F.least(x("c"), y("c")), x("n") + y("n")
-    differ = F.bit_count(x("s1").bitwiseXOR(y("s1"))) + F.bit_count(x("s2").bitwiseXOR(y("s2")))
-    return (100 * shared >= PERCENT * (total - shared)) & (differ <= _SKETCH)
+    differ = sum((F.bit_count(x(f"s{i}").bitwiseXOR(y(f"s{i}"))) for i in range(LONGS)), F.lit(0))
+    return (100 * shared >= PERCENT * (total - shared)) & (differ <= _DIFFER)
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -168,7 +169,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     Sets of distinct five-word shingles (shorter texts: the whole sequence) are linked when 100 * intersection >= 75 * union.
     Equal sets are collapsed first.  The rest are banded by MinHash, candidate pairs pass through a sequential Bayesian test on
-    batches of 16 signature values (pruned at a posterior below 1e-6), and survivors are confirmed on full sets of 64-bit
+    batches of 64 signature values (pruned at a posterior below 1e-6), and survivors are confirmed on full sets of 64-bit
     shingle hashes.  In large buckets, pairs are not even made where set sizes, shingles that no other candidate has, or
     one-bit sketches rule a link out.  component_id is the smallest id reachable over links, kept marks that document.
 
@@ -195,12 +196,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         return likely.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
 
     def traits(ids: DataFrame) -> DataFrame:
-        """n: set size; c: shingles that another of these ids has too; s1, s2: sketch."""
+        """n: set size; c: shingles that another of these ids has too; s0, ...: sketch."""
         some = keep_ids(texts.where("doc_id is not null"), "doc_id", ids, "id", ids.count())
         sets = some.mapInArrow(_sets, "id long, hash long")
         alone = sets.groupBy("hash").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").groupBy("id").agg(F.count("*").alias("alone"))
-        sketches = reps.join(ids, "id", "left_semi").mapInArrow(_sketch, "id long, n long, s1 long, s2 long")
-        return sketches.join(alone, "id", "left").select("id", F.struct("n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"), "s1", "s2").alias("traits"))
+        sketches = reps.join(ids, "id", "left_semi").mapInArrow(_sketch, "id long, n long, " + ", ".join(f"s{i} long" for i in range(LONGS)))
+        own = sketches.join(alone, "id", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0)))
+        # A set of which others have less than the threshold can't be linked.
+        return own.where(100 * F.col("c") >= PERCENT * F.col("n")).select("id", (F.col("c") / F.col("n")).alias("rank"), F.struct("n", "c", *[f"s{i}" for i in range(LONGS)]).alias("traits"))
 
     labels = link_buckets(bands.select("key", "id"), verify, traits, _possible)
     found = seen.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
