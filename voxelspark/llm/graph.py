@@ -5,6 +5,7 @@ Everything here is DataFrame code.  Nothing proportional to the data reaches the
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable
 
@@ -35,8 +36,13 @@ def cut(df: DataFrame, batch: int = 1000) -> DataFrame:
         spark.conf.set(ARROW_ROWS, before)
 
 
-def empty_links(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "a long, b long")
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle and checkpoint files of steps that nothing refers to any more.
+
+    It acts when the driver collects garbage, which a driver with little to do puts off while the disks of a long loop fill.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def keep_ids(df: DataFrame, key: str, ids: DataFrame, name: str, n: int) -> DataFrame:
@@ -79,12 +85,14 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], t
     a large group around a typical member merges.  At last every pair that shares a bucket, is still in different components and
     is possible gets compared, without any cap: pairs within a component can't change it.
     """
+    spark = buckets.sparkSession
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = cut(buckets.join(shared, "key", "left_semi"))
     pick = F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"].alias("hub")
     pairs = buckets.join(buckets.groupBy("key").agg(pick), "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     links = cut(verify(pairs))
     labels = cut(components(links))
+    release(spark)
     known = None
     for t in range(rounds + 1):
         tagged = (buckets if known is None else mixed.select("key", "id")).join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))  # noqa: F821
@@ -110,13 +118,18 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], t
         if found.head(1):
             links = links.union(found)
             labels = cut(components(links))
+        release(spark)
     # A pair is made in the least bucket that it shares.
     keys = mixed.groupBy("id").agg(F.collect_list("key").alias("keys"))
     mixed = cut(mixed.drop("hub", "other").join(keys, "id"))
+    del tagged, buckets, pairs, keys
+    release(spark)
     left = mixed.where("comp <> top").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("traits").alias("tx"), F.col("keys").alias("kx"))
     right = mixed.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), "top", F.col("traits").alias("ty"), F.col("keys").alias("ky"))
     may = possible(lambda c: F.col(f"tx.{c}"), lambda c: F.col(f"ty.{c}"))
     pairs = left.join(right, (left["key"] == right["key"]) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("top")) | (F.col("x") < F.col("y"))) & may & (left["key"] == F.array_min(F.array_intersect("kx", "ky"))))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = cut(pairs)
+    release(spark)
     found = cut(verify(pairs))
     return cut(components(links.union(found))) if found.head(1) else labels

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .graph import cut, keep_ids, link_buckets
+from .graph import cut, keep_ids, link_buckets, release
 
 SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union.
@@ -190,6 +190,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         own = lambda x: reps.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
         both = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "sig_a", "sig_b", "n_a", "n_b")
         likely = cut(both.mapInArrow(_prune, "a long, b long"))
+        del both
+        release(docs.sparkSession)
         involved = cut(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         some = cut(keep_ids(texts.where("doc_id is not null"), "doc_id", involved, "id", involved.count()))
         of = lambda x: some.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))

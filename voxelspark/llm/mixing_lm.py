@@ -17,9 +17,9 @@ from .quality import held_out
 from .scratch import Scratch
 
 #: Bytes of context of the longest predictor.
-ORDER = 4
-#: Slots (powers of two) of the predictors of order 0 to 4; contexts are hashed into them, so the model has a fixed size.
-SLOTS = (8, 16, 18, 21, 22)
+ORDER = 5
+#: Slots (powers of two) of the predictors of order 0 to 5; contexts are hashed into them, so the model has a fixed size.
+SLOTS = (8, 16, 18, 21, 22, 22)
 _START = np.concatenate([[0], np.cumsum([1 << s for s in SLOTS])]).astype(np.int64)
 #: Stands before and after each text; no byte of UTF-8.
 EDGE = 0xFF
@@ -34,7 +34,7 @@ _CUT = 11.0
 
 
 def grams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte and end of the lower-cased texts: the four bytes before it and itself, as a number; bounds per text."""
+    """For each byte and end of the lower-cased texts: the five bytes before it and itself, as a number; bounds per text."""
     size = np.diff(at)
     place = at + (ORDER + 1) * np.arange(len(at))
     full = np.full(int(place[-1]), EDGE, np.uint8)
@@ -58,7 +58,7 @@ def slots(gram: np.ndarray) -> np.ndarray:
     before = gram >> np.uint64(8)
     out[:, :, 1] = (before & np.uint64(0xFF)).astype(np.int64)[:, None] * 256 + nodes + _START[1]
     for k in range(2, ORDER + 1):
-        context = tokens.mix((before & np.uint64((1 << 8 * k) - 1)) + np.uint64(k << 40))[:, None]
+        context = tokens.mix((before & np.uint64((1 << 8 * k) - 1)) + np.uint64(k << 56))[:, None]
         out[:, :, k] = (tokens.mix(context + nodes.astype(np.uint64)) >> np.uint64(64 - SLOTS[k])).astype(np.int64) + _START[k]
     return out
 
@@ -79,31 +79,39 @@ class Mixer:
     refine: np.ndarray
 
 
-def _inputs(zero: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stretched predictions and gates from bit counts (grams x 8 x orders)."""
-    total = zero + one
-    stretch = np.log((one + PRIOR) / (zero + PRIOR))
-    longest = ((total > 0) * np.arange(1, ORDER + 2)).max(2)
-    return stretch, longest * 8 + np.arange(8)
+def _stretch(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Log odds of a one; exactly 0 only for a slot that has seen nothing."""
+    ratio = np.log((one + PRIOR) / (zero + PRIOR))
+    return np.where((ratio == 0) & (zero + one > 0), 1e-6, ratio)
+
+
+def _gates(stretch: np.ndarray) -> np.ndarray:
+    """Weight set of each bit (grams x 8 x orders): its number and the longest context that has been seen."""
+    longest = np.zeros(stretch.shape[:2], np.int64)
+    for k in range(ORDER + 1):
+        longest[stretch[:, :, k] != 0] = k + 1
+    return longest * 8 + np.arange(8)
 
 
 def _mix(mixer: Mixer, stretch: np.ndarray, gate: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mixed logit, bucket of the probability map, and the refined probability of a one."""
-    logit = (stretch * mixer.weights[gate]).sum(2).clip(-_CUT, _CUT)
+    logit = np.zeros(gate.shape)
+    for k in range(ORDER + 1):
+        logit += stretch[:, :, k] * mixer.weights[:, k][gate]
+    logit = logit.clip(-_CUT, _CUT)
     bucket = np.rint((logit + _CUT) * ((BUCKETS - 1) / (2 * _CUT))).astype(np.int64)
     p = _squash(logit)
     return logit, bucket, 0.5 * p + 0.5 * (mixer.refine[node, bucket] * (1 - 1e-5) + 5e-6)
 
 
-def costs(gram: np.ndarray, counts: np.ndarray, mixer: Mixer) -> np.ndarray:
-    """log10 probability of the last byte of each gram after the bytes before it."""
+def costs(gram: np.ndarray, odds: np.ndarray, mixer: Mixer) -> np.ndarray:
+    """log10 probability of the last byte of each gram after the bytes before it; odds: log odds of all slots."""
     out = np.empty(len(gram))
-    for i in range(0, len(gram), 1 << 14):
-        part = gram[i : i + (1 << 14)]
+    for i in range(0, len(gram), 1 << 12):
+        part = gram[i : i + (1 << 12)]
         at = slots(part)
-        both = counts[at].astype(np.float32)
-        stretch, gate = _inputs(both[..., 0], both[..., 1])
-        p = _mix(mixer, stretch, gate, at[:, :, 0])[2]
+        stretch = odds[at]
+        p = _mix(mixer, stretch, _gates(stretch), at[:, :, 0])[2]
         out[i : i + len(part)] = np.log10(np.where(bits(part) == 1, p, 1 - p)).sum(1)
     return out
 
@@ -129,7 +137,8 @@ def learn(batches: Iterator[tuple[np.ndarray, np.ndarray]], counts: np.ndarray,
             both[..., 0] -= (bit == 0)[:, :, None]
             both[..., 1] -= (bit == 1)[:, :, None]
             both = both.clip(0)
-            stretch, gate = _inputs(both[..., 0], both[..., 1])
+            stretch = _stretch(both[..., 0], both[..., 1])
+            gate = _gates(stretch)
             logit, bucket, _ = _mix(mixer, stretch, gate, at[:, :, 0])
             error = (bit - _squash(logit)) * weight[:, None]
             flat = gate.ravel()
@@ -257,17 +266,30 @@ def _lookup(sorted_keys: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np
     return np.where(sorted_keys[at] == own, values[at], 0)[place]
 
 
-def _per_gram(key: np.ndarray, counts: np.ndarray, mixer: Mixer) -> np.ndarray:
-    """The cost at each position; each distinct gram is computed once."""
-    own = np.unique(key)
-    cost = costs(own, counts, mixer)
-    hashed = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
-    table = np.zeros(1 << 21, np.int32)
-    table[(own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)] = np.arange(len(own), dtype=np.int32)
-    at = table[hashed]
-    miss = np.flatnonzero(own[at] != key)
-    at[miss] = np.searchsorted(own, key[miss])
-    return cost[at]
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Costs:
+    """Costs of the distinct grams of a chunk, found through a table of hashes."""
+
+    def __init__(self, own: np.ndarray, odds: np.ndarray, mixer: Mixer):
+        self.own, self.cost = own, costs(own, odds, mixer)
+        self.table = np.zeros(1 << 21, np.int32)
+        self.table[(own * _SPREAD) >> np.uint64(43)] = np.arange(len(own), dtype=np.int32)
+
+    def at(self, key: np.ndarray) -> np.ndarray:
+        place = self.table[(key * _SPREAD) >> np.uint64(43)]
+        miss = np.flatnonzero(self.own[place] != key)
+        place[miss] = np.searchsorted(self.own, key[miss])
+        return self.cost[place]
+
+
+def _blocks(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes and offsets of blocks of the texts of a chunk, in order."""
+    for batch in table.to_batches():
+        raw, at = tokens.buffers(batch.column(batch.schema.get_field_index("text")))
+        for a, b in tokens.blocks(at, 2 << 20):
+            yield raw[at[a] : at[b]], at[a : b + 1] - at[a]
 
 
 def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", parts: int = 7) -> DataFrame:
@@ -275,7 +297,7 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     Learns from the rows whose crc32 of the id as text modulo 7 is not 2 and scores the whole text of every row.  The base is an add-one
     unigram model over words and an end.  The model codes the lower-cased bytes and an end mark bit by bit: predictors of order
-    0 to 4 with counts in hashed slots, a gated logistic mix learnt online without the coded gram itself, refined by an
+    0 to 5 with counts in hashed slots, a gated logistic mix learnt online without the coded gram itself, refined by an
     adaptive probability map.  Its parts are then fixed, so score is the log10 probability of the text under one distribution.
 
     Null and empty texts consist of the end alone.  A row with a null id is learnt from.  Repeated rows count and are scored each.
@@ -293,31 +315,34 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
         words = words.select("chunk", "word", "n", F.sum("n").over(own).alias("c"), (F.row_number().over(own.orderBy("chunk")) == 1).alias("first")).where("c > 0")
         words = scratch.table(words)
         total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("first"), 1))).head()
-        shared = spark.sparkContext.broadcast((table, mixer))
+        odds = np.empty(len(table), np.float32)
+        for i in range(0, len(odds), 1 << 20):
+            part = table[i : i + (1 << 20)].astype(np.float64)
+            odds[i : i + len(part)] = _stretch(part[:, 0], part[:, 1])
+        del table
+        shared = spark.sparkContext.broadcast((odds, mixer))
         below = np.log10(float(total + distinct + 1))
 
         def score(key: tuple, own: pa.Table, found: pa.Table) -> pa.Table:
-            counts, mixer = shared.value
+            odds, mixer = shared.value
             order = np.argsort(found.column("word").to_numpy().view(np.uint64))
             known, c = found.column("word").to_numpy().view(np.uint64)[order], found.column("c").to_numpy()[order]
             end = int(_lookup(known, c, np.array([END]))[0])
+            distinct_ = [np.unique(grams(*x)[0]) for x in _blocks(own)]
+            price = _Costs(np.unique(np.concatenate(distinct_)), odds, mixer)
             columns: list[list[np.ndarray]] = [[] for _ in range(5)]
-            for batch in own.to_batches():
-                column = batch.column(batch.schema.get_field_index("text"))
-                raw, at = tokens.buffers(column)
-                for a, b in tokens.blocks(at, 2 << 20):
-                    block, bound = raw[at[a] : at[b]], at[a : b + 1] - at[a]
-                    w = tokens.words(block, bound)
-                    times = _lookup(known, c, w.hash)
-                    sums = np.zeros((2, len(times) + 1))
-                    np.cumsum(np.log10(times + 1.0), out=sums[0, 1:])
-                    np.cumsum(times > 0, out=sums[1, 1:])
-                    base, hits = sums[:, w.first[1:]] - sums[:, w.first[:-1]]
-                    n = np.diff(w.first) + 1
-                    key_, place = grams(block, bound)
-                    cost = np.add.reduceat(_per_gram(key_, counts, mixer), place[:-1])
-                    for column_, x in zip(columns, (n, (hits + (end > 0)).astype(np.int64), base + np.log10(end + 1.0) - n * below, cost, np.diff(place)), strict=True):
-                        column_.append(x)
+            for block, bound in _blocks(own):
+                w = tokens.words(block, bound)
+                times = _lookup(known, c, w.hash)
+                sums = np.zeros((2, len(times) + 1))
+                np.cumsum(np.log10(times + 1.0), out=sums[0, 1:])
+                np.cumsum(times > 0, out=sums[1, 1:])
+                base, hits = sums[:, w.first[1:]] - sums[:, w.first[:-1]]
+                n = np.diff(w.first) + 1
+                key_, place = grams(block, bound)
+                cost = np.add.reduceat(price.at(key_), place[:-1])
+                for column_, x in zip(columns, (n, (hits + (end > 0)).astype(np.int64), base + np.log10(end + 1.0) - n * below, cost, np.diff(place)), strict=True):
+                    column_.append(x)
             n, hits, base, cost, size = (np.concatenate(x) if x else np.empty(0) for x in columns)
             return pa.table({"doc_id": own.column("doc_id"), "learn": own.column("learn"), "n_tokens": n.astype(np.int64), "n_known": hits.astype(np.int64), "base_score": base.astype(float), "score": cost.astype(float), "bits_per_byte": -cost * np.log2(10) / np.maximum(size, 1)})
 

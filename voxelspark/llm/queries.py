@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contentsort, minhash, quality, sharding
+from . import contentsort, minhash, mixing_lm, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +33,17 @@ def op9_contentsort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contentsort.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of documents under a context-mixing model."""
+    return mixing_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_minhash": op3_minhash,
     "op8_quality": op8_quality,
     "op9_contentsort": op9_contentsort,
+    "op10_mixing_lm": op10_mixing_lm,
 }
 
 ORACLE_SQL: dict[str, str] = {
