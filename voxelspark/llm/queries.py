@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contentsort, minhash, mixing_lm, quality, sharding
+from . import contentsort, decontaminate, minhash, mixing_lm, quality, sharding, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +18,25 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.rendezvous_shards(_table(spark, sf_dir, "documents"))
 
 
+#: Rules of the query on pages: host, path, whether it blocks.
+URL_RULES = (("com", "/en/", True), ("example.com", "/en/7", False), ("net", "/de/", False), ("example.net", "/de/8", True), ("org", "/es/", True))
+
+
+def op2_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on page urls by rules and by path templates."""
+    return urlfilter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of documents."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of documents, learnt from trusted positives and unlabelled texts."""
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -40,7 +54,9 @@ def op10_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_urlfilter": op2_urlfilter,
     "op3_minhash": op3_minhash,
+    "op4_decontaminate": op4_decontaminate,
     "op8_quality": op8_quality,
     "op9_contentsort": op9_contentsort,
     "op10_mixing_lm": op10_mixing_lm,
@@ -48,5 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_sharding": sharding.oracle_sql(),
+    "op4_decontaminate": decontaminate.ORACLE,
     "op9_contentsort": contentsort.ORACLE,
 }
