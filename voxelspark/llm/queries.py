@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import contentsort, decontaminate, minhash, mixing_lm, quality, sharding, urlfilter
+from . import contentsort, decontaminate, minhash, mixing_lm, mixture, quality, sharding, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,18 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+#: Domains: sources by their number modulo 4; integer weights among siblings.
+MIX_WEIGHTS = {("d0",): 4, ("d1",): 3, ("d2",): 2, ("d3",): 1, ("d0", "en"): 5, ("d0", "de"): 2, ("d1", "en"): 3, ("d0", "en", "src0"): 2}
+MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 50, 2, 17
+
+
+def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is drawn under token budgets for domain, language and source."""
+    domain = F.concat(F.lit("d"), F.coalesce(F.regexp_extract("source", "([0-9]{1,9})$", 1).try_cast("int"), F.lit(0)) % 4)
+    levels = {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+    return mixture.mix_sources(_table(spark, sf_dir, "documents"), levels, MIX_WEIGHTS, MIX_PERCENT, MIX_EPOCHS, MIX_SEED)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of documents, learnt from trusted positives and unlabelled texts."""
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -57,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_urlfilter": op2_urlfilter,
     "op3_minhash": op3_minhash,
     "op4_decontaminate": op4_decontaminate,
+    "op7_mixture": op7_mixture,
     "op8_quality": op8_quality,
     "op9_contentsort": op9_contentsort,
     "op10_mixing_lm": op10_mixing_lm,
@@ -65,5 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_sharding": sharding.oracle_sql(),
     "op4_decontaminate": decontaminate.ORACLE,
+    "op7_mixture": mixture.oracle_sql("'d' || (coalesce(TRY_CAST(regexp_extract(source, '([0-9]{1,9})$', 1) AS INTEGER), 0) % 4)", MIX_WEIGHTS, MIX_PERCENT, MIX_EPOCHS, MIX_SEED),
     "op9_contentsort": contentsort.ORACLE,
 }
