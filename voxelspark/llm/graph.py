@@ -19,7 +19,7 @@ BROADCAST_IDS = 500_000
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def cut(df: DataFrame, batch: int = 1000) -> DataFrame:
+def cut(df: DataFrame, batch: int = 256) -> DataFrame:
     """Materialise in the shared checkpoint folder and forget the lineage; survives lost executors.
 
     batch: rows of an Arrow batch meanwhile; batches of whole texts must stay small.

@@ -195,7 +195,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         involved = cut(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         some = cut(keep_ids(texts.where("doc_id is not null"), "doc_id", involved, "id", involved.count()))
         of = lambda x: some.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-        return likely.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
+        # Two whole texts a row: small batches.
+        return cut(likely.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"), 32)
 
     def traits(ids: DataFrame) -> DataFrame:
         """n: set size; c: shingles that another of these ids has too; s0, ...: sketch."""
