@@ -24,7 +24,7 @@ BANDS, ROWS = 64, 6
 #: Signature values compared before the next pruning decision.
 BATCH = 64
 #: A candidate is pruned once its posterior probability of reaching the threshold is below this.
-MISS = 1e-6
+MISS = 1e-5
 
 
 @lru_cache(maxsize=1)
@@ -143,24 +143,29 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[start:end], np.diff(bound))), pa.array(values.view(np.int64))], ["id", "hash"])
 
 
-#: Longs of a one-bit sketch, and the differing bits beyond which a pair is pruned: at the threshold a bit differs with probability
-#: (1 - 0.75) / 2, and so many do with probability below 1e-6.
-LONGS = HASHES // 64
-_DIFFER = next(d for d in range(HASHES) if sum(comb(HASHES, k) * 0.125**k * 0.875 ** (HASHES - k) for k in range(d + 1, HASHES + 1)) < MISS)
+#: Longs of a two-bit sketch, and the differing values beyond which a pair is pruned: at the threshold a value differs with probability
+#: (1 - 0.75) * 3 / 4, and so many do with probability below MISS.
+LONGS = HASHES // 32
+_DIFFER = next(d for d in range(HASHES) if sum(comb(HASHES, k) * 0.1875**k * 0.8125 ** (HASHES - k) for k in range(d + 1, HASHES + 1)) < MISS)
+_LOW = "6148914691236517205"  # every other bit
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, n, sig to id, n, the lowest bits of the signature as longs."""
+    """id, n, sig to id, n, the two lowest bits of the signature's bytes as longs."""
     names = ["id", "n", *[f"s{i}" for i in range(LONGS)]]
     for batch in batches:
-        bits = np.packbits(_as_matrix(batch.column(2)) & np.uint8(1), axis=1).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(bits[:, i]) for i in range(LONGS)]], names)
+        two = _as_matrix(batch.column(2)) & np.uint8(3)
+        packed = (two[:, 0::4] | (two[:, 1::4] << 2) | (two[:, 2::4] << 4) | (two[:, 3::4] << 6)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(packed[:, i]) for i in range(LONGS)]], names)
 
 
 def _possible(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
-    """What both sides alone say about a pair: sizes, shingles that others have too, and one-bit sketches."""
+    """What both sides alone say about a pair: sizes, shingles that others have too, and two-bit sketches."""
     shared, total = F.least(x("c"), y("c")), x("n") + y("n")
-    differ = sum((F.bit_count(x(f"s{i}").bitwiseXOR(y(f"s{i}"))) for i in range(LONGS)), F.lit(0))
+    differ = F.lit(0)
+    for i in range(LONGS):
+        bits = x(f"s{i}").bitwiseXOR(y(f"s{i}"))
+        differ = differ + F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.expr(f"{_LOW}L")))
     return (100 * shared >= PERCENT * (total - shared)) & (differ <= _DIFFER)
 
 
@@ -169,9 +174,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     Sets of distinct five-word shingles (shorter texts: the whole sequence) are linked when 100 * intersection >= 75 * union.
     Equal sets are collapsed first.  The rest are banded by MinHash, candidate pairs pass through a sequential Bayesian test on
-    batches of 64 signature values (pruned at a posterior below 1e-6), and survivors are confirmed on full sets of 64-bit
+    batches of 64 signature values (pruned at a posterior below 1e-5), and survivors are confirmed on full sets of 64-bit
     shingle hashes.  In large buckets, pairs are not even made where set sizes, shingles that no other candidate has, or
-    one-bit sketches rule a link out.  component_id is the smallest id reachable over links, kept marks that document.
+    two-bit sketches rule a link out.  component_id is the smallest id reachable over links, kept marks that document.
 
     Null and empty texts and texts without words: n_shingles 0, linked with nothing, kept.  A row with a null id: component_id
     null and kept.  Ids must be integers; an id that occurs in several rows gives several rows and is one document, linked through any of its
