@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contentsort, decontaminate, fuzzylines, minhash, mixing_lm, mixture, quality, sharding, urlfilter
+from . import contentsort, decontaminate, fuzzylines, minhash, mixing_lm, mixture, quality, sharding, suffixes, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op5_fuzzylines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzylines.fuzzy_lines(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of documents that occur in other documents too."""
+    return suffixes.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 #: Domains: sources by their number modulo 4; integer weights among siblings.
 MIX_WEIGHTS = {("d0",): 4, ("d1",): 3, ("d2",): 2, ("d3",): 1, ("d0", "en"): 5, ("d0", "de"): 2, ("d1", "en"): 3, ("d0", "en", "src0"): 2}
 MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 50, 2, 17
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
     "op4_decontaminate": op4_decontaminate,
     "op5_fuzzylines": op5_fuzzylines,
+    "op6_suffixes": op6_suffixes,
     "op7_mixture": op7_mixture,
     "op8_quality": op8_quality,
     "op9_contentsort": op9_contentsort,
