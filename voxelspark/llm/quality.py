@@ -196,6 +196,17 @@ def score_documents(docs: DataFrame, model: Model, id_column: str = "doc_id", te
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """The rows of docs whose whole text scores ACCEPT or more, with all their columns."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = model.score(features(batch.column(batch.schema.get_field_index(text_column)))) >= ACCEPT
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Train on labels (doc_id, quality) with quality 1 as trusted positives and score all of docs."""
     model = train(docs, labels.where("quality = 1").select("doc_id"), id_column, text_column)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import contentsort, decontaminate, fuzzylines, minhash, mixing_lm, mixture, quality, sharding, suffixes, urlfilter
@@ -53,10 +53,14 @@ MIX_WEIGHTS = {("d0",): 4, ("d1",): 3, ("d2",): 2, ("d3",): 1, ("d0", "en"): 5,
 MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 50, 2, 17
 
 
+def domain_of(source: Column) -> Column:
+    """d0 to d3 by the number at the end of a source's name; d0 without one."""
+    return F.concat(F.lit("d"), F.coalesce(F.regexp_extract(source, "([0-9]{1,9})$", 1).try_cast("int"), F.lit(0)) % 4)
+
+
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is drawn under token budgets for domain, language and source."""
-    domain = F.concat(F.lit("d"), F.coalesce(F.regexp_extract("source", "([0-9]{1,9})$", 1).try_cast("int"), F.lit(0)) % 4)
-    levels = {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+    levels = {"domain": domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
     return mixture.mix_sources(_table(spark, sf_dir, "documents"), levels, MIX_WEIGHTS, MIX_PERCENT, MIX_EPOCHS, MIX_SEED)
 
 
