@@ -145,10 +145,14 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
         kept = scratch.table(texts.mapInArrow(_retain, "key long, doc long, pos long").select("key", "doc", F.col("pos").cast("int").alias("pos")))
         ordered = kept.repartitionByRange(parts, "key", "doc", "pos").sortWithinPartitions("key", "doc", "pos").select("key", "doc", F.col("pos").cast("long").alias("pos"))
         found = cut(ordered.mapInArrow(_compare, "side int, part int, x long, y long, z long"), 100_000)
-    # The ends of partitions: a few rows of each.
-    ends = lambda side, suffix: found.where(F.col("side") == side).select(F.col("x").alias("key"), F.col("part").alias(f"part_{suffix}"), F.col("y").alias(f"doc_{suffix}"), F.col("z").alias(f"pos_{suffix}"))
-    across = ends(1, "l").join(ends(2, "r"), "key").where("part_l < part_r and doc_l <> doc_r")
-    nearest = across.withColumn("next", F.min("part_r").over(W.partitionBy("key", "part_l"))).where("next = part_r")
+    # The ends of partitions, a few rows of each: a run that goes on is continued in the next partition that has its key.
+    side = lambda n: found.where(F.col("side") == n).select(F.col("x").alias("key"), "part", F.col("y").alias("doc"), F.col("z").alias("pos"))
+    tails, heads = side(1), side(2)
+    chain = tails.union(heads).select("key", "part").distinct().withColumn("next", F.lead("part").over(W.partitionBy("key").orderBy("part"))).where("next is not null")
+    once = lambda df: df.groupBy("key", "part", "doc").agg(F.min("pos").alias("pos"))
+    named = lambda df, suffix, part: df.select("key", F.col("part").alias(part), F.col("doc").alias(f"doc_{suffix}"), F.col("pos").alias(f"pos_{suffix}"))
+    met = lambda left, right: chain.join(named(left, "l", "part"), ["key", "part"]).join(named(right, "r", "next"), ["key", "next"]).where("doc_l <> doc_r").select("doc_l", "pos_l", "doc_r", "pos_r")
+    nearest = met(tails, once(heads)).union(met(once(tails), heads))
     less = F.col("doc_l") < F.col("doc_r")
     nearest = nearest.select(F.least("doc_l", "doc_r").alias("a"), F.greatest("doc_l", "doc_r").alias("b"), F.when(less, F.col("pos_r") - F.col("pos_l")).otherwise(F.col("pos_l") - F.col("pos_r")).alias("shift"))
     pairs = found.where("side = 0").select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("z").alias("shift")).union(nearest)
