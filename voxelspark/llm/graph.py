@@ -86,8 +86,8 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], t
     is possible gets compared, without any cap: pairs within a component can't change it.
     """
     spark = buckets.sparkSession
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = cut(buckets.join(shared, "key", "left_semi"))
+    shared = cut(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    buckets = cut(keep_ids(buckets, "key", shared, "key", shared.count()))
     pick = F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"].alias("hub")
     pairs = buckets.join(buckets.groupBy("key").agg(pick), "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     links = cut(verify(pairs))
