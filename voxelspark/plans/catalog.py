@@ -1,4 +1,517 @@
-"""Registered queries of the image-array engine and their SQL equivalents."""
+"""Registered queries of the image-array engine over the derived relations, each with equivalent SQL for DuckDB where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import components as C
+from ..operators import distance, kernels, masks, morphology, neighbors, proximity, segment, topology, tracking
+from ..operators.masks import VOXEL
+from ..sources.derive import SRC, TGT, TYX, YX, ZYX, channel, tyx, yx, zyx
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+R6 = "floor(({}) * 1000000 + 0.5) / 1000000"
+MASK = "mask AS (SELECT t, z, y, x FROM tyx)"
+#: Face-connected components of the time series by recursion; label is the rank of the least voxel in raster order.
+LABELS = f"""{TYX}, {MASK},
+step AS (SELECT a.t, a.y, a.x, b.y AS y2, b.x AS x2 FROM mask a JOIN mask b ON a.t = b.t AND abs(a.y - b.y) + abs(a.x - b.x) = 1),
+reach AS (SELECT t, y, x, y AS ry, x AS rx FROM mask UNION SELECT s.t, s.y2, s.x2, r.ry, r.rx FROM reach r JOIN step s ON s.t = r.t AND s.y = r.y AND s.x = r.x),
+root AS (SELECT t, y, x, min(ry * 100 + rx) AS root FROM reach GROUP BY t, y, x),
+labels AS (SELECT t, 0 AS z, y, x, CAST(dense_rank() OVER (PARTITION BY t ORDER BY root) AS INTEGER) AS label FROM root)"""
+OBJECTS = LABELS + """,
+objects AS (SELECT t, label, count(*) AS area, sum(y) / count(*) AS cy, sum(x) / count(*) AS cx, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM labels GROUP BY t, label),
+dets AS (SELECT *, row_number() OVER (ORDER BY t, label) - 1 AS det_id FROM objects)"""
+LINKS = OBJECTS + """,
+own AS (SELECT l.*, d.det_id, d.area FROM labels l JOIN dets d USING (t, label)),
+links AS (SELECT a.t, a.det_id AS src, b.det_id AS dst, a.area AS src_area, b.area AS dst_area, count(*) AS matched_points, 1 - count(*) / CAST(a.area + b.area - count(*) AS DOUBLE) AS cost
+  FROM own a JOIN own b ON b.t = a.t + 1 AND a.y = b.y AND a.x = b.x GROUP BY a.t, a.det_id, b.det_id, a.area, b.area)"""
+PARENTS = LINKS + """,
+parents AS (SELECT dst AS det_id, src AS parent FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY matched_points DESC, cost, src) AS r FROM links) WHERE r = 1)"""
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.label(tyx(spark, sf_dir))
+
+
+def _dets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    labels = _labels(spark, sf_dir)
+    return labels, C.detections(C.objects(labels))
+
+
+def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+# Overlap and proximity
+
+
+@query(f"""WITH {ZYX}, b AS (SELECT src > 0 AS s, tgt > 0 AS g, src, tgt FROM zyx WHERE src > 0 OR tgt > 0),
+n AS (SELECT count(*) FILTER (s) AS a, count(*) FILTER (g) AS b, count(*) FILTER (s AND g) AS o, count(*) AS u, CAST(sum(src) FILTER (s) AS BIGINT) AS ss, CAST(sum(src) FILTER (s AND g) AS BIGINT) AS so, CAST(sum(tgt) FILTER (g) AS BIGINT) AS gs, CAST(sum(tgt) FILTER (s AND g) AS BIGINT) AS go FROM b)
+SELECT a AS source_size, b AS target_size, o AS overlap_size, u AS union_size, CAST(so AS DOUBLE) / ss AS manders_source, CAST(go AS DOUBLE) / gs AS manders_target, 2.0::DOUBLE * o / (a + b) AS dice, CAST(o AS DOUBLE) / u AS jaccard, CAST(o AS DOUBLE) / a AS source_fraction FROM n""")
+def proximity_overlap_full_image(spark, sf_dir):
+    volume = zyx(spark, sf_dir)
+    return proximity.overlap_summary(channel(volume, "src"), channel(volume, "tgt"))
+
+
+@query(f"""WITH {ZYX} SELECT z, count(*) FILTER (src > 0) AS source_size, count(*) FILTER (tgt > 0) AS target_size, count(*) FILTER (src > 0 AND tgt > 0) AS overlap_size FROM zyx WHERE src > 0 OR tgt > 0 GROUP BY z""")
+def overlap_counts(spark, sf_dir):
+    rows = zyx(spark, sf_dir).where("src > 0 OR tgt > 0")
+    return rows.groupBy("z").agg(F.count_if(F.col("src") > 0).alias("source_size"), F.count_if(F.col("tgt") > 0).alias("target_size"), F.count_if((F.col("src") > 0) & (F.col("tgt") > 0)).alias("overlap_size"))
+
+
+_BASIS = f"""WITH {ZYX}, {SRC}, {TGT}, tg AS (SELECT t, z, y, x FROM tgt_ WHERE y < 10),
+sm AS (SELECT t, z, y, x FROM src_ WHERE y < 10)"""
+
+
+def _small(spark, sf_dir):
+    volume = zyx(spark, sf_dir).where("y < 10")
+    return channel(volume, "src"), channel(volume, "tgt")
+
+
+@query(_BASIS + """ SELECT a.z, a.y, a.x, CAST(min((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS BIGINT) AS d2 FROM sm a JOIN tg b USING (t) GROUP BY a.z, a.y, a.x""")
+def nearest_distance(spark, sf_dir):
+    src, tgt = _small(spark, sf_dir)
+    return distance.nearest(src, tgt).select("z", "y", "x", F.col("d2").cast("long").alias("d2"))
+
+
+@query(_BASIS + f""", d AS (SELECT min((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS d2 FROM sm a JOIN tg b USING (t) GROUP BY a.z, a.y, a.x)
+SELECT count(*) AS n, {R6.format('avg(sqrt(d2))')} AS mean_distance, {R6.format('median(sqrt(d2))')} AS median_distance FROM d""")
+def distance_stats(spark, sf_dir):
+    src, tgt = _small(spark, sf_dir)
+    return distance.statistics(distance.nearest(src, tgt)).select("n", S.r6(F.col("mean_distance")).alias("mean_distance"), S.r6(F.col("median_distance")).alias("median_distance"))
+
+
+@query(_BASIS + """, shell AS (SELECT * FROM sm a WHERE (SELECT count(*) FROM sm b WHERE a.z = b.z AND a.y = b.y AND abs(a.x - b.x) = 1 OR a.z = b.z AND a.x = b.x AND abs(a.y - b.y) = 1 OR a.y = b.y AND a.x = b.x AND abs(a.z - b.z) = 1) < 6),
+d AS (SELECT a.z, a.y, a.x, min((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS d2 FROM shell a JOIN tg b USING (t) GROUP BY a.z, a.y, a.x)
+SELECT count(*) AS basis_size, count(*) FILTER (d2 <= 2) AS near_size FROM d""")
+def surface_distance_bounded(spark, sf_dir):
+    src, tgt = _small(spark, sf_dir)
+    return proximity.proximity_voxels(src, tgt, 2**0.5 + 1e-9).agg(F.count("*").alias("basis_size"), F.count_if("near").alias("near_size"))
+
+
+@query(f"""WITH {TYX}, m AS (SELECT t, y, x, CASE WHEN n > 1 THEN 1 ELSE 2 END AS label FROM tyx WHERE t < 5),
+p AS (SELECT a.t, a.y, a.x, b.label, (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) AS d2, b.y AS ny, b.x AS nx FROM m a JOIN m b ON a.t = b.t AND a.label = 2 AND b.label = 1)
+SELECT t, y, x, CAST(d2 AS BIGINT) AS d2, ny, nx FROM (SELECT *, row_number() OVER (PARTITION BY t, y, x ORDER BY d2, ny, nx) AS r FROM p) WHERE r = 1""")
+def nearest_label(spark, sf_dir):
+    rows = tyx(spark, sf_dir).where("t < 5")
+    found = distance.nearest(rows.where("n <= 1"), rows.where("n > 1").select(*VOXEL, F.lit(1).alias("label")))
+    return found.where("d2 is not null").select("t", "y", "x", F.col("d2").cast("long").alias("d2"), "ny", "nx")
+
+
+@query(OBJECTS.replace("mask AS (SELECT t, z, y, x FROM tyx)", "mask AS (SELECT t, z, y, x FROM tyx WHERE t < 6)").join(["WITH RECURSIVE ", """,
+far AS (SELECT t, y, x FROM tyx WHERE t < 6 AND n > 1),
+p AS (SELECT f.t, f.y, f.x, l.label, (f.y - l.y) * (f.y - l.y) + (f.x - l.x) * (f.x - l.x) AS d2, l.y AS ny, l.x AS nx FROM far f JOIN labels l USING (t)),
+q AS (SELECT t, label, count(*) AS target_near FROM (SELECT *, row_number() OVER (PARTITION BY t, y, x ORDER BY d2, ny, nx) AS r FROM p) WHERE r = 1 AND d2 <= 1 GROUP BY t, label)
+SELECT o.t, o.label, o.area AS source_size, coalesce(q.target_near, 0) AS target_near FROM objects o LEFT JOIN q USING (t, label)"""]))
+def target_near_source_objects(spark, sf_dir):
+    rows = tyx(spark, sf_dir).where("t < 6")
+    return proximity.near_source_objects(C.label(rows), rows.where("n > 1"), 1.0)
+
+
+@query(f"""WITH {ZYX}, r(roi_id, y0, y1, x0, x1) AS (VALUES (1, 0, 4, 0, 20), (2, 3, 8, 10, 40))
+SELECT roi_id, count(*) AS roi_size, count(*) FILTER (src > 0) AS source_size, count(*) FILTER (tgt > 0) AS target_size, count(*) FILTER (src > 0 AND tgt > 0) AS overlap_size FROM zyx JOIN r ON y >= y0 AND y < y1 AND x >= x0 AND x < x1 GROUP BY roi_id""")
+def roi_summary(spark, sf_dir):
+    box = lambda y0, y1, x0, x1: [(float(y), float(x)) for y, x in ((y0, x0), (y0, x1), (y1, x1), (y1, x0))]
+    rois = _values(spark, [(1, box(0, 4, 0, 20)), (2, box(3, 8, 10, 40)), (3, [(0.0, 0.0), (1.0, 1.0)])], "roi_id int, vertices array<struct<y double, x double>>")
+    rows = proximity.roi_voxels(zyx(spark, sf_dir), rois)
+    return rows.groupBy("roi_id").agg(F.count("*").alias("roi_size"), F.count_if(F.col("src") > 0).alias("source_size"), F.count_if(F.col("tgt") > 0).alias("target_size"), F.count_if((F.col("src") > 0) & (F.col("tgt") > 0)).alias("overlap_size"))
+
+
+@query(f"WITH {ZYX} SELECT z, y, x, CASE WHEN y >= 3 AND y < 8 AND x >= 10 AND x < 40 THEN 2 ELSE 1 END AS roi_id FROM zyx WHERE (y < 4 AND x < 20) OR (y >= 3 AND y < 8 AND x >= 10 AND x < 40)")
+def roi_label_overlay(spark, sf_dir):
+    box = lambda y0, y1, x0, x1: [(float(y), float(x)) for y, x in ((y0, x0), (y0, x1), (y1, x1), (y1, x0))]
+    rois = _values(spark, [(1, box(0, 4, 0, 20)), (2, box(3, 8, 10, 40))], "roi_id int, vertices array<struct<y double, x double>>")
+    return masks.last_writer(proximity.roi_voxels(zyx(spark, sf_dir), rois), F.col("roi_id"), "roi_id").select("z", "y", "x", "roi_id")
+
+
+# Selection, sets, values
+
+
+@query(f"WITH {YX} SELECT y, x, value FROM yx WHERE value > 100000")
+def mask_threshold_filter(spark, sf_dir):
+    return masks.threshold(yx(spark, sf_dir), 100000).select("y", "x", "value")
+
+
+@query(f"WITH {TYX} SELECT t, y, x, value FROM tyx WHERE t BETWEEN 3 AND 9 AND x BETWEEN 1 AND 4")
+def range_select(spark, sf_dir):
+    return masks.select_range(tyx(spark, sf_dir), t=(3, 9), x=(1, 4)).select("t", "y", "x", "value")
+
+
+@query(f"WITH {TYX} SELECT t, y, x FROM tyx WHERE t = 29 AND value > 0")
+def frame_select(spark, sf_dir):
+    return masks.select_frame(tyx(spark, sf_dir), 99, 30).select("t", "y", "x")
+
+
+@query(f"""WITH {TYX}, e AS (SELECT t, min(value) AS low, max(value) AS high FROM tyx GROUP BY t)
+SELECT t, y, x, CAST(least(greatest(floor((value - low) * 255 / CAST(CASE WHEN high > low THEN high - low ELSE 1 END AS DOUBLE)), 0), 255) AS INTEGER) AS value FROM tyx JOIN e USING (t)""")
+def minmax_rescale_u8(spark, sf_dir):
+    return masks.rescale_to_byte(tyx(spark, sf_dir), ["t"]).select("t", "y", "x", "value")
+
+
+@query(f"WITH {ZYX}, v AS (SELECT CASE WHEN src > 0 THEN 1 ELSE 0 END AS value FROM zyx) SELECT count(DISTINCT value) <= 2 AND bool_or(value = 0) AS is_binary FROM v")
+def is_binary_mask(spark, sf_dir):
+    return masks.is_binary(zyx(spark, sf_dir).select(*VOXEL, (F.col("src") > 0).cast("int").alias("value")))
+
+
+@query(f"WITH {TYX} SELECT DISTINCT n AS value FROM tyx ORDER BY value LIMIT 4")
+def distinct_limited(spark, sf_dir):
+    return masks.distinct_values(tyx(spark, sf_dir).select(F.col("n").alias("value")), 3)
+
+
+@query("SELECT user_id * 1000003 + 5 AS original, CAST(dense_rank() OVER (ORDER BY user_id) AS INTEGER) AS compact FROM (SELECT DISTINCT user_id FROM events)")
+def compact_ids(spark, sf_dir):
+    return masks.compact_ids(spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") * 1000003 + 5).alias("label")))
+
+
+@query(f"""WITH {TYX}, v AS (SELECT min(value) AS a, max(value) AS b FROM tyx)
+SELECT CASE WHEN a >= 0 AND b <= 255 THEN 'uint8' WHEN a >= 0 AND b <= 65535 THEN 'uint16' WHEN a >= -32768 AND b <= 32767 THEN 'int16' WHEN a >= 0 AND b <= 4294967295 THEN 'uint32' WHEN a >= -2147483648 AND b <= 2147483647 THEN 'int32' ELSE 'int64' END AS dtype FROM v""")
+def lossless_dtype(spark, sf_dir):
+    return masks.lossless_type(tyx(spark, sf_dir))
+
+
+def _sets(name: str, op: Callable[[DataFrame, DataFrame], DataFrame], sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        volume = zyx(spark, sf_dir)
+        return op(channel(volume, "src"), channel(volume, "tgt"))
+
+    QUERIES[name] = run
+    a, b = ("(SELECT t, z, y, x FROM src_)", "(SELECT t, z, y, x FROM tgt_)")
+    ORACLE_SQL[name] = f"WITH {ZYX}, {SRC}, {TGT} SELECT * FROM ({sql.format(a=a, b=b)})"
+
+
+_sets("mask_union", masks.union, "{a} UNION {b}")
+_sets("mask_intersect", masks.intersection, "{a} INTERSECT {b}")
+_sets("mask_difference", masks.difference, "{a} EXCEPT {b}")
+_sets("mask_symmetric_difference", masks.symmetric_difference, "({a} EXCEPT {b}) UNION ({b} EXCEPT {a})")
+
+
+# Metadata
+
+
+_IMAGES = [(1, 1, 2, 1, None, " \\u00b5m ", 200.0, "nm"), (2, 30, 1, 1, None, "MICRON", 0.2, "um"), (3, 26, 3, 39, "tczyx", None, 2.0, "mm"), (4, 1, 1, 45, None, "inch", 1.0, "parsec")]
+_IMAGES_SQL = "images(id, nt, nc, nz, dims, unit, size, size_unit) AS (VALUES " + ", ".join(f"({i}, {a}, {b}, {c}, {'NULL' if d is None else repr(d)}, {'NULL' if u is None else repr(u).replace(chr(92) * 2, chr(92))}, {s}::DOUBLE, {repr(v)})" for i, a, b, c, d, u, s, v in _IMAGES) + ")"
+
+
+def _images(spark):
+    return _values(spark, _IMAGES, "id int, nt int, nc int, nz int, dims string, unit string, size double, size_unit string")
+
+
+@query(f"WITH {_IMAGES_SQL} SELECT id, CAST(c AS INTEGER) AS c, (CASE WHEN nt > 1 THEN 'T' ELSE '' END) || (CASE WHEN nz > 1 THEN 'Z' ELSE '' END) || 'YX' AS dims FROM (SELECT *, unnest(range(nc)) AS c FROM images)")
+def channel_split_dims(spark, sf_dir):
+    return _images(spark).select("id", F.explode(F.sequence(F.lit(0), F.col("nc") - 1)).alias("c"), S.layer_dims(F.col("nt"), F.col("nz")).alias("dims"))
+
+
+@query(f"WITH {_IMAGES_SQL} SELECT id, upper(coalesce(dims, CASE WHEN nt > 1 AND nz > 1 THEN 'TZYX' WHEN nt > 1 OR nz > 1 THEN 'ZYX' ELSE 'YX' END)) AS axes FROM images")
+def axis_tag(spark, sf_dir):
+    rank = F.lit(2) + (F.col("nt") > 1).cast("int") + (F.col("nz") > 1).cast("int")
+    return _images(spark).select("id", S.axis_tag(F.lit(None).cast("string"), F.col("dims"), F.lit(None).cast("string"), rank).alias("axes"))
+
+
+@query(f"WITH {_IMAGES_SQL} SELECT id, lower(trim(replace(unit, '\\u00b5', 'µ'))) AS unit FROM images")
+def unit_normalize(spark, sf_dir):
+    return _images(spark).select("id", S.normalize_unit(F.col("unit")).alias("unit"))
+
+
+@query(f"WITH {_IMAGES_SQL} SELECT id, size * CASE size_unit WHEN 'nm' THEN 0.001::DOUBLE WHEN 'um' THEN 1 WHEN 'mm' THEN 1000 END AS micrometres FROM images")
+def unit_to_um(spark, sf_dir):
+    return _images(spark).select("id", S.to_micrometres(F.col("size"), F.col("size_unit")).alias("micrometres"))
+
+
+# Neighbours and surfaces
+
+
+@query(f"""WITH {ZYX}, {SRC} SELECT z, y, x FROM src_ a WHERE (SELECT count(*) FROM src_ b WHERE b.z = a.z AND b.y = a.y AND abs(b.x - a.x) = 1) < 2
+OR (SELECT count(*) FROM src_ b WHERE b.z = a.z AND b.x = a.x AND abs(b.y - a.y) = 1) < 2 OR (SELECT count(*) FROM src_ b WHERE b.y = a.y AND b.x = a.x AND abs(b.z - a.z) = 1) < 2""")
+def surface_shell(spark, sf_dir):
+    return neighbors.surface_shell(channel(zyx(spark, sf_dir), "src")).select("z", "y", "x")
+
+
+@query(f"""WITH {ZYX}, {SRC}, j AS (SELECT count(*) AS n, (SELECT count(*) FROM src_ a JOIN src_ b ON a.y = b.y AND a.x = b.x AND b.z = a.z + 1) AS pz, (SELECT count(*) FROM src_ a JOIN src_ b ON a.z = b.z AND a.x = b.x AND b.y = a.y + 1) AS py, (SELECT count(*) FROM src_ a JOIN src_ b ON a.z = b.z AND a.y = b.y AND b.x = a.x + 1) AS px FROM src_)
+SELECT 2 * (n - pz) AS faces_z, 2 * (n - py) AS faces_y, 2 * (n - px) AS faces_x, {R6.format('2 * (n - pz) * 0.25::DOUBLE + 2 * (n - py) * 1.5::DOUBLE + 2 * (n - px) * 1.5::DOUBLE')} AS measure FROM j""")
+def exposed_faces(spark, sf_dir):
+    return neighbors.exposed_measure(channel(zyx(spark, sf_dir), "src"), (3.0, 0.5, 0.5)).withColumn("measure", S.r6(F.col("measure")))
+
+
+_DEGREE = f"""WITH {TYX}, m AS (SELECT t, y, x FROM tyx),
+e AS (SELECT a.t, a.y, a.x, b.y AS y2, b.x AS x2 FROM m a JOIN m b ON a.t = b.t AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND (a.y <> b.y OR a.x <> b.x)
+  WHERE a.y = b.y OR a.x = b.x OR NOT EXISTS (SELECT 1 FROM m c WHERE c.t = a.t AND (c.y = a.y AND c.x = b.x OR c.y = b.y AND c.x = a.x)))"""
+
+
+@query(_DEGREE + " SELECT t, y, x, y2, x2 FROM e WHERE (y, x) < (y2, x2)")
+def skeleton_adjacency(spark, sf_dir):
+    rows = neighbors.skeleton_edges(tyx(spark, sf_dir), planar=True)
+    return rows.select("t", "y", "x", (F.col("y") + F.col("dy")).alias("y2"), (F.col("x") + F.col("dx")).alias("x2"))
+
+
+@query(_DEGREE + """, d AS (SELECT m.t, m.y, m.x, count(e.y2) AS degree FROM m LEFT JOIN e ON m.t = e.t AND m.y = e.y AND m.x = e.x GROUP BY ALL)
+SELECT t, y, x, degree, CASE degree WHEN 0 THEN 'isolated' WHEN 1 THEN 'endpoint' WHEN 2 THEN 'path' ELSE 'junction' END AS kind FROM d""")
+def skeleton_degree(spark, sf_dir):
+    return neighbors.skeleton_degrees(tyx(spark, sf_dir), planar=True).select("t", "y", "x", "degree", "kind")
+
+
+@query(_DEGREE + f" SELECT t, count(*) AS steps, {R6.format('sum(sqrt((y - y2) * (y - y2) + 0.25 * (x - x2) * (x - x2)))')} AS length FROM e WHERE (y, x) < (y2, x2) GROUP BY t")
+def skeleton_length(spark, sf_dir):
+    return neighbors.skeleton_length(tyx(spark, sf_dir), (1.0, 1.0, 0.5), planar=True).select("t", "steps", S.r6(F.col("length")).alias("length"))
+
+
+# Components and objects
+
+
+@query(f"WITH RECURSIVE {LABELS} SELECT t, y, x, label FROM labels")
+def connected_components(spark, sf_dir):
+    return _labels(spark, sf_dir).select("t", "y", "x", "label")
+
+
+@query(f"WITH RECURSIVE {OBJECTS} SELECT det_id, t, label, area, {R6.format('cy')} AS cy, {R6.format('cx')} AS cx, y0, y1, x0, x1 FROM dets")
+def object_table(spark, sf_dir):
+    return _dets(spark, sf_dir)[1].select("det_id", "t", "label", "area", S.r6(F.col("cy")).alias("cy"), S.r6(F.col("cx")).alias("cx"), "y0", "y1", "x0", "x1")
+
+
+@query(f"WITH RECURSIVE {OBJECTS} SELECT t, label, area FROM objects WHERE area >= 4")
+def object_min_size(spark, sf_dir):
+    return morphology.at_least(C.objects(_labels(spark, sf_dir)), 4).select("t", "label", "area")
+
+
+@query(f"WITH RECURSIVE {OBJECTS} SELECT t, label, area FROM objects ORDER BY area DESC, t, label LIMIT 20")
+def top_objects(spark, sf_dir):
+    return C.objects(_labels(spark, sf_dir)).select("t", "label", "area").orderBy(F.desc("area"), "t", "label").limit(20)
+
+
+@query(f"""WITH RECURSIVE {LABELS}, c AS (SELECT t, label, y + dy AS cy, x + dx AS cx, CAST(sum(1 << (2 * dy + dx)) AS INTEGER) AS code FROM labels, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(dy, dx) GROUP BY 1, 2, 3, 4)
+SELECT t, label, {R6.format("sum(CASE WHEN code IN (1, 2, 4, 8, 7, 11, 13, 14) THEN 0.5 * sqrt(1 + 0.25) WHEN code IN (3, 12) THEN 0.5 WHEN code IN (5, 10) THEN 1.0 WHEN code IN (6, 9) THEN sqrt(1 + 0.25) ELSE 0.0 END)")} AS perimeter FROM c GROUP BY t, label""")
+def object_perimeter(spark, sf_dir):
+    return neighbors.contour_length(_labels(spark, sf_dir), 1.0, 0.5).select("t", "label", S.r6(F.col("perimeter")).alias("perimeter"))
+
+
+@query(f"""WITH RECURSIVE {LABELS}, v AS (SELECT l.*, tyx.value - min(tyx.value) OVER (PARTITION BY l.t, l.label) AS w FROM labels l JOIN tyx USING (t, y, x))
+SELECT t, label, CAST(sum(w) AS BIGINT) AS weight, CASE WHEN sum(w) > 0 THEN {R6.format('sum(w * y) / CAST(sum(w) AS DOUBLE)')} END AS icy, CASE WHEN sum(w) > 0 THEN {R6.format('sum(w * x) / CAST(sum(w) AS DOUBLE)')} END AS icx FROM v GROUP BY t, label""")
+def intensity_centroid(spark, sf_dir):
+    rows = tracking.weighted_centroids(_labels(spark, sf_dir), tyx(spark, sf_dir))
+    return rows.select("t", "label", "weight", S.r6(F.col("icy")).alias("icy"), S.r6(F.col("icx")).alias("icx"))
+
+
+_CENTROID = f"WITH {TYX}, g AS (SELECT t, avg(y) AS gy, avg(x) AS gx FROM tyx GROUP BY t)"
+
+
+@query(_CENTROID + f" SELECT t, {R6.format('gy')} AS gy, {R6.format('gx')} AS gx FROM g")
+def frame_centroid(spark, sf_dir):
+    return tracking.frame_centroids(tyx(spark, sf_dir)).select("t", S.r6(F.col("gy")).alias("gy"), S.r6(F.col("gx")).alias("gx"))
+
+
+@query(_CENTROID + f" SELECT a.t, {R6.format('b.gy - a.gy')} AS dy, {R6.format('b.gx - a.gx')} AS dx FROM g a JOIN g b ON b.t = a.t + 1")
+def frame_shift(spark, sf_dir):
+    return tracking.frame_shifts(tracking.frame_centroids(tyx(spark, sf_dir))).select("t", S.r6(F.col("dy")).alias("dy"), S.r6(F.col("dx")).alias("dx"))
+
+
+@query(f"""WITH RECURSIVE {OBJECTS}, o AS (SELECT area, row_number() OVER (ORDER BY area, t, label) AS i, count(*) OVER () AS n, sum(area) OVER () AS s FROM objects)
+SELECT any_value(n) AS n, {R6.format('greatest(0, least(1, 2 * sum(i * area) / CAST(any_value(n) * any_value(s) AS DOUBLE) - (any_value(n) + 1) / CAST(any_value(n) AS DOUBLE)))')} AS gini FROM o""")
+def branch_lorenz_gini(spark, sf_dir):
+    return morphology.gini(C.objects(_labels(spark, sf_dir)), "area").select("n", S.r6(F.col("gini")).alias("gini"))
+
+
+@query(f"""WITH RECURSIVE {OBJECTS}, e AS (SELECT min(area) AS lo, max(area) AS hi, least(20, greatest(5, count(*))) AS b FROM objects)
+SELECT CAST(least(b - 1, floor((area - lo) * b / CAST(hi - lo AS DOUBLE))) AS INTEGER) AS bin, count(*) AS n FROM objects, e GROUP BY 1""")
+def size_histogram(spark, sf_dir):
+    return morphology.histogram(C.objects(_labels(spark, sf_dir)), "area")
+
+
+@query()
+def topology_summary(spark, sf_dir):
+    labels = _labels(spark, sf_dir).where("t < 8")
+    return topology.skeleton_topology(labels, planar=True)
+
+
+# Stencils
+
+
+@query(f"""WITH {YX}, k(o, w) AS (SELECT o, exp(-o * o / 2.0::DOUBLE) / (SELECT sum(exp(-q * q / 2.0::DOUBLE)) FROM range(-2, 3) r(q)) FROM range(-2, 3) s(o)),
+e AS (SELECT max(y) AS my, max(x) AS mx FROM yx),
+a AS (SELECT yx.y, yx.x, sum(k.w * s.value) AS v FROM yx, k, e, yx s WHERE s.x = yx.x AND s.y = CASE WHEN abs(yx.y + o) > my THEN 2 * my - abs(yx.y + o) ELSE abs(yx.y + o) END GROUP BY yx.y, yx.x),
+b AS (SELECT a.y, a.x, sum(k.w * s.v) AS v FROM a, k, e, a s WHERE s.y = a.y AND s.x = CASE WHEN abs(a.x + o) > mx THEN 2 * mx - abs(a.x + o) ELSE abs(a.x + o) END GROUP BY a.y, a.x)
+SELECT y, x, floor(v + 0.5) AS value FROM b""")
+def gaussian_smooth(spark, sf_dir):
+    return kernels.smooth(yx(spark, sf_dir).select(*VOXEL, F.col("value").cast("double").alias("value")), 5, 1.0).select("y", "x", F.floor(F.col("value") + 0.5).cast("double").alias("value"))
+
+
+@query()
+def gaussian_derivative(spark, sf_dir):
+    return kernels.derivative(yx(spark, sf_dir).select(*VOXEL, F.col("value").cast("double").alias("value")), 5, 1.0, "x").select("y", "x", "value")
+
+
+@query()
+def hessian(spark, sf_dir):
+    return kernels.hessian_2d(yx(spark, sf_dir), 7, 1.5).select("y", "x", "hyy", "hxy", "hxx")
+
+
+@query()
+def vesselness(spark, sf_dir):
+    scaled = yx(spark, sf_dir).select(*VOXEL, (F.col("value") / 1000000.0).alias("value"))
+    return kernels.vesselness(scaled, 7, (1.0, 2.0)).select("y", "x", "response")
+
+
+@query(f"""WITH {YX}, e AS (SELECT max(y) AS my, max(x) AS mx FROM yx), p AS (SELECT yx.y, yx.x, s.value FROM yx, e, range(-1, 2) a(dy), range(-1, 2) b(dx), yx s WHERE s.y = greatest(0, least(my, yx.y + dy)) AND s.x = greatest(0, least(mx, yx.x + dx)))
+SELECT y, x, CAST(median(value) AS BIGINT) AS value FROM p GROUP BY y, x""")
+def median_filter(spark, sf_dir):
+    return kernels.median_filter(yx(spark, sf_dir), 3).select("y", "x", "value")
+
+
+@query("SELECT y, x, value::DOUBLE AS value FROM (VALUES (0, 0, 0), (0, 1, 1), (0, 2, 3), (0, 3, 4), (1, 0, 2), (1, 1, 3), (1, 2, 5), (1, 3, 6), (2, 0, 6), (2, 1, 7), (2, 2, 9), (2, 3, 10), (3, 0, 8), (3, 1, 9), (3, 2, 11), (3, 3, 12)) v(y, x, value)")
+def bilinear_upsample(spark, sf_dir):
+    small = _values(spark, [(0, 0, 0, 0, 0.0), (0, 0, 0, 1, 4.0), (0, 0, 1, 0, 8.0), (0, 0, 1, 1, 12.0)], "t int, z int, y int, x int, value double")
+    return kernels.upsample(small, 2).select("y", "x", "value")
+
+
+# Segmentation
+
+
+_BYTE = f"""WITH {YX}, v AS (SELECT y, x, CAST(floor((value - (SELECT min(value) FROM yx)) * 255.0::DOUBLE / (SELECT max(value) - min(value) FROM yx)) AS INTEGER) AS value FROM yx)"""
+
+
+def _bytes(spark, sf_dir):
+    return masks.rescale_to_byte(yx(spark, sf_dir), ["t"])
+
+
+@query(_BYTE + """, h AS (SELECT value AS bin, count(*) AS n FROM v GROUP BY value), c AS (SELECT bin, CAST(sum(n) OVER w AS DOUBLE) AS n0, CAST(sum(n * bin) OVER w AS DOUBLE) AS s0, CAST(sum(n) OVER () AS DOUBLE) AS n1, CAST(sum(n * bin) OVER () AS DOUBLE) AS s1 FROM h WINDOW w AS (ORDER BY bin))
+SELECT bin AS threshold_bin FROM c WHERE n1 > n0 ORDER BY n0 * (n1 - n0) * (s0 / n0 - (s1 - s0) / (n1 - n0)) * (s0 / n0 - (s1 - s0) / (n1 - n0)) DESC, bin LIMIT 1""")
+def otsu_threshold(spark, sf_dir):
+    return segment.otsu(_bytes(spark, sf_dir)).select("threshold_bin")
+
+
+_MODEL = [(0, 0, 0.5, 90.0, 20.0), (0, 1, 0.5, 110.0, 20.0), (1, 0, 1.0, 150.0, 30.0)]
+_MODEL_SQL = "model(class, k, pi, mu, sigma) AS (VALUES " + ", ".join(f"({a}, {b}, {c}::DOUBLE, {d}::DOUBLE, {e}::DOUBLE)" for a, b, c, d, e in _MODEL) + ")"
+
+
+def _model(spark):
+    return _values(spark, _MODEL, "class int, k int, pi double, mu double, sigma double")
+
+
+@query(_BYTE + f""", {_MODEL_SQL}, p AS (SELECT v.value, m.class, m.k, m.pi * exp(-(v.value - m.mu) * (v.value - m.mu) / (2 * m.sigma * m.sigma)) / (m.sigma * sqrt(2 * pi())) AS d, y, x FROM v JOIN model m ON m.class = CASE WHEN v.value > 127 THEN 1 ELSE 0 END),
+r AS (SELECT *, d / sum(d) OVER (PARTITION BY class, y, x) AS r FROM p), s AS (SELECT class, k, sum(r) AS w, sum(r * value) AS s, sum(r * value * value) AS q FROM r GROUP BY class, k)
+SELECT class, k, {R6.format('w / sum(w) OVER (PARTITION BY class)')} AS pi, {R6.format('s / w')} AS mu, {R6.format('sqrt(greatest(q / w - (s / w) * (s / w), 1e-12))')} AS sigma FROM s""")
+def em_step(spark, sf_dir):
+    points = _bytes(spark, sf_dir).select((F.col("value") > 127).cast("int").alias("class"), F.col("value").cast("double").alias("value"))
+    return segment.em_step(points, _model(spark)).select("class", "k", *[S.r6(F.col(c)).alias(c) for c in ("pi", "mu", "sigma")])
+
+
+@query(_BYTE + f""", l AS (SELECT y, x, CASE WHEN value > 127 THEN 1 ELSE 0 END AS label FROM v)
+SELECT a.y, a.x, {R6.format("0.7 * (2 * coalesce(n.label, 0) - 1) + 0.7 * (2 * coalesce(s.label, 0) - 1) + 0.7 * (2 * coalesce(w.label, 0) - 1) + 0.7 * (2 * coalesce(e.label, 0) - 1)")} AS potential
+FROM l a LEFT JOIN l n ON n.y = a.y - 1 AND n.x = a.x LEFT JOIN l s ON s.y = a.y + 1 AND s.x = a.x LEFT JOIN l w ON w.y = a.y AND w.x = a.x - 1 LEFT JOIN l e ON e.y = a.y AND e.x = a.x + 1""")
+def mrf_potential(spark, sf_dir):
+    labels = _bytes(spark, sf_dir).select(*VOXEL, (F.col("value") > 127).cast("int").alias("label"))
+    return segment.smoothness(labels, 0.7).select("y", "x", S.r6(F.col("potential")).alias("potential"))
+
+
+@query()
+def map_label(spark, sf_dir):
+    rows = _bytes(spark, sf_dir)
+    prior = segment.smoothness(rows.select(*VOXEL, (F.col("value") > 127).cast("int").alias("label")), 0.7)
+    return segment.map_labels(rows.select(*VOXEL, F.col("value").cast("double").alias("value"), (F.col("value") / 255.0).alias("response")).join(prior.select(*VOXEL, "potential"), VOXEL), _model(spark)).select("y", "x", "label")
+
+
+# Tracking
+
+
+_POINTS = f"WITH {TYX}, p AS (SELECT t, y, x, row_number() OVER (ORDER BY t, y, x) AS id FROM tyx WHERE t < 6)"
+
+
+def _points(spark, sf_dir):
+    rows = tyx(spark, sf_dir).where("t < 6")
+    return rows.select("t", F.lit(0).alias("z"), "y", "x", F.row_number().over(W.orderBy("t", "y", "x")).alias("point_id"))
+
+
+@query(_POINTS + """, c AS (SELECT a.t, a.id AS src, b.id AS dst, (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) AS d2 FROM p a JOIN p b ON b.t = a.t + 1 AND (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 9)
+SELECT t, src, dst, CAST(d2 AS BIGINT) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY t, src ORDER BY d2, dst) AS rs, row_number() OVER (PARTITION BY t, dst ORDER BY d2, src) AS rd FROM c) WHERE rs <= 2 OR rd <= 2""")
+def point_knn_candidates(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    src = points.withColumnRenamed("point_id", "src")
+    dst = points.select((F.col("t") - 1).alias("t"), "z", "y", "x", F.col("point_id").alias("dst"))
+    return neighbors.nearest_points(src, dst, 3.0, 2, ["t"]).select("t", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("d2").cast("long").alias("d2"))
+
+
+@query()
+def greedy_match(spark, sf_dir):
+    points = _points(spark, sf_dir).withColumns({"cz": F.lit(0.0), "cy": F.lit(0.0), "cx": F.lit(0.0)})
+    return tracking.match_points(tracking.point_edges(points, tracking.TrackingConfig(neighbours=2, radius=3.0)))
+
+
+@query(f"WITH RECURSIVE {LINKS} SELECT t, src, dst, src_area, dst_area, matched_points, {R6.format('cost')} AS cost FROM links")
+def overlap_links(spark, sf_dir):
+    return tracking.overlap_links(*_dets(spark, sf_dir)).withColumn("cost", S.r6(F.col("cost")))
+
+
+@query(f"WITH RECURSIVE {LINKS} SELECT t, src, dst FROM links WHERE cost <= 0.6 AND src_area > 1 AND dst_area > 1")
+def link_select(spark, sf_dir):
+    return tracking.select_links(tracking.overlap_links(*_dets(spark, sf_dir)), 0.6, 1).select("t", "src", "dst")
+
+
+@query(f"WITH RECURSIVE {PARENTS} SELECT det_id, parent FROM parents")
+def dominant_parent(spark, sf_dir):
+    return tracking.dominant_parents(tracking.overlap_links(*_dets(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE {PARENTS}, up AS (SELECT d.det_id, coalesce(p.parent, d.det_id) AS root, p.parent IS NULL AS done FROM dets d LEFT JOIN parents p USING (det_id)),
+walk AS (SELECT det_id, root FROM up UNION SELECT w.det_id, u.root FROM walk w JOIN up u ON u.det_id = w.root WHERE NOT u.done),
+r AS (SELECT det_id, min(root) AS root FROM walk GROUP BY det_id)
+SELECT det_id, CAST(dense_rank() OVER (ORDER BY root) AS INTEGER) AS lineage_id FROM r""")
+def lineages(spark, sf_dir):
+    labels, dets = _dets(spark, sf_dir)
+    return tracking.lineages(dets, tracking.dominant_parents(tracking.overlap_links(labels, dets)))
+
+
+@query(f"""WITH RECURSIVE {LINKS}, edge AS (SELECT 2 * src AS a, 2 * dst + 1 AS b FROM links UNION SELECT 2 * dst + 1, 2 * src FROM links),
+go AS (SELECT a AS n, a AS r FROM edge UNION SELECT e.b, go.r FROM go JOIN edge e ON e.a = go.n), comp AS (SELECT n, min(r) AS r FROM go GROUP BY n),
+g AS (SELECT t, r, list_sort(list(DISTINCT src)) AS sources, list_sort(list(DISTINCT dst)) AS targets FROM links JOIN comp ON n = 2 * src GROUP BY t, r),
+k AS (SELECT g.*, a.area AS a0, b.area AS b0 FROM g JOIN dets a ON a.det_id = sources[1] JOIN dets b ON b.det_id = targets[1])
+SELECT CASE WHEN len(sources) = 1 AND len(targets) = 1 THEN CASE WHEN abs(a0 - b0) / CAST(greatest(a0, b0, 1) AS DOUBLE) < 0.2 THEN 'continuation' WHEN b0 > a0 THEN 'elongation' ELSE 'shortening' END
+  WHEN len(sources) = 1 THEN 'fission' WHEN len(targets) = 1 THEN 'fusion' ELSE 'split-merge' END AS kind, t AS frame_from, t + 1 AS frame_to, array_to_string(sources, ',') AS sources, array_to_string(targets, ',') AS targets FROM k
+UNION ALL SELECT 'birth', t, t, '', CAST(det_id AS VARCHAR) FROM dets WHERE t > (SELECT min(t) FROM dets) AND area <= 2 AND det_id NOT IN (SELECT dst FROM links)
+UNION ALL SELECT 'death', t, t, CAST(det_id AS VARCHAR), '' FROM dets WHERE t < (SELECT max(t) FROM dets) AND area <= 2 AND det_id NOT IN (SELECT src FROM links)""")
+def events(spark, sf_dir):
+    labels, dets = _dets(spark, sf_dir)
+    rows = tracking.events(dets, tracking.overlap_links(labels, dets), 0.2, 2)
+    return rows.select("kind", "frame_from", "frame_to", F.array_join("sources", ",").alias("sources"), F.array_join("targets", ",").alias("targets"))
+
+
+@query(f"""WITH RECURSIVE {LINKS} SELECT det_id, t, area, 'source' AS missing FROM dets WHERE area > 1 AND t > (SELECT min(t) FROM dets) AND det_id NOT IN (SELECT dst FROM links)
+UNION ALL SELECT det_id, t, area, 'target' FROM dets WHERE area > 1 AND t < (SELECT max(t) FROM dets) AND det_id NOT IN (SELECT src FROM links)""")
+def unlinked_large(spark, sf_dir):
+    labels, dets = _dets(spark, sf_dir)
+    return tracking.unlinked_large(dets, tracking.overlap_links(labels, dets), 1)
+
+
+@query(f"""WITH RECURSIVE {OBJECTS}, w AS (SELECT t, label, area, greatest(0, 400 - count(*) OVER (PARTITION BY t)) AS rest, sum(area) OVER (PARTITION BY t) AS s FROM objects),
+q AS (SELECT *, area * rest / CAST(s AS DOUBLE) AS exact, floor(area * rest / CAST(s AS DOUBLE)) AS base FROM w),
+z AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY exact - base DESC, area DESC, label) AS r, rest - sum(base) OVER (PARTITION BY t) AS left_ FROM q)
+SELECT t, label, CAST(least(area * 3, 1 + base + CASE WHEN r <= left_ THEN 1 ELSE 0 END) AS BIGINT) AS samples FROM z""")
+def sample_allocation(spark, sf_dir):
+    rows = C.objects(_labels(spark, sf_dir)).select("t", "label", F.col("area").alias("weight"), (F.col("area") * 3).alias("capacity"))
+    return tracking.allocate_samples(rows, 400)
+
+
+@query()
+def track_selected_links(spark, sf_dir):
+    return tracking.track(tyx(spark, sf_dir).where("t < 5"), tracking.TrackingConfig(radius=3.0, neighbours=3))["selected"]
+
+
+@query(f"WITH RECURSIVE {OBJECTS} SELECT t, max(label) AS objects, count(*) AS voxels FROM labels GROUP BY t")
+def frame_object_counts(spark, sf_dir):
+    return _labels(spark, sf_dir).groupBy("t").agg(F.max("label").alias("objects"), F.count("*").alias("voxels"))
