@@ -74,6 +74,15 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("comp")).union(roots)
 
 
+def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, comp) after more links: only the components that these touch are worked on."""
+    of = lambda x: labels.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    found = cut(components(between))
+    old = labels.join(found.select(F.col("id").alias("comp"), F.col("comp").alias("better")), "comp", "left").select("id", F.coalesce("better", "comp").alias("comp"))
+    return old.union(found.join(labels.select("id"), "id", "left_anti"))
+
+
 def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], traits: Callable[[DataFrame], DataFrame], possible: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], rounds: int = 2) -> DataFrame:
     """Components under verified links between ids that share a bucket: (id, comp) of linked ids.
 
@@ -90,8 +99,7 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], t
     buckets = cut(keep_ids(buckets, "key", shared, "key", shared.count()))
     pick = F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"].alias("hub")
     pairs = buckets.join(buckets.groupBy("key").agg(pick), "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    links = cut(verify(pairs))
-    labels = cut(components(links))
+    labels = cut(components(cut(verify(pairs))))
     release(spark)
     known = None
     for t in range(rounds + 1):
@@ -116,8 +124,7 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], t
         pairs = mixed.where((F.col("comp") != F.col("top")) & may).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         found = cut(verify(pairs))
         if found.head(1):
-            links = links.union(found)
-            labels = cut(components(links))
+            labels = cut(merge(labels, found))
         release(spark)
     # A pair is made in the least bucket that it shares.
     keys = mixed.groupBy("id").agg(F.collect_list("key").alias("keys"))
@@ -132,4 +139,4 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], t
     pairs = cut(pairs)
     release(spark)
     found = cut(verify(pairs))
-    return cut(components(links.union(found))) if found.head(1) else labels
+    return cut(merge(labels, found)) if found.head(1) else labels
