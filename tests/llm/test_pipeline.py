@@ -11,7 +11,7 @@ def test_stages(spark, tmp_path):
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
     good = lambda: ". ".join(" ".join(word() for _ in range(15)) for _ in range(6))
     bad = lambda: " ".join(word().upper() + "!!" for _ in range(80))
-    item = " ".join(word() for _ in range(40))
+    item = good()
     texts = [good() for _ in range(300)] + [bad() for _ in range(100)]
     texts[10] = texts[9] + " tail"
     texts[11] = texts[9]

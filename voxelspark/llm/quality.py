@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,6 +57,7 @@ def features(column: pa.Array) -> np.ndarray:
         count = end - start
         again = np.zeros(len(w.hash), bool)
         again[1:] = w.hash[1:] == w.hash[:-1]
+        again[start[count > 0]] = False
         _, bound = tokens.distinct(w.hash, w.first)
         _, pairs = tokens.distinct(*tokens.shingles(w, 3))
         rows = np.diff(pairs)
@@ -144,11 +144,11 @@ def fit(p: np.ndarray, u: np.ndarray, steps: int = 1200, seed: int = 0) -> Model
 
 
 def _matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """flag, text to flag, features."""
+    """flag, place, text to flag, place, features."""
     for batch in batches:
-        x = features(batch.column(1))
+        x = features(batch.column(2))
         width = x.shape[1]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(0, width * len(x) + 1, width, dtype=np.int32), x.ravel())], ["flag", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(np.arange(0, width * len(x) + 1, width, dtype=np.int32), x.ravel())], ["flag", "place", "x"])
 
 
 def held_out(id_column: Column, parts: int = 4) -> Column:
@@ -168,16 +168,16 @@ def train(docs: DataFrame, positives: DataFrame, id_column: str = "doc_id", text
     # At most most_positives + most_unlabelled ids.
     chosen = ids.where("flag = 1").orderBy(order).limit(most_positives).union(ids.where("flag = 0").orderBy(order).limit(most_unlabelled)).cache()
     try:
-        sample = texts.join(F.broadcast(chosen), "doc_id").select("flag", "text").mapInArrow(_matrix, "flag int, x array<float>").toArrow()
+        sample = texts.join(F.broadcast(chosen), "doc_id").select("flag", order.alias("place"), "text").mapInArrow(_matrix, "flag int, place long, x array<float>").toArrow()
     finally:
         chosen.unpersist()
     if not sample.num_rows:
         return fit(np.empty((0, 1)), np.empty((0, 1)))
     flag = sample.column(0).to_numpy()
-    x = np.asarray(sample.column(1).combine_chunks().values).reshape(len(flag), -1)
+    x = np.asarray(sample.column(2).combine_chunks().values).reshape(len(flag), -1)
     # Spark gives the rows in any order; sort them so that the model is the same each time.
-    order = sorted(range(len(flag)), key=lambda i: zlib.crc32(x[i].tobytes()))
-    flag, x = flag[order], x[order]
+    first = np.lexsort((x[:, 7], sample.column(1).to_numpy()))
+    flag, x = flag[first], x[first]
     return fit(x[flag == 1], x[flag == 0])
 
 
