@@ -83,10 +83,11 @@ def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     return old.union(found.join(labels.select("id"), "id", "left_anti"))
 
 
-def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], traits: Callable[[DataFrame], DataFrame], possible: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], rounds: int = 2) -> DataFrame:
+def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame, bool], DataFrame], traits: Callable[[DataFrame], DataFrame], possible: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], sift: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 2) -> DataFrame:
     """Components under verified links between ids that share a bucket: (id, comp) of linked ids.
 
-    buckets: (key, id).  verify: candidate pairs (a, b) to the linked ones among them.  traits: ids to (id, rank, traits) of those that
+    buckets: (key, id).  verify: candidate pairs (a, b), and whether they have been sifted, to the linked ones among them.  sift: pairs with traits
+    (a, b, ta, tb) to those (a, b) that may be linked.  traits: ids to (id, rank, traits) of those that
     can have a link among them at all; possible(x, y) tells from two structs of traits whether a pair may be linked.
 
     No bucket is expanded into all its pairs.  First each id is compared with one member of its bucket.  Then ids whose
@@ -99,7 +100,7 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], t
     buckets = cut(keep_ids(buckets, "key", shared, "key", shared.count()))
     pick = F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"].alias("hub")
     pairs = buckets.join(buckets.groupBy("key").agg(pick), "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    labels = cut(components(cut(verify(pairs))))
+    labels = cut(components(cut(verify(pairs, False))))
     release(spark)
     known = None
     for t in range(rounds + 1):
@@ -121,8 +122,9 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], t
         may = possible(lambda c: F.col(f"traits.{c}"), lambda c: F.col(f"other.{c}"))
         if t == rounds:
             break
-        pairs = mixed.where((F.col("comp") != F.col("top")) & may).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        found = cut(verify(pairs))
+        pairs = mixed.where((F.col("comp") != F.col("top")) & may).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), F.col("traits").alias("ta"), F.col("other").alias("tb"))
+        pairs = (sift(pairs) if sift else pairs.select("a", "b")).distinct()
+        found = cut(verify(pairs, sift is not None))
         if found.head(1):
             labels = cut(merge(labels, found))
         release(spark)
@@ -135,8 +137,8 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], t
     right = mixed.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), "top", F.col("traits").alias("ty"), F.col("keys").alias("ky"))
     may = possible(lambda c: F.col(f"tx.{c}"), lambda c: F.col(f"ty.{c}"))
     pairs = left.join(right, (left["key"] == right["key"]) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("top")) | (F.col("x") < F.col("y"))) & may & (left["key"] == F.array_min(F.array_intersect("kx", "ky"))))
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = cut(pairs)
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("tx").alias("ta"), F.col("ty").alias("tb"))
+    pairs = cut((sift(pairs) if sift else pairs.select("a", "b")).distinct())
     release(spark)
-    found = cut(verify(pairs))
+    found = cut(verify(pairs, sift is not None))
     return cut(merge(labels, found)) if found.head(1) else labels

@@ -100,7 +100,7 @@ def _as_matrix(column: pa.Array) -> np.ndarray:
 
 
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b, sig of a, sig of b, sizes of both: pairs that may reach the threshold."""
+    """a, b, signatures of both, sizes of both, in either order: pairs that may reach the threshold."""
     need = fewest_matches()
     for batch in batches:
         x, y = _as_matrix(batch.column(2)), _as_matrix(batch.column(3))
@@ -151,12 +151,12 @@ _LOW = "6148914691236517205"  # every other bit
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, n, sig to id, n, the two lowest bits of the signature's bytes as longs."""
-    names = ["id", "n", *[f"s{i}" for i in range(LONGS)]]
+    """id, n, sig to id, n, sig, the two lowest bits of the signature's bytes as longs."""
+    names = ["id", "n", "sig", *[f"s{i}" for i in range(LONGS)]]
     for batch in batches:
         two = _as_matrix(batch.column(2)) & np.uint8(3)
         packed = (two[:, 0::4] | (two[:, 1::4] << 2) | (two[:, 2::4] << 4) | (two[:, 3::4] << 6)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(packed[:, i]) for i in range(LONGS)]], names)
+        yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(packed[:, i]) for i in range(LONGS)]], names)
 
 
 def _possible(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
@@ -191,10 +191,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     # Repeated ids repeat a class; one row of each is enough.
     reps = first.select("id", "k1", "n", "sig").dropDuplicates(["id", "k1"]).select("id", "n", "sig")
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, sifted: bool) -> DataFrame:
         own = lambda x: reps.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
-        both = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "sig_a", "sig_b", "n_a", "n_b")
-        likely = cut(both.mapInArrow(_prune, "a long, b long"))
+        both = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "sig_a", "sig_b", "n_a", "n_b") if not sifted else None
+        likely = cut(both.mapInArrow(_prune, "a long, b long") if both is not None else pairs)
         del both
         release(docs.sparkSession)
         involved = cut(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -203,17 +203,20 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         # Two whole texts a row: small batches.
         return cut(likely.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"), 32)
 
+    def sift(pairs: DataFrame) -> DataFrame:
+        return pairs.select("a", "b", "ta.sig", F.col("tb.sig").alias("sig_b"), "ta.n", F.col("tb.n").alias("n_b")).mapInArrow(_prune, "a long, b long")
+
     def traits(ids: DataFrame) -> DataFrame:
-        """n: set size; c: shingles that another of these ids has too; s0, ...: sketch."""
+        """n: set size; c: shingles that another of these ids has too; s0, ...: sketch; sig: signature."""
         some = keep_ids(texts.where("doc_id is not null"), "doc_id", ids, "id", ids.count())
         sets = some.mapInArrow(_sets, "id long, hash long")
         alone = sets.groupBy("hash").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").groupBy("id").agg(F.count("*").alias("alone"))
-        sketches = reps.join(ids, "id", "left_semi").mapInArrow(_sketch, "id long, n long, " + ", ".join(f"s{i} long" for i in range(LONGS)))
+        sketches = reps.join(ids, "id", "left_semi").mapInArrow(_sketch, "id long, n long, sig binary, " + ", ".join(f"s{i} long" for i in range(LONGS)))
         own = sketches.join(alone, "id", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0)))
         # A set of which others have less than the threshold can't be linked.
-        return own.where(100 * F.col("c") >= PERCENT * F.col("n")).select("id", (F.col("c") / F.col("n")).alias("rank"), F.struct("n", "c", *[f"s{i}" for i in range(LONGS)]).alias("traits"))
+        return own.where(100 * F.col("c") >= PERCENT * F.col("n")).select("id", (F.col("c") / F.col("n")).alias("rank"), F.struct("n", "c", *[f"s{i}" for i in range(LONGS)], "sig").alias("traits"))
 
-    labels = link_buckets(bands.select("key", "id"), verify, traits, _possible)
+    labels = link_buckets(bands.select("key", "id"), verify, traits, _possible, sift)
     found = seen.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
     found = found.join(labels, "id", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("comp", "id"))
