@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import components as C
-from ..operators import distance, kernels, masks, morphology, neighbors, proximity, segment, topology, tracking
+from ..operators import assignment, distance, kernels, masks, morphology, neighbors, proximity, segment, topology, tracking
 from ..operators.masks import VOXEL
 from ..sources.derive import SRC, TGT, TYX, YX, ZYX, channel, tyx, yx, zyx
 
@@ -453,6 +453,20 @@ def greedy_match(spark, sf_dir):
     return tracking.match_points(tracking.point_edges(points, tracking.TrackingConfig(neighbours=2, radius=3.0)))
 
 
+@query()
+def optimal_match(spark, sf_dir):
+    points = _points(spark, sf_dir).withColumns({"cz": F.lit(0.0), "cy": F.lit(0.0), "cx": F.lit(0.0)})
+    return assignment.match_optimal(tracking.point_edges(points, tracking.TrackingConfig(neighbours=2, radius=3.0)), 5.0)
+
+
+@query()
+def sample_points(spark, sf_dir):
+    labels = _labels(spark, sf_dir).where("t < 8")
+    rows = labels.join(tyx(spark, sf_dir).select(*VOXEL, "value"), VOXEL)
+    weights = rows.groupBy("t", "label").agg(F.sum("value").alias("weight"), F.count("*").alias("capacity"))
+    return assignment.sample_points(rows, tracking.allocate_samples(weights, 500))
+
+
 @query(f"WITH RECURSIVE {LINKS} SELECT t, src, dst, src_area, dst_area, matched_points, {R6.format('cost')} AS cost FROM links")
 def overlap_links(spark, sf_dir):
     return tracking.overlap_links(*_dets(spark, sf_dir)).withColumn("cost", S.r6(F.col("cost")))
