@@ -33,6 +33,23 @@ END = np.uint64(0)
 _CUT = 11.0
 
 
+def _packed(x: np.ndarray, n: int) -> np.ndarray:
+    """x[i], ..., x[i + n - 1] as the bytes of one number, for each i; by doubling."""
+    size = max(0, len(x) - n + 1)
+    out, done, width = None, 0, 1
+    while done < n:
+        if n & width:
+            # The parts are laid out from the last byte backwards.
+            at = n - done - width
+            part = x[at : at + size] << np.uint64(8 * done)
+            out = part if out is None else out | part
+            done += width
+        if done < n:
+            x = (x[:-width] << np.uint64(8 * width)) | x[width:]
+            width *= 2
+    return out
+
+
 def grams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each byte and end of the lower-cased texts: the five bytes before it and itself, as a number; bounds per text."""
     size = np.diff(at)
@@ -40,10 +57,7 @@ def grams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     full = np.full(int(place[-1]), EDGE, np.uint8)
     inside = np.arange(len(raw)) + np.repeat((ORDER + 1) * np.arange(len(size)) + ORDER, size)
     full[inside] = tokens._LOWER[raw]
-    wide = full.astype(np.uint64)
-    key = np.zeros(max(0, len(full) - ORDER), np.uint64)
-    for j in range(ORDER + 1):
-        key = (key << np.uint64(8)) | wide[j : j + len(key)]
+    key = _packed(full.astype(np.uint64), ORDER + 1)
     bound = at + np.arange(len(at))
     take = np.arange(int(bound[-1])) + np.repeat(ORDER * np.arange(len(size)), size + 1)
     return key[take], bound
@@ -168,7 +182,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         raw, at = tokens.buffers(batch.column(0))
-        for a, b in tokens.blocks(at, 2 << 20):
+        for a, b in tokens.blocks(at, 1 << 20):
             key, _ = grams(raw[at[a] : at[b]], at[a : b + 1] - at[a])
             found.append(np.unique(key, return_counts=True))
             size += len(found[-1][0])
@@ -247,7 +261,7 @@ def _word_counts(key: tuple, table: pa.Table) -> pa.Table:
     words, counts = [], []
     for batch in table.to_batches():
         flags = batch.column(batch.schema.get_field_index("learn")).to_numpy(zero_copy_only=False).astype(np.int64)
-        for start, end, w in tokens.text_blocks(batch.column(batch.schema.get_field_index("text")), 2 << 20):
+        for start, end, w in tokens.text_blocks(batch.column(batch.schema.get_field_index("text")), 1 << 20):
             own, place = np.unique(w.hash, return_inverse=True)
             weight = np.bincount(place, np.repeat(flags[start:end], np.diff(w.first)), len(own)) if len(own) else np.empty(0)
             words += [own, np.array([END])]
@@ -288,7 +302,7 @@ def _blocks(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Bytes and offsets of blocks of the texts of a chunk, in order."""
     for batch in table.to_batches():
         raw, at = tokens.buffers(batch.column(batch.schema.get_field_index("text")))
-        for a, b in tokens.blocks(at, 2 << 20):
+        for a, b in tokens.blocks(at, 1 << 20):
             yield raw[at[a] : at[b]], at[a : b + 1] - at[a]
 
 
