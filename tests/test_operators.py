@@ -69,6 +69,17 @@ def test_lines_respond(spark):
     assert got[(7, 7)] > 0.9 and got[(7, 7)] <= 1 and got[(1, 7)] < 0.1
 
 
+def test_volumes_respond_to_lines_and_sheets(spark):
+    line, sheet = np.zeros((9, 9, 9)), np.zeros((9, 9, 9))
+    line[4, 4, :] = 100
+    sheet[4] = 100
+    at = lambda a, mode: {(r.z, r.y, r.x): r.response for r in kernels.response_3d(dense(spark, a), 5, (1.0,), mode).collect()}[(4, 4, 4)]
+    assert at(line, "vesselness") > 0.8 > 0.3 > at(line, "sheetness")
+    assert at(sheet, "sheetness") > 0.9 and at(sheet, "vesselness") < 0.1
+    flat = kernels.response_3d(dense(spark, np.full((4, 5, 6), 3.0)), 5, (1.0,))
+    assert flat.agg(F.max("response")).head()[0] < 1e-6 and flat.count() == 120
+
+
 @pytest.mark.parametrize("full", [False, True])
 def test_components(spark, full):
     rng = np.random.default_rng(3)

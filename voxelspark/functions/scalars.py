@@ -139,6 +139,22 @@ def vesselness_2d(l1: Column, l2: Column, beta: float, gamma: Column) -> Column:
     return F.when(l2 < 0, F.coalesce(out, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
+def line_and_sheet(l1: Column, l2: Column, l3: Column, mode: str, alpha: float, beta: float, gamma: float) -> Column:
+    """Response from curvatures by ascending magnitude, positive for bright structures.
+
+    A line has two strong curvatures and needs both positive; a sheet has one.  mode: vesselness, sheetness or combined.
+    """
+    if mode not in ("vesselness", "sheetness", "combined"):
+        raise ValueError(f"unknown response mode {mode}")
+    fall = lambda ratio, width: F.exp(-ratio * ratio / (2 * width * width))
+    strength = 1 - F.exp(-(l1 * l1 + l2 * l2 + l3 * l3) / (2 * gamma * gamma))
+    blob = F.try_divide(F.abs(l1), F.sqrt(F.greatest(l2 * l3, F.lit(0.0))))
+    line = F.when((l2 > 0) & (l3 > 0), (1 - fall(F.try_divide(l2, l3), alpha)) * fall(blob, beta) * strength)
+    sheet = F.when(l3 > 0, fall(F.try_divide(F.abs(l2), l3), alpha) * fall(F.try_divide(F.abs(l1), l3), beta) * strength)
+    line, sheet = (F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)) for c in (line, sheet))
+    return line if mode == "vesselness" else sheet if mode == "sheetness" else F.greatest(line, sheet)
+
+
 def line_points(a: Sequence[Column], b: Sequence[Column]) -> Column:
     """Distinct integer points on the line between two voxels, each coordinate rounded half to even."""
     n = F.greatest(*[F.abs(q - p) for p, q in zip(a, b, strict=True)])

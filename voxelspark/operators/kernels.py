@@ -8,7 +8,7 @@ from math import exp
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import eigenvalues_2x2, vesselness_2d
+from ..functions.scalars import eigenvalues_2x2, line_and_sheet, sort_by_magnitude, vesselness_2d
 from .masks import VOXEL
 
 
@@ -60,32 +60,87 @@ def derivative(image: DataFrame, size: int, sigma: float, axis: str, axes: Seque
     return image
 
 
-def hessian_2d(image: DataFrame, size: int, sigma: float) -> DataFrame:
-    """Second derivatives hyy, hxy, hxx by first derivatives twice at sigma / sqrt 2, scaled by sigma squared."""
+def _pass(df: DataFrame, axis: str, plan: dict[str, tuple[str, Callable]]) -> DataFrame:
+    """New columns along an axis, each from one column by a combination of its neighbours; one shuffle for all of them."""
+    rest = [c for c in VOXEL if c != axis]
+    lines = df.groupBy(*rest).agg(F.array_sort(F.collect_list(F.struct(axis, *[c for c in df.columns if c not in VOXEL]))).alias("line")).withColumn("n", F.size("line"))
+
+    def one(item: Column, i: Column) -> Column:
+        value = lambda c: (lambda k: F.get("line", _reflect(i + k, F.col("n")))[c])
+        return F.struct(item[axis].alias(axis), *[f(value(c)).alias(name) for name, (c, f) in plan.items()])
+
+    return lines.select(*rest, F.explode(F.transform("line", one)).alias("o")).select(*rest, "o.*")
+
+
+def _pair(size: int, sigma: float) -> tuple[Callable, Callable]:
+    """Smoothing and first derivative at sigma / sqrt 2."""
     half = sigma / 2**0.5
     w = gaussian_weights(size, half)
     soft = lambda v: sum((F.lit(w[k]) * (v(-k) + v(k)) for k in range(1, len(w))), F.lit(w[0]) * v(0))
     steep = lambda v: sum((F.lit(k / half**2 * w[k]) * (v(k) - v(-k)) for k in range(1, len(w))), F.lit(0.0))
+    return soft, steep
 
-    def pass_(df: DataFrame, axis: str, plan: dict[str, Callable]) -> DataFrame:
-        rest = [c for c in VOXEL if c != axis]
-        lines = df.groupBy(*rest).agg(F.array_sort(F.collect_list(F.struct(axis, *[c for c in df.columns if c not in VOXEL]))).alias("line")).withColumn("n", F.size("line"))
-
-        def one(item: Column, i: Column) -> Column:
-            value = lambda c: (lambda k: F.get("line", _reflect(i + k, F.col("n")))[c])
-            return F.struct(item[axis].alias(axis), *[f(value(c)).alias(name) for name, (c, f) in plan.items()])
-
-        return lines.select(*rest, F.explode(F.transform("line", one)).alias("o")).select(*rest, "o.*")
 
+def hessian_2d(image: DataFrame, size: int, sigma: float) -> DataFrame:
+    """Second derivatives hyy, hxy, hxx by first derivatives twice at sigma / sqrt 2, scaled by sigma squared."""
+    soft, steep = _pair(size, sigma)
     # Four passes give all three: (y, x) for the first derivatives, then (y, x) again.
-    df = pass_(image.select(*VOXEL, F.col("value").cast("double").alias("v")), "y", {"s": ("v", soft), "d": ("v", steep)})
-    df = pass_(df, "x", {"iy": ("d", soft), "ix": ("s", steep)})
-    df = pass_(df, "y", {"yy": ("iy", steep), "ys": ("iy", soft), "xs": ("ix", soft)})
-    df = pass_(df, "x", {"hyy": ("yy", soft), "hxy": ("ys", steep), "hxx": ("xs", steep)})
+    df = _pass(image.select(*VOXEL, F.col("value").cast("double").alias("v")), "y", {"s": ("v", soft), "d": ("v", steep)})
+    df = _pass(df, "x", {"iy": ("d", soft), "ix": ("s", steep)})
+    df = _pass(df, "y", {"yy": ("iy", steep), "ys": ("iy", soft), "xs": ("ix", soft)})
+    df = _pass(df, "x", {"hyy": ("yy", soft), "hxy": ("ys", steep), "hxx": ("xs", steep)})
     s2 = F.lit(float(sigma) ** 2)
     return df.select(*VOXEL, *[(F.col(c) * s2).alias(c) for c in ("hyy", "hxy", "hxx")])
 
 
+def hessian_3d(image: DataFrame, size: int, sigma: float, z_factor: float = 1.0) -> DataFrame:
+    """Second derivatives hzz, hzy, hzx, hyy, hyx, hxx in six passes; the scale along z is sigma * z_factor."""
+    zs, zd = _pair(size, sigma * z_factor)
+    s, d = _pair(size, sigma)
+    df = _pass(image.select(*VOXEL, F.col("value").cast("double").alias("v")), "z", {"s": ("v", zs), "d": ("v", zd)})
+    df = _pass(df, "y", {"fz": ("d", s), "fy": ("s", d), "fx": ("s", s)})
+    df = _pass(df, "x", {"iz": ("fz", s), "iy": ("fy", s), "ix": ("fx", d)})
+    df = _pass(df, "z", {"zz": ("iz", zd), "zy": ("iy", zd), "zx": ("ix", zd), "yy": ("iy", zs), "yx": ("ix", zs)})
+    df = _pass(df, "y", {"zz": ("zz", s), "zy": ("zy", s), "zx": ("zx", s), "yy": ("yy", d), "yx": ("yx", d), "xx": ("yx", s)})
+    df = _pass(df, "x", {"zz": ("zz", s), "zy": ("zy", s), "zx": ("zx", s), "yy": ("yy", s), "yx": ("yx", s), "xx": ("xx", d)})
+    scale = {"z": sigma * z_factor, "y": sigma, "x": sigma}
+    return df.select(*VOXEL, *[(F.col(c) * F.lit(scale[c[0]] * scale[c[1]])).alias(f"h{c}") for c in ("zz", "zy", "zx", "yy", "yx", "xx")])
+
+
+def _curvatures(h: DataFrame) -> DataFrame:
+    """Eigenvalues e0 >= e1 >= e2 of the negated Hessian, so that bright structures count as positive.
+
+    The formula of functions.scalars.eigenvalues_3x3, with a column for each intermediate value: as one expression it would be repeated too often.
+    """
+    names = ("xx", "yy", "zz", "yx", "zx", "zy")
+    largest = F.greatest(*[F.abs(f"h{c}") for c in names])
+    df = h.withColumn("scale", F.when(largest > 0, largest).otherwise(F.lit(1.0)))
+    df = df.select(*VOXEL, "scale", *[(-F.col(f"h{c}") / F.col("scale")).alias(c) for c in names])
+    df = df.withColumn("q", (F.col("xx") + F.col("yy") + F.col("zz")) / 3)
+    square = lambda c: F.col(c) * F.col(c)
+    for c in ("xx", "yy", "zz"):
+        df = df.withColumn(c, F.col(c) - F.col("q"))
+    spread = F.sqrt((square("xx") + square("yy") + square("zz") + 2 * (square("yx") + square("zx") + square("zy"))) / 6)
+    df = df.withColumn("p", spread)
+    df = df.withColumn("det", F.col("xx") * (F.col("yy") * F.col("zz") - square("zy")) - F.col("yx") * (F.col("yx") * F.col("zz") - F.col("zy") * F.col("zx")) + F.col("zx") * (F.col("yx") * F.col("zy") - F.col("yy") * F.col("zx")))
+    cosine = F.coalesce(F.try_divide(F.col("det"), 2 * F.pow("p", 3)), F.lit(0.0))
+    df = df.withColumn("phi", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))) / 3)
+    df = df.withColumns({"high": F.col("q") + 2 * F.col("p") * F.cos("phi"), "low": F.col("q") + 2 * F.col("p") * F.cos(F.col("phi") + F.lit(2.0) * F.pi() / 3)})
+    middle = 3 * F.col("q") - F.col("high") - F.col("low")
+    return df.select(*VOXEL, (F.col("high") * F.col("scale")).alias("e0"), (middle * F.col("scale")).alias("e1"), (F.col("low") * F.col("scale")).alias("e2"))
+
+
+def response_3d(image: DataFrame, size: int, sigmas: Sequence[float], mode: str = "combined", z_factor: float = 1.0, alpha: float = 0.5, beta: float = 0.5, gamma: float = 2.0) -> DataFrame:
+    """Response of a volume to bright lines (vesselness), bright sheets (sheetness) or the greater of both, over the scales."""
+    out = None
+    for sigma in sigmas:
+        e = _curvatures(hessian_3d(image, size, sigma, z_factor))
+        one = e.select(*VOXEL, sort_by_magnitude([F.col("e0"), F.col("e1"), F.col("e2")]).alias("e")).select(*VOXEL, *[F.col("e")[i].alias(f"l{i}") for i in range(3)])
+        one = one.select(*VOXEL, line_and_sheet(F.col("l0"), F.col("l1"), F.col("l2"), mode, alpha, beta, gamma).alias("response"))
+        out = one if out is None else out.union(one)
+    return out.groupBy(*VOXEL).agg(F.greatest(F.lit(0.0), F.max("response")).alias("response"))
+
+
 def vesselness(image: DataFrame, size: int, sigmas: Sequence[float], beta: float = 0.5, gamma: float = 2.0) -> DataFrame:
     """Response to bright lines of a plane image, the greatest over the scales and 0."""
     out = None

@@ -368,6 +368,14 @@ def vesselness(spark, sf_dir):
     return kernels.vesselness(scaled, 7, (1.0, 2.0)).select("y", "x", "response")
 
 
+@query()
+def volume_response(spark, sf_dir):
+    rows = zyx(spark, sf_dir).where("y < 10")
+    grid = spark.range(12 * 10 * 51).selectExpr("0 AS t", "CAST(id div 510 + 1 AS INT) AS z", "CAST(id div 51 % 10 AS INT) AS y", "CAST(id % 51 AS INT) AS x")
+    dense = grid.join(rows, VOXEL, "left").select(*VOXEL, (F.coalesce("src", F.lit(0)) / 1e6).alias("value"))
+    return kernels.response_3d(dense, 5, (1.0,), "combined").select("z", "y", "x", "response")
+
+
 @query(f"""WITH {YX}, e AS (SELECT max(y) AS my, max(x) AS mx FROM yx), p AS (SELECT yx.y, yx.x, s.value FROM yx, e, range(-1, 2) a(dy), range(-1, 2) b(dx), yx s WHERE s.y = greatest(0, least(my, yx.y + dy)) AND s.x = greatest(0, least(mx, yx.x + dx)))
 SELECT y, x, CAST(median(value) AS BIGINT) AS value FROM p GROUP BY y, x""")
 def median_filter(spark, sf_dir):
