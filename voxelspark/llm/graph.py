@@ -22,16 +22,18 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def cut(df: DataFrame, batch: int = 256) -> DataFrame:
     """Materialise in the shared checkpoint folder and forget the lineage; survives lost executors.
 
-    batch: rows of an Arrow batch meanwhile; batches of whole texts must stay small.
+    batch: rows of an Arrow batch meanwhile; batches of whole texts must stay small.  A skewed join may end in many more partitions than
+    are needed to keep all cores busy; they are put together, so that a small table isn't left in thousands of files.
     """
     spark, context = df.sparkSession, df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         # The cluster names its shared folder; a local one is only for sessions without that setting, as in tests.
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-ckpt"))
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * context.defaultParallelism)
     before = spark.conf.get(ARROW_ROWS)
     spark.conf.set(ARROW_ROWS, batch)
     try:
-        return df.checkpoint(eager=True)
+        return df.coalesce(most).checkpoint(eager=True)
     finally:
         spark.conf.set(ARROW_ROWS, before)
 
