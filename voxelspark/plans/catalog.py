@@ -29,6 +29,20 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def whole(of: str, *cuts: tuple[str, str]) -> Callable[[Query], Query]:
+    """Register a query over whole tables; its SQL is that of the query `of` over a subset of ids, without the filters of the subset."""
+
+    def add(f: Query) -> Query:
+        sql = ORACLE_SQL[of]
+        for old, new in cuts:
+            assert old in sql, (of, old)
+            sql = sql.replace(old, new)
+        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
 R6 = "floor(({}) * 1000000 + 0.5) / 1000000"
 MASK = "mask AS (SELECT t, z, y, x FROM tyx)"
 #: Face-connected components of the time series by recursion; label is the rank of the least voxel in raster order.
@@ -82,41 +96,77 @@ _BASIS = f"""WITH {ZYX}, {SRC}, {TGT}, tg AS (SELECT t, z, y, x FROM tgt_ WHERE
 sm AS (SELECT t, z, y, x FROM src_ WHERE y < 10)"""
 
 
-def _small(spark, sf_dir):
-    volume = zyx(spark, sf_dir).where("y < 10")
+def _full(spark, sf_dir):
+    volume = zyx(spark, sf_dir)
     return channel(volume, "src"), channel(volume, "tgt")
 
 
+def _small(spark, sf_dir):
+    return tuple(c.where("y < 10") for c in _full(spark, sf_dir))
+
+
 @query(_BASIS + """ SELECT a.z, a.y, a.x, CAST(min((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS BIGINT) AS d2 FROM sm a JOIN tg b USING (t) GROUP BY a.z, a.y, a.x""")
 def nearest_distance(spark, sf_dir):
-    src, tgt = _small(spark, sf_dir)
+    return _nearest_distance(*_small(spark, sf_dir))
+
+
+def _nearest_distance(src, tgt):
     return distance.nearest(src, tgt).select("z", "y", "x", F.col("d2").cast("long").alias("d2"))
 
 
+@whole("nearest_distance", (" WHERE y < 10", ""))
+def nearest_distance_whole(spark, sf_dir):
+    return _nearest_distance(*_full(spark, sf_dir))
+
+
 @query(_BASIS + f""", d AS (SELECT min((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS d2 FROM sm a JOIN tg b USING (t) GROUP BY a.z, a.y, a.x)
 SELECT count(*) AS n, {R6.format('avg(sqrt(d2))')} AS mean_distance, {R6.format('median(sqrt(d2))')} AS median_distance FROM d""")
 def distance_stats(spark, sf_dir):
-    src, tgt = _small(spark, sf_dir)
+    return _distance_stats(*_small(spark, sf_dir))
+
+
+def _distance_stats(src, tgt):
     return distance.statistics(distance.nearest(src, tgt)).select("n", S.r6(F.col("mean_distance")).alias("mean_distance"), S.r6(F.col("median_distance")).alias("median_distance"))
 
 
+@whole("distance_stats", (" WHERE y < 10", ""))
+def distance_stats_whole(spark, sf_dir):
+    return _distance_stats(*_full(spark, sf_dir))
+
+
 @query(_BASIS + """, shell AS (SELECT * FROM sm a WHERE (SELECT count(*) FROM sm b WHERE a.z = b.z AND a.y = b.y AND abs(a.x - b.x) = 1 OR a.z = b.z AND a.x = b.x AND abs(a.y - b.y) = 1 OR a.y = b.y AND a.x = b.x AND abs(a.z - b.z) = 1) < 6),
 d AS (SELECT a.z, a.y, a.x, min((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS d2 FROM shell a JOIN tg b USING (t) GROUP BY a.z, a.y, a.x)
 SELECT count(*) AS basis_size, count(*) FILTER (d2 <= 2) AS near_size FROM d""")
 def surface_distance_bounded(spark, sf_dir):
-    src, tgt = _small(spark, sf_dir)
+    return _surface_distance(*_small(spark, sf_dir))
+
+
+def _surface_distance(src, tgt):
     return proximity.proximity_voxels(src, tgt, 2**0.5 + 1e-9).agg(F.count("*").alias("basis_size"), F.count_if("near").alias("near_size"))
 
 
+@whole("surface_distance_bounded", (" WHERE y < 10", ""))
+def surface_distance_bounded_whole(spark, sf_dir):
+    return _surface_distance(*_full(spark, sf_dir))
+
+
 @query(f"""WITH {TYX}, m AS (SELECT t, y, x, CASE WHEN n > 1 THEN 1 ELSE 2 END AS label FROM tyx WHERE t < 5),
 p AS (SELECT a.t, a.y, a.x, b.label, (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) AS d2, b.y AS ny, b.x AS nx FROM m a JOIN m b ON a.t = b.t AND a.label = 2 AND b.label = 1)
 SELECT t, y, x, CAST(d2 AS BIGINT) AS d2, ny, nx FROM (SELECT *, row_number() OVER (PARTITION BY t, y, x ORDER BY d2, ny, nx) AS r FROM p) WHERE r = 1""")
 def nearest_label(spark, sf_dir):
-    rows = tyx(spark, sf_dir).where("t < 5")
+    return _nearest_label(tyx(spark, sf_dir).where("t < 5"))
+
+
+def _nearest_label(rows):
     found = distance.nearest(rows.where("n <= 1"), rows.where("n > 1").select(*VOXEL, F.lit(1).alias("label")))
     return found.where("d2 is not null").select("t", "y", "x", F.col("d2").cast("long").alias("d2"), "ny", "nx")
 
 
+@whole("nearest_label", (" WHERE t < 5", ""))
+def nearest_label_whole(spark, sf_dir):
+    return _nearest_label(tyx(spark, sf_dir))
+
+
 @query(OBJECTS.replace("mask AS (SELECT t, z, y, x FROM tyx)", "mask AS (SELECT t, z, y, x FROM tyx WHERE t < 6)").join(["WITH RECURSIVE ", """,
 far AS (SELECT t, y, x FROM tyx WHERE t < 6 AND n > 1),
 p AS (SELECT f.t, f.y, f.x, l.label, (f.y - l.y) * (f.y - l.y) + (f.x - l.x) * (f.x - l.x) AS d2, l.y AS ny, l.x AS nx FROM far f JOIN labels l USING (t)),
@@ -127,6 +177,12 @@ def target_near_source_objects(spark, sf_dir):
     return proximity.near_source_objects(C.label(rows), rows.where("n > 1"), 1.0)
 
 
+@whole("target_near_source_objects", (" WHERE t < 6)", ")"), (" WHERE t < 6 AND n > 1", " WHERE n > 1"))
+def target_near_source_objects_whole(spark, sf_dir):
+    rows = tyx(spark, sf_dir)
+    return proximity.near_source_objects(C.label(rows), rows.where("n > 1"), 1.0)
+
+
 @query(f"""WITH {ZYX}, r(roi_id, y0, y1, x0, x1) AS (VALUES (1, 0, 4, 0, 20), (2, 3, 8, 10, 40))
 SELECT roi_id, count(*) AS roi_size, count(*) FILTER (src > 0) AS source_size, count(*) FILTER (tgt > 0) AS target_size, count(*) FILTER (src > 0 AND tgt > 0) AS overlap_size FROM zyx JOIN r ON y >= y0 AND y < y1 AND x >= x0 AND x < x1 GROUP BY roi_id""")
 def roi_summary(spark, sf_dir):
@@ -336,7 +392,7 @@ def size_histogram(spark, sf_dir):
 
 @query()
 def topology_summary(spark, sf_dir):
-    labels = _labels(spark, sf_dir).where("t < 8")
+    labels = _labels(spark, sf_dir)
     return topology.skeleton_topology(labels, planar=True)
 
 
@@ -370,8 +426,12 @@ def vesselness(spark, sf_dir):
 
 @query()
 def volume_response(spark, sf_dir):
-    rows = zyx(spark, sf_dir).where("y < 10")
-    grid = spark.range(12 * 10 * 51).selectExpr("0 AS t", "CAST(id div 510 + 1 AS INT) AS z", "CAST(id div 51 % 10 AS INT) AS y", "CAST(id % 51 AS INT) AS x")
+    rows = zyx(spark, sf_dir)
+    ends = rows.agg(*[f(c) for c in "zyx" for f in (F.min, F.max)]).head()
+    if ends[0] is None:
+        ends = (0, -1) * 3
+    (z, nz), (y, ny), (x, nx) = ((ends[i], ends[i + 1] - ends[i] + 1) for i in (0, 2, 4))
+    grid = spark.range(nz * ny * nx).selectExpr("0 AS t", f"CAST(id div {max(ny * nx, 1)} + {z} AS INT) AS z", f"CAST(id div {max(nx, 1)} % {max(ny, 1)} + {y} AS INT) AS y", f"CAST(id % {max(nx, 1)} + {x} AS INT) AS x")
     dense = grid.join(rows, VOXEL, "left").select(*VOXEL, (F.coalesce("src", F.lit(0)) / 1e6).alias("value"))
     return kernels.response_3d(dense, 5, (1.0,), "combined").select("z", "y", "x", "response")
 
@@ -441,35 +501,44 @@ def map_label(spark, sf_dir):
 _POINTS = f"WITH {TYX}, p AS (SELECT t, y, x, row_number() OVER (ORDER BY t, y, x) AS id FROM tyx WHERE t < 6)"
 
 
-def _points(spark, sf_dir):
-    rows = tyx(spark, sf_dir).where("t < 6")
-    return rows.select("t", F.lit(0).alias("z"), "y", "x", F.row_number().over(W.orderBy("t", "y", "x")).alias("point_id"))
+def _points(rows):
+    """Numbered from 1 by frame and raster order: points of earlier frames plus the rank in the own frame."""
+    before = rows.groupBy("t").agg(F.count("*").alias("n")).select("t", (F.sum("n").over(W.orderBy("t")) - F.col("n")).alias("before"))
+    return rows.join(before, "t").select("t", F.lit(0).alias("z"), "y", "x", (F.col("before") + F.row_number().over(W.partitionBy("t").orderBy("y", "x"))).alias("point_id"))
 
 
 @query(_POINTS + """, c AS (SELECT a.t, a.id AS src, b.id AS dst, (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) AS d2 FROM p a JOIN p b ON b.t = a.t + 1 AND (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 9)
 SELECT t, src, dst, CAST(d2 AS BIGINT) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY t, src ORDER BY d2, dst) AS rs, row_number() OVER (PARTITION BY t, dst ORDER BY d2, src) AS rd FROM c) WHERE rs <= 2 OR rd <= 2""")
 def point_knn_candidates(spark, sf_dir):
-    points = _points(spark, sf_dir)
+    return _candidates(_points(tyx(spark, sf_dir).where("t < 6")))
+
+
+def _candidates(points):
     src = points.withColumnRenamed("point_id", "src")
     dst = points.select((F.col("t") - 1).alias("t"), "z", "y", "x", F.col("point_id").alias("dst"))
     return neighbors.nearest_points(src, dst, 3.0, 2, ["t"]).select("t", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("d2").cast("long").alias("d2"))
 
 
+@whole("point_knn_candidates", (" WHERE t < 6", ""))
+def point_knn_candidates_whole(spark, sf_dir):
+    return _candidates(_points(tyx(spark, sf_dir)))
+
+
 @query()
 def greedy_match(spark, sf_dir):
-    points = _points(spark, sf_dir).withColumns({"cz": F.lit(0.0), "cy": F.lit(0.0), "cx": F.lit(0.0)})
+    points = _points(tyx(spark, sf_dir)).withColumns({"cz": F.lit(0.0), "cy": F.lit(0.0), "cx": F.lit(0.0)})
     return tracking.match_points(tracking.point_edges(points, tracking.TrackingConfig(neighbours=2, radius=3.0)))
 
 
 @query()
 def optimal_match(spark, sf_dir):
-    points = _points(spark, sf_dir).withColumns({"cz": F.lit(0.0), "cy": F.lit(0.0), "cx": F.lit(0.0)})
+    points = _points(tyx(spark, sf_dir)).withColumns({"cz": F.lit(0.0), "cy": F.lit(0.0), "cx": F.lit(0.0)})
     return assignment.match_optimal(tracking.point_edges(points, tracking.TrackingConfig(neighbours=2, radius=3.0)), 5.0)
 
 
 @query()
 def sample_points(spark, sf_dir):
-    labels = _labels(spark, sf_dir).where("t < 8")
+    labels = _labels(spark, sf_dir)
     rows = labels.join(tyx(spark, sf_dir).select(*VOXEL, "value"), VOXEL)
     weights = rows.groupBy("t", "label").agg(F.sum("value").alias("weight"), F.count("*").alias("capacity"))
     return assignment.sample_points(rows, tracking.allocate_samples(weights, 500))
@@ -531,7 +600,7 @@ def sample_allocation(spark, sf_dir):
 
 @query()
 def track_selected_links(spark, sf_dir):
-    return tracking.track(tyx(spark, sf_dir).where("t < 5"), tracking.TrackingConfig(radius=3.0, neighbours=3))["selected"]
+    return tracking.track(tyx(spark, sf_dir), tracking.TrackingConfig(radius=3.0, neighbours=3))["selected"]
 
 
 @query(f"WITH RECURSIVE {OBJECTS} SELECT t, max(label) AS objects, count(*) AS voxels FROM labels GROUP BY t")
