@@ -6,12 +6,13 @@ Everything here is DataFrame code.  Nothing proportional to the data reaches the
 from __future__ import annotations
 
 import gc
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import shared_folder
+
 #: Ids that may be broadcast at once (8 bytes each, so at most some tens of MB in hash form); above it, joins shuffle.
 BROADCAST_IDS = 500_000
 
@@ -27,8 +28,7 @@ def cut(df: DataFrame, batch: int = 256) -> DataFrame:
     """
     spark, context = df.sparkSession, df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        # The cluster names its shared folder; a local one is only for sessions without that setting, as in tests.
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-ckpt"))
+        context.setCheckpointDir(f"{shared_folder(spark)}/checkpoints")
     most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * context.defaultParallelism)
     before = spark.conf.get(ARROW_ROWS)
     spark.conf.set(ARROW_ROWS, batch)

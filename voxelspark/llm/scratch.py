@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 from types import TracebackType
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names.  Where that is unset, a local one, but only for a master that is one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or tempfile.gettempdir()).rstrip("/")
+
+
 class Scratch:
-    """A folder below spark.checkpoint.dir (a local one only where that is unset, as in tests) for Parquet tables."""
+    """A folder below the shared one for Parquet tables."""
 
     def __init__(self, spark: SparkSession):
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-        self._spark, self._path, self._n = spark, f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}", 0
+        base = shared_folder(spark)
+        self._spark, self._path, self._n = spark, f"{base}/scratch-{uuid.uuid4().hex}", 0
 
     def __enter__(self) -> Scratch:
         return self
 
-    def table(self, df: DataFrame) -> DataFrame:
-        """Write df as Parquet and read it back with the same schema."""
+    def table(self, df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+        """Write df as Parquet, in folders by some columns if so wished, and read it back with the same schema."""
         self._n += 1
         path = f"{self._path}/{self._n}"
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
     def __exit__(self, kind: type[BaseException] | None, value: BaseException | None, trace: TracebackType | None) -> None:
