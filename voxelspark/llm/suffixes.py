@@ -6,18 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens
-from .graph import cut, keep_ids
+from .graph import cut
 from .scratch import Scratch
 
 #: Words of the shortest passage that is reported, of a minimiser's gram, and the grams in a window.
 PASSAGE, GRAM, WINDOW = 50, 5, 16
-#: Words on which suffixes are compared: what a passage has left behind the first window's minimiser, at least.
+#: Words on which suffixes are sorted: what a passage has left behind the first window's minimiser, at least.
 PREFIX = PASSAGE - WINDOW + 1
 
 
@@ -39,10 +38,11 @@ def _run_hash(values: np.ndarray, n: int) -> np.ndarray:
 
 
 def minimisers(w: tokens.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, word position within it, and prefix hash of the retained suffixes.
+    """Text, word position within it, and sort key of the retained suffixes.
 
     A position is retained where its gram has the least hash of a window of grams of its text; ties are all retained.  Two
-    texts that share a passage retain the same positions in it, but for the last window at each end.
+    texts that share a passage retain the same positions in it, but for the last window at each end.  Keys order suffixes by their first
+    two words, each by its hash, then by a hash of the next 35.
     """
     h, n = w.hash, np.diff(w.first)
     if len(h) < PASSAGE:
@@ -56,7 +56,9 @@ def minimisers(w: tokens.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     chosen = np.flatnonzero(_slide(padded, WINDOW, np.maximum)[: len(gram)] == gram)
     chosen = chosen[chosen + PREFIX <= len(h)]
     chosen = chosen[text[chosen] == text[chosen + PREFIX - 1]]
-    return text[chosen], chosen - w.first[text[chosen]], _run_hash(h, PREFIX)[chosen].view(np.int64)
+    top = np.uint64(48)
+    key = (h[chosen] >> top << top) | (h[chosen + 1] >> top << np.uint64(32)) | (_run_hash(h, PREFIX)[chosen] >> np.uint64(32))
+    return text[chosen], chosen - w.first[text[chosen]], key.view(np.int64)
 
 
 def _retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,103 +67,99 @@ def _retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0).to_numpy()
         for start, _, w in tokens.text_blocks(batch.column(1), 2 << 20):
             text, pos, key = minimisers(w)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[start + text]), pa.array(pos)], ["key", "doc", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[start + text]), pa.array(pos, pa.int32())], ["key", "doc", "pos"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted key, doc, pos to pairs of neighbours with equal prefixes, and the rows at the ends of the partition.
-
-    side 0: a, b, shift, with a < b and shift the position in b less that in a.  side 1 and 2: key, doc and pos of rows of the last
-    and of the first run, for runs that go on in another partition.
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text, positions of suffixes to key, doc, pos: the windows of 50 words that begin at a suffix or up to 15 words left of it."""
+    for batch in batches:
+        ids, at = batch.column(0).to_numpy(), batch.column(2)
+        for start, end, w in tokens.text_blocks(batch.column(1), 2 << 20):
+            if len(w.hash) < PASSAGE:
+                continue
+            own = at.slice(start, end - start)
+            pos = own.flatten().to_numpy()
+            text = np.repeat(np.arange(end - start), own.value_lengths().to_numpy())
+            open_ = np.zeros(len(w.hash) + 1, np.int32)
+            inside = pos < np.diff(w.first)[text]
+            text, pos = text[inside], pos[inside]
+            np.add.at(open_, w.first[text] + np.maximum(pos - (WINDOW - 1), 0), 1)
+            np.add.at(open_, w.first[text] + pos + 1, -1)
+            begin = np.flatnonzero(np.cumsum(open_)[:-1] > 0)
+            of = np.searchsorted(w.first, begin, "right") - 1
+            fits = begin + PASSAGE <= w.first[of + 1]
+            begin, of = begin[fits], of[fits]
+            key = _run_hash(w.hash, PASSAGE)[begin].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[start + of]), pa.array(begin - w.first[of], pa.int32())], ["key", "doc", "pos"])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted key, doc, pos to the rows of runs of one key that hold two documents, and of the first and last run of the partition.
+
+    other: the least other document of the run; edge: a first or last run, which may go on in another partition.
     """
     rows = [[b.column(i).to_numpy() for i in range(3)] for b in batches if b.num_rows]
     if not rows:
         return
     key, doc, pos = (np.concatenate([r[i] for r in rows]) for i in range(3))
-    n, context = len(key), TaskContext.get()
-    part = context.partitionId() if context else 0
-    run = np.concatenate([[True], key[1:] != key[:-1]])
-    sub = run | np.concatenate([[True], doc[1:] != doc[:-1]])
-    begin = np.flatnonzero(sub)
-    own = np.cumsum(sub) - 1
-    end = np.concatenate([begin[1:], [n]])
-    before, after = begin[own] - 1, np.minimum(end[own], n - 1)
-    partner = np.where((before >= 0) & (key[before] == key), before, np.where((end[own] < n) & (key[after] == key), after, -1))
-    i = np.flatnonzero(partner >= 0)
-    j = partner[i]
-    less = doc[i] < doc[j]
-    a, b = np.where(less, doc[i], doc[j]), np.where(less, doc[j], doc[i])
-    shift = np.where(less, pos[j] - pos[i], pos[i] - pos[j])
-    pairs = np.unique(np.stack([a, b, shift], 1), axis=0) if len(a) else np.empty((0, 3), np.int64)
-    last = np.arange(begin[-1], n)
-    first = np.arange(0, end[0] + (end[0] < n and key[end[0]] == key[0]))
-    for side, x in ((0, pairs), (1, np.stack([key[last], doc[last], pos[last]], 1)), (2, np.stack([key[first], doc[first], pos[first]], 1))):
-        for s in range(0, len(x), 50_000):
-            y = x[s : s + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), side, np.int32)), pa.array(np.full(len(y), part, np.int32)), *[pa.array(np.ascontiguousarray(y[:, c])) for c in range(3)]], ["side", "part", "x", "y", "z"])
-
-
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b, shifts, text of a, text of b to doc_id, start, end, other_id of passages, extended to both sides, for both texts."""
-    for batch in batches:
-        out: list[tuple[int, int, int, int]] = []
-        a, b, shifts = (batch.column(c).to_pylist() for c in range(3))
-        texts = []
-        for c in (3, 4):
-            own: list[np.ndarray] = []
-            for _, _, w in tokens.text_blocks(batch.column(c)):
-                own += [w.hash[w.first[k] : w.first[k + 1]] for k in range(len(w.first) - 1)]
-            texts.append(own)
-        for i, (x, y) in enumerate(zip(*texts, strict=True)):
-            for shift in shifts[i]:
-                low, high = max(0, -shift), min(len(x), len(y) - shift)
-                if high - low < PASSAGE:
-                    continue
-                same = np.zeros(high - low + 2, np.int8)
-                same[1:-1] = x[low:high] == y[low + shift : high + shift]
-                edge = np.diff(same)
-                start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                for s, e in zip(start[end - start >= PASSAGE].tolist(), end[end - start >= PASSAGE].tolist(), strict=True):
-                    out += [(a[i], s + low, e + low, b[i]), (b[i], s + low + shift, e + low + shift, a[i])]
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(4)], ["doc_id", "start", "end", "other_id"])
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(begin, len(key)))
+    # Within a run documents ascend: the second document begins at the first change.
+    change = np.append(np.flatnonzero((key[1:] == key[:-1]) & (doc[1:] != doc[:-1])) + 1, len(key))
+    second = change[np.searchsorted(change, begin)]
+    several = second < begin + size
+    edge = np.zeros(len(begin), bool)
+    edge[[0, -1]] = True
+    run = np.repeat(np.arange(len(begin)), size)
+    take = np.flatnonzero((several | edge)[run])
+    run = run[take]
+    low, next_ = doc[begin], doc[np.minimum(second, len(doc) - 1)]
+    other = np.where(doc[take] == low[run], next_[run], low[run])
+    for i in range(0, len(take), 50_000):
+        own = slice(i, i + 50_000)
+        at = take[own]
+        yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(doc[at]), pa.array(pos[at]), pa.array(other[own]), pa.array(edge[run[own]])], ["key", "doc", "pos", "other", "edge"])
+
+
+def _repeated(rows: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
+    """doc, pos, other of the rows (key, doc, pos) whose key another document has too, by sorting them and comparing neighbours.
+
+    The order goes on with document and position, so that a run of many equal keys may span partitions.
+    """
+    ordered = rows.repartitionByRange(parts, "key", "doc", "pos").sortWithinPartitions("key", "doc", "pos")
+    found = scratch.table(ordered.mapInArrow(_neighbours, "key long, doc long, pos int, other long, edge boolean"))
+    # Two keys for each partition at most.
+    edge = found.where("edge").select("key", "doc", "pos")
+    low = edge.groupBy("key").agg(F.min("doc").alias("low"))
+    next_ = edge.join(F.broadcast(low), "key").where("doc > low").groupBy("key", "low").agg(F.min("doc").alias("next"))
+    over = edge.join(F.broadcast(next_), "key").select("doc", "pos", F.when(F.col("doc") == F.col("low"), F.col("next")).otherwise(F.col("low")).alias("other"))
+    return found.where("not edge").select("doc", "pos", "other").union(over)
 
 
 def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, start_word, end_word (exclusive), other_id: passages of 50 words or more that another document has too.
 
     A-Z is lower-cased, words are runs other than blanks and told apart by 64-bit hashes.  Suffixes at minimiser positions are
-    sorted by a hash of their next 35 words, then document and position, in range partitions that may split a group of
-    equal prefixes; each is compared with the neighbouring suffix of another document, also across partitions, and matches are extended
-    over whole texts.  Any passage of 50 words has a retained suffix with 35 words left.  Overlapping matches of a document
-    are merged; other_id is the least document that one of them was found in.
+    sorted by content, in range partitions that may split a run of equal prefixes, and neighbours are compared: only suffixes that
+    agree with one of another document on 35 words go on.  Any passage of 50 words has such a suffix among its first 16
+    words.  These matches are extended to the left and right by the windows of 50 words around them, again sorted and compared
+    with their neighbours.  Repeated windows that overlap or touch are one passage, so all words of all repeated passages are covered;
+    other_id is the least document that has one of the windows.  No pairs of documents are made.
 
     A document without such a passage has no row.  Null, empty and short texts have none.  Rows with a null id are left out; rows that
-    repeat an id are one document, whose matches are those of any of its texts.  Other columns of docs are not looked at.
+    repeat an id are one document, whose matches are those of any of its texts.  Ids are cast to long.  A very long text is worked on as
+    a block of its own.  Other columns of docs are not looked at.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).where("doc_id is not null and text is not null")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = "key long, doc long, pos int"
     with Scratch(spark) as scratch:
-        kept = scratch.table(texts.mapInArrow(_retain, "key long, doc long, pos long").select("key", "doc", F.col("pos").cast("int").alias("pos")))
-        ordered = kept.repartitionByRange(parts, "key", "doc", "pos").sortWithinPartitions("key", "doc", "pos").select("key", "doc", F.col("pos").cast("long").alias("pos"))
-        found = cut(ordered.mapInArrow(_compare, "side int, part int, x long, y long, z long"), 100_000)
-    # The ends of partitions, a few rows of each: a run that goes on is continued in the next partition that has its key.
-    side = lambda n: found.where(F.col("side") == n).select(F.col("x").alias("key"), "part", F.col("y").alias("doc"), F.col("z").alias("pos"))
-    tails, heads = side(1), side(2)
-    chain = tails.union(heads).select("key", "part").distinct().withColumn("next", F.lead("part").over(W.partitionBy("key").orderBy("part"))).where("next is not null")
-    once = lambda df: df.groupBy("key", "part", "doc").agg(F.min("pos").alias("pos"))
-    named = lambda df, suffix, part: df.select("key", F.col("part").alias(part), F.col("doc").alias(f"doc_{suffix}"), F.col("pos").alias(f"pos_{suffix}"))
-    met = lambda left, right: chain.join(named(left, "l", "part"), ["key", "part"]).join(named(right, "r", "next"), ["key", "next"]).where("doc_l <> doc_r").select("doc_l", "pos_l", "doc_r", "pos_r")
-    nearest = met(tails, once(heads)).union(met(once(tails), heads))
-    less = F.col("doc_l") < F.col("doc_r")
-    nearest = nearest.select(F.least("doc_l", "doc_r").alias("a"), F.greatest("doc_l", "doc_r").alias("b"), F.when(less, F.col("pos_r") - F.col("pos_l")).otherwise(F.col("pos_l") - F.col("pos_r")).alias("shift"))
-    pairs = found.where("side = 0").select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("z").alias("shift")).union(nearest)
-    pairs = cut(pairs.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts")))
-    involved = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    some = cut(keep_ids(texts, "doc_id", involved, "id", involved.count()))
-    of = lambda x: some.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-    spans = cut(pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "shifts", "text_a", "text_b").mapInArrow(_extend, "doc_id long, start long, end long, other_id long"), 32)
-    order = W.partitionBy("doc_id").orderBy("start", "end", "other_id")
-    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    spans = spans.distinct().withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return spans.groupBy("doc_id", "island").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("other_id").alias("other_id")).drop("island")
+        kept = scratch.table(texts.mapInArrow(_retain, kind))
+        suffixes = scratch.table(_repeated(kept, parts, scratch).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("pos").alias("at")))
+        spans = _repeated(scratch.table(texts.join(suffixes, "doc_id").select("doc_id", "text", "at").mapInArrow(_extend, kind)), parts, scratch)
+        order = W.partitionBy("doc").orderBy("pos")
+        new = F.coalesce((F.col("pos") > F.lag("pos").over(order) + PASSAGE).cast("int"), F.lit(1))
+        spans = spans.groupBy("doc", "pos").agg(F.min("other").alias("other")).withColumn("new", new).withColumn("island", F.sum("new").over(order))
+        spans = spans.groupBy(F.col("doc").alias("doc_id"), "island").agg(F.min("pos").alias("start_word"), (F.max("pos") + PASSAGE).alias("end_word"), F.min("other").alias("other_id"))
+        return cut(spans.select("doc_id", F.col("start_word").cast("long").alias("start_word"), F.col("end_word").cast("long").alias("end_word"), "other_id"))
