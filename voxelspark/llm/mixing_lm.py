@@ -24,9 +24,9 @@ EDGE = 0xFF
 PRIOR = 0.1
 BUCKETS = 33
 #: Distinct grams of a cell: contexts are hashed into cells, whose number follows the distinct grams.
-CELL, FEWEST_CELLS = 250_000, 32
-#: Synchronised steps of a pass of the mixer over all cells, and passes.
-ROUNDS, PASSES = 8, 2
+CELL, FEWEST_CELLS = 60_000, 32
+#: Synchronised steps of the mixer's pass over all cells.
+ROUNDS = 8
 #: Curvature that a bit has at least, what is added for a weight's prior, and the largest change of a weight in a step.
 CURVE, RIDGE, STEP = 0.02, 20.0, 0.1
 #: Distinct grams (12 bytes each) up to which their costs are broadcast; beyond it they are joined by a shuffle.
@@ -67,12 +67,13 @@ def grams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = np.diff(at)
     place = at + (ORDER + 1) * np.arange(len(at))
     full = np.full(int(place[-1]), EDGE, np.uint8)
-    inside = np.arange(len(raw)) + np.repeat((ORDER + 1) * np.arange(len(size)) + ORDER, size)
-    full[inside] = tokens._LOWER[raw]
-    key = _packed(full.astype(np.uint64), ORDER + 1)
-    bound = at + np.arange(len(at))
-    take = np.arange(int(bound[-1])) + np.repeat(ORDER * np.arange(len(size)), size + 1)
-    return key[take], bound
+    # Each text comes after ORDER edges and is followed by its end.
+    before, end = (place[:-1, None] + np.arange(ORDER)).ravel(), place[1:] - 1
+    own = np.ones(len(full), bool)
+    own[before] = own[end] = False
+    full[own] = tokens._LOWER[raw]
+    own[end] = True
+    return _packed(full.astype(np.uint64), ORDER + 1)[own[ORDER:]], at + np.arange(len(at))
 
 
 def bits(gram: np.ndarray) -> np.ndarray:
@@ -257,7 +258,7 @@ class Model:
     distinct: int
 
 
-def train(texts: DataFrame, scratch: Scratch, rounds: int = ROUNDS, passes: int = PASSES) -> Model:
+def train(texts: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> Model:
     """Counts of all contexts and the mixer, from the texts(text, weight) of weight above 0.
 
     Gram counts are summed over the whole corpus by a shuffle and stay distributed, by cells of contexts; nothing is hashed into a
@@ -266,7 +267,7 @@ def train(texts: DataFrame, scratch: Scratch, rounds: int = ROUNDS, passes: int
     step.  The result doesn't depend on how rows or cells are dealt out.  The driver gets sums of fixed size.
     """
     spark = texts.sparkSession
-    found = scratch.table(texts.select("text", "weight").mapInArrow(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    found = scratch.table(texts.select("text", "weight").mapInArrow(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), batch=1000)
     distinct, total = found.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).head()
     low = found.groupBy(F.col("gram").bitwiseAND((1 << 8 * (SHARED + 1)) - 1).alias("low")).agg(F.sum("n").alias("n")).toArrow()
     shared = Shared(low.column(0).to_numpy().view(np.uint64), low.column(1).to_numpy())
@@ -291,21 +292,19 @@ def train(texts: DataFrame, scratch: Scratch, rounds: int = ROUNDS, passes: int
 
         return run
 
-    for number in range(passes if total else 0):
-        curves = np.zeros((_GATES, ORDER + 1, ORDER + 1))
-        for r in range(rounds):
-            sums = np.zeros(sum(_SIZES))
-            got = packed.where(F.col("round") == r).select("grams", "counts").mapInArrow(step(mixer), "at int, v long").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
-            sums[got.column(0).to_numpy()] = got.column(1).to_numpy() * (total / _UNIT)
-            gradient, curve, seen, ones = np.split(sums, np.cumsum(_SIZES)[:-1])
-            for (i, j), c in zip(_PAIRS, curve.reshape(len(_PAIRS), _GATES), strict=True):
-                curves[:, i, j] += c
-                if i != j:
-                    curves[:, j, i] += c
-            change = np.linalg.solve(curves + RIDGE * np.eye(ORDER + 1), gradient.reshape(ORDER + 1, _GATES).T[:, :, None])[:, :, 0]
-            mixer = Mixer(mixer.weights + change.clip(-STEP, STEP), mixer.refine)
-            if number == passes - 1:
-                map_ += np.stack([seen.reshape(256, BUCKETS), ones.reshape(256, BUCKETS)])
+    curves = np.zeros((_GATES, ORDER + 1, ORDER + 1))
+    for r in range(rounds if total else 0):
+        sums = np.zeros(sum(_SIZES))
+        got = packed.where(F.col("round") == r).select("grams", "counts").mapInArrow(step(mixer), "at int, v long").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+        sums[got.column(0).to_numpy()] = got.column(1).to_numpy() * (total / _UNIT)
+        gradient, curve, seen, ones = np.split(sums, np.cumsum(_SIZES)[:-1])
+        for (i, j), c in zip(_PAIRS, curve.reshape(len(_PAIRS), _GATES), strict=True):
+            curves[:, i, j] += c
+            if i != j:
+                curves[:, j, i] += c
+        change = np.linalg.solve(curves + RIDGE * np.eye(ORDER + 1), gradient.reshape(ORDER + 1, _GATES).T[:, :, None])[:, :, 0]
+        mixer = Mixer(mixer.weights + change.clip(-STEP, STEP), mixer.refine)
+        map_ += np.stack([seen.reshape(256, BUCKETS), ones.reshape(256, BUCKETS)])
     told.unpersist()
     return Model(packed, shared, Mixer(mixer.weights, (map_[1] + 30 * middle) / (map_[0] + 30)), distinct)
 
@@ -367,26 +366,28 @@ class Prices:
     _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
     def __init__(self, gram: np.ndarray, cost: np.ndarray):
-        order = np.argsort(gram)
-        self.gram, self.cost, self.tables, self.shift = gram[order], cost[order], [], []
-        left = np.arange(len(gram))
+        """gram: sorted."""
+        self.gram, self.cost, self.tables, self.shift = gram, cost, [], []
+        left = np.arange(len(gram), dtype=np.int32)
         for odd in self._ODD:
-            shift = 64 - max(16, int(2 * len(left)).bit_length())
-            slot = ((self.gram[left] * odd) >> np.uint64(shift)).astype(np.int64)
-            table = np.full(1 << (64 - shift), np.nan, np.float32)
+            shift = np.uint64(64 - max(16, int(2 * len(left)).bit_length()))
+            slot = ((gram[left] * odd) >> shift).view(np.int64)
+            table = np.full(1 << int(64 - shift), np.nan, np.float32)
             alone = np.bincount(slot, minlength=1)[slot] == 1
-            table[slot[alone]] = self.cost[left[alone]]
+            table[slot[alone]] = cost[left[alone]]
             left = left[~alone]
             self.tables.append(table)
-            self.shift.append(np.uint64(shift))
+            self.shift.append(shift)
 
     def at(self, key: np.ndarray) -> np.ndarray:
-        out = self.tables[0][(key * self._ODD[0]) >> self.shift[0]]
-        miss = np.flatnonzero(np.isnan(out))
-        out[miss] = self.tables[1][(key[miss] * self._ODD[1]) >> self.shift[1]]
-        miss = miss[np.isnan(out[miss])]
-        out[miss] = self.cost[np.searchsorted(self.gram, key[miss])]
-        return out.astype(np.float64)
+        out = self.tables[0].take(((key * self._ODD[0]) >> self.shift[0]).view(np.int64))
+        miss = np.flatnonzero(out != out)
+        own = key[miss]
+        second = self.tables[1].take(((own * self._ODD[1]) >> self.shift[1]).view(np.int64))
+        rest = np.flatnonzero(second != second)
+        second[rest] = self.cost[np.searchsorted(self.gram, own[rest])]
+        out[miss] = second
+        return out
 
 
 def _counted(words: DataFrame, counts: DataFrame) -> DataFrame:
@@ -429,8 +430,9 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
         prices, shared = priced(model), None
         if model.distinct <= broadcast_grams:
             rows = prices.toArrow()
-            shared = spark.sparkContext.broadcast((rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()))
-            del rows
+            order = np.argsort(gram := rows.column(0).to_numpy().view(np.uint64))
+            shared = spark.sparkContext.broadcast((gram[order], rows.column(1).to_numpy()[order]))
+            del rows, gram, order
         else:
             own = texts.select("chunk", "text").groupBy("chunk").applyInArrow(_chunk_grams, "chunk long, gram long")
             known = known.union(own.join(prices, "gram").select("chunk", F.lit(False).alias("is_word"), F.col("gram").alias("key"), F.col("cost").cast("double").alias("value")))
@@ -443,7 +445,12 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
             order = order[np.argsort(key_[order])]
             known, c = key_[order], value[order]
             end = float(_lookup(known, c, np.array([END]))[0])
-            price = _prices(shared) if shared is not None else Prices(key_[~is_word], value[~is_word].astype(np.float32))
+            if shared is None:
+                order = np.flatnonzero(~is_word)
+                order = order[np.argsort(key_[order])]
+                price = Prices(key_[order], value[order].astype(np.float32))
+            else:
+                price = _prices(shared)
             columns: list[list[np.ndarray]] = [[] for _ in range(5)]
             for block, bound in _blocks(own):
                 w = tokens.words(block, bound)
@@ -454,7 +461,7 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 base, hits = sums[:, w.first[1:]] - sums[:, w.first[:-1]]
                 n = np.diff(w.first) + 1
                 gram, place = grams(block, bound)
-                cost = np.add.reduceat(price.at(gram), place[:-1])
+                cost = np.add.reduceat(price.at(gram), place[:-1], dtype=np.float64)
                 for column_, x in zip(columns, (n, (hits + (end > 0)).astype(np.int64), base + np.log10(end + 1.0) - n * below, cost, np.diff(place)), strict=True):
                     column_.append(x)
             n, hits, base, cost, size = (np.concatenate(x) if x else np.empty(0) for x in columns)
