@@ -11,14 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import shared_folder
+from .scratch import arrow_rows, shared_folder
 
 #: Ids that may be broadcast at once (8 bytes each, so at most some tens of MB in hash form); above it, joins shuffle.
 BROADCAST_IDS = 500_000
+#: Pairs for each id of a bucket up to which all pairs of different components are compared at once.
+SPREAD = 500
 
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
 
 def cut(df: DataFrame, batch: int = 256) -> DataFrame:
     """Materialise in the shared checkpoint folder and forget the lineage; survives lost executors.
@@ -30,12 +30,8 @@ def cut(df: DataFrame, batch: int = 256) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(f"{shared_folder(spark)}/checkpoints")
     most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * context.defaultParallelism)
-    before = spark.conf.get(ARROW_ROWS)
-    spark.conf.set(ARROW_ROWS, batch)
-    try:
+    with arrow_rows(spark, batch):
         return df.coalesce(most).checkpoint(eager=True)
-    finally:
-        spark.conf.set(ARROW_ROWS, before)
 
 
 def release(spark: SparkSession) -> None:
@@ -76,64 +72,67 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("comp")).union(roots)
 
 
-def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+def merge(labels: DataFrame, links: DataFrame, join: Callable[[DataFrame], DataFrame] = components) -> DataFrame:
     """labels (id, comp) after more links: only the components that these touch are worked on."""
     of = lambda x: labels.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}"))
     between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    found = cut(components(between))
+    found = cut(join(cut(between.where("a <> b").distinct())))
     old = labels.join(found.select(F.col("id").alias("comp"), F.col("comp").alias("better")), "comp", "left").select("id", F.coalesce("better", "comp").alias("comp"))
     return old.union(found.join(labels.select("id"), "id", "left_anti"))
 
 
-def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame, bool], DataFrame], traits: Callable[[DataFrame], DataFrame], possible: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], sift: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 2) -> DataFrame:
+def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame, bool], DataFrame], traits: Callable[[DataFrame], DataFrame], possible: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], sift: Callable[[DataFrame], DataFrame] | None = None, join: Callable[[DataFrame], DataFrame] = components) -> DataFrame:
     """Components under verified links between ids that share a bucket: (id, comp) of linked ids.
 
-    buckets: (key, id).  verify: candidate pairs (a, b), and whether they have been sifted, to the linked ones among them.  sift: pairs with traits
+    buckets: (key, id).  verify: candidate pairs (a, b), and whether they have been sifted, to the linked ones among them, materialised.  sift: pairs with traits
     (a, b, ta, tb) to those (a, b) that may be linked.  traits: ids to (id, rank, traits) of those that
-    can have a link among them at all; possible(x, y) tells from two structs of traits whether a pair may be linked.
-
-    No bucket is expanded into all its pairs.  First each id is compared with one member of its bucket.  Then ids whose
-    bucket holds several components are compared with the member of highest rank in the bucket's leading component, so that
-    a large group around a typical member merges.  At last every pair that shares a bucket, is still in different components and
-    is possible gets compared, without any cap: pairs within a component can't change it.
+    can have a link among them at all; possible(x, y) tells from two structs of traits whether a pair may be linked.  join: the components
+    (id, comp) of materialised links.
+
+    No bucket is expanded into all its pairs.  First each id is compared with one member of its bucket.  While the ids whose bucket
+    holds several components would still make more than SPREAD pairs each, they are compared with the member of highest rank in
+    the bucket's leading component, so that a large group around a typical member merges, for as long as that links anything.  At last
+    every pair that shares a bucket, is still in different components and is possible gets compared, without any cap: pairs within a
+    component can't change it.
     """
     spark = buckets.sparkSession
-    shared = cut(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    buckets = cut(keep_ids(buckets, "key", shared, "key", shared.count()))
     pick = F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"].alias("hub")
-    pairs = buckets.join(buckets.groupBy("key").agg(pick), "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    labels = cut(components(cut(verify(pairs, False))))
+    shared = cut(buckets.groupBy("key").agg(F.count("*").alias("n"), pick).where("n > 1").select("key", "hub"))
+    buckets = cut(buckets.join(F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared, "key").select("key", "id", "hub"))
+    pairs = buckets.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    labels = cut(join(verify(pairs, False)))
     release(spark)
-    known = None
-    for t in range(rounds + 1):
-        tagged = (buckets if known is None else mixed.select("key", "id")).join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))  # noqa: F821
+    known, linking = None, True
+    while True:
+        tagged = (buckets if known is None else mixed).select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))  # noqa: F821
         if known is not None:
             tagged = tagged.join(known, "id")
-        tagged = cut(tagged)
         several = tagged.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        mixed = tagged.join(several, "key", "left_semi")
+        mixed = cut(tagged.join(several, "key", "left_semi"))
         if known is None:
             known = cut(traits(cut(mixed.select("id").distinct())))
-            mixed = mixed.join(known, "id")
-        mixed = cut(mixed)
+            mixed = cut(mixed.join(known, "id"))
         if not mixed.head(1):
             return labels
         each = mixed.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max(F.struct("rank", "id", "traits")).alias("best"))
+        apart = mixed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
+        rows, many = apart.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).head()
         lead = each.groupBy("key").agg(F.max(F.struct("n", "comp", "best")).alias("top")).select("key", F.col("top.comp").alias("top"), F.col("top.best.id").alias("hub"), F.col("top.best.traits").alias("other"))
         mixed = mixed.join(lead, "key")
-        may = possible(lambda c: F.col(f"traits.{c}"), lambda c: F.col(f"other.{c}"))
-        if t == rounds:
+        if not linking or many <= SPREAD * rows:
             break
+        may = possible(lambda c: F.col(f"traits.{c}"), lambda c: F.col(f"other.{c}"))
         pairs = mixed.where((F.col("comp") != F.col("top")) & may).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), F.col("traits").alias("ta"), F.col("other").alias("tb"))
         pairs = (sift(pairs) if sift else pairs.select("a", "b")).distinct()
-        found = cut(verify(pairs, sift is not None))
-        if found.head(1):
-            labels = cut(merge(labels, found))
+        found = verify(pairs, sift is not None)
+        linking = bool(found.head(1))
+        if linking:
+            labels = cut(merge(labels, found, join))
         release(spark)
     # A pair is made in the least bucket that it shares.
     keys = mixed.groupBy("id").agg(F.collect_list("key").alias("keys"))
     mixed = cut(mixed.drop("hub", "other").join(keys, "id"))
-    del tagged, buckets, pairs, keys
+    del tagged, buckets, pairs, keys, shared
     release(spark)
     left = mixed.where("comp <> top").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("traits").alias("tx"), F.col("keys").alias("kx"))
     right = mixed.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), "top", F.col("traits").alias("ty"), F.col("keys").alias("ky"))
@@ -142,5 +141,5 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame, bool], DataFra
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("tx").alias("ta"), F.col("ty").alias("tb"))
     pairs = cut((sift(pairs) if sift else pairs.select("a", "b")).distinct())
     release(spark)
-    found = cut(verify(pairs, sift is not None))
-    return cut(merge(labels, found)) if found.head(1) else labels
+    found = verify(pairs, sift is not None)
+    return cut(merge(labels, found, join)) if found.head(1) else labels

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .graph import cut, keep_ids, link_buckets, release
+from .graph import components, cut, keep_ids, link_buckets, release
 
 SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union.
@@ -143,6 +143,36 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[start:end], np.diff(bound))), pa.array(values.view(np.int64))], ["id", "hash"])
 
 
+#: Links (16 bytes each) up to which one task finds their components.
+LOCAL_LINKS = 1_000_000
+
+
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b to id, comp: the least id reachable; by hooking roots onto lesser ones and halving paths."""
+    links = [np.stack([b.column(i).to_numpy() for i in (0, 1)]) for b in batches if b.num_rows]
+    if not links:
+        return
+    ids, place = np.unique(np.concatenate(links, axis=1), return_inverse=True)
+    a, b = place.reshape(2, -1)
+    root = np.arange(len(ids))
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            break
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+    for i in range(0, len(ids), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 100_000]), pa.array(ids[root[i : i + 100_000]])], ["id", "comp"])
+
+
+def linked(links: DataFrame, most: int = LOCAL_LINKS) -> DataFrame:
+    """(id, comp) of materialised links(a, b): up to so many links in one task, without the shuffles of rounds; beyond it distributed."""
+    if links.count() > most:
+        return components(links)
+    return links.select("a", "b").coalesce(1).mapInArrow(_union, "id long, comp long")
+
+
 #: Longs of a two-bit sketch, and the differing values beyond which a pair is pruned: at the threshold a value differs with probability
 #: (1 - 0.75) * 3 / 4, and so many do with probability below MISS.
 LONGS = HASHES // 32
@@ -184,12 +214,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     seen = cut(texts.mapInArrow(_describe, "doc_id long, n long, k1 long, k2 long, sig binary, bands array<long>"))
-    classes = seen.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"))
-    classes = cut(classes)
-    first = seen.join(classes, ["k1", "k2", "n"]).where("doc_id = id")
-    bands = first.select("id", F.explode("bands").alias("key"))
-    # Repeated ids repeat a class; one row of each is enough.
-    reps = first.select("id", "k1", "n", "sig").dropDuplicates(["id", "k1"]).select("id", "n", "sig")
+    least = F.min(F.struct(F.col("doc_id").alias("id"), "sig", "bands")).alias("first")
+    first = cut(seen.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(least).select("k1", "k2", "n", "first.*"), 10_000)
+    classes, reps = first.select("k1", "k2", "n", "id"), first.select("id", "n", "sig")
+    light = cut(seen.select("doc_id", "n", "k1", "k2"), 10_000)
+    del seen
+    release(docs.sparkSession)
 
     def verify(pairs: DataFrame, sifted: bool) -> DataFrame:
         own = lambda x: reps.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
@@ -216,8 +246,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         # A set of which others have less than the threshold can't be linked.
         return own.where(100 * F.col("c") >= PERCENT * F.col("n")).select("id", (F.col("c") / F.col("n")).alias("rank"), F.struct("n", "c", *[f"s{i}" for i in range(LONGS)], "sig").alias("traits"))
 
-    labels = link_buckets(bands.select("key", "id"), verify, traits, _possible, sift)
-    found = seen.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2", "n"], "left")
+    labels = link_buckets(first.select(F.explode("bands").alias("key"), "id"), verify, traits, _possible, sift, join=linked)
+    found = light.join(classes, ["k1", "k2", "n"], "left")
     found = found.join(labels, "id", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("comp", "id"))
     component = F.when(F.col("doc_id").isNotNull(), component)

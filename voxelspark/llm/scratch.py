@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from types import TracebackType
 
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names.  Where that is unset, a local one, but only for a master that is one machine."""
@@ -19,6 +22,17 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or tempfile.gettempdir()).rstrip("/")
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, n: int | None) -> Iterator[None]:
+    """At most n rows in an Arrow batch; as set before if n is None."""
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, before if n is None else n)
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
 class Scratch:
     """A folder below the shared one for Parquet tables."""
 
@@ -29,11 +43,15 @@ class Scratch:
     def __enter__(self) -> Scratch:
         return self
 
-    def table(self, df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-        """Write df as Parquet, in folders by some columns if so wished, and read it back with the same schema."""
+    def table(self, df: DataFrame, by: Sequence[str] = (), batch: int | None = None) -> DataFrame:
+        """Write df as Parquet, in folders by some columns if so wished, and read it back with the same schema.
+
+        batch: rows of an Arrow batch meanwhile; batches of whole texts must stay small.
+        """
         self._n += 1
         path = f"{self._path}/{self._n}"
-        df.write.partitionBy(*by).parquet(path)
+        with arrow_rows(self._spark, batch):
+            df.write.partitionBy(*by).parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
     def __exit__(self, kind: type[BaseException] | None, value: BaseException | None, trace: TracebackType | None) -> None:

@@ -128,12 +128,13 @@ def _repeated(rows: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
     """
     ordered = rows.repartitionByRange(parts, "key", "doc", "pos").sortWithinPartitions("key", "doc", "pos")
     found = scratch.table(ordered.mapInArrow(_neighbours, "key long, doc long, pos int, other long, edge boolean"))
-    # Two keys for each partition at most.
-    edge = found.where("edge").select("key", "doc", "pos")
-    low = edge.groupBy("key").agg(F.min("doc").alias("low"))
-    next_ = edge.join(F.broadcast(low), "key").where("doc > low").groupBy("key", "low").agg(F.min("doc").alias("next"))
-    over = edge.join(F.broadcast(next_), "key").select("doc", "pos", F.when(F.col("doc") == F.col("low"), F.col("next")).otherwise(F.col("low")).alias("other"))
-    return found.where("not edge").select("doc", "pos", "other").union(over)
+    # Two keys for each partition at most; of a run's parts, the least two documents are the least two of those that the parts name.
+    named = found.where("edge").groupBy("key").agg(F.min("doc").alias("low"), F.min(F.greatest("doc", "other")).alias("next"), F.max("doc").alias("high"))
+    least = found.where("edge").groupBy("key", "doc").agg(F.first("key").alias("_")).drop("_")
+    next_ = least.join(F.broadcast(named.select("key", "low")), "key").where("doc > low").groupBy("key", "low").agg(F.min("doc").alias("next"))
+    all_ = found.join(F.broadcast(next_), "key", "left")
+    over = F.when(F.col("doc") == F.col("low"), F.col("next")).otherwise(F.col("low"))
+    return all_.where("not edge or low is not null").select("doc", "pos", F.when(F.col("edge"), over).otherwise(F.col("other")).alias("other"))
 
 
 def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -155,9 +156,9 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = "key long, doc long, pos int"
     with Scratch(spark) as scratch:
-        kept = scratch.table(texts.mapInArrow(_retain, kind))
+        kept = scratch.table(texts.mapInArrow(_retain, kind), batch=1000)
         suffixes = scratch.table(_repeated(kept, parts, scratch).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("pos").alias("at")))
-        spans = _repeated(scratch.table(texts.join(suffixes, "doc_id").select("doc_id", "text", "at").mapInArrow(_extend, kind)), parts, scratch)
+        spans = _repeated(scratch.table(texts.join(suffixes, "doc_id").select("doc_id", "text", "at").mapInArrow(_extend, kind), batch=500), parts, scratch)
         order = W.partitionBy("doc").orderBy("pos")
         new = F.coalesce((F.col("pos") > F.lag("pos").over(order) + PASSAGE).cast("int"), F.lit(1))
         spans = spans.groupBy("doc", "pos").agg(F.min("other").alias("other")).withColumn("new", new).withColumn("island", F.sum("new").over(order))
