@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -309,3 +310,50 @@ def test_empty_tables(spark, empty):
         fuzzylines.fuzzy_lines(empty), suffixes.repeated_passages(empty), mixture.mix_sources(empty, {"lang": F.col("lang")}, {}), quality.classify(empty, labels), mixing_lm.score_documents(empty),
     ]
     assert [r.count() for r in results] == [0] * 10
+
+
+def _judged(spark, urls, extra=()):
+    pages = [(k, u) for k, (u, _) in enumerate(urls)] + [(1000 + k, u) for k, u in enumerate(extra)]
+    told = spark.createDataFrame([r for r in urls if r[1] is not None], "url string, bad int")
+    return {r.page_id: r for r in urlfilter.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), (), told).collect()}
+
+
+def test_url_branches_with_few_children_stay_apart(spark):
+    urls = [(f"http://h/{a}/{w}/page", None) for a in ("alpha", "beta") for w in (f"{a}{c}" for c in "vwxyz")]
+    got = _judged(spark, [*urls, ("http://g/x", 0)])
+    assert [got[k].template for k in range(10)] == [u[len("http://h") :] for u, _ in urls]
+
+
+def test_url_branches_of_opposite_labels_stay_apart(spark):
+    urls = [(f"http://h/alpha/{k}", 1) for k in range(5)] + [(f"http://h/beta/{k}", 0) for k in range(5)]
+    got = _judged(spark, urls, ["http://h/alpha/99", "http://h/beta/99", "http://h/alpha/a{num}"])
+    assert got[1001].verdict == "allow" and got[1000].impurity > got[1001].impurity
+    assert got[1000].template == "/alpha/{num}" and got[1002].template == "/alpha/a%7Bnum}"
+
+
+@pytest.mark.parametrize("sections, each", [(7, 20), (8, 20), (9, 40)])
+def test_url_sections_next_to_a_bad_one_stay_allowed(spark, sections, each):
+    urls = [(f"http://h.com/s{chr(97 + s)}/{k}", 1 if s == 0 else None) for s in range(sections) for k in range(each)]
+    got = _judged(spark, [*urls, ("http://g/x", 0)], ["http://h.com/sa/9999"])
+    assert got[1000].verdict == "block"
+    assert all(got[k].verdict == "allow" for k, (_, bad) in enumerate(urls) if bad is None)
+
+
+def test_url_verdicts_follow_their_definition(spark):
+    """Templates and rates of a random tree by a plain program over the returned templates."""
+    rng = random.Random(3)
+    urls = {f"http://h{rng.randint(0, 2)}/{rng.choice(['a', 'b', 'news', 'x1', 'x2'])}/{rng.choice(['p', str(rng.randint(0, 60))])}/{rng.choice(['', 'q', '7.html'])}": rng.choice([None, 0, 1, 1]) for _ in range(600)}
+    got = _judged(spark, list(urls.items()))
+    sums, told = defaultdict(lambda: [0, 0]), [b for b in urls.values() if b is not None]
+    paths = {}
+    for k, (u, b) in enumerate(urls.items()):
+        paths.setdefault((got[k].host, got[k].path), []).append(b)
+        if b is not None:
+            sums[(got[k].host, got[k].template)][0] += b
+            sums[(got[k].host, got[k].template)][1] += 1
+        assert [s for s in got[k].path.split("/") if s] == [] or len(got[k].template.strip("/").split("/")) == len([s for s in got[k].path.split("/") if s])
+    prior = min(0.5, sum(told) / len(told))
+    for k in range(len(urls)):
+        bad, n = sums[(got[k].host, got[k].template)]
+        assert got[k].impurity == pytest.approx((bad + 4 * prior) / (n + 4))
+        assert got[k].verdict == ("block" if (bad + 4 * prior) / (n + 4) >= 0.8 else "allow")
