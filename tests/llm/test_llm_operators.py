@@ -186,7 +186,7 @@ def test_fuzzy_lines(spark):
     rows = fuzzylines.fuzzy_lines(df).collect()
     lines = [(i, k, " ".join(line.lower().split())) for i, t in texts for k, line in enumerate((t or "").split("\n")) if line.strip()]
     assert len(rows) == len(lines)
-    found = fuzzylines.simhashes(fuzzylines._hashed(fuzzylines._lines(df.select("doc_id", "text")))).select("line", "sim").distinct().collect()
+    found = fuzzylines.simhashes(fuzzylines._lines(df.select("doc_id", "text"))).select("line", "sim").distinct().collect()
     sims = {r.line: r.sim for r in found}
     norm = {r.line: r.norm for r in spark.createDataFrame([(n,) for _, _, n in lines], "norm string").selectExpr("norm", "xxhash64(norm) AS line").collect()}
     ids = sorted(sims)
