@@ -220,3 +220,65 @@ def test_lines_between_voxels(spark):
 def test_upsampling(spark):
     got = {(r.y, r.x): r.value for r in kernels.upsample(dense(spark, [[0, 4], [8, 12]]), 2).collect()}
     assert [[got[(y, x)] for x in range(4)] for y in range(4)] == [[0, 1, 3, 4], [2, 3, 5, 6], [6, 7, 9, 10], [8, 9, 11, 12]]
+
+
+def _dealt(weights, capacity, budget):
+    """Sample points one by one."""
+    n = len(weights)
+    left = min(budget, sum(capacity)) - n
+    exact = [w / sum(weights) * left for w in weights]
+    got = [1 + min(int(e), c - 1) for e, c in zip(exact, capacity)]
+    left -= sum(got) - n
+    while left > 0:
+        for i in sorted(range(n), key=lambda i: (-(exact[i] - int(exact[i])), -weights[i], i)):
+            if left > 0 and got[i] < capacity[i]:
+                got[i], left = got[i] + 1, left - 1
+    return got
+
+
+def test_sample_points_are_dealt_out_whole(spark):
+    rng = random.Random(7)
+    frames = [([90, 5, 5], [5, 50, 50])] + [([rng.randint(1, 99) for _ in range(k)], [rng.randint(1, 30) for _ in range(k)]) for k in range(2, 12)]
+    rows = [(t, i, w, c) for t, (ws, cs) in enumerate(frames) for i, (w, c) in enumerate(zip(ws, cs))]
+    df = spark.createDataFrame(rows, "t int, label int, weight long, capacity long")
+    got = {(r.t, r.label): r.samples for r in tracking.allocate_samples(df, 60).collect()}
+    assert [got[(0, i)] for i in range(3)] == [5, 28, 27]
+    for t, (ws, cs) in enumerate(frames):
+        assert [got[(t, i)] for i in range(len(ws))] == _dealt(ws, cs, 60)
+    with pytest.raises(Exception, match="less than one"):
+        tracking.allocate_samples(df, 2).collect()
+
+
+def test_rescued_links(spark):
+    """Sequential selection over random candidates."""
+    rng = random.Random(8)
+    cutoff, least = 1.5, 10
+    for seed in range(3):
+        area = {i: rng.choice([3, 5, 20, 40]) for i in range(40)}
+        links = [(a // 20, a, b, round(rng.uniform(0.2, 3.0), 1), rng.randint(1, 4), area[a], area[b]) for a in range(20) for b in range(20, 40) if rng.random() < 0.12]
+        df = spark.createDataFrame(links, "t int, src int, dst int, cost double, matched_points int, src_area int, dst_area int")
+        got = {(r.src, r.dst) for r in tracking.rescue_links(df, tracking.select_links(df, cutoff, least), cutoff, least).collect()}
+        ordered = [(r[1], r[2], r[3]) for r in sorted(links, key=lambda r: (r[3], -r[4], r[1], r[2]))]
+        big = lambda i: area[i] > least
+        want = {(a, b) for a, b, c in ordered if big(a) and big(b) and c <= cutoff}
+        for free, lone in ((0, 1), (1, 0)):
+            taken = {p[lone] for p in want}
+            pool = [x for x in ordered if not big(x[free]) and big(x[lone]) and x[lone] not in taken]
+            used, done = set(), set()
+            for x in pool:
+                if x[2] <= cutoff and x[free] not in used:
+                    want.add(x[:2])
+                    used.add(x[free])
+                    done.add(x[lone])
+            for x in pool:
+                if x[lone] not in done and x[free] not in used:
+                    want.add(x[:2])
+                    used.add(x[free])
+                    done.add(x[lone])
+        sources, targets = {a for a, _ in want}, {b for _, b in want}
+        for a, b, _ in ordered:
+            if big(a) and big(b) and (a, b) not in want and (a not in sources or b not in targets):
+                want.add((a, b))
+                sources.add(a)
+                targets.add(b)
+        assert got == want

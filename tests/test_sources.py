@@ -25,10 +25,10 @@ def test_metadata():
     raw = level("root", item(clx.INT32, "a", struct.pack("<i", 7)), level("in", item(clx.DOUBLE, "dCalibration", struct.pack("<d", 0.13))), item(clx.TEXT, "s", "hi\0".encode("utf-16-le")))
     tree = clx.decode(raw)
     assert tree["root"]["a"] == 7 and tree["root"]["s"] == "hi" and clx.calibration(tree) == 0.13
-    packed = bytes([clx.PACKED, 0]) + b"\0" * 8 + zlib.compress(raw)
+    packed = bytes([clx.PACKED, 0]) + b"\0" * 10 + zlib.compress(raw)
     assert clx.decode(packed) == tree
     with pytest.raises(clx.InvalidMetadata):
-        clx.decode(bytes([clx.PACKED, 0]) + b"\0" * 8 + zlib.compress(b"\0" * 100_000), budget=clx.Budget(bytes=1024))
+        clx.decode(bytes([clx.PACKED, 0]) + b"\0" * 10 + zlib.compress(b"\0" * 100_000), budget=clx.Budget(bytes=1024))
     with pytest.raises(clx.InvalidMetadata):
         clx.decode(raw, budget=clx.Budget(items=2))
     with pytest.raises(clx.InvalidMetadata):

@@ -9,8 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Lengths of units in micrometres and of time units in seconds.
-MICROMETRES = {"nm": 0.001, "nanometer": 0.001, "um": 1.0, "µm": 1.0, "micron": 1.0, "micrometer": 1.0, "mm": 1000.0, "millimeter": 1000.0, "cm": 10000.0, "centimeter": 10000.0, "m": 1000000.0, "inch": 25400.0}
-SECONDS = {"ns": 1e-9, "us": 1e-6, "µs": 1e-6, "ms": 0.001, "s": 1.0, "sec": 1.0, "second": 1.0, "min": 60.0, "minute": 60.0, "h": 3600.0, "hour": 3600.0}
+MICROMETRES = {"um": 1.0, "µm": 1.0, "μm": 1.0, "micron": 1.0, "microns": 1.0, "nm": 0.001, "mm": 1000.0, "cm": 10000.0, "inch": 25400.0, "in": 25400.0}
+SECONDS = {"s": 1.0, "sec": 1.0, "second": 1.0, "seconds": 1.0, "ms": 0.001, "us": 1e-6, "µs": 1e-6, "ns": 1e-9, "min": 60.0, "minute": 60.0, "minutes": 60.0, "h": 3600.0, "hour": 3600.0, "hours": 3600.0}
 
 
 def r6(c: Column) -> Column:

@@ -9,7 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The order of exported columns.
-COLUMNS = ("frame", "label", "area", "voxels", "pixels", "volume", "surface_area", "perimeter", "major_axis_length", "branches", "junctions", "endpoints", "total_branch_length", "mean_branch_length")
+COLUMNS = ("label", "frame", "object_label", "branch_index", "branch_length", "pixels", "voxels", "perimeter", "area", "surface_area", "volume", "branch_number", "junction_number", "endpoint_number", "total_branch_length", "mean_branch_length", "length source")
+#: Headers of exported columns.
+HEADERS = {
+    "label": "object label", "object_label": "object label", "frame": "frame", "branch_index": "branch", "pixels": "pixels (count)", "voxels": "voxels (count)",
+    "branch_number": "branch number", "junction_number": "junction number", "endpoint_number": "endpoint number", "length source": "length source",
+    "branch_length": "branch length ({unit})", "perimeter": "perimeter ({unit})", "area": "area ({unit}^2)", "surface_area": "surface area ({unit}^2)", "volume": "volume ({unit}^3)",
+    "total_branch_length": "total branch length ({unit})", "mean_branch_length": "mean branch length ({unit})",
+}
 
 
 def at_least(objects: DataFrame, size: int) -> DataFrame:
@@ -46,6 +53,7 @@ def principal_axis(labels: DataFrame, spacing: Sequence[float]) -> DataFrame:
 
 
 def shaped(rows: DataFrame, unit: str, labels: Mapping[str, str] | None = None) -> DataFrame:
-    """Columns in export order, further ones after them, hidden ones (_) dropped; headers with {unit} filled in."""
+    """Columns in export order, further ones after them, hidden ones (_) dropped; headers with {unit} filled in, the usual ones if none are given."""
     order = [c for c in COLUMNS if c in rows.columns] + [c for c in rows.columns if c not in COLUMNS and not c.startswith("_")]
-    return rows.select(*[F.col(c).alias((labels or {}).get(c, c).replace("{unit}", unit)) for c in order])
+    headers = HEADERS if labels is None else labels
+    return rows.select(*[F.col(f"`{c}`").alias(headers.get(c, c).replace("{unit}", unit)) for c in order])

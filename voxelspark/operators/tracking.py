@@ -18,20 +18,21 @@ from .neighbors import nearest_points
 
 @dataclass(frozen=True)
 class TrackingConfig:
-    """Parameters of linking; the defaults are those of the interactive tool this engine is compatible with."""
+    """Parameters of linking."""
 
-    neighbours: int = 6
+    # Defaults.
     radius: float = 50.0
-    sample_points: int = 3000
-    distance_weight: float = 1.0
-    overlap_weight: float = 1.0
+    neighbours: int = 6
+    distance_weight: float = 0.2
+    overlap_weight: float = 0.8
     point_support_weight: float = 1.0
-    point_support_saturation: int = 10
+    cost_cutoff: float = 1.5
+    event_delta_threshold: float = 0.1
+    sample_points: int = 3000
+    point_support_saturation: int = 3
     coverage_capacity_points: int = 0
-    coverage_cap_skip_threshold: float = 1.0
-    cost_cutoff: float = 2.0
-    min_link_size: int = 0
-    event_delta_threshold: float = 0.2
+    coverage_cap_skip_threshold: float = 0.7
+    min_link_size: int = 20
 
 
 def weighted_centroids(labels: DataFrame, raw: DataFrame) -> DataFrame:
@@ -54,19 +55,31 @@ def frame_shifts(centroids: DataFrame) -> DataFrame:
     return centroids.join(after, "t").select("t", *[(F.col(f"h{c}") - F.col(f"g{c}")).alias(f"d{c}") for c in "zyx"])
 
 
-def allocate_samples(weights: DataFrame, budget: int) -> DataFrame:
+def allocate_samples(weights: DataFrame, budget: int | Column) -> DataFrame:
     """Sample points per object: (t, label, weight, capacity) to samples.
 
-    One each, then the rest in proportion to weight by largest remainders, nobody above the capacity.
+    A frame deals out its budget, or its whole capacity if that is less: one to each object, then whole parts in proportion to weight as far as
+    the capacity goes, then one by one in order of remainder, weight and label, round after round, to objects with room left.  Fails if there is less
+    than one for each object, or no positive weight in a frame.
+
+    Rounds are not run: objects whose room is filled before the rounds end are told by prefix sums in order of room.
     """
     frame = W.partitionBy("t")
-    rows = weights.withColumn("rest", F.greatest(F.lit(0), F.lit(budget) - F.count("*").over(frame)))
-    exact = F.coalesce(F.try_divide(F.col("weight") * F.col("rest"), F.sum("weight").over(frame)), F.lit(0.0))
-    rows = rows.withColumn("exact", exact).withColumn("base", F.floor("exact"))
-    rank = F.row_number().over(frame.orderBy(F.desc(F.col("exact") - F.col("base")), F.desc("weight"), "label"))
-    left = F.col("rest") - F.sum("base").over(frame)
-    rows = rows.withColumns({"extra": (rank <= left).cast("int")})
-    return rows.select("t", "label", F.least(F.col("capacity"), 1 + F.col("base") + F.col("extra")).cast("long").alias("samples"))
+    weight = F.when(F.col("weight") > 0, F.col("weight")).otherwise(0)
+    rows = weights.withColumn("weight", weight).withColumn("n", F.count("*").over(frame))
+    rows = rows.withColumns({"total": F.sum("weight").over(frame), "dealt": F.least((F.lit(budget) if isinstance(budget, int) else budget).cast("long"), F.sum("capacity").over(frame))})
+    failed = F.when(F.col("dealt") < F.col("n"), "the budget or the capacity is less than one sample point for each object").when(F.col("total") <= 0, "no positive weight in a frame")
+    rows = rows.withColumn("exact", F.when(failed.isNotNull(), F.raise_error(failed).cast("double")).otherwise(F.col("weight") / F.col("total") * (F.col("dealt") - F.col("n"))))
+    rows = rows.withColumn("base", F.least(F.floor("exact"), F.col("capacity") - 1)).withColumn("room", F.col("capacity") - 1 - F.col("base"))
+    rows = rows.withColumn("left", F.col("dealt") - F.col("n") - F.sum("base").over(frame))
+    by_room = frame.orderBy("room", "label")
+    rows = rows.withColumns({"before": F.sum("room").over(by_room) - F.col("room"), "others": F.col("n") - F.row_number().over(by_room) + 1})
+    rows = rows.withColumn("full", F.col("before") + F.col("room") * F.col("others") <= F.col("left"))
+    rows = rows.withColumns({"after": F.col("left") - F.sum(F.when(F.col("full"), F.col("room")).otherwise(0)).over(frame), "open": F.count_if(~F.col("full")).over(frame)})
+    rounds = F.coalesce(F.floor(F.try_divide(F.col("after"), F.col("open"))), F.lit(0))
+    rank = F.row_number().over(W.partitionBy("t", "full").orderBy(F.desc(F.col("exact") - F.floor("exact")), F.desc("weight"), "label"))
+    more = rounds + (rank <= F.col("after") - rounds * F.col("open")).cast("int")
+    return rows.select("t", "label", (1 + F.col("base") + F.when(F.col("full"), F.col("room")).otherwise(more)).cast("long").alias("samples"))
 
 
 def match_points(edges: DataFrame, by: Sequence[str] = ("t",)) -> DataFrame:
@@ -131,15 +144,36 @@ def select_links(links: DataFrame, cutoff: float, min_size: int) -> DataFrame:
     return links.where((F.col("cost") <= cutoff) & (F.col("src_area") > min_size) & (F.col("dst_area") > min_size))
 
 
+def _rescued(candidates: DataFrame, small: str, large: str, cutoff: float) -> DataFrame:
+    """(src, dst) of the links that large objects without one take up with small objects, each of which goes to one large object.
+
+    Within the cutoff each small object goes to its best large one, so that a large object may get several.  Large ones that are left over then get
+    the best link there is, beyond the cutoff too, to a small object that is still free.
+    """
+    best = F.min(F.struct("cost", (-F.col("matched_points")).alias("m"), "src", "dst")).alias("best")
+    near = cut(candidates.where(F.col("cost") <= cutoff).groupBy(small).agg(best).select("best.src", "best.dst"))
+    rest = candidates.join(near.select(large).distinct(), large, "left_anti").join(near.select(small), small, "left_anti")
+    return near.union(match_points(rest.withColumn("dist", -F.col("matched_points"))).select("src", "dst"))
+
+
 def rescue_links(links: DataFrame, selected: DataFrame, cutoff: float, min_size: int) -> DataFrame:
-    """selected with the best link of each large object that has none on one side, to or from a small object within the cutoff."""
-    rank = W.partitionBy
-    order = ["cost", F.desc("matched_points"), "src", "dst"]
-    lone = links.where((F.col("cost") <= cutoff) & (F.col("src_area") <= min_size) & (F.col("dst_area") > min_size)).join(selected.select("dst").distinct(), "dst", "left_anti")
-    into = lone.withColumn("r", F.row_number().over(rank("dst").orderBy(*order))).where("r = 1").drop("r")
-    lone = links.where((F.col("cost") <= cutoff) & (F.col("dst_area") <= min_size) & (F.col("src_area") > min_size)).join(selected.select("src").distinct(), "src", "left_anti")
-    out = lone.withColumn("r", F.row_number().over(rank("src").orderBy(*order))).where("r = 1").drop("r")
-    return selected.unionByName(into).unionByName(out).distinct()
+    """selected with further links for large objects that have none on one side.
+
+    First links between large and small objects in both directions; then, for each large object still without a link forwards or backwards, its best
+    one to another large object, whatever it costs.  Equal costs go by matched points, then source and target.
+    """
+    small, large = (lambda side: F.col(f"{side}_area") <= min_size), (lambda side: F.col(f"{side}_area") > min_size)
+    lone = lambda rows, side, taken: rows.join(taken.select(side).distinct(), side, "left_anti")
+    pairs = selected.select("src", "dst")
+    into = lone(lone(links.where(small("src") & large("dst")), "dst", pairs), "src", pairs)
+    out = lone(lone(links.where(large("src") & small("dst")), "src", pairs), "dst", pairs)
+    pairs = cut(pairs.union(_rescued(into, "src", "dst", cutoff)).union(_rescued(out, "dst", "src", cutoff)))
+    # In order of cost, the first link of an object without any is always taken, and no later one for its sake.
+    best = F.min(F.struct("cost", (-F.col("matched_points")).alias("m"), "src", "dst")).alias("best")
+    both = links.where(large("src") & large("dst"))
+    first = lambda side: lone(both, side, pairs).groupBy(side).agg(best).select("best.src", "best.dst")
+    pairs = pairs.union(first("src")).union(first("dst")).distinct()
+    return links.join(pairs, ["src", "dst"], "left_semi")
 
 
 def dominant_parents(links: DataFrame) -> DataFrame:

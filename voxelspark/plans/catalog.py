@@ -29,20 +29,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def whole(of: str, *cuts: tuple[str, str]) -> Callable[[Query], Query]:
-    """Register a query over whole tables; its SQL is that of the query `of` over a subset of ids, without the filters of the subset."""
-
-    def add(f: Query) -> Query:
-        sql = ORACLE_SQL[of]
-        for old, new in cuts:
-            assert old in sql, (of, old)
-            sql = sql.replace(old, new)
-        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
-        return f
-
-    return add
-
-
 R6 = "floor(({}) * 1000000 + 0.5) / 1000000"
 MASK = "mask AS (SELECT t, z, y, x FROM tyx)"
 #: Face-connected components of the time series by recursion; label is the rank of the least voxel in raster order.
@@ -92,8 +78,7 @@ def overlap_counts(spark, sf_dir):
     return rows.groupBy("z").agg(F.count_if(F.col("src") > 0).alias("source_size"), F.count_if(F.col("tgt") > 0).alias("target_size"), F.count_if((F.col("src") > 0) & (F.col("tgt") > 0)).alias("overlap_size"))
 
 
-_BASIS = f"""WITH {ZYX}, {SRC}, {TGT}, tg AS (SELECT t, z, y, x FROM tgt_ WHERE y < 10),
-sm AS (SELECT t, z, y, x FROM src_ WHERE y < 10)"""
+_BASIS = f"""WITH {ZYX}, {SRC}, {TGT}, tg AS (SELECT t, z, y, x FROM tgt_), sm AS (SELECT t, z, y, x FROM src_)"""
 
 
 def _full(spark, sf_dir):
@@ -101,60 +86,41 @@ def _full(spark, sf_dir):
     return channel(volume, "src"), channel(volume, "tgt")
 
 
-def _small(spark, sf_dir):
-    return tuple(c.where("y < 10") for c in _full(spark, sf_dir))
-
-
 @query(_BASIS + """ SELECT a.z, a.y, a.x, CAST(min((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS BIGINT) AS d2 FROM sm a JOIN tg b USING (t) GROUP BY a.z, a.y, a.x""")
 def nearest_distance(spark, sf_dir):
-    return _nearest_distance(*_small(spark, sf_dir))
+    return _nearest_distance(*_full(spark, sf_dir))
 
 
 def _nearest_distance(src, tgt):
     return distance.nearest(src, tgt).select("z", "y", "x", F.col("d2").cast("long").alias("d2"))
 
 
-@whole("nearest_distance", (" WHERE y < 10", ""))
-def nearest_distance_whole(spark, sf_dir):
-    return _nearest_distance(*_full(spark, sf_dir))
-
-
 @query(_BASIS + f""", d AS (SELECT min((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS d2 FROM sm a JOIN tg b USING (t) GROUP BY a.z, a.y, a.x)
 SELECT count(*) AS n, {R6.format('avg(sqrt(d2))')} AS mean_distance, {R6.format('median(sqrt(d2))')} AS median_distance FROM d""")
 def distance_stats(spark, sf_dir):
-    return _distance_stats(*_small(spark, sf_dir))
+    return _distance_stats(*_full(spark, sf_dir))
 
 
 def _distance_stats(src, tgt):
     return distance.statistics(distance.nearest(src, tgt)).select("n", S.r6(F.col("mean_distance")).alias("mean_distance"), S.r6(F.col("median_distance")).alias("median_distance"))
 
 
-@whole("distance_stats", (" WHERE y < 10", ""))
-def distance_stats_whole(spark, sf_dir):
-    return _distance_stats(*_full(spark, sf_dir))
-
-
 @query(_BASIS + """, shell AS (SELECT * FROM sm a WHERE (SELECT count(*) FROM sm b WHERE a.z = b.z AND a.y = b.y AND abs(a.x - b.x) = 1 OR a.z = b.z AND a.x = b.x AND abs(a.y - b.y) = 1 OR a.y = b.y AND a.x = b.x AND abs(a.z - b.z) = 1) < 6),
 d AS (SELECT a.z, a.y, a.x, min((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS d2 FROM shell a JOIN tg b USING (t) GROUP BY a.z, a.y, a.x)
 SELECT count(*) AS basis_size, count(*) FILTER (d2 <= 2) AS near_size FROM d""")
 def surface_distance_bounded(spark, sf_dir):
-    return _surface_distance(*_small(spark, sf_dir))
+    return _surface_distance(*_full(spark, sf_dir))
 
 
 def _surface_distance(src, tgt):
     return proximity.proximity_voxels(src, tgt, 2**0.5 + 1e-9).agg(F.count("*").alias("basis_size"), F.count_if("near").alias("near_size"))
 
 
-@whole("surface_distance_bounded", (" WHERE y < 10", ""))
-def surface_distance_bounded_whole(spark, sf_dir):
-    return _surface_distance(*_full(spark, sf_dir))
-
-
-@query(f"""WITH {TYX}, m AS (SELECT t, y, x, CASE WHEN n > 1 THEN 1 ELSE 2 END AS label FROM tyx WHERE t < 5),
+@query(f"""WITH {TYX}, m AS (SELECT t, y, x, CASE WHEN n > 1 THEN 1 ELSE 2 END AS label FROM tyx),
 p AS (SELECT a.t, a.y, a.x, b.label, (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) AS d2, b.y AS ny, b.x AS nx FROM m a JOIN m b ON a.t = b.t AND a.label = 2 AND b.label = 1)
 SELECT t, y, x, CAST(d2 AS BIGINT) AS d2, ny, nx FROM (SELECT *, row_number() OVER (PARTITION BY t, y, x ORDER BY d2, ny, nx) AS r FROM p) WHERE r = 1""")
 def nearest_label(spark, sf_dir):
-    return _nearest_label(tyx(spark, sf_dir).where("t < 5"))
+    return _nearest_label(tyx(spark, sf_dir))
 
 
 def _nearest_label(rows):
@@ -162,23 +128,12 @@ def _nearest_label(rows):
     return found.where("d2 is not null").select("t", "y", "x", F.col("d2").cast("long").alias("d2"), "ny", "nx")
 
 
-@whole("nearest_label", (" WHERE t < 5", ""))
-def nearest_label_whole(spark, sf_dir):
-    return _nearest_label(tyx(spark, sf_dir))
-
-
-@query(OBJECTS.replace("mask AS (SELECT t, z, y, x FROM tyx)", "mask AS (SELECT t, z, y, x FROM tyx WHERE t < 6)").join(["WITH RECURSIVE ", """,
-far AS (SELECT t, y, x FROM tyx WHERE t < 6 AND n > 1),
+@query(OBJECTS.join(["WITH RECURSIVE ", """,
+far AS (SELECT t, y, x FROM tyx WHERE n > 1),
 p AS (SELECT f.t, f.y, f.x, l.label, (f.y - l.y) * (f.y - l.y) + (f.x - l.x) * (f.x - l.x) AS d2, l.y AS ny, l.x AS nx FROM far f JOIN labels l USING (t)),
 q AS (SELECT t, label, count(*) AS target_near FROM (SELECT *, row_number() OVER (PARTITION BY t, y, x ORDER BY d2, ny, nx) AS r FROM p) WHERE r = 1 AND d2 <= 1 GROUP BY t, label)
 SELECT o.t, o.label, o.area AS source_size, coalesce(q.target_near, 0) AS target_near FROM objects o LEFT JOIN q USING (t, label)"""]))
 def target_near_source_objects(spark, sf_dir):
-    rows = tyx(spark, sf_dir).where("t < 6")
-    return proximity.near_source_objects(C.label(rows), rows.where("n > 1"), 1.0)
-
-
-@whole("target_near_source_objects", (" WHERE t < 6)", ")"), (" WHERE t < 6 AND n > 1", " WHERE n > 1"))
-def target_near_source_objects_whole(spark, sf_dir):
     rows = tyx(spark, sf_dir)
     return proximity.near_source_objects(C.label(rows), rows.where("n > 1"), 1.0)
 
@@ -498,7 +453,7 @@ def map_label(spark, sf_dir):
 # Tracking
 
 
-_POINTS = f"WITH {TYX}, p AS (SELECT t, y, x, row_number() OVER (ORDER BY t, y, x) AS id FROM tyx WHERE t < 6)"
+_POINTS = f"WITH {TYX}, p AS (SELECT t, y, x, row_number() OVER (ORDER BY t, y, x) AS id FROM tyx)"
 
 
 def _points(rows):
@@ -510,7 +465,7 @@ def _points(rows):
 @query(_POINTS + """, c AS (SELECT a.t, a.id AS src, b.id AS dst, (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) AS d2 FROM p a JOIN p b ON b.t = a.t + 1 AND (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 9)
 SELECT t, src, dst, CAST(d2 AS BIGINT) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY t, src ORDER BY d2, dst) AS rs, row_number() OVER (PARTITION BY t, dst ORDER BY d2, src) AS rd FROM c) WHERE rs <= 2 OR rd <= 2""")
 def point_knn_candidates(spark, sf_dir):
-    return _candidates(_points(tyx(spark, sf_dir).where("t < 6")))
+    return _candidates(_points(tyx(spark, sf_dir)))
 
 
 def _candidates(points):
@@ -519,11 +474,6 @@ def _candidates(points):
     return neighbors.nearest_points(src, dst, 3.0, 2, ["t"]).select("t", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("d2").cast("long").alias("d2"))
 
 
-@whole("point_knn_candidates", (" WHERE t < 6", ""))
-def point_knn_candidates_whole(spark, sf_dir):
-    return _candidates(_points(tyx(spark, sf_dir)))
-
-
 @query()
 def greedy_match(spark, sf_dir):
     points = _points(tyx(spark, sf_dir)).withColumns({"cz": F.lit(0.0), "cy": F.lit(0.0), "cx": F.lit(0.0)})
@@ -540,8 +490,8 @@ def optimal_match(spark, sf_dir):
 def sample_points(spark, sf_dir):
     labels = _labels(spark, sf_dir)
     rows = labels.join(tyx(spark, sf_dir).select(*VOXEL, "value"), VOXEL)
-    weights = rows.groupBy("t", "label").agg(F.sum("value").alias("weight"), F.count("*").alias("capacity"))
-    return assignment.sample_points(rows, tracking.allocate_samples(weights, 500))
+    weights = rows.groupBy("t", "label").agg(F.sum(F.when(F.col("value") > 0, F.col("value")).otherwise(0)).alias("weight"), F.count("*").alias("capacity"))
+    return assignment.sample_points(rows, tracking.allocate_samples(weights, _budget(500)))
 
 
 @query(f"WITH RECURSIVE {LINKS} SELECT t, src, dst, src_area, dst_area, matched_points, {R6.format('cost')} AS cost FROM links")
@@ -589,18 +539,25 @@ def unlinked_large(spark, sf_dir):
     return tracking.unlinked_large(dets, tracking.overlap_links(labels, dets), 1)
 
 
-@query(f"""WITH RECURSIVE {OBJECTS}, w AS (SELECT t, label, area, greatest(0, 400 - count(*) OVER (PARTITION BY t)) AS rest, sum(area) OVER (PARTITION BY t) AS s FROM objects),
-q AS (SELECT *, area * rest / CAST(s AS DOUBLE) AS exact, floor(area * rest / CAST(s AS DOUBLE)) AS base FROM w),
-z AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY exact - base DESC, area DESC, label) AS r, rest - sum(base) OVER (PARTITION BY t) AS left_ FROM q)
-SELECT t, label, CAST(least(area * 3, 1 + base + CASE WHEN r <= left_ THEN 1 ELSE 0 END) AS BIGINT) AS samples FROM z""")
+def _budget(least):
+    """Sample points of a frame: so many, or two for each object if there are more objects."""
+    return F.greatest(F.lit(least), 2 * F.count("*").over(W.partitionBy("t")))
+
+
+@query(f"""WITH RECURSIVE {OBJECTS}, w AS (SELECT t, label, area, area * 3 AS cap, count(*) OVER (PARTITION BY t) AS n, sum(area) OVER (PARTITION BY t) AS s, least(greatest(400, 2 * count(*) OVER (PARTITION BY t)), sum(area * 3) OVER (PARTITION BY t)) AS dealt FROM objects),
+q AS (SELECT *, area / CAST(s AS DOUBLE) * (dealt - n) AS exact, least(floor(area / CAST(s AS DOUBLE) * (dealt - n)), cap - 1) AS base FROM w),
+k AS (SELECT *, dealt - n - sum(base) OVER (PARTITION BY t) AS left_ FROM q),
+u AS (SELECT t, label, left_, row_number() OVER (PARTITION BY t ORDER BY turn, exact - floor(exact) DESC, area DESC, label) AS r FROM (SELECT *, unnest(range(CAST(cap - 1 - base AS BIGINT))) AS turn FROM k)),
+m AS (SELECT t, label, count(*) AS more FROM u WHERE r <= left_ GROUP BY t, label)
+SELECT t, label, CAST(1 + base + coalesce(more, 0) AS BIGINT) AS samples FROM k LEFT JOIN m USING (t, label)""")
 def sample_allocation(spark, sf_dir):
     rows = C.objects(_labels(spark, sf_dir)).select("t", "label", F.col("area").alias("weight"), (F.col("area") * 3).alias("capacity"))
-    return tracking.allocate_samples(rows, 400)
+    return tracking.allocate_samples(rows, _budget(400))
 
 
 @query()
 def track_selected_links(spark, sf_dir):
-    return tracking.track(tyx(spark, sf_dir), tracking.TrackingConfig(radius=3.0, neighbours=3))["selected"]
+    return tracking.track(tyx(spark, sf_dir), tracking.TrackingConfig(radius=3.0, neighbours=3, min_link_size=0))["selected"]
 
 
 @query(f"WITH RECURSIVE {OBJECTS} SELECT t, max(label) AS objects, count(*) AS voxels FROM labels GROUP BY t")

@@ -60,7 +60,7 @@ class _Stream:
 
 
 def decode(raw: bytes, count: int = 1, budget: Budget | None = None) -> dict[str, object]:
-    """Items by name; names that repeat become lists.  Raises InvalidMetadata beyond the limits."""
+    """Items by name; of equal names the last counts, but nameless items become a list.  Raises InvalidMetadata beyond the limits."""
     return _items(_Stream(raw), count, 0, budget or Budget())
 
 
@@ -75,7 +75,7 @@ def _items(stream: _Stream, count: int, depth: int, budget: Budget) -> dict[str,
         begin = stream.at
         kind, length = stream.take(2)
         if kind == PACKED:
-            stream.take(8)
+            stream.take(10)
             unpacker = zlib.decompressobj()
             try:
                 inner = unpacker.decompress(stream.raw[stream.at :], max(1, budget.bytes))
@@ -83,9 +83,11 @@ def _items(stream: _Stream, count: int, depth: int, budget: Budget) -> dict[str,
                 raise InvalidMetadata("damaged compressed metadata") from e
             if unpacker.unconsumed_tail:
                 raise InvalidMetadata("metadata exceeds its budget")
+            if not unpacker.eof:
+                raise InvalidMetadata("truncated compressed metadata")
             budget.spend(size=len(inner))
             stream.at = len(stream.raw) - len(unpacker.unused_data)
-            return out | _items(_Stream(inner), MOST_ITEMS, depth + 1, budget)
+            return _items(_Stream(inner), 1, depth + 1, budget)
         name = stream.take(2 * length).decode("utf-16-le", "replace").rstrip("\0")
         if kind in _NUMBERS:
             value: object = stream.number(_NUMBERS[kind])
@@ -106,7 +108,7 @@ def _items(stream: _Stream, count: int, depth: int, budget: Budget) -> dict[str,
             stream.take(min(8 * number, len(stream.raw) - end))
         else:
             raise InvalidMetadata(f"unknown item kind {kind}")
-        if name in out:
+        if name == "" and name in out:
             old = out[name]
             out[name] = [*old, value] if isinstance(old, list) else [old, value]
         else:
