@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+import pytest
+from voxelspark.llm import mixture
 from voxelspark.llm.graph import cut
 
 
@@ -35,3 +37,20 @@ def test_stages(spark, tmp_path):
     final = corpus_pipeline.run(spark, sf).collect()
     assert sorted(str(r.doc_id) for r in final) == sorted(map(str, mixed))
     assert all(0 <= r.shard < 8 for r in final)
+
+
+def test_mixing_stage_with_clashing_columns_and_repeated_ids(spark):
+    rows = [(i % 7, f"word {i} " * (i % 5), "en", f"src{i % 3}", i, i, i) for i in range(40)] + [(None, None, None, None, 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, copies int, copy int, tokens int")
+    for table in (docs, docs.limit(0)):
+        out = corpus_pipeline.mixing_stage(spark, table, "")
+        assert out.columns == docs.columns
+        assert {tuple(r) for r in out.collect()} <= {tuple(r) for r in rows}
+    assert out.count() == 0 and corpus_pipeline.mixing_stage(spark, docs, "").count() > 0
+    assert corpus_pipeline.sharding_stage(spark, docs, "").count() == len(rows)
+
+
+def test_weights_of_zero_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a b", "en")], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="1 or more"):
+        mixture.mix_sources(docs, {"lang": docs["lang"]}, {("en",): 0})

@@ -71,7 +71,7 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[tuple[str
 def mix_sources(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple[str, ...], int], percent: int = 50, epochs: int = 2, seed: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, the levels, tokens, target, copies; one row for each row of docs.
 
-    levels: from the root down, column names and what they are of docs.  weights: integer weights by path; 1 where none is given.  Each
+    levels: from the root down, column names and what they are of docs.  weights: integer weights of 1 or more by path (ValueError else); 1 where none is given.  Each
     leaf draws its target from passes over its documents, each in the order of md5(seed:pass:id): whole passes first, then the
     longest prefix of the next that fits.  copies says how often a document is drawn, 0 if not at all.
 
@@ -79,6 +79,9 @@ def mix_sources(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[
     third of all rows is spread over 4096 groups.  Null levels and ids count as empty strings.  A null, empty or blank text has no
     tokens; it is drawn with the prefix that it falls into.  Equal ids tie in one order by tokens.  Other columns of docs are not looked at.
     """
+    wrong = {path: w for path, w in weights.items() if w < 1}
+    if wrong:
+        raise ValueError(f"weights are 1 or more; leave out by a filter instead: {wrong}")
     names = list(levels)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()], n_words(F.col(text_column).cast("string")).alias("tokens"))
     rows = cut(rows)
