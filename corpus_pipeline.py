@@ -35,15 +35,22 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mixture draws, as often as it draws them."""
+    """Documents that the mixture draws, as often as it draws them.
+
+    Null texts have no tokens and are drawn with the prefix that they fall into; null levels count as empty.  Rows that repeat an id are told
+    apart by their tokens and levels; rows equal in these are drawn alike, as often as the one drawn most.  An empty table stays empty, and columns may have any name.
+    """
     levels = {"domain": domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
-    drawn = mixture.mix_sources(docs, levels, MIX_WEIGHTS, PERCENT, MIX_EPOCHS, MIX_SEED).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    rows = docs.join(drawn, docs["doc_id"].eqNullSafe(drawn["doc_id"])).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-    return rows.drop("copy")
+    keys = ["doc_id", *levels, "tokens"]
+    drawn = mixture.mix_sources(docs, levels, MIX_WEIGHTS, PERCENT, MIX_EPOCHS, MIX_SEED).where("copies > 0").groupBy(*keys).agg(F.max("copies").alias("copies"))
+    drawn = drawn.select(F.struct(*keys).alias("_drawn_key"), F.col("copies").alias("_drawn_copies"))
+    own = F.struct(F.col("doc_id").cast("long"), *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()], mixture.n_words(F.col("text").cast("string")).alias("tokens"))
+    rows = docs.withColumn("_key", own).join(drawn, F.col("_key").eqNullSafe(F.col("_drawn_key")))
+    return rows.withColumn("_time", F.explode(F.sequence(F.lit(1), "_drawn_copies"))).select(*docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, checksum, shard and slot of each row."""
+    """doc_id, size, checksum, shard and slot of each row; null texts have size 1, null ids share a shard, repeated rows are kept, an empty table stays empty."""
     return sharding.rendezvous_shards(docs)
 
 
