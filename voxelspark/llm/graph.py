@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import arrow_rows, shared_folder
+from .scratch import arrow_rows, shared_folder, tidy
 
 #: Ids that may be broadcast at once (8 bytes each, so at most some tens of MB in hash form); above it, joins shuffle.
 BROADCAST_IDS = 500_000
@@ -30,7 +30,7 @@ def cut(df: DataFrame, batch: int = 256) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(f"{shared_folder(spark)}/checkpoints")
     most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * context.defaultParallelism)
-    with arrow_rows(spark, batch):
+    with arrow_rows(spark, batch), tidy(spark):
         return df.coalesce(most).checkpoint(eager=True)
 
 

@@ -12,6 +12,8 @@ from types import TracebackType
 from pyspark.sql import DataFrame, SparkSession
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Shuffle files of a query go when it ends; should anything still need them, their stage is run again.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,6 +35,17 @@ def arrow_rows(spark: SparkSession, n: int | None) -> Iterator[None]:
         spark.conf.set(ARROW_ROWS, before)
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries that are planned and run meanwhile leave no shuffle files behind; for tables that are written out whole."""
+    before = spark.conf.get(TIDY, "false")
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(TIDY, before)
+
+
 class Scratch:
     """A folder below the shared one for Parquet tables."""
 
