@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import components as C
-from ..operators import assignment, distance, kernels, masks, morphology, neighbors, proximity, segment, topology, tracking
+from ..operators import assignment, distance, kernels, masks, morphology, neighbors, proximity, proximity_result, segment, topology, tracking
 from ..operators.masks import VOXEL
 from ..sources.derive import SRC, TGT, TYX, YX, ZYX, channel, tyx, yx, zyx
 
@@ -154,6 +154,46 @@ def roi_label_overlay(spark, sf_dir):
     return masks.last_writer(proximity.roi_voxels(zyx(spark, sf_dir), rois), F.col("roi_id"), "roi_id").select("z", "y", "x", "roi_id")
 
 
+# The proximity result: voxels measure (2, 0.5, 1) micrometres
+
+
+def _sql_side(own: str, other: str) -> str:
+    """Voxels of a channel with the area of their faces and, for the surface, the distance to the other channel."""
+    gap = lambda a: " + ".join(f"CASE WHEN {f}({a}) OVER (PARTITION BY {', '.join(c for c in 'zyx' if c != a)} ORDER BY {a}) = {a} {sign} 1 THEN 0 ELSE 1 END" for f, sign in (("lag", "-"), ("lead", "+")))
+    return f"""{own}_f AS (SELECT z, y, x, value, ({gap("z")}) * 0.5::DOUBLE + ({gap("y")}) * 2.0::DOUBLE + ({gap("x")}) * 1.0::DOUBLE AS area FROM {own}),
+{own}_d AS (SELECT a.z, a.y, a.x, min(4 * (a.z - b.z) * (a.z - b.z) + 0.25::DOUBLE * (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS d2 FROM {own}_f a CROSS JOIN {other} b WHERE a.area > 0 GROUP BY ALL),
+{own}_n AS (SELECT count(*) AS basis, count(*) FILTER (d2 <= 1) AS near, coalesce(sum(area) FILTER (d2 <= 1), 0) AS near_area, CAST(sum(value) AS DOUBLE) AS shell, CAST(coalesce(sum(value) FILTER (d2 <= 1), 0) AS DOUBLE) AS close,
+  {R6.format("avg(CAST(CAST(sqrt(d2) AS REAL) AS DOUBLE))")} AS mean, {R6.format("median(CAST(CAST(sqrt(d2) AS REAL) AS DOUBLE))")} AS mid FROM {own}_f JOIN {own}_d USING (z, y, x))"""
+
+
+@query(f"""WITH {ZYX}, {SRC}, {TGT}, {_sql_side("src_", "tgt_")}, {_sql_side("tgt_", "src_")},
+e AS (SELECT CAST((max(z) - min(z) + 1) * (max(y) - min(y) + 1) * (max(x) - min(x) + 1) AS BIGINT) AS n FROM zyx),
+c AS (SELECT count(*) FILTER (src > 0) AS a, count(*) FILTER (tgt > 0) AS b, count(*) FILTER (src > 0 AND tgt > 0) AS o, count(*) FILTER (src > 0 OR tgt > 0) AS u,
+  CAST(sum(src) FILTER (src > 0 AND tgt > 0) AS DOUBLE) / sum(src) FILTER (src > 0) AS m1, CAST(sum(tgt) FILTER (src > 0 AND tgt > 0) AS DOUBLE) / sum(tgt) FILTER (tgt > 0) AS m2 FROM zyx)
+SELECT 1 AS roi_id, 'Full image' AS roi_name, -1 AS frame, n AS roi_size, n * 1.0::DOUBLE AS roi_size_physical, a AS source_size, b AS target_size, o AS overlap_size, o * 1.0::DOUBLE AS overlap_size_physical,
+  s.near AS source_proximity_size, t.near AS target_proximity_size, s.near_area AS source_proximity_size_physical, t.near_area AS target_proximity_size_physical,
+  CAST(s.near AS DOUBLE) / s.basis AS source_proximity_fraction, CAST(t.near AS DOUBLE) / t.basis AS target_proximity_fraction, s.close / s.shell AS proximity_manders_m1, t.close / t.shell AS proximity_manders_m2,
+  s.mean AS source_mean_distance, s.mid AS source_median_distance, t.mean AS target_mean_distance, t.mid AS target_median_distance, m1 AS manders_m1, m2 AS manders_m2, 2.0::DOUBLE * o / (a + b) AS dice, CAST(o AS DOUBLE) / u AS jaccard, u AS union_size
+FROM c CROSS JOIN e CROSS JOIN src__n s CROSS JOIN tgt__n t""")
+def proximity_summary(spark, sf_dir):
+    volume = zyx(spark, sf_dir)
+    ends = volume.agg(*[F.max(c) - F.min(c) + 1 for c in "zyx"]).head()
+    found = proximity_result.proximity_result(channel(volume, "src"), channel(volume, "tgt"), (1, *ends), voxel_size=(2.0, 0.5, 1.0), threshold=1.0)
+    return found.summary.withColumns({c: S.r6(F.col(c)) for c in found.summary.columns if c.endswith("_distance")})
+
+
+@query(OBJECTS.join(["WITH RECURSIVE ", """,
+far AS (SELECT t, y, x FROM tyx WHERE n > 1),
+p AS (SELECT f.t, f.y, f.x, d.det_id + 1 AS id, (f.y - l.y) * (f.y - l.y) + (f.x - l.x) * (f.x - l.x) AS d2, l.y AS ny, l.x AS nx FROM far f JOIN labels l USING (t) JOIN dets d USING (t, label)),
+q AS (SELECT id, count(*) AS size FROM (SELECT *, row_number() OVER (PARTITION BY t, y, x ORDER BY d2, ny, nx) AS r FROM p) WHERE r = 1 AND d2 <= 1 GROUP BY id),
+s AS (SELECT det_id + 1 AS id, area, coalesce(size, 0) AS size FROM dets LEFT JOIN q ON id = det_id + 1)
+SELECT 1 AS roi_id, -1 AS frame, id AS component_id, row_number() OVER (ORDER BY area DESC, id) AS global_component_id, size, size * 1.0::DOUBLE AS size_physical, id AS source_label, area AS source_size, area * 1.0::DOUBLE AS source_size_physical FROM s"""]))
+def proximity_instances(spark, sf_dir):
+    rows = tyx(spark, sf_dir)
+    ends = rows.agg(F.max("t") + 1, *[F.max(c) + 1 for c in "zyx"]).head()
+    return proximity_result.proximity_result(rows, rows.where("n > 1"), ends, axes=("y", "x"), surface_only=False, threshold=1.0).components
+
+
 # Selection, sets, values
 
 
