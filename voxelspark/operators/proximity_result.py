@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,13 +34,24 @@ COMPONENTS = ("roi_id", "frame", "component_id", "global_component_id", "size",
 @dataclass(frozen=True)
 class ProximityResult:
     """summary: SUMMARY by region.  components: COMPONENTS.  voxels: t, z, y, x and whether a voxel is source, target, source_near, target_near
-    within any region.  labels: t, z, y, x, global_component_id.
+    within any region.  labels: t, z, y, x, global_component_id.  Components and labels are not worked out until one of them is asked for.
     """
 
     summary: DataFrame
-    components: DataFrame
     voxels: DataFrame
-    labels: DataFrame
+    find: Callable[[], tuple[DataFrame, DataFrame]]
+
+    @cached_property
+    def _found(self) -> tuple[DataFrame, DataFrame]:
+        return self.find()
+
+    @property
+    def components(self) -> DataFrame:
+        return self._found[0]
+
+    @property
+    def labels(self) -> DataFrame:
+        return self._found[1]
 
 
 def _product(values: Sequence[float]) -> float:
@@ -48,14 +59,13 @@ def _product(values: Sequence[float]) -> float:
 
 
 def _side(own: DataFrame, other: DataFrame, threshold: float, spacing: Sequence[float], sizes: Sequence[float], axes: Sequence[str], surface_only: bool) -> DataFrame:
-    """Voxels of a channel with their basis flag, area of faces, distance to the other channel (of the basis), nearness and nearest label."""
+    """Voxels of a channel with their basis flag, area of faces, distance to the other channel's nearest voxel (of the basis), nearness and that voxel."""
     size = dict(zip("zyx", sizes, strict=True))
     area = reduce(lambda a, b: a + b, (F.col(f"f_{a}") * F.lit(_product([size[b] for b in axes if b != a])) for a in axes))
     rows = missing_faces(own.select(*VOXEL, "value"), axes).select(*VOXEL, "value", area.alias("area"), (F.col("f_z") + F.col("f_y") + F.col("f_x") > 0 if surface_only else F.lit(True)).alias("basis"))
     found = nearest(rows.where("basis"), other, spacing)
     # Distances are single precision, as is the threshold that they are held against.
-    kept = [c for c in ("label",) if c in found.columns]
-    found = found.select(*VOXEL, F.sqrt("d2").cast("float").alias("d"), *kept)
+    found = found.select(*VOXEL, F.sqrt("d2").cast("float").alias("d"), "nz", "ny", "nx")
     near = F.coalesce(F.col("d") <= F.lit(max(0.0, float(threshold))).cast("float"), F.lit(False))
     return rows.join(found, VOXEL, "left").withColumn("near", near)
 
@@ -103,9 +113,8 @@ def proximity_result(
     size = dict(zip("zyx", map(float, voxel_size), strict=True))
     unit = _product([size[a] for a in axes])
     source, target = (df.withColumn("value", F.coalesce("value", F.lit(0))) for df in (source, target))
-    instances = _instances(source)
     own = cut(_side(source, target.select(*VOXEL), threshold, spacing, voxel_size, axes, surface_only))
-    far = cut(_side(target, instances if rois is None else source.select(*VOXEL), threshold, spacing, voxel_size, axes, surface_only))
+    far = cut(_side(target, source.select(*VOXEL), threshold, spacing, voxel_size, axes, surface_only))
     side = lambda df, s: df.select(*VOXEL, F.lit(s).alias("side"), "value", "area", "basis", "near", "d")
     of = lambda c, s: F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s}")
     both = cut(side(own, "s").union(side(far, "g")).groupBy(*VOXEL).agg(*[of(c, s) for s in "sg" for c in ("value", "area", "basis", "near", "d")]))
@@ -120,12 +129,12 @@ def proximity_result(
     summary = _summary(placed, regions, unit, surface_only)
     extent = F.col("area") if surface_only else F.lit(unit)
     if rois is None:
-        components, labels = _by_instance(instances, far.where("near"), extent, unit)
+        find = lambda: _by_instance(_instances(source), far.where("near"), extent, unit)
     else:
         near = placed.where("near_g").select("roi_id", *VOXEL, F.col("area_g").alias("area"))
-        components, labels = _by_part(near, regions, extent, int(shape[0]), temporal)
+        find = lambda: _by_part(near, regions, extent, int(shape[0]), temporal)
     flags = [F.bool_or(F.coalesce(c, F.lit(False))).alias(n) for n, c in (("source", F.col("basis_s").isNotNull()), ("target", F.col("basis_g").isNotNull()), ("source_near", F.col("near_s")), ("target_near", F.col("near_g")))]
-    return ProximityResult(summary, components, placed.groupBy(*VOXEL).agg(*flags), labels)
+    return ProximityResult(summary, placed.groupBy(*VOXEL).agg(*flags), find)
 
 
 def _count(shape: Sequence[int]) -> int:
@@ -162,6 +171,8 @@ def _summary(placed: DataFrame, regions: DataFrame, unit: float, surface_only: b
 
 
 def _by_instance(instances: DataFrame, near: DataFrame, extent: Column, unit: float) -> tuple[DataFrame, DataFrame]:
+    at = instances.select("t", *[F.col(c).alias(f"n{c}") for c in "zyx"], "label")
+    near = cut(near.join(at, ["t", "nz", "ny", "nx"]).select(*VOXEL, "label", "area"))
     sizes = instances.groupBy("label").agg(F.count("*").alias("source_size"))
     found = near.groupBy("label").agg(F.count("*").alias("size"), F.sum(extent).cast("double").alias("size_physical"))
     rows = sizes.join(found, "label", "left").fillna(0, ["size", "size_physical"])
