@@ -15,7 +15,7 @@ def nearest(src: DataFrame, dst: DataFrame, spacing: Sequence[float] = (1.0, 1.0
     """For each distinct source voxel of a frame: squared distance d2 to the nearest target voxel and that voxel's nz, ny, nx (and label).
 
     Separable: first the nearest target along x in every target row at the x of the sources (a window looking both ways), then the best row
-    for each source y, then the best plane.  Ties go to the least (z, y, x).  Sources of a frame without targets have null d2.
+    for each source y, then the best plane, both over arrays of a line.  Ties go to the least (z, y, x).  Sources of a frame without targets have null d2.
     """
     label = "label" if "label" in dst.columns else None
     sz, sy, sx = (F.lit(float(s)) for s in spacing)
@@ -31,11 +31,15 @@ def nearest(src: DataFrame, dst: DataFrame, spacing: Sequence[float] = (1.0, 1.0
     line = line.select(*VOXEL, "ask", back.alias("b"), ahead.alias("a")).where("ask")
     best = F.when(F.col("a").isNull() | (F.abs(F.col("b.x") - F.col("x")) <= F.abs(F.col("a.x") - F.col("x"))), F.col("b")).otherwise(F.col("a"))
     line = line.withColumn("h", best).select("t", F.col("z").alias("nz"), F.col("y").alias("ny"), "x", F.struct(F.pow((F.col("h.x") - F.col("x")) * sx, 2).alias("d2"), F.col("z").alias("nz"), F.col("y").alias("ny"), F.col("h.x").alias("nx"), *([F.col("h.label").alias("label")] if label else [])).alias("c"))
-    # Along y, then z: the best so far of each row or plane plus its own offset.
-    further = lambda c, d2: F.struct((F.col(f"{c}.d2") + d2).alias("d2"), *[F.col(f"{c}.{n}").alias(n) for n in ("nz", "ny", "nx", *([label] if label else []))])
-    columns = own.select("t", "y", "x").distinct()
-    plane = columns.join(line, ["t", "x"]).groupBy("t", "nz", "y", "x").agg(F.min(further("c", F.pow((F.col("ny") - F.col("y")) * sy, 2))).alias("c"))
-    found = own.join(plane, ["t", "y", "x"]).groupBy(*VOXEL).agg(F.min(further("c", F.pow((F.col("nz") - F.col("z")) * sz, 2))).alias("c"))
+    # Along y, then z: a line of the image is one array, over which each asked position takes its least; pairs of positions never become rows.
+    keep = ("nz", "ny", "nx", *([label] if label else []))
+    least = lambda at, n, s: F.array_min(F.transform("line", lambda e: F.struct((e["d2"] + F.pow((e[n] - at) * s, 2)).alias("d2"), *[e[k].alias(k) for k in keep])))
+    asked_y = own.groupBy("t", "x").agg(F.collect_set("y").alias("at"))
+    lines = line.groupBy("t", "nz", "x").agg(F.collect_list("c").alias("line")).join(asked_y, ["t", "x"])
+    plane = lines.select("t", "x", F.explode(F.transform("at", lambda y: F.struct(y.alias("y"), least(y, "ny", sy).alias("c")))).alias("q")).select("t", "q.y", "x", "q.c")
+    asked_z = own.groupBy("t", "y", "x").agg(F.collect_set("z").alias("at"))
+    lines = plane.groupBy("t", "y", "x").agg(F.collect_list("c").alias("line")).join(asked_z, ["t", "y", "x"])
+    found = lines.select("t", "y", "x", F.explode(F.transform("at", lambda z: F.struct(z.alias("z"), least(z, "nz", sz).alias("c")))).alias("q")).select("t", "q.z", "y", "x", "q.c")
     return own.join(found, VOXEL, "left").select(*VOXEL, "c.*")
 
 
