@@ -49,12 +49,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of consecutive texts: ``hash`` per word, ``first[i]:first[i + 1]`` are those of text i."""
+    """The words of consecutive texts: ``hash`` per word, ``first[i]:first[i + 1]`` are those of text i, ``begin`` and ``close`` bound their bytes."""
 
-    __slots__ = ("first", "hash")
+    __slots__ = ("begin", "close", "first", "hash")
 
-    def __init__(self, hash_: np.ndarray, first: np.ndarray):
-        self.hash, self.first = hash_, first
+    def __init__(self, hash_: np.ndarray, first: np.ndarray, begin: np.ndarray, close: np.ndarray):
+        self.hash, self.first, self.begin, self.close = hash_, first, begin, close
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -80,11 +80,14 @@ def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int,
         start = end
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> Words:
-    """Hashed words of the texts whose bytes are ``raw[offsets[i]:offsets[i + 1]]``."""
+def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True, between: np.ndarray = _SPACE) -> Words:
+    """Hashed words of the texts whose bytes are ``raw[offsets[i]:offsets[i + 1]]``.
+
+    lower: whether A-Z count as a-z; between: for each byte, whether it stands between words.
+    """
     n = len(raw)
     space = np.ones(n + 1, bool)
-    space[:n] = _SPACE[raw]
+    space[:n] = between[raw]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.ones(n + 1, bool)
@@ -94,9 +97,9 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> Words:
     close = np.flatnonzero(~before & (space | edge))
     up, down = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+    np.cumsum(((_LOWER[raw] if lower else raw).astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
     hashed = mix((total[close] - total[begin]) * down[begin])
-    return Words(hashed, np.searchsorted(begin, offsets))
+    return Words(hashed, np.searchsorted(begin, offsets), begin, close)
 
 
 def shingles(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -138,8 +141,16 @@ def distinct(values: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(out) if out else np.empty(0, np.uint64), np.cumsum(size)
 
 
-def text_blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Words]]:
+def run_hash(values: np.ndarray, n: int) -> np.ndarray:
+    """A hash of values[i:i + n] for each i."""
+    up, down = powers(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=total[1:])
+    return mix((total[n:] - total[:-n]) * down[: max(0, len(total) - n)]) if len(values) >= n else np.empty(0, np.uint64)
+
+
+def text_blocks(column: pa.Array, most: int = BLOCK_BYTES, lower: bool = True) -> Iterator[tuple[int, int, Words]]:
     """(start, end, Words) over blocks of a column of texts."""
     raw, at = buffers(column)
     for start, end in blocks(at, most):
-        yield start, end, words(raw[at[start] : at[end]], at[start : end + 1] - at[start])
+        yield start, end, words(raw[at[start] : at[end]], at[start : end + 1] - at[start], lower)
