@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors, contentsort, decontaminate, fuzzylines, minhash, mixing_lm, mixture, quality, sharding, suffixes, urlfilter
+from . import anchors, contentsort, decontaminate, fuzzylines, minhash, mixing_lm, mixture, phrases, quality, sharding, suffixes, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,11 @@ def op10_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_lm.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collocations of each language."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the words of passages that a smaller document has too."""
     return anchors.remove_repeats(_table(spark, sf_dir, "documents"))
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_contentsort": op9_contentsort,
     "op10_mixing_lm": op10_mixing_lm,
+    "op11_phrases": op11_phrases,
     "op12_anchors": op12_anchors,
 }
 
@@ -103,5 +109,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": decontaminate.ORACLE,
     "op7_mixture": mixture.oracle_sql("'d' || (coalesce(TRY_CAST(regexp_extract(source, '([0-9]{1,9})$', 1) AS INTEGER), 0) % 4)", MIX_WEIGHTS, MIX_PERCENT, MIX_EPOCHS, MIX_SEED),
     "op9_contentsort": contentsort.ORACLE,
+    "op11_phrases": phrases.ORACLE,
     "op12_anchors": anchors.ORACLE,
 }
