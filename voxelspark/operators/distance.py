@@ -2,45 +2,135 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .masks import VOXEL
 
+#: Rows of the image around a voxel up to which a bounded search looks into each of them.
+MOST_ROWS = 400
 
-def nearest(src: DataFrame, dst: DataFrame, spacing: Sequence[float] = (1.0, 1.0, 1.0)) -> DataFrame:
+
+def lowest(line: np.ndarray, place: np.ndarray, height: np.ndarray, ask_line: np.ndarray, ask: np.ndarray, spacing: float) -> np.ndarray:
+    """For each asked position the parabola, height + (spacing * (place - ask))**2, that is lowest there among those of its line.
+
+    Parabolas are ordered by line and place, asked positions by line and position; each line asked has a parabola.  Of equals the first one counts.  All parabolas
+    have one width, so the lowest one moves on as positions do: a line's middle position splits parabolas and positions, and halves are solved alike.  Each
+    round looks at each parabola about once, so the work is linear in a line but for the logarithm of its positions.
+    """
+    out = np.zeros(len(ask), np.int64)
+    if not len(ask):
+        return out
+    first = np.flatnonzero(np.concatenate([[True], ask_line[1:] != ask_line[:-1]]))
+    low, high = first, np.append(first[1:], len(ask)) - 1
+    left, right = np.searchsorted(line, ask_line[first]), np.searchsorted(line, ask_line[first], "right") - 1
+    while len(low):
+        middle = (low + high) // 2
+        n = right - left + 1
+        start = np.cumsum(n) - n
+        at = np.arange(n.sum()) + np.repeat(left - start, n)
+        cost = height[at] + ((place[at] - np.repeat(ask[middle], n)) * spacing) ** 2
+        equal = np.flatnonzero(cost == np.repeat(np.minimum.reduceat(cost, start), n))
+        best = at[equal[np.searchsorted(equal, start)]]
+        out[middle] = best
+        low, high, left, right = (np.concatenate(x) for x in ((low, middle + 1), (middle - 1, high), (left, best), (best, right)))
+        rest = low <= high
+        low, high, left, right = low[rest], high[rest], left[rest], right[rest]
+    return out
+
+
+def _swept(keys: int, spacing: float, names: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """keys, line (place, d2, ...), at to keys, asked position, d2, place, ...: the lowest parabola of each line at its asked positions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines, asked = batch.column(keys), batch.column(keys + 1)
+            own = np.repeat(np.arange(len(lines)), lines.value_lengths().to_numpy())
+            fields = [f.to_numpy(zero_copy_only=False) for f in lines.flatten().flatten()]
+            order = np.lexsort((fields[0], own))
+            own, fields = own[order], [f[order] for f in fields]
+            of = np.repeat(np.arange(len(asked)), asked.value_lengths().to_numpy())
+            ask = asked.flatten().to_numpy()
+            order = np.lexsort((ask, of))
+            of, ask = of[order], ask[order]
+            best = lowest(own, fields[0].astype(float), fields[1], of, ask.astype(float), spacing)
+            d2 = fields[1][best] + ((fields[0][best] - ask) * spacing) ** 2
+            rows = pa.array(of)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(keys)), pa.array(ask), pa.array(d2), pa.array(fields[0][best]), *(pa.array(f[best]) for f in fields[2:])], list(names))
+
+    return run
+
+
+def _sweep(rows: DataFrame, asked: DataFrame, keys: Sequence[str], over: Sequence[str], place: str, name: str, spacing: float, carry: Sequence[str]) -> DataFrame:
+    """Candidates rows (keys, place, d2, carry) to the best one at the asked (over, name) positions: keys, name, d2, place, carry."""
+    at = asked.groupBy(*over).agg(F.collect_set(name).alias("at"))
+    lines = rows.groupBy(*keys).agg(F.collect_list(F.struct(place, "d2", *carry)).alias("line")).join(at, list(over)).select(*keys, "line", "at")
+    kind = {f.name: f for f in rows.schema} | {f.name: f for f in asked.schema}
+    schema = StructType([*(kind[k] for k in keys), StructField(name, kind[name].dataType), StructField("d2", DoubleType()), StructField(place, kind[place].dataType), *(kind[c] for c in carry)])
+    return lines.mapInArrow(_swept(len(keys), spacing, schema.names), schema)
+
+
+def _beside(hit: DataFrame, asked: DataFrame, spacing: float) -> DataFrame:
+    """asked (t, z, y, x, ...) positions with nx (and label) of the nearest hit in their row, the lesser of two equals, and d2; none without a hit in the row."""
+    extra = [c for c in asked.columns if c not in VOXEL]
+    mark = F.struct(F.col("x").alias("nx"), *[c for c in hit.columns if c not in VOXEL])
+    kind = hit.select(mark.alias("m")).schema["m"].dataType
+    blank = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in extra]
+    line = hit.select(*VOXEL, mark.alias("hit"), F.lit(False).alias("ask"), *blank).union(asked.select(*VOXEL, F.lit(None).cast(kind).alias("hit"), F.lit(True).alias("ask"), *extra))
+    row = W.partitionBy("t", "z", "y").orderBy("x", "ask")
+    back = F.last("hit", True).over(row.rowsBetween(W.unboundedPreceding, 0))
+    ahead = F.first("hit", True).over(row.rowsBetween(0, W.unboundedFollowing))
+    line = line.withColumns({"b": back, "a": ahead}).where("ask AND coalesce(a, b) IS NOT NULL")
+    best = F.when(F.col("a").isNull() | (F.col("x") - F.col("b.nx") <= F.col("a.nx") - F.col("x")), F.col("b")).otherwise(F.col("a"))
+    return line.withColumn("h", best).select(*VOXEL, *extra, "h.*").withColumn("d2", F.pow((F.col("nx") - F.col("x")) * F.lit(spacing), 2))
+
+
+def nearest(src: DataFrame, dst: DataFrame, spacing: Sequence[float] = (1.0, 1.0, 1.0), within: float | None = None) -> DataFrame:
     """For each distinct source voxel of a frame: squared distance d2 to the nearest target voxel and that voxel's nz, ny, nx (and label).
 
+    within: only targets up to this distance count.  Ties go to the least (z, y, x).  Sources without a target, in their frame or within reach, have null d2.
+
     Separable: first the nearest target along x in every target row at the x of the sources (a window looking both ways), then the best row
-    for each source y, then the best plane, both over arrays of a line.  Ties go to the least (z, y, x).  Sources of a frame without targets have null d2.
+    for each source y, then the best plane, each by the lower envelope of parabolas over a line.  Lines are rows of arrays, so a line must fit in a task.  A small reach
+    looks only into the rows of the image that it touches, in one shuffle.
     """
-    label = "label" if "label" in dst.columns else None
-    sz, sy, sx = (F.lit(float(s)) for s in spacing)
+    spacing = [float(s) for s in spacing]
+    label = ["label"] if "label" in dst.columns else []
     own = src.select(*VOXEL).distinct()
-    hit = dst.select(*VOXEL, *([label] if label else []))
-    # Along x: targets and asked positions of a row in one sorted line.
+    hit = dst.select(*VOXEL, *label)
+    if within is not None:
+        near = _rows_within(float(within), spacing)
+        if len(near) <= MOST_ROWS:
+            return _nearest_within(own, hit, spacing, float(within), near, label)
     asked = hit.select("t", "z", "y").distinct().join(own.select("t", "x").distinct(), "t")
-    mark = F.struct("x", *([label] if label else []))
-    line = hit.select(*VOXEL, mark.alias("hit"), F.lit(False).alias("ask")).union(asked.select(*VOXEL, F.lit(None).cast(hit.select(mark.alias("m")).schema["m"].dataType).alias("hit"), F.lit(True).alias("ask")))
-    row = W.partitionBy("t", "z", "y").orderBy("x", "ask")
-    back = F.last("hit", True).over(row.rowsBetween(W.unboundedPreceding, 0))
-    ahead = F.first("hit", True).over(row.rowsBetween(0, W.unboundedFollowing))
-    line = line.select(*VOXEL, "ask", back.alias("b"), ahead.alias("a")).where("ask")
-    best = F.when(F.col("a").isNull() | (F.abs(F.col("b.x") - F.col("x")) <= F.abs(F.col("a.x") - F.col("x"))), F.col("b")).otherwise(F.col("a"))
-    line = line.withColumn("h", best).select("t", F.col("z").alias("nz"), F.col("y").alias("ny"), "x", F.struct(F.pow((F.col("h.x") - F.col("x")) * sx, 2).alias("d2"), F.col("z").alias("nz"), F.col("y").alias("ny"), F.col("h.x").alias("nx"), *([F.col("h.label").alias("label")] if label else [])).alias("c"))
-    # Along y, then z: a line of the image is one array, over which each asked position takes its least; pairs of positions never become rows.
-    keep = ("nz", "ny", "nx", *([label] if label else []))
-    least = lambda at, n, s: F.array_min(F.transform("line", lambda e: F.struct((e["d2"] + F.pow((e[n] - at) * s, 2)).alias("d2"), *[e[k].alias(k) for k in keep])))
-    asked_y = own.groupBy("t", "x").agg(F.collect_set("y").alias("at"))
-    lines = line.groupBy("t", "nz", "x").agg(F.collect_list("c").alias("line")).join(asked_y, ["t", "x"])
-    plane = lines.select("t", "x", F.explode(F.transform("at", lambda y: F.struct(y.alias("y"), least(y, "ny", sy).alias("c")))).alias("q")).select("t", "q.y", "x", "q.c")
-    asked_z = own.groupBy("t", "y", "x").agg(F.collect_set("z").alias("at"))
-    lines = plane.groupBy("t", "y", "x").agg(F.collect_list("c").alias("line")).join(asked_z, ["t", "y", "x"])
-    found = lines.select("t", "y", "x", F.explode(F.transform("at", lambda z: F.struct(z.alias("z"), least(z, "nz", sz).alias("c")))).alias("q")).select("t", "q.z", "y", "x", "q.c")
-    return own.join(found, VOXEL, "left").select(*VOXEL, "c.*")
+    line = _beside(hit, asked, spacing[2]).select("t", F.col("z").alias("nz"), F.col("y").alias("ny"), "x", "d2", "nx", *label)
+    plane = _sweep(line, own.select("t", "x", "y"), ["t", "nz", "x"], ["t", "x"], "ny", "y", spacing[1], ["nx", *label])
+    found = _sweep(plane, own, ["t", "y", "x"], ["t", "y", "x"], "nz", "z", spacing[0], ["ny", "nx", *label])
+    if within is not None:
+        found = found.where(F.col("d2") <= float(within) ** 2)
+    return own.join(found, VOXEL, "left").select(*VOXEL, "d2", "nz", "ny", "nx", *label)
+
+
+def _rows_within(within: float, spacing: Sequence[float]) -> list[tuple[int, int]]:
+    """Steps (dz, dy) to the rows that a ball of this radius touches."""
+    reach = [int(within // s) + 1 if within >= 0 else -1 for s in spacing[:2]]
+    return [(dz, dy) for dz in range(-reach[0], reach[0] + 1) for dy in range(-reach[1], reach[1] + 1) if (dz * spacing[0]) ** 2 + (dy * spacing[1]) ** 2 <= within * within]
+
+
+def _nearest_within(own: DataFrame, hit: DataFrame, spacing: Sequence[float], within: float, near: Sequence[tuple[int, int]], label: Sequence[str]) -> DataFrame:
+    steps = F.explode(F.array(*[F.struct(F.lit(dz).alias("dz"), F.lit(dy).alias("dy")) for dz, dy in near])) if near else F.explode(F.array().cast("array<struct<dz:int,dy:int>>"))
+    asked = own.select(*VOXEL, steps.alias("s")).select("t", (F.col("z") + F.col("s.dz")).alias("z"), (F.col("y") + F.col("s.dy")).alias("y"), "x", F.col("z").alias("oz"), F.col("y").alias("oy"))
+    off: Column = F.pow((F.col("z") - F.col("oz")) * F.lit(spacing[0]), 2) + F.pow((F.col("y") - F.col("oy")) * F.lit(spacing[1]), 2)
+    rows = _beside(hit, asked, spacing[2]).withColumn("d2", F.col("d2") + off).where(F.col("d2") <= within * within)
+    best = F.min(F.struct("d2", F.col("z").alias("nz"), F.col("y").alias("ny"), "nx", *label)).alias("c")
+    found = rows.groupBy("t", F.col("oz").alias("z"), F.col("oy").alias("y"), "x").agg(best).select(*VOXEL, "c.*")
+    return own.join(found, VOXEL, "left").select(*VOXEL, "d2", "nz", "ny", "nx", *label)
 
 
 def statistics(distances: DataFrame, by: Sequence[str] = ()) -> DataFrame:

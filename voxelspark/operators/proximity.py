@@ -33,11 +33,14 @@ def overlap_summary(src: DataFrame, tgt: DataFrame, by: Sequence[str] = ()) -> D
     )
 
 
-def proximity_voxels(src: DataFrame, tgt: DataFrame, threshold: float, surface_only: bool = True, axes: Sequence[str] = ("z", "y", "x"), spacing: Sequence[float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """Source basis voxels (the surface shell by default) with d2 to the target and whether they are within the threshold."""
+def proximity_voxels(src: DataFrame, tgt: DataFrame, threshold: float, surface_only: bool = True, axes: Sequence[str] = ("z", "y", "x"), spacing: Sequence[float] = (1.0, 1.0, 1.0), beyond: bool = True) -> DataFrame:
+    """Source basis voxels (the surface shell by default) with d2 to the target and whether they are within the threshold.
+
+    beyond: whether d2 is wanted of voxels beyond the threshold too; without it they have null, and only the rows around each voxel are searched.
+    """
     basis = surface_shell(src, axes) if surface_only else src.select(*VOXEL).distinct()
-    limit = max(0.0, float(threshold)) ** 2
-    return nearest(basis, tgt, spacing).withColumn("near", F.coalesce(F.col("d2") <= limit, F.lit(False)))
+    reach = max(0.0, float(threshold))
+    return nearest(basis, tgt, spacing, None if beyond else reach).withColumn("near", F.coalesce(F.col("d2") <= reach**2, F.lit(False)))
 
 
 def inside_polygon(y: Column, x: Column, vertices: Column) -> Column:
@@ -61,7 +64,7 @@ def roi_voxels(voxels: DataFrame, rois: DataFrame) -> DataFrame:
 
 
 def near_source_objects(src_labels: DataFrame, tgt: DataFrame, threshold: float, spacing: Sequence[float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """Per source object: its size and the target voxels whose nearest source voxel is its own, within the threshold; by size, numbered."""
+    """Per source object: its size and the target voxels whose nearest source voxel is its own, within the threshold."""
     sizes = src_labels.groupBy("t", "label").agg(F.count("*").alias("source_size"))
-    close = nearest(tgt, src_labels, spacing).where(F.col("d2") <= max(0.0, float(threshold)) ** 2).groupBy("t", "label").agg(F.count("*").alias("target_near"))
+    close = nearest(tgt, src_labels, spacing, max(0.0, float(threshold))).where("d2 IS NOT NULL").groupBy("t", "label").agg(F.count("*").alias("target_near"))
     return sizes.join(close, ["t", "label"], "left").fillna(0, ["target_near"])

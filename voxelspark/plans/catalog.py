@@ -113,7 +113,7 @@ def surface_distance_bounded(spark, sf_dir):
 
 
 def _surface_distance(src, tgt):
-    return proximity.proximity_voxels(src, tgt, 2**0.5 + 1e-9).agg(F.count("*").alias("basis_size"), F.count_if("near").alias("near_size"))
+    return proximity.proximity_voxels(src, tgt, 2**0.5 + 1e-9, beyond=False).agg(F.count("*").alias("basis_size"), F.count_if("near").alias("near_size"))
 
 
 @query(f"""WITH {TYX}, m AS (SELECT t, y, x, CASE WHEN n > 1 THEN 1 ELSE 2 END AS label FROM tyx),
