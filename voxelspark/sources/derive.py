@@ -16,15 +16,26 @@ def yx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.lit(0).alias("t"), F.lit(0).alias("z"), F.col("vec_id").cast("int").alias("y"), "x", F.floor(F.col("e").cast("double") * 1000000).cast("long").alias("value"))
 
 
-def tyx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparse time series: events by day, user and four-hour slot, (t, z, y, x, value, n)."""
-    rows = table(spark, sf_dir, "events").select(
+def event_voxels(events: DataFrame) -> DataFrame:
+    """Events by day, user and four-hour slot, (t, z, y, x, value, n)."""
+    rows = events.select(
         F.datediff("ts", F.lit("2024-01-01").cast("date")).cast("int").alias("t"), F.lit(0).alias("z"), F.col("user_id").cast("int").alias("y"),
         F.expr("CAST(hour(ts) div 4 AS INT)").alias("x"), F.floor(F.col("value") * 100 + 0.5).cast("long").alias("v"),
     )
     return rows.groupBy("t", "z", "y", "x").agg(F.sum("v").alias("value"), F.count("*").alias("n"))
 
 
+def tyx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sparse time series: all events as voxels."""
+    return event_voxels(table(spark, sf_dir, "events"))
+
+
+def marked_words(texts: DataFrame, pattern: str) -> DataFrame:
+    """Words of texts (t, text) that hold a pattern, as voxels of a line for each text: x is the word's place, value its bytes."""
+    words = texts.select("t", F.posexplode(F.regexp_extract_all("text", F.lit("([^ \\t-\\r]+)"))).alias("x", "word"))
+    return words.where(F.col("word").rlike(pattern)).select("t", F.lit(0).alias("z"), F.lit(0).alias("y"), "x", F.octet_length("word").cast("long").alias("value"))
+
+
 def zyx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A two-channel volume: line items by month, supplier and quantity, (t, z, y, x, src, tgt)."""
     price = F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long")
