@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from voxelspark.llm import contentsort, decontaminate, fuzzylines, minhash, mixing_lm, mixture, quality, sharding, suffixes, tokens, urlfilter
+from voxelspark.llm import anchors, contentsort, decontaminate, fuzzylines, minhash, mixing_lm, mixture, phrases, quality, sharding, suffixes, tokens, urlfilter
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -281,22 +281,53 @@ def test_language_model(docs, texts):
     assert all(r.score < 0 for r in got)
 
 
-def test_language_model_is_a_distribution(spark):
-    """After any context the probabilities of the 256 symbols sum to one."""
+def _known_grams():
+    """Grams of two texts with their counts, all 256 symbols after some of their contexts (counted 0 where not seen), and a mixer."""
     rng = np.random.default_rng(1)
     raw = rng.choice(np.frombuffer(b"abc d", np.uint8), 4000)
-    key, _ = mixing_lm.grams(raw, np.array([0, 2000, 4000]))
-    own, n = np.unique(key, return_counts=True)
-    table = np.zeros((int(mixing_lm._START[-1]), 2))
-    place = (mixing_lm.slots(own).astype(np.int64) * 2 + mixing_lm.bits(own)[:, :, None]).ravel()
-    np.add.at(table.reshape(-1), place, np.repeat(n, 8 * (mixing_lm.ORDER + 1)))
-    weights, seen, ones, _ = mixing_lm.learn(iter([(own, n)]), table.astype(np.uint16))
-    middle = mixing_lm._squash(np.linspace(-mixing_lm._CUT, mixing_lm._CUT, mixing_lm.BUCKETS))
-    mixer = mixing_lm.Mixer(weights, (ones + 30 * middle) / (seen + 30))
-    odds = mixing_lm._stretch(table[:, 0], table[:, 1]).astype(np.float32)
-    for context in own[::97][:5]:
-        every = (context & ~np.uint64(0xFF)) | np.arange(256, dtype=np.uint64)
-        assert abs((10 ** mixing_lm.costs(every, odds, mixer)).sum() - 1) < 1e-9
+    own, n = np.unique(mixing_lm.grams(raw, np.array([0, 2000, 4000]))[0], return_counts=True)
+    every = [(context & ~np.uint64(0xFF)) | np.arange(256, dtype=np.uint64) for context in own[::97][:5]]
+    gram = np.unique(np.concatenate([own, *every]))
+    count = np.zeros(len(gram), np.int64)
+    count[np.searchsorted(gram, own)] = n
+    middle = 1 / (1 + np.exp(-np.linspace(-11, 11, mixing_lm.BUCKETS)))
+    mixer = mixing_lm.Mixer(rng.normal(0.3, 0.1, (mixing_lm._GATES, mixing_lm.ORDER + 1)), np.tile(middle, (256, 1)) * rng.uniform(0.8, 1, (256, mixing_lm.BUCKETS)))
+    return gram, count, every, mixer
+
+
+def test_language_model_is_a_distribution():
+    """After any context the probabilities of the 256 symbols sum to one."""
+    gram, n, every, mixer = _known_grams()
+    cost = mixing_lm.costs(gram, n, mixing_lm.Shared(gram, n), mixer)
+    for symbols in every:
+        assert abs((10 ** cost[np.searchsorted(gram, symbols)]).sum() - 1) < 1e-6
+
+
+def test_language_model_costs_by_a_plain_program():
+    gram, n, _, mixer = _known_grams()
+    cost = mixing_lm.costs(gram, n, mixing_lm.Shared(gram, n), mixer)
+    counts = Counter()
+    for g, c in zip(gram.tolist(), n.tolist()):
+        symbol = format(g & 255, "08b")
+        for k in range(mixing_lm.ORDER + 1):
+            for b in range(9):
+                counts[(k, g >> 8 & ((1 << 8 * k) - 1), symbol[:b])] += c
+    for at in range(0, len(gram), 53):
+        g, total = int(gram[at]), 0.0
+        symbol = format(g & 255, "08b")
+        for b in range(8):
+            odds, longest, most = [], 0, 0
+            for k in range(mixing_lm.ORDER + 1):
+                zero, one = (counts[(k, g >> 8 & ((1 << 8 * k) - 1), symbol[:b] + x)] for x in "01")
+                odds.append(math.log((one + mixing_lm.PRIOR) / (zero + mixing_lm.PRIOR)))
+                if zero + one:
+                    longest, most = k + 1, zero + one
+            gate = (longest * 4 + sum(most >= x for x in (2, 4, 16))) * 8 + b
+            logit = max(-11.0, min(11.0, sum(w * o for w, o in zip(mixer.weights[gate], odds))))
+            place = round((logit + 11) * (mixing_lm.BUCKETS - 1) / 22)
+            p = 0.5 / (1 + math.exp(-logit)) + 0.5 * (mixer.refine[int("1" + symbol[:b], 2), place] * (1 - 1e-5) + 5e-6)
+            total += math.log10(p if symbol[b] == "1" else 1 - p)
+        assert abs(total - cost[at]) < 1e-3
 
 
 def test_empty_tables(spark, empty):
@@ -308,8 +339,9 @@ def test_empty_tables(spark, empty):
     results = [
         minhash.near_duplicates(empty), contentsort.exact_duplicates(empty), sharding.rendezvous_shards(empty), urlfilter.judge_urls(pages, RULES), decontaminate.contaminated(empty, items),
         fuzzylines.fuzzy_lines(empty), suffixes.repeated_passages(empty), mixture.mix_sources(empty, {"lang": F.col("lang")}, {}), quality.classify(empty, labels), mixing_lm.score_documents(empty),
+        phrases.collocations(empty), anchors.remove_repeats(empty),
     ]
-    assert [r.count() for r in results] == [0] * 10
+    assert [r.count() for r in results] == [0] * 12
 
 
 def _judged(spark, urls, extra=()):

@@ -82,34 +82,48 @@ def _probes(n: int, hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
-def _by_document(doc: np.ndarray, values: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
-    """doc, and the bytes of all its values."""
+def _by_document(kind: type, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packs of documents and values to doc and the bytes of all its values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, values = packed.gather(batches, [np.int64, kind])
+        order, begin = packed.groups([doc])
+        doc, values = doc[order], values[order]
+        ends = np.append(begin[1:], len(doc))
+        for i in range(0, len(begin), 1000):
+            own = slice(i, i + 1000)
+            pieces = [values[s:e].tobytes() for s, e in zip(begin[own].tolist(), ends[own].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[begin[own]]), pa.array(pieces, pa.binary())], ["doc_id", name])
+
+    return run
+
+
+def _to_documents(n: int, doc: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Packs of values by their document's bucket, in order of documents."""
     order = np.argsort(doc, kind="stable")
     doc, values = doc[order], values[order]
-    begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.empty(0, np.int64)
-    ends = np.append(begin[1:], len(doc))
-    for i in range(0, len(begin), 20_000):
-        own = slice(i, i + 20_000)
-        first = begin[own]
-        raw = values[first[0] : ends[own][-1]]
-        offsets = np.append(first, ends[own][-1]) - first[0]
-        data = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((offsets * values.itemsize).astype(np.int32)), pa.py_buffer(raw.tobytes())])
-        yield pa.RecordBatch.from_arrays([pa.array(doc[first]), data], ["doc", name])
-
-
-def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's probes to doc, at: positions whose sequence is a block of a smaller document, and blocks that a larger document holds."""
-    low, high, doc, mark = packed.gather(batches, [np.uint32, np.uint16, np.int64, np.uint32])
-    if not len(low):
-        return
-    order, begin = packed.groups([high.astype(np.uint64) << np.uint64(32) | low])
-    doc, mark = doc[order], mark[order]
-    block = (mark & 1).astype(bool)
-    size = np.diff(np.append(begin, len(doc)))
-    least = np.repeat(np.minimum.reduceat(np.where(block, doc, _NONE), begin), size)
-    most = np.repeat(np.maximum.reduceat(doc, begin), size)
-    hit = (least < doc) | (block & (most > doc))
-    yield from _by_document(doc[hit], (mark[hit] >> 1).astype(np.int32), "at")
+    out = packed.spread(packed.bucket_of(tokens.mix(doc.view(np.uint64)), n), [doc, values])
+    if out is not None:
+        yield out
+
+
+def _hits(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A bucket's probes to documents and positions whose sequence is a block of a smaller document, and blocks that a larger document holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high, doc, mark = packed.gather(batches, [np.uint32, np.uint16, np.int64, np.uint32])
+        if not len(low):
+            return
+        order, begin = packed.groups([high.astype(np.uint64) << np.uint64(32) | low])
+        doc, mark = doc[order], mark[order]
+        block = (mark & 1).astype(bool)
+        size = np.diff(np.append(begin, len(doc)))
+        least = np.repeat(np.minimum.reduceat(np.where(block, doc, _NONE), begin), size)
+        most = np.repeat(np.maximum.reduceat(doc, begin), size)
+        hit = (least < doc) | (block & (most > doc))
+        yield from _to_documents(n, doc[hit], (mark[hit] >> 1).astype(np.int32))
+
+    return run
 
 
 def _reduced(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,9 +146,8 @@ def _candidates(n: int, hot: np.ndarray, hot_windows: np.ndarray) -> Callable[[I
                 hit = np.zeros(len(w.hash) + 1, bool)
                 hit[: max(0, len(w.hash) - BLOCK + 1)] = _within(tokens.run_hash(w.hash, BLOCK), hot)
                 for i in range(start, end):
-                    for part in lists[i].as_py() or ():
-                        at = np.frombuffer(part, np.int32)
-                        hit[w.first[i - start] + at[at < w.first[i - start + 1] - w.first[i - start]]] = True
+                    at = np.frombuffer(lists[i].as_py() or b"", np.int32)
+                    hit[w.first[i - start] + at[at < w.first[i - start + 1] - w.first[i - start]]] = True
                 # A window holds the hits at its first WINDOW - BLOCK + 1 positions.
                 total = np.concatenate([[0], np.cumsum(hit)])
                 at, text = _starts(w, WINDOW)
@@ -157,10 +170,10 @@ def _candidates(n: int, hot: np.ndarray, hot_windows: np.ndarray) -> Callable[[I
 _WINDOW = [np.uint64, np.uint64, np.int64]
 
 
-def _repeats(hot_windows: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A bucket's windows to doc, gone, often: the first hashes of windows that a smaller document has.
+def _repeats(n: int, hot_windows: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A bucket's windows to documents and the first hashes of windows that a smaller document has.
 
-    often: a frequent window, by both hashes, and its least document.
+    Bucket n has the frequent windows, by both hashes, with their least document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,15 +181,15 @@ def _repeats(hot_windows: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], It
         if not len(a):
             return
         hold = _within(a, hot_windows)
-        fa, fb, fd = _reduced(a[hold], b[hold], doc[hold])
-        yield pa.RecordBatch.from_arrays([pa.array(fd), pa.array([x.tobytes() for x in np.stack([fa, fb], 1)], pa.binary()), pa.array(np.ones(len(fd), bool))], ["doc", "gone", "often"])
-        a, b, doc = a[~hold], b[~hold], doc[~hold]
-        order, begin = packed.groups([a, b])
-        a, doc = a[order], doc[order]
+        often = _reduced(a[hold], b[hold], doc[hold])
+        out = packed.spread(np.full(len(often[0]), n), often)
+        if out is not None:
+            yield out
+        order, begin = packed.groups([a[~hold], b[~hold]])
+        a, doc = a[~hold][order], doc[~hold][order]
         least = np.repeat(np.minimum.reduceat(doc, begin), np.diff(np.append(begin, len(doc)))) if len(a) else doc
         gone = doc > least
-        for out in _by_document(doc[gone], a[gone], "gone"):
-            yield out.append_column("often", pa.array(np.zeros(len(out), bool)))
+        yield from _to_documents(n, doc[gone], a[gone])
 
     return run
 
@@ -209,7 +222,7 @@ def _cleaned(hot: list[tuple[np.ndarray, np.ndarray, np.ndarray]], kind: str) ->
                     doc = ids[start + i]
                     size = max(0, int(w.first[i + 1] - w.first[i]) - WINDOW + 1)
                     inner = slice(w.first[i], w.first[i] + size)
-                    gone = np.frombuffer(b"".join(lists[start + i].as_py() or ()), np.uint64)
+                    gone = np.frombuffer(lists[start + i].as_py() or b"", np.uint64)
                     if doc is not None and size:
                         for fa, fb, fd in hot:
                             if len(fa):
@@ -264,20 +277,19 @@ def remove_repeats(docs: DataFrame, kind: str = "digest", id_column: str = "doc_
         hot = counts.where(F.col("n") >= max(least, total // share)).toPandas()
         blocks, windows = (np.sort(hot["hash"][hot["size"] == size].to_numpy(np.int64).view(np.uint64)) for size in (BLOCK, WINDOW))
         probes = known.mapInArrow(_probes(n, blocks), packed.SCHEMA)
-        hits = scratch.table(packed.exchange(probes, n).mapInArrow(_hits, "doc long, at binary"))
-        hits = hits.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("at").alias("at"))
+        hits = packed.exchange(packed.exchange(probes, n).mapInArrow(_hits(n), packed.SCHEMA), n).mapInArrow(_by_document(np.int32, "at"), "doc_id long, at binary")
+        hits = scratch.table(hits)
         around = known.join(hits, "doc_id", "left").select("doc_id", "text", "at").mapInArrow(_candidates(n, blocks, windows), packed.SCHEMA)
-        gone = scratch.table(packed.exchange(around, n).mapInArrow(_repeats(windows), "doc long, gone binary, often boolean"))
+        found = scratch.table(packed.exchange(around, n).mapInArrow(_repeats(n, windows), packed.SCHEMA))
         # As many rows as there are frequent windows, so at most `share`.
-        rows = gone.where("often").select("doc", "gone").toPandas()
-        names = np.frombuffer(b"".join(rows["gone"]), np.uint64).reshape(-1, 2)
-        order = np.lexsort((names[:, 1], names[:, 0]))
-        a, b, least_doc = names[order, 0], names[order, 1], rows["doc"].to_numpy(np.int64)[order]
+        packs = found.where(F.col("bucket") == n).toArrow().to_batches()
+        a, b, least_doc = packed.gather(iter(packs), _WINDOW)
+        order = np.lexsort((b, a))
+        a, b, least_doc = a[order], b[order], least_doc[order]
         # Windows with the same first hash, if there ever are any, go into further look-ups.
         nth = np.arange(len(a)) - np.searchsorted(a, a)
         often = [tuple(x[nth == k] for x in (a, b, least_doc)) for k in range(int(nth.max(initial=-1)) + 1)]
-        gone = gone.where("not often")
-        gone = gone.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("gone").alias("gone"))
+        gone = scratch.table(packed.exchange(found.where(F.col("bucket") < n), n).mapInArrow(_by_document(np.uint64, "gone"), "doc_id long, gone binary"))
         whole = texts.join(gone, "doc_id", "left").select("doc_id", "text", "gone")
         schema = "doc_id long, start_word long, end_word long" if kind == "spans" else "doc_id long, n_words long, n_removed long, kept string"
         return cut(whole.mapInArrow(_cleaned(often, kind), schema).withColumnsRenamed({"kept": "text" if kind == "text" else "kept_sha256"}), batch=500)
