@@ -191,15 +191,16 @@ def test_tracking_of_a_split(spark):
     assert len(lineage) == out["objects"].count() and lineage[0] == lineage[1] == lineage[2] == lineage[3] == 1
 
 
-def test_skeletons():
-    line = {(0, x) for x in range(6)}
-    assert topology.describe(line, 1, 1) == (1, 0, 2, 5.0)
-    tee = line | {(y, 3) for y in range(1, 4)}
-    assert topology.describe(tee, 1, 1)[1:3] == (1, 3)
-    ring = {(0, 1), (0, 2), (1, 0), (2, 0), (3, 1), (3, 2), (1, 3), (2, 3)}
-    assert topology.describe(ring, 1, 1)[:3] == (1, 0, 0)
-    block = topology.thin(np.ones((7, 21), bool))
-    assert block.any() and block.sum() <= 21
+def test_skeleton_topology(spark):
+    """A line, a tee, a ring, a thick bar and a single voxel, in one plane."""
+    line, tee = {(0, x) for x in range(6)}, {(10, x) for x in range(9)} | {(y, 4) for y in range(10, 16)}
+    ring = {(y, x) for y in range(20, 28) for x in range(8) if y in (20, 27) or x in (0, 7)}
+    bar = {(y, x) for y in range(40, 47) for x in range(21)}
+    rows = [(0, k, 0, *p) for k, ps in enumerate((line, tee, ring, bar, {(60, 0)}), 1) for p in ps]
+    got = {r.label: r for r in topology.skeleton_topology(spark.createDataFrame(rows, "t int, label int, z int, y int, x int")).collect()}
+    assert tuple(got[1])[2:] == (6, 1, 0, 2, 5.0) and tuple(got[2])[3:6] == (3, 1, 3)
+    assert tuple(got[3])[3:6] == (1, 0, 0) and got[3].total_branch_length > 20
+    assert got[4].skeleton_size < 40 and got[4].branches >= 1 and tuple(got[5])[2:] == (1, 0, 0, 0, 0.0)
 
 
 def test_gini_and_histogram(spark):

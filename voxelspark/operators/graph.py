@@ -4,22 +4,52 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir.  Where that is unset, a local one, but only for a master that is one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or tempfile.mkdtemp("-ckpt")).rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the folder of spark.checkpoint.dir.  Where that is unset, in a local one, but only for a master that is one machine."""
+    """Materialise in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.match(r"local(\[|$)", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp("-ckpt"))
+        context.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Write tables to a folder of their own below the shared one and read them back; it goes at the end, so what outlasts it must be cut.
+
+    A checkpoint hands on the size estimated from its plan, which each join multiplies; a long computation in several parts starts each from a table,
+    whose size is known.
+    """
+    base, n = f"{_shared(spark)}/tables-{uuid.uuid4().hex}", 0
+
+    def write(df: DataFrame) -> DataFrame:
+        nonlocal n
+        n += 1
+        df.write.parquet(f"{base}/{n}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{n}")
+
+    try:
+        yield write
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, root) of nodes(id) under undirected edges(a, b): root is the least id reachable.
 

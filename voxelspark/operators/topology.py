@@ -1,97 +1,26 @@
-"""Skeletons of plane objects and their branch structure, one Arrow-grouped kernel per object."""
+"""Skeletons of all objects and how they branch, in one call."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-
-_AROUND = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
-
-
-def thin(image: np.ndarray) -> np.ndarray:
-    """Zhang-Suen thinning of a boolean image."""
-    work = np.pad(image.astype(bool), 1)
-    changed = True
-    while changed:
-        changed = False
-        for phase in (0, 1):
-            p = [np.roll(work, (-dy, -dx), (0, 1)) for dy, dx in _AROUND]
-            count = sum(x.astype(int) for x in p)
-            turns = sum((~p[i] & p[(i + 1) % 8]).astype(int) for i in range(8))
-            n, e, s, w = p[0], p[2], p[4], p[6]
-            gate = ~(n & e & s) & ~(e & s & w) if phase == 0 else ~(n & e & w) & ~(n & s & w)
-            drop = work & (count >= 2) & (count <= 6) & (turns == 1) & gate
-            if drop.any():
-                work &= ~drop
-                changed = True
-    return work[1:-1, 1:-1]
-
-
-def neighbours(points: set[tuple[int, int]]) -> dict[tuple[int, int], list[tuple[int, int]]]:
-    """Eight-neighbours of each point; a diagonal counts only where neither point beside it exists."""
-    out = {}
-    for y, x in points:
-        near = []
-        for dy, dx in _AROUND:
-            q = (y + dy, x + dx)
-            if q in points and not (dy and dx and ((y + dy, x) in points or (y, x + dx) in points)):
-                near.append(q)
-        out[(y, x)] = sorted(near)
-    return out
+from collections.abc import Sequence
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def describe(points: set[tuple[int, int]], sy: float, sx: float) -> tuple[int, int, int, float]:
-    """Branches, junctions, endpoints and total length of a skeleton; touching junction points are one junction."""
-    graph = neighbours(points)
-    step = lambda a, b: float(np.hypot((a[0] - b[0]) * sy, (a[1] - b[1]) * sx))
-    length = sum(step(a, b) for a, near in graph.items() for b in near if a < b)
-    crossing = {p for p, near in graph.items() if len(near) >= 3}
-    ends = [p for p, near in graph.items() if len(near) == 1]
-    seen: set[tuple[int, int]] = set()
-    junctions = 0
-    for start in sorted(crossing):
-        if start in seen:
-            continue
-        junctions += 1
-        stack = [start]
-        while stack:
-            p = stack.pop()
-            if p not in seen:
-                seen.add(p)
-                stack += [q for q in graph[p] if q in crossing]
-    # Branches are the parts of the skeleton between junctions; a link between two junction points that is no part of one junction can't occur.
-    rest, branches = points - crossing, 0
-    left = set(rest)
-    while left:
-        stack, size = [left.pop()], 0
-        while stack:
-            p = stack.pop()
-            size += 1
-            for q in graph[p]:
-                if q in left:
-                    left.discard(q)
-                    stack.append(q)
-        branches += size > 1 or bool(crossing) or len(points) > 1
-    return branches, junctions, len(ends), length
+from . import branches
+from .graph import cut, tables
+from .thinning import skeletons
 
 
-def skeleton_topology(labels: DataFrame, planar: bool = True, spacing: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
-    """t, label, skeleton_size, branches, junctions, endpoints, total_branch_length of plane objects of two voxels or more.
+def skeleton_topology(labels: DataFrame, planar: bool = True, spacing: Sequence[float] = (1.0, 1.0, 1.0), terminal: float | None = None) -> DataFrame:
+    """t, label, skeleton_size, branches, junctions, endpoints, total_branch_length of all objects (t, label, z, y, x), plane or in space.
 
-    An object is one group: it is bounded by the extent of one image, like the arrays of the kernel.
+    spacing: of z, y and x.  terminal: branches from an end to a junction up to this length are pruned.  Objects whose skeleton has no branch, such as single voxels, have
+    zeros.  Skeletons are made on tiles and branches traced by pointer jumping, so no object is gathered in a task.
     """
-    if not planar:
-        raise ValueError("only plane objects")
-    sy, sx = spacing
-
-    def kernel(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        y, x = rows.y.to_numpy(), rows.x.to_numpy()
-        image = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), bool)
-        image[y - y.min(), x - x.min()] = True
-        points = set(map(tuple, np.argwhere(thin(image)).tolist()))
-        branches, junctions, ends, length = describe(points, sy, sx)
-        return pd.DataFrame({"t": [key[0]], "label": [key[1]], "skeleton_size": [len(points)], "branches": [branches], "junctions": [junctions], "endpoints": [ends], "total_branch_length": [length]})
-
-    schema = "t int, label int, skeleton_size long, branches long, junctions long, endpoints long, total_branch_length double"
-    return labels.select("t", "label", "y", "x").groupBy("t", "label").applyInPandas(kernel, schema)
+    with tables(labels.sparkSession) as written:
+        thin = written(skeletons(labels, planar))
+        found = branches.totals(written(branches.simplified(thin, spacing, planar, terminal)))
+        sizes = thin.groupBy("t", "label").agg(F.count("*").alias("skeleton_size"))
+        rows = sizes.join(found, ["t", "label"], "left").fillna(0, ["branch_number", "junction_number", "endpoint_number", "total_branch_length"])
+        return cut(rows.select("t", "label", "skeleton_size", F.col("branch_number").alias("branches"), F.col("junction_number").alias("junctions"), F.col("endpoint_number").alias("endpoints"), "total_branch_length"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import components as C
-from ..operators import assignment, distance, kernels, masks, morphology, neighbors, proximity, proximity_result, segment, topology, tracking
+from ..operators import assignment, branches as B, distance, kernels, masks, morphology, neighbors, proximity, proximity_result, segment, topology, tracking
 from ..operators.masks import VOXEL
 from ..sources.derive import SRC, TGT, TYX, YX, ZYX, channel, tyx, yx, zyx
 
@@ -391,6 +391,77 @@ def topology_summary(spark, sf_dir):
     return topology.skeleton_topology(labels, planar=True)
 
 
+#: Branches of the objects' own voxels in SQL: nodes and chains by recursion, a branch for each chain, and for each pair of nodes with a direct step.
+BRANCHES = LABELS + """,
+v AS (SELECT t, label, y, x, y * 100 + x AS id FROM labels),
+touch AS (SELECT a.t, a.label, a.id AS a, b.id AS b, b.y - a.y AS dy, b.x - a.x AS dx, a.y, a.x FROM v a JOIN v b ON a.t = b.t AND a.label = b.label AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND a.id <> b.id),
+beside AS (SELECT * FROM touch s WHERE dy = 0 OR dx = 0 OR NOT EXISTS (SELECT 1 FROM v w WHERE w.t = s.t AND w.label = s.label AND (w.y = s.y + s.dy AND w.x = s.x OR w.y = s.y AND w.x = s.x + s.dx))),
+deg AS (SELECT t, label, a AS id, count(*) AS n FROM beside GROUP BY ALL),
+kinds AS (SELECT t, label, id, CASE WHEN n = 1 THEN 'endpoint' WHEN n >= 3 THEN 'junction' ELSE 'path' END AS kind FROM deg),
+same AS (SELECT s.t, s.a, s.b FROM touch s JOIN kinds p ON p.t = s.t AND p.id = s.a JOIN kinds q ON q.t = s.t AND q.id = s.b AND q.kind = p.kind WHERE p.kind <> 'path'
+  UNION ALL SELECT s.t, s.a, s.b FROM beside s JOIN kinds p ON p.t = s.t AND p.id = s.a JOIN kinds q ON q.t = s.t AND q.id = s.b WHERE p.kind = 'path' AND q.kind = 'path'),
+part AS (SELECT t, id, id AS root FROM kinds UNION SELECT s.t, s.b, r.root FROM part r JOIN same s ON s.t = r.t AND s.a = r.id),
+own AS (SELECT k.t, k.label, k.id, k.kind, min(r.root) AS node FROM kinds k JOIN part r ON r.t = k.t AND r.id = k.id GROUP BY ALL),
+hop AS (SELECT s.t, s.label, p.node AS pn, p.kind AS pk, q.node AS qn, q.kind AS qk, sqrt(CAST(dy * dy + dx * dx AS DOUBLE)) AS len FROM beside s JOIN own p ON p.t = s.t AND p.id = s.a JOIN own q ON q.t = s.t AND q.id = s.b),
+chain AS (SELECT t, label, pn, sum(CASE WHEN qk = 'path' THEN len / 2 ELSE len END) AS length, min(CASE WHEN qk <> 'path' THEN qn END) AS n0, max(CASE WHEN qk <> 'path' THEN qn END) AS n1 FROM hop WHERE pk = 'path' GROUP BY ALL),
+size AS (SELECT t, node, count(*) AS n FROM own WHERE kind = 'path' GROUP BY ALL),
+branch AS (SELECT c.t, c.label, n0, n1, length, s.n + CASE WHEN n0 IS NULL THEN 1 ELSE 2 END AS points FROM chain c JOIN size s ON s.t = c.t AND s.node = c.pn
+    WHERE n0 IS NOT NULL OR NOT EXISTS (SELECT 1 FROM own o WHERE o.t = c.t AND o.label = c.label AND o.kind <> 'path')
+  UNION ALL SELECT t, label, pn, qn, min(len), 2 FROM hop WHERE pk <> 'path' AND qk <> 'path' AND pn < qn GROUP BY t, label, pn, qn),
+kindof AS (SELECT DISTINCT t, node, kind FROM own WHERE kind <> 'path'),
+named AS (SELECT b.*, p.kind AS k0, q.kind AS k1 FROM branch b LEFT JOIN kindof p ON p.t = b.t AND p.node = b.n0 LEFT JOIN kindof q ON q.t = b.t AND q.node = b.n1)"""
+
+
+def _branches(spark, sf_dir):
+    """Branches of the objects' own voxels, which are taken as skeletons."""
+    return B.trace(_labels(spark, sf_dir), planar=True)
+
+
+@query("WITH RECURSIVE " + BRANCHES + f""" SELECT t, label, CAST(least(n0, n1) // 100 AS INTEGER) AS y0, CAST(least(n0, n1) % 100 AS INTEGER) AS x0, CAST(greatest(n0, n1) // 100 AS INTEGER) AS y1, CAST(greatest(n0, n1) % 100 AS INTEGER) AS x1,
+least(k0, k1) AS kind0, greatest(k0, k1) AS kind1, {R6.format('length')} AS length, points, row_number() OVER (PARTITION BY t, label ORDER BY {R6.format('length')} DESC, least(n0, n1), greatest(n0, n1), points) AS branch_index FROM named""")
+def branches(spark, sf_dir):
+    found = B.trace(_labels(spark, sf_dir), planar=True)
+    first = found.nodes.groupBy("node").agg(F.min(F.struct("y", "x")).alias("at"))
+    at = lambda e: first.select(F.col("node").alias(f"{e}_node"), F.col("at").alias(e))
+    rows = found.rows.join(at("start"), "start_node", "left").join(at("end"), "end_node", "left")
+    low, high = F.least("start", "end"), F.greatest("start", "end")
+    rows = rows.select("t", "label", low.alias("a"), high.alias("b"), F.least("start_kind", "end_kind").alias("kind0"), F.greatest("start_kind", "end_kind").alias("kind1"), S.r6(F.col("length")).alias("length"), "points")
+    order = W.partitionBy("t", "label").orderBy(F.desc("length"), F.col("a").asc_nulls_last(), F.col("b").asc_nulls_last(), "points")
+    return rows.select("t", "label", F.col("a.y").alias("y0"), F.col("a.x").alias("x0"), F.col("b.y").alias("y1"), F.col("b.x").alias("x1"), "kind0", "kind1", "length", "points", F.row_number().over(order).cast("long").alias("branch_index"))
+
+
+_TOTALS = """,
+tips AS (SELECT t, label, n0 AS node, k0 AS kind FROM named WHERE n0 IS NOT NULL UNION ALL SELECT t, label, n1, k1 FROM named WHERE n1 IS NOT NULL),
+ends AS (SELECT t, label, node, kind, count(*) AS n FROM tips GROUP BY ALL),
+counts AS (SELECT t, label, count(*) FILTER (kind = 'junction' AND n >= 3) AS junction_number, count(*) FILTER (n = 1) AS endpoint_number FROM ends GROUP BY ALL)"""
+
+
+@query("WITH RECURSIVE " + BRANCHES + _TOTALS + f""" SELECT b.t, b.label, count(*) AS branch_number, coalesce(any_value(junction_number), 0) AS junction_number, coalesce(any_value(endpoint_number), 0) AS endpoint_number,
+{R6.format('sum(length)')} AS total_branch_length, {R6.format('sum(length) / count(*)')} AS mean_branch_length FROM named b LEFT JOIN counts c ON c.t = b.t AND c.label = b.label GROUP BY b.t, b.label""")
+def branch_totals(spark, sf_dir):
+    return B.totals(_branches(spark, sf_dir).rows).withColumns({c: S.r6(F.col(c)) for c in ("total_branch_length", "mean_branch_length")})
+
+
+@query("WITH RECURSIVE " + BRANCHES + f""",
+kept AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY t, label, n0, n1, length, points) AS b FROM named WHERE NOT coalesce(least(k0, k1) = 'endpoint' AND greatest(k0, k1) = 'junction' AND length <= 1.5, false)),
+tip AS (SELECT t, label, b, n0 AS node, k0 AS kind FROM kept WHERE n0 IS NOT NULL UNION ALL SELECT t, label, b, n1, k1 FROM kept WHERE n1 IS NOT NULL),
+free AS (SELECT t, node, min(b) AS a, max(b) AS b FROM tip WHERE kind = 'junction' GROUP BY t, node HAVING count(*) = 2 AND min(b) <> max(b)),
+meet AS (SELECT a, b FROM free UNION ALL SELECT b, a FROM free),
+joined AS (SELECT b, b AS root FROM kept UNION SELECT m.b, j.root FROM joined j JOIN meet m ON m.a = j.b),
+grouped AS (SELECT b, min(root) AS root FROM joined GROUP BY b),
+last AS (SELECT g.root, min(CASE WHEN f.node IS NULL THEN p.node END) AS a, max(CASE WHEN f.node IS NULL THEN p.node END) AS b, max(f.node) AS ring FROM tip p JOIN grouped g USING (b) LEFT JOIN free f ON f.t = p.t AND f.node = p.node GROUP BY g.root)
+SELECT k.t, k.label, CAST(coalesce(a, ring) // 100 AS INTEGER) AS y0, CAST(coalesce(a, ring) % 100 AS INTEGER) AS x0, CAST(coalesce(l.b, ring) // 100 AS INTEGER) AS y1, CAST(coalesce(l.b, ring) % 100 AS INTEGER) AS x1, {R6.format('sum(length)')} AS length
+FROM kept k JOIN grouped g ON g.b = k.b LEFT JOIN last l ON l.root = g.root GROUP BY g.root, k.t, k.label, a, l.b, ring""")
+def branch_contraction(spark, sf_dir):
+    """Terminal branches of one step pruned, then chains of junctions with two ends contracted."""
+    found = B.trace(_labels(spark, sf_dir), planar=True)
+    first = found.nodes.groupBy("node").agg(F.min(F.struct("y", "x")).alias("at"))
+    at = lambda e: first.select(F.col("node").alias(f"{e}_node"), F.col("at").alias(e))
+    rows = B.contract(B.prune(found.rows, 1.5)).join(at("start"), "start_node", "left").join(at("end"), "end_node", "left")
+    rows = rows.select("t", "label", F.least("start", "end").alias("a"), F.greatest("start", "end").alias("b"), S.r6(F.col("length")).alias("length"))
+    return rows.select("t", "label", F.col("a.y").alias("y0"), F.col("a.x").alias("x0"), F.col("b.y").alias("y1"), F.col("b.x").alias("x1"), "length")
+
+
 # Stencils
 
 
