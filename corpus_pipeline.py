@@ -45,8 +45,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     drawn = mixture.mix_sources(docs, levels, MIX_WEIGHTS, PERCENT, MIX_EPOCHS, MIX_SEED).where("copies > 0").groupBy(*keys).agg(F.max("copies").alias("copies"))
     drawn = drawn.select(F.struct(*keys).alias("_drawn_key"), F.col("copies").alias("_drawn_copies"))
     own = F.struct(F.col("doc_id").cast("long"), *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()], mixture.n_words(F.col("text").cast("string")).alias("tokens"))
-    rows = docs.withColumn("_key", own).join(drawn, F.col("_key").eqNullSafe(F.col("_drawn_key")))
-    return rows.withColumn("_time", F.explode(F.sequence(F.lit(1), "_drawn_copies"))).select(*docs.columns)
+    # The whole row is one column meanwhile, so that none of its columns can have the name of another.
+    rows = docs.select(F.struct("*").alias("row"), own.alias("key")).join(drawn, F.col("key").eqNullSafe(F.col("_drawn_key")))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), "_drawn_copies"))).select("row.*")
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
