@@ -54,3 +54,22 @@ def test_weights_of_zero_are_refused(spark):
     docs = spark.createDataFrame([(1, "a b", "en")], "doc_id long, text string, lang string")
     with pytest.raises(ValueError, match="1 or more"):
         mixture.mix_sources(docs, {"lang": docs["lang"]}, {("en",): 0})
+
+
+def test_mixing_keeps_columns_of_any_name(spark, docs, tmp_path):
+    """Columns named like those that the stage works with come out as they went in."""
+    names = ("_key", "_time", "_drawn_key", "_drawn_copies", "row", "key", "tokens", "domain", "copies", "col")
+    wide = docs.drop(*names).selectExpr("*", *[f"concat('{n}', doc_id) AS `{n}`" for n in names])
+    got = corpus_pipeline.mixing_stage(spark, wide, str(tmp_path))
+    assert got.columns == wide.columns
+    rows = got.collect()
+    assert rows and all(r[n] == (None if r.doc_id is None else f"{n}{r.doc_id}") for r in rows for n in names)
+
+
+def test_stages_of_an_empty_table(spark, docs, tmp_path):
+    for name in ("labels", "benchmark"):
+        spark.createDataFrame([], "doc_id long, quality int, toxic int, item_id long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, none, str(tmp_path))
+        assert out.columns == none.columns and out.count() == 0, name
