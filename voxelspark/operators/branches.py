@@ -11,10 +11,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import connected, cut, tables
+from .holes import holes
 from .neighbors import skeleton_edges
 from .numbering import numbered
 
 OBJECT = ["t", "label"]
+#: Edge of the tiles in which boxes meet voxels.
+_TILE = 32
 
 
 @dataclass(frozen=True)
@@ -173,9 +176,14 @@ def prune(rows: DataFrame, length: float | Column) -> DataFrame:
 
 
 def contract(rows: DataFrame) -> DataFrame:
-    """Branches that meet at a junction where nothing else ends, joined to one; in all chains of such junctions at once.
+    """Branches that meet at a junction where nothing else ends, joined to one."""
+    return contracted(rows)[0]
 
-    A chain keeps the least branch_id and its length is the sum of its parts.  In a ring of such junctions the greatest node stays, with a loop.  The rounds
+
+def contracted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The branches of contract, and (branch_id, root): which branch each one went into.
+
+    Branches that meet at a junction where nothing else ends are joined to one, in all chains of such junctions at once.  A chain keeps the least branch_id and its length is the sum of its parts.  In a ring of such junctions the greatest node stays, with a loop.  The rounds
     grow with the logarithm of the longest chain.
     """
     rows = cut(rows)
@@ -183,7 +191,7 @@ def contract(rows: DataFrame) -> DataFrame:
     free = ends.where("kind = 'junction'").groupBy("node").agg(F.count("*").alias("n"), F.min("branch_id").alias("a"), F.max("branch_id").alias("b")).where("n = 2 AND a <> b")
     free = cut(free.select("node", "a", "b"))
     if not free.head(1):
-        return rows
+        return rows, rows.select("branch_id", F.col("branch_id").alias("root"))
     root = connected(rows.select(F.col("branch_id").alias("id")), free.select("a", "b")).withColumnRenamed("id", "branch_id")
     joined = cut(rows.join(root, "branch_id"))
     # Points shared at a junction of one voxel count once for each part, as parts keep the voxels at which they end.
@@ -192,13 +200,47 @@ def contract(rows: DataFrame) -> DataFrame:
     tips = tips.groupBy("root").agg(F.sort_array(F.collect_list(F.when(F.col("free").isNull(), F.struct("node", "kind")))).alias("ends"), F.max(F.when(F.col("free"), F.struct("node", "kind"))).alias("ring"))
     pick = lambda i: F.coalesce(F.get("ends", F.lit(i)), F.col("ring"))
     out = sums.join(tips, "root", "left").withColumns({"s": pick(0), "e": pick(1)})
-    return cut(out.select(*OBJECT, F.col("root").alias("branch_id"), F.col("s.node").alias("start_node"), F.col("s.kind").alias("start_kind"), F.col("e.node").alias("end_node"), F.col("e.kind").alias("end_kind"), "length", "points"))
+    return cut(out.select(*OBJECT, F.col("root").alias("branch_id"), F.col("s.node").alias("start_node"), F.col("s.kind").alias("start_kind"), F.col("e.node").alias("end_node"), F.col("e.kind").alias("end_kind"), "length", "points")), cut(root)
+
+
+def enclosing(loops: DataFrame, mask: DataFrame, planar: bool = False) -> DataFrame:
+    """Those loops (t, label, loop, z, y, x) with background inside: (loop).
+
+    The object (t, label, z, y, x) is looked at in the loop's box and one voxel around; in space, a hole in one of its three projections will do.
+    Boxes meet the object in tiles, by equal keys.
+    """
+    box = loops.groupBy(*OBJECT, "loop").agg(*[(f(c) + (2 * i - 1)).alias(f"{c}{i}") for c in "zyx" for i, f in enumerate((F.min, F.max))])
+    for c in "zyx":
+        box = box.withColumn(f"k{c}", F.explode(F.sequence(F.floor(F.col(f"{c}0") / _TILE), F.floor(F.col(f"{c}1") / _TILE))))
+    held = mask.select(*OBJECT, "z", "y", "x", *[F.floor(F.col(c) / _TILE).alias(f"k{c}") for c in "zyx"])
+    inside = box.join(held, [*OBJECT, "kz", "ky", "kx"]).where(" AND ".join(f"{c} BETWEEN {c}0 AND {c}1" for c in "zyx")).select("loop", "z", "y", "x")
+    sides = [("y", "x")] if planar else [("y", "x"), ("z", "x"), ("z", "y")]
+    views = F.explode(F.array(*[F.struct(F.lit(k).alias("z"), F.col(a).alias("y"), F.col(b).alias("x")) for k, (a, b) in enumerate(sides)])).alias("v")
+    return holes(cut(inside.select("loop", views).select("loop", "v.*").distinct()), True, ["loop"]).select("loop").distinct()
+
+
+def without_false_loops(rows: DataFrame, points: DataFrame, mask: DataFrame, planar: bool = False) -> DataFrame:
+    """Branch rows but for loops around no background.
+
+    A branch from a node to itself goes; of several between the same two nodes the shortest stays.  points: those of the branches; mask: the objects.
+    """
+    pair = [F.least("start_node", "end_node"), F.greatest("start_node", "end_node")]
+    both = rows.withColumns({"low": pair[0], "high": pair[1]}).where("start_node IS NOT NULL AND end_node IS NOT NULL")
+    one = both.where("low = high").select("branch_id", F.col("branch_id").alias("loop"))
+    several = both.where("low <> high").groupBy(*OBJECT, "low", "high").agg(F.count("*").alias("n"), F.min("branch_id").alias("loop"), F.min(F.struct("length", "points", "branch_id"))["branch_id"].alias("least")).where("n > 1")
+    many = both.join(several, [*OBJECT, "low", "high"]).select("branch_id", "loop", "least")
+    loops = cut(one.withColumn("least", F.lit(None).cast("long")).union(many))
+    if not loops.head(1):
+        return rows
+    real = enclosing(points.join(loops.select("branch_id", "loop"), "branch_id").select(*OBJECT, "loop", "z", "y", "x").distinct(), mask, planar)
+    gone = loops.join(real, "loop", "left_anti").where("least IS NULL OR branch_id <> least").select("branch_id")
+    return cut(rows.join(gone, "branch_id", "left_anti").select(*rows.columns))
 
 
-def simplified(skeleton: DataFrame, spacing: Sequence[float] = (1.0, 1.0, 1.0), planar: bool = False, terminal: float | None = None) -> DataFrame:
-    """Branch rows after pruning terminal branches up to a length, tracing what is left anew, pruning again and contracting.
+def simplified(skeleton: DataFrame, spacing: Sequence[float] = (1.0, 1.0, 1.0), planar: bool = False, terminal: float | None = None, mask: DataFrame | None = None) -> DataFrame:
+    """Branch rows after pruning terminal branches up to a length, tracing what is left anew, pruning again, and dropping false loops and contracting until nothing changes.
 
-    terminal None prunes nothing, as for plane images.  Objects of which no branch is left, such as single voxels, have no row.
+    mask: the objects (t, label, z, y, x) whose background tells false loops; without it all loops stay.  terminal None prunes nothing, as for plane images.  Objects of which no branch is left, such as single voxels, have no row.
     """
     with tables(skeleton.sparkSession) as written:
         skeleton = written(skeleton.select(*OBJECT, "z", "y", "x"))
@@ -211,5 +253,17 @@ def simplified(skeleton: DataFrame, spacing: Sequence[float] = (1.0, 1.0, 1.0),
         left = written(points.union(held).distinct())
         # Where nothing is left of an object its whole skeleton is traced again.
         bare = skeleton.join(left.select(*OBJECT).distinct(), OBJECT, "left_anti")
-        again = written(prune(trace(written(left.union(bare)), spacing, planar).rows, terminal))
-        return cut(contract(again))
+        second = trace(written(left.union(bare)), spacing, planar)
+        rows = written(prune(second.rows, terminal))
+        points, mask = written(second.points), None if mask is None else written(mask.select(*OBJECT, "z", "y", "x"))
+        n, before = rows.count(), -1
+        while n != before:
+            if mask is not None:
+                rows = without_false_loops(rows, points, mask, planar)
+            rows, root = contracted(rows)
+            if mask is None:
+                break
+            points = written(points.join(root, "branch_id").select(*OBJECT, F.col("root").alias("branch_id"), "z", "y", "x"))
+            rows = written(rows)
+            n, before = rows.count(), n
+        return cut(rows)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import components as C
+from ..operators import holes as H
 from ..operators import assignment, branches as B, distance, kernels, masks, morphology, neighbors, proximity, proximity_result, segment, topology, tracking
 from ..operators.masks import VOXEL
 from ..sources.derive import SRC, TGT, TYX, YX, ZYX, channel, tyx, yx, zyx
@@ -462,6 +463,16 @@ def branch_contraction(spark, sf_dir):
     return rows.select("t", "label", F.col("a.y").alias("y0"), F.col("a.x").alias("x0"), F.col("b.y").alias("y1"), F.col("b.x").alias("x1"), "length")
 
 
+@query(f"""WITH RECURSIVE {TYX}, edge AS (SELECT t, min(y) - 1 AS y0, max(y) + 1 AS y1, min(x) - 1 AS x0, max(x) + 1 AS x1 FROM tyx GROUP BY t),
+room AS (SELECT t, y, unnest(range(x0, x1 + 1)) AS x FROM (SELECT *, unnest(range(y0, y1 + 1)) AS y FROM edge)),
+free AS (SELECT * FROM room r WHERE NOT EXISTS (SELECT 1 FROM tyx v WHERE v.t = r.t AND v.y = r.y AND v.x = r.x)),
+outside AS (SELECT f.t, f.y, f.x FROM free f JOIN edge e ON e.t = f.t AND (f.y IN (y0, y1) OR f.x IN (x0, x1))
+  UNION SELECT f.t, f.y, f.x FROM outside o JOIN free f ON f.t = o.t AND abs(f.y - o.y) + abs(f.x - o.x) = 1)
+SELECT t, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM free EXCEPT SELECT t, CAST(y AS INTEGER), CAST(x AS INTEGER) FROM outside""")
+def mask_holes(spark, sf_dir):
+    return H.holes(tyx(spark, sf_dir), planar=True).select("t", "y", "x")
+
+
 # Stencils
 
 
