@@ -175,6 +175,13 @@ def prune(rows: DataFrame, length: float | Column) -> DataFrame:
     return rows.where(~F.coalesce(terminal & (F.col("length") <= length), F.lit(False)))
 
 
+def _pruned(rows: DataFrame, terminal: float | DataFrame) -> DataFrame:
+    if not isinstance(terminal, DataFrame):
+        return prune(rows, terminal)
+    # One row for each frame.
+    return prune(rows.join(terminal.select("t", "radius"), "t", "left"), F.coalesce("radius", F.lit(-1.0))).select(*rows.columns)
+
+
 def contract(rows: DataFrame) -> DataFrame:
     """Branches that meet at a junction where nothing else ends, joined to one."""
     return contracted(rows)[0]
@@ -237,24 +244,24 @@ def without_false_loops(rows: DataFrame, points: DataFrame, mask: DataFrame, pla
     return cut(rows.join(gone, "branch_id", "left_anti").select(*rows.columns))
 
 
-def simplified(skeleton: DataFrame, spacing: Sequence[float] = (1.0, 1.0, 1.0), planar: bool = False, terminal: float | None = None, mask: DataFrame | None = None) -> DataFrame:
+def simplified(skeleton: DataFrame, spacing: Sequence[float] = (1.0, 1.0, 1.0), planar: bool = False, terminal: float | DataFrame | None = None, mask: DataFrame | None = None) -> DataFrame:
     """Branch rows after pruning terminal branches up to a length, tracing what is left anew, pruning again, and dropping false loops and contracting until nothing changes.
 
-    mask: the objects (t, label, z, y, x) whose background tells false loops; without it all loops stay.  terminal None prunes nothing, as for plane images.  Objects of which no branch is left, such as single voxels, have no row.
+    mask: the objects (t, label, z, y, x) whose background tells false loops; without it all loops stay.  terminal: a length, or one for each frame (t, radius), without a row for frames to leave alone.  None prunes nothing, as for plane images.  Objects of which no branch is left, such as single voxels, have no row.
     """
     with tables(skeleton.sparkSession) as written:
         skeleton = written(skeleton.select(*OBJECT, "z", "y", "x"))
         found = trace(skeleton, spacing, planar)
         if terminal is None:
             return found.rows
-        kept = written(prune(found.rows, terminal))
+        kept = written(_pruned(found.rows, terminal))
         points = found.points.join(kept.select("branch_id"), "branch_id", "left_semi").select(*OBJECT, "z", "y", "x")
         held = found.nodes.join(_ends(kept).select("node").distinct(), "node", "left_semi").select(*OBJECT, "z", "y", "x")
         left = written(points.union(held).distinct())
         # Where nothing is left of an object its whole skeleton is traced again.
         bare = skeleton.join(left.select(*OBJECT).distinct(), OBJECT, "left_anti")
         second = trace(written(left.union(bare)), spacing, planar)
-        rows = written(prune(second.rows, terminal))
+        rows = written(_pruned(second.rows, terminal))
         points, mask = written(second.points), None if mask is None else written(mask.select(*OBJECT, "z", "y", "x"))
         n, before = rows.count(), -1
         while n != before:

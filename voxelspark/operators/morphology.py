@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 #: The order of exported columns.
 COLUMNS = ("label", "frame", "object_label", "branch_index", "branch_length", "pixels", "voxels", "perimeter", "area", "surface_area", "volume", "branch_number", "junction_number", "endpoint_number", "total_branch_length", "mean_branch_length", "length source")
 #: Headers of exported columns.
@@ -37,6 +39,23 @@ def gini(rows: DataFrame, column: str) -> DataFrame:
     return sums.select("n", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(2 * F.col("w"), n * F.col("s")) - F.try_divide(n + 1, n))).alias("gini"))
 
 
+def lorenz(rows: DataFrame, column: str) -> DataFrame:
+    """share_of_rows, share_of_sum: the finite positive values in order, from (0, 0) to (1, 1); equal values make one point, the last of theirs.
+
+    Values are range-partitioned; a partition's sums begin after those of the partitions before it, of which there is one row each.
+    """
+    kept = rows.where((F.col(column) > 0) & ~F.isnan(F.col(column).cast("double")) & (F.col(column).cast("double") != float("inf"))).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    ranged = cut(kept.withColumn("s", F.col("v") * F.col("c")).repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy("part").agg(F.sum("c").alias("n"), F.sum("s").alias("w"))
+    upto = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    before = parts.select("part", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"{c}0") for c in "nw"], *[F.sum(c).over(whole).alias(f"{c}1") for c in "nw"])
+    own = W.partitionBy("part").orderBy("v")
+    points = ranged.join(F.broadcast(before), "part").select(((F.sum("c").over(own) + F.col("n0")) / F.col("n1")).alias("share_of_rows"), ((F.sum("s").over(own) + F.col("w0")) / F.col("w1")).alias("share_of_sum"))
+    zero = parts.limit(1).select(F.lit(0.0).alias("share_of_rows"), F.lit(0.0).alias("share_of_sum"))
+    return points.union(zero)
+
+
 def histogram(rows: DataFrame, column: str) -> DataFrame:
     """Counts in 5 to 20 equal bins by the number of values, the last one closed."""
     ends = rows.agg(F.min(column).alias("low"), F.max(column).alias("high"), F.least(F.lit(20), F.greatest(F.lit(5), F.count("*"))).alias("bins"))

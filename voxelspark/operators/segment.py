@@ -14,8 +14,12 @@ from .masks import VOXEL
 
 
 def otsu(voxels: DataFrame, bins: int = 256) -> DataFrame:
-    """threshold_bin and variance: the first bin that separates values in [0, bins - 1] with the greatest variance between classes."""
-    counts = voxels.groupBy(F.least(F.greatest(F.floor("value"), F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    """threshold_bin, threshold (the bin's middle) and variance: the first bin that separates values from 0 to 255 with the greatest variance between classes.
+
+    Bins divide the range from 0 to 255 evenly, the last one closed; values outside it don't count.
+    """
+    place = F.least(F.floor(F.col("value") * bins / 255.0), F.lit(bins - 1)).cast("int")
+    counts = voxels.where(F.col("value").between(0, 255)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
     # At most `bins` rows.
     low = W.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
     every = W.orderBy("bin").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -23,7 +27,7 @@ def otsu(voxels: DataFrame, bins: int = 256) -> DataFrame:
     n0, n1 = F.col("n0").cast("double"), (F.col("n1") - F.col("n0")).cast("double")
     gap = F.col("s0") / n0 - (F.col("s1") - F.col("s0")) / n1
     rows = rows.where("n1 > n0").select("bin", (n0 * n1 * gap * gap).alias("variance"))
-    return rows.orderBy(F.desc("variance"), "bin").limit(1).select(F.col("bin").alias("threshold_bin"), "variance")
+    return rows.orderBy(F.desc("variance"), "bin").limit(1).select(F.col("bin").alias("threshold_bin"), ((F.col("bin") + 0.5) * (255.0 / bins)).alias("threshold"), "variance")
 
 
 def em_step(points: DataFrame, model: DataFrame) -> DataFrame:
@@ -89,7 +93,7 @@ def segment(image: DataFrame, response: DataFrame, foreground: int = 1, backgrou
     scaled = image.select(*VOXEL, ((F.col("value") - F.lit(low)) * 255.0 / F.lit(high - low)).alias("value"))
     rows = cut(scaled.join(response.select(*VOXEL, "response"), VOXEL))
     split = otsu(rows.select((F.col("response") * 255.0 / F.lit(float(most))).alias("value"))).head()
-    first = split[0] if split else 0
+    first = split["threshold"] if split else 0.0
     labels = cut(rows.select(*VOXEL, (F.col("response") * 255.0 / F.lit(float(most)) > first).cast("int").alias("label")))
     spark = image.sparkSession
     for _ in range(outer):

@@ -139,6 +139,24 @@ def link_table(matches: DataFrame, owners: DataFrame, dets: DataFrame, config: T
     )
 
 
+def match_summary(points: DataFrame, matches: DataFrame) -> DataFrame:
+    """Points, matched pairs and coverage of each pair of adjacent frames, and of all together (frames null): frame_from, frame_to, src_points, dst_points, matched_pairs, src_coverage, dst_coverage.
+
+    points: (t, ...), one row each; matches: (t, ...), t the earlier frame.  A pair needs a frame with points at either end up to the last frame; where one has none, its
+    coverage is 0.  The total row counts the points of each pair, so a frame between two others counts twice.
+    """
+    # Counts of points as sources and targets and of matches meet as rows of one kind, for one shuffle.
+    last = points.agg(F.max("t").alias("last"))
+    side = lambda df, t, *n: df.groupBy(t.alias("t")).agg(F.count("*").alias("n")).select("t", *[(F.col("n") if i in n else F.lit(0)).alias(c) for i, c in enumerate(("src_points", "dst_points", "matched_pairs"))])
+    rows = side(points, F.col("t"), 0).union(side(points, F.col("t") - 1, 1)).union(side(matches, F.col("t"), 2))
+    rows = rows.join(F.broadcast(last), (F.col("t") < F.col("last")) & (F.col("t") >= 0)).groupBy("t").agg(*[F.sum(c).alias(c) for c in ("src_points", "dst_points", "matched_pairs")])
+    rows = rows.rollup("t").agg(*[F.sum(c).alias(c) for c in ("src_points", "dst_points", "matched_pairs")], F.grouping("t").alias("g"))
+    # An empty table has no total either.
+    share = lambda c: F.coalesce(F.try_divide(F.col("matched_pairs").cast("double"), F.col(c).cast("double")), F.lit(0.0))
+    rows = rows.where("g = 0 OR src_points IS NOT NULL")
+    return rows.select(F.col("t").alias("frame_from"), (F.col("t") + 1).alias("frame_to"), "src_points", "dst_points", "matched_pairs", share("src_points").alias("src_coverage"), share("dst_points").alias("dst_coverage"))
+
+
 def select_links(links: DataFrame, cutoff: float, min_size: int) -> DataFrame:
     """Links between two large objects within the cutoff."""
     return links.where((F.col("cost") <= cutoff) & (F.col("src_area") > min_size) & (F.col("dst_area") > min_size))

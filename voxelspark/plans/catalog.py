@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import components as C
 from ..operators import holes as H
-from ..operators import assignment, branches as B, distance, kernels, masks, morphology, neighbors, proximity, proximity_result, segment, topology, tracking
+from ..operators import analysis, assignment, branches as B, distance, kernels, masks, morphology, neighbors, proximity, proximity_result, segment, topology, tracking
+from ..operators.graph import cut
 from ..operators.masks import VOXEL
 from ..sources.derive import SRC, TGT, TYX, YX, ZYX, channel, tyx, yx, zyx
 
@@ -473,6 +474,18 @@ def mask_holes(spark, sf_dir):
     return H.holes(tyx(spark, sf_dir), planar=True).select("t", "y", "x")
 
 
+@query(f"""WITH RECURSIVE {OBJECTS}, v AS (SELECT CAST(area AS DOUBLE) AS v, count(*) AS c FROM objects GROUP BY area)
+SELECT {R6.format('sum(c) OVER (ORDER BY v) / CAST(sum(c) OVER () AS DOUBLE)')} AS share_of_rows, {R6.format('sum(v * c) OVER (ORDER BY v) / sum(v * c) OVER ()')} AS share_of_sum FROM v UNION ALL SELECT 0.0::DOUBLE, 0.0::DOUBLE""")
+def lorenz_curve(spark, sf_dir):
+    return morphology.lorenz(C.objects(_labels(spark, sf_dir)), "area").select(*[S.r6(F.col(c)).alias(c) for c in ("share_of_rows", "share_of_sum")])
+
+
+@query()
+def morphology_analysis(spark, sf_dir):
+    """Sizes, borders and skeleton branches of the time series' objects."""
+    return analysis.analyze(_labels(spark, sf_dir), (1.0, 1.5, 0.5), planar=True).objects
+
+
 # Stencils
 
 
@@ -535,10 +548,10 @@ def _bytes(spark, sf_dir):
     return masks.rescale_to_byte(yx(spark, sf_dir), ["t"])
 
 
-@query(_BYTE + """, h AS (SELECT value AS bin, count(*) AS n FROM v GROUP BY value), c AS (SELECT bin, CAST(sum(n) OVER w AS DOUBLE) AS n0, CAST(sum(n * bin) OVER w AS DOUBLE) AS s0, CAST(sum(n) OVER () AS DOUBLE) AS n1, CAST(sum(n * bin) OVER () AS DOUBLE) AS s1 FROM h WINDOW w AS (ORDER BY bin))
-SELECT bin AS threshold_bin FROM c WHERE n1 > n0 ORDER BY n0 * (n1 - n0) * (s0 / n0 - (s1 - s0) / (n1 - n0)) * (s0 / n0 - (s1 - s0) / (n1 - n0)) DESC, bin LIMIT 1""")
+@query(_BYTE + """, h AS (SELECT least(floor(value * 256 / 255.0::DOUBLE), 255) AS bin, count(*) AS n FROM v WHERE value BETWEEN 0 AND 255 GROUP BY 1), c AS (SELECT bin, CAST(sum(n) OVER w AS DOUBLE) AS n0, CAST(sum(n * bin) OVER w AS DOUBLE) AS s0, CAST(sum(n) OVER () AS DOUBLE) AS n1, CAST(sum(n * bin) OVER () AS DOUBLE) AS s1 FROM h WINDOW w AS (ORDER BY bin))
+SELECT CAST(bin AS INTEGER) AS threshold_bin, (bin + 0.5) * (255.0::DOUBLE / 256) AS threshold FROM c WHERE n1 > n0 ORDER BY n0 * (n1 - n0) * (s0 / n0 - (s1 - s0) / (n1 - n0)) * (s0 / n0 - (s1 - s0) / (n1 - n0)) DESC, bin LIMIT 1""")
 def otsu_threshold(spark, sf_dir):
-    return segment.otsu(_bytes(spark, sf_dir)).select("threshold_bin")
+    return segment.otsu(_bytes(spark, sf_dir)).select("threshold_bin", "threshold")
 
 
 _MODEL = [(0, 0, 0.5, 90.0, 20.0), (0, 1, 0.5, 110.0, 20.0), (1, 0, 1.0, 150.0, 30.0)]
@@ -616,6 +629,18 @@ def sample_points(spark, sf_dir):
     return assignment.sample_points(rows, tracking.allocate_samples(weights, _budget(500)))
 
 
+@query(f"""WITH {TYX}, last AS (SELECT max(t) AS last FROM tyx),
+r AS (SELECT t, count(*) AS s, 0 AS d, 0 AS m FROM tyx GROUP BY t UNION ALL SELECT t - 1, 0, count(*), 0 FROM tyx GROUP BY t UNION ALL SELECT a.t, 0, 0, count(*) FROM tyx a JOIN tyx b ON b.t = a.t + 1 AND b.y = a.y AND b.x = a.x GROUP BY a.t),
+p AS (SELECT t, CAST(sum(s) AS BIGINT) AS s, CAST(sum(d) AS BIGINT) AS d, CAST(sum(m) AS BIGINT) AS m FROM r, last WHERE t < last AND t >= 0 GROUP BY t),
+u AS (SELECT t, CAST(sum(s) AS BIGINT) AS s, CAST(sum(d) AS BIGINT) AS d, CAST(sum(m) AS BIGINT) AS m FROM p GROUP BY ROLLUP (t))
+SELECT t AS frame_from, t + 1 AS frame_to, s AS src_points, d AS dst_points, m AS matched_pairs, coalesce(CAST(m AS DOUBLE) / nullif(s, 0), 0) AS src_coverage, coalesce(CAST(m AS DOUBLE) / nullif(d, 0), 0) AS dst_coverage FROM u""")
+def match_summary(spark, sf_dir):
+    """Voxels of each frame that the next one has too, by frame pair and over all."""
+    rows = cut(tyx(spark, sf_dir).select(*VOXEL))
+    after = rows.select((F.col("t") - 1).alias("t"), "z", "y", "x")
+    return tracking.match_summary(rows, rows.join(after, list(VOXEL), "left_semi"))
+
+
 @query(f"WITH RECURSIVE {LINKS} SELECT t, src, dst, src_area, dst_area, matched_points, {R6.format('cost')} AS cost FROM links")
 def overlap_links(spark, sf_dir):
     return tracking.overlap_links(*_dets(spark, sf_dir)).withColumn("cost", S.r6(F.col("cost")))
