@@ -184,7 +184,7 @@ def test_tracking_of_a_split(spark):
     movie[0, 0, 2, 2:8] = movie[1, 0, 2, 2:8] = 1
     movie[2, 0, 2, 2:4] = movie[2, 0, 2, 6:8] = 1
     movie[2, 0, 5, 0] = 1
-    out = tracking.track(voxels(spark, movie), tracking.TrackingConfig(radius=3.0, min_link_size=1, cost_cutoff=3.0))
+    out = tracking.track(voxels(spark, movie), tracking.TrackingConfig(max_distance=3.0, min_link_size=1, cost_cutoff=3.0))
     kinds = {r.kind for r in out["events"].collect()}
     assert {"continuation", "fission", "birth"} <= kinds
     lineage = {r.det_id: r.lineage_id for r in out["lineages"].collect()}

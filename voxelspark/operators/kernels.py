@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from math import exp
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import eigenvalues_2x2, line_and_sheet, sort_by_magnitude, vesselness_2d
@@ -153,16 +154,26 @@ def vesselness(image: DataFrame, size: int, sigmas: Sequence[float], beta: float
     return out.groupBy(*VOXEL).agg(F.greatest(F.lit(0.0), F.max("response")).alias("response"))
 
 
+def _gathered(rows: DataFrame, axis: str, half: int, value: str) -> DataFrame:
+    """value of each voxel and of those up to half a square away along an axis as an array; beyond the frame's border its last voxel counts again."""
+    line = W.partitionBy(*[c for c in VOXEL if c != axis]).orderBy(axis)
+    low, high = F.first(F.struct(axis, value)).over(line), F.last(F.struct(axis, value)).over(line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    rows = rows.withColumns({"_near": F.collect_list(value).over(line.rangeBetween(-half, half)), "_low": low, "_high": high})
+    again = lambda end, edge, over: F.when(F.col(f"{end}.{axis}") == F.col(edge), F.array_repeat(F.col(f"{end}.{value}"), F.greatest(over, F.lit(0)).cast("int"))).otherwise(F.array().cast(rows.schema["_near"].dataType))
+    before, after = again("_low", f"{axis}0", F.lit(half) - (F.col(axis) - F.col(f"{axis}0"))), again("_high", f"{axis}1", F.lit(half) - (F.col(f"{axis}1") - F.col(axis)))
+    return rows.withColumn(value, F.concat("_near", before, after)).drop("_near", "_low", "_high")
+
+
 def median_filter(image: DataFrame, size: int) -> DataFrame:
-    """Median over a square of odd size in the plane; the border repeats."""
+    """Median over a square of odd size in the plane; the border repeats.
+
+    Values are gathered along x, then those arrays along y, so a voxel is shuffled twice and not once for each place of the square.
+    """
     half = size // 2
     frame = image.groupBy("t", "z").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
-    offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-half, half + 1) for dx in range(-half, half + 1)])
-    # Every target asks for the value at each offset, clamped to the frame.
-    asked = image.join(F.broadcast(frame), ["t", "z"]).select("t", "z", "y", "x", "y0", "y1", "x0", "x1", F.explode(offsets).alias("o"))
-    clamp = lambda v, a, b: F.greatest(F.col(a), F.least(F.col(b), v)).cast("int")
-    asked = asked.select("t", "z", F.col("y").alias("ty"), F.col("x").alias("tx"), clamp(F.col("y") + F.col("o.dy"), "y0", "y1").alias("y"), clamp(F.col("x") + F.col("o.dx"), "x0", "x1").alias("x"))
-    return asked.join(image.select(*VOXEL, "value"), VOXEL).groupBy("t", "z", F.col("ty").alias("y"), F.col("tx").alias("x")).agg(F.sort_array(F.collect_list("value"))[size * size // 2].alias("value"))
+    rows = image.select(*VOXEL, "value").join(F.broadcast(frame), ["t", "z"])
+    square = _gathered(_gathered(rows, "x", half, "value"), "y", half, "value")
+    return square.select(*VOXEL, F.sort_array(F.flatten("value"))[size * size // 2].alias("value"))
 
 
 def background_subtract(image: DataFrame, size: int, sigma: float, alpha: float) -> DataFrame:

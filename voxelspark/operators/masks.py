@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 VOXEL = ["t", "z", "y", "x"]
 
 
@@ -39,10 +40,10 @@ def is_binary(voxels: DataFrame) -> DataFrame:
 def compact_ids(labels: DataFrame, column: str = "label") -> DataFrame:
     """Dense ids from 1 in the order of the original ids: (original, compact).
 
-    The window runs over the distinct ids alone.
+    Distinct ids are numbered in range partitions.
     """
     ids = labels.select(F.col(column).alias("original")).where("original <> 0").distinct()
-    return ids.select("original", F.dense_rank().over(W.orderBy("original")).alias("compact"))
+    return numbered(ids, ["original"], "compact").withColumn("compact", F.col("compact").cast("int"))
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:

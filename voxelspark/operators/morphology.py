@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import cut
+from .numbering import running
 
 #: The order of exported columns.
 COLUMNS = ("label", "frame", "object_label", "branch_index", "branch_length", "pixels", "voxels", "perimeter", "area", "surface_area", "volume", "branch_number", "junction_number", "endpoint_number", "total_branch_length", "mean_branch_length", "length source")
@@ -27,13 +26,12 @@ def at_least(objects: DataFrame, size: int) -> DataFrame:
 
 
 def gini(rows: DataFrame, column: str) -> DataFrame:
-    """Count of finite positive values and their Gini coefficient, clamped to [0, 1]; from counts of equal values, so windows stay small.
+    """Count of finite positive values and their Gini coefficient, clamped to [0, 1]; from counts of equal values, in range partitions.
 
     With values in order, 2 * sum(rank * value) / (n * total) - (n + 1) / n; equal values share the sum of their ranks.
     """
     kept = rows.where((F.col(column) > 0) & ~F.isnan(F.col(column).cast("double"))).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    below = F.sum("c").over(W.orderBy("v")) - F.col("c")
-    ranked = kept.select("v", "c", (F.col("c") * below + F.col("c") * (F.col("c") + 1) / 2).alias("ranks"))
+    ranked = running(kept, ["v"], {"below": "c"}).select("v", "c", (F.col("c") * F.col("below") + F.col("c") * (F.col("c") + 1) / 2).alias("ranks"))
     sums = ranked.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.sum(F.col("ranks") * F.col("v")).alias("w"), F.sum(F.col("c") * F.col("v")).alias("s"))
     n = F.col("n").cast("double")
     return sums.select("n", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(2 * F.col("w"), n * F.col("s")) - F.try_divide(n + 1, n))).alias("gini"))
@@ -42,18 +40,13 @@ def gini(rows: DataFrame, column: str) -> DataFrame:
 def lorenz(rows: DataFrame, column: str) -> DataFrame:
     """share_of_rows, share_of_sum: the finite positive values in order, from (0, 0) to (1, 1); equal values make one point, the last of theirs.
 
-    Values are range-partitioned; a partition's sums begin after those of the partitions before it, of which there is one row each.
+    Sums run over range partitions of the values.
     """
     kept = rows.where((F.col(column) > 0) & ~F.isnan(F.col(column).cast("double")) & (F.col(column).cast("double") != float("inf"))).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    ranged = cut(kept.withColumn("s", F.col("v") * F.col("c")).repartitionByRange("v").withColumn("part", F.spark_partition_id()))
-    parts = ranged.groupBy("part").agg(F.sum("c").alias("n"), F.sum("s").alias("w"))
-    upto = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    before = parts.select("part", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"{c}0") for c in "nw"], *[F.sum(c).over(whole).alias(f"{c}1") for c in "nw"])
-    own = W.partitionBy("part").orderBy("v")
-    points = ranged.join(F.broadcast(before), "part").select(((F.sum("c").over(own) + F.col("n0")) / F.col("n1")).alias("share_of_rows"), ((F.sum("s").over(own) + F.col("w0")) / F.col("w1")).alias("share_of_sum"))
-    zero = parts.limit(1).select(F.lit(0.0).alias("share_of_rows"), F.lit(0.0).alias("share_of_sum"))
-    return points.union(zero)
+    summed = running(kept.withColumn("s", F.col("v") * F.col("c")), ["v"], {"n0": "c", "s0": "s"})
+    whole = summed.agg(F.sum("c").alias("n"), F.sum("s").alias("total")).where("n > 0")
+    points = summed.join(F.broadcast(whole)).select(((F.col("n0") + F.col("c")) / F.col("n")).alias("share_of_rows"), ((F.col("s0") + F.col("s")) / F.col("total")).alias("share_of_sum"))
+    return points.union(whole.select(F.lit(0.0).alias("share_of_rows"), F.lit(0.0).alias("share_of_sum")))
 
 
 def histogram(rows: DataFrame, column: str) -> DataFrame:

@@ -14,6 +14,7 @@ from .components import detections, label, objects
 from .graph import connected, cut
 from .masks import VOXEL
 from .neighbors import nearest_points
+from .numbering import numbered
 
 
 @dataclass(frozen=True)
@@ -21,8 +22,8 @@ class TrackingConfig:
     """Parameters of linking."""
 
     # Defaults.
-    radius: float = 50.0
-    neighbours: int = 6
+    max_distance: float = 50.0
+    max_neighbors: int = 6
     distance_weight: float = 0.2
     overlap_weight: float = 0.8
     point_support_weight: float = 1.0
@@ -107,7 +108,7 @@ def point_edges(points: DataFrame, config: TrackingConfig) -> DataFrame:
     """
     src = points.select("t", F.col("point_id").alias("src"), *"zyx")
     dst = points.select((F.col("t") - 1).alias("t"), F.col("point_id").alias("dst"), *"zyx")
-    near = nearest_points(src, dst, config.radius, config.neighbours, ["t"])
+    near = nearest_points(src, dst, config.max_distance, config.max_neighbors, ["t"])
     a = points.select("t", F.col("point_id").alias("src"), *[F.col(c).alias(f"s{c}") for c in "zyx"], "cz", "cy", "cx")
     b = points.select((F.col("t") - 1).alias("t"), F.col("point_id").alias("dst"), *[F.col(c).alias(f"d{c}") for c in "zyx"])
     rows = near.join(a, ["t", "src"]).join(b, ["t", "dst"])
@@ -212,7 +213,7 @@ def lineages(dets: DataFrame, parents: DataFrame) -> DataFrame:
         if not jumped.where("moved").head(1):
             break
     # Ids grow with the frame, so the order of roots is that of (frame, id).
-    roots = at.select("root").distinct().select("root", F.dense_rank().over(W.orderBy("root")).alias("lineage_id"))
+    roots = numbered(at.select("root").distinct(), ["root"], "lineage_id").withColumn("lineage_id", F.col("lineage_id").cast("int"))
     return at.join(roots, "root").select("det_id", "lineage_id")
 
 

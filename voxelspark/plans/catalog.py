@@ -612,13 +612,13 @@ def _candidates(points):
 @query()
 def greedy_match(spark, sf_dir):
     points = _points(tyx(spark, sf_dir)).withColumns({"cz": F.lit(0.0), "cy": F.lit(0.0), "cx": F.lit(0.0)})
-    return tracking.match_points(tracking.point_edges(points, tracking.TrackingConfig(neighbours=2, radius=3.0)))
+    return tracking.match_points(tracking.point_edges(points, tracking.TrackingConfig(max_neighbors=2, max_distance=3.0)))
 
 
 @query()
 def optimal_match(spark, sf_dir):
     points = _points(tyx(spark, sf_dir)).withColumns({"cz": F.lit(0.0), "cy": F.lit(0.0), "cx": F.lit(0.0)})
-    return assignment.match_optimal(tracking.point_edges(points, tracking.TrackingConfig(neighbours=2, radius=3.0)), 5.0)
+    return assignment.match_optimal(tracking.point_edges(points, tracking.TrackingConfig(max_neighbors=2, max_distance=3.0)), 5.0)
 
 
 @query()
@@ -704,7 +704,7 @@ def sample_allocation(spark, sf_dir):
 
 @query()
 def track_selected_links(spark, sf_dir):
-    return tracking.track(tyx(spark, sf_dir), tracking.TrackingConfig(radius=3.0, neighbours=3, min_link_size=0))["selected"]
+    return tracking.track(tyx(spark, sf_dir), tracking.TrackingConfig(max_distance=3.0, max_neighbors=3, min_link_size=0))["selected"]
 
 
 @query(f"WITH RECURSIVE {OBJECTS} SELECT t, max(label) AS objects, count(*) AS voxels FROM labels GROUP BY t")

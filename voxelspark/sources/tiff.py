@@ -193,7 +193,7 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
 def read_voxels(spark: SparkSession, path: str) -> DataFrame:
     """(image_id, t, c, z, y, x, value) of all files.
 
-    Colour samples are channels; alpha is dropped, and three equal colours are one.  A row batch holds one page, so memory follows the page.
+    Colour samples are channels; alpha is dropped, and three equal colours are one.  A file is one row to its task, which decodes it page by page: memory follows the file.
     """
     schema = "image_id string, t int, c int, z int, y int, x int, value double"
 
