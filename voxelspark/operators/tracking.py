@@ -221,11 +221,12 @@ def _ids(column: Column) -> Column:
     return F.array_sort(F.collect_set(column))
 
 
-def events(dets: DataFrame, links: DataFrame, change: float, min_size: int) -> DataFrame:
+def events(dets: DataFrame, links: DataFrame, change: float, min_size: int, ends: DataFrame | None = None) -> DataFrame:
     """kind, frame_from, frame_to, sources, targets from selected links (t, src, dst) and objects (det_id, t, area).
 
     Links of a frame pair form components: one to one is a continuation, or an elongation or shortening where the area changes by the given part
     or more; one to many a fission, many to one a fusion, else a split-merge.  Unlinked objects up to min_size are births and deaths.
+    ends: the first and last frame, if dets are not those of all frames.
     """
     # Sources and targets of a frame pair are different nodes even though an object is target in one pair and source in the next.
     node = lambda side: F.col(side) * 2 + (0 if side == "src" else 1)
@@ -238,7 +239,7 @@ def events(dets: DataFrame, links: DataFrame, change: float, min_size: int) -> D
     one, many = F.size("sources") == 1, F.size("targets") == 1
     kind = F.when(one & many, single).when(one, "fission").when(many, "fusion").otherwise("split-merge")
     linked = groups.select(kind.alias("kind"), F.col("t").alias("frame_from"), (F.col("t") + 1).alias("frame_to"), "sources", "targets")
-    last = dets.agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    last = dets.agg(F.min("t").alias("first"), F.max("t").alias("last")) if ends is None else ends
     small = dets.where(F.col("area") <= min_size).join(F.broadcast(last))
     none = F.array().cast("array<bigint>")
     born = small.where("t > first").join(links.select(F.col("dst").alias("det_id")).distinct(), "det_id", "left_anti").select(F.lit("birth").alias("kind"), F.col("t").alias("frame_from"), F.col("t").alias("frame_to"), none.alias("sources"), F.array("det_id").alias("targets"))

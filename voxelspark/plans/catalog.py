@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import components as C
 from ..operators import holes as H
-from ..operators import analysis, assignment, branches as B, distance, kernels, masks, morphology, neighbors, proximity, proximity_result, segment, topology, tracking
+from ..operators import analysis, assignment, branches as B, distance, editing, kernels, masks, morphology, neighbors, proximity, proximity_result, segment, topology, tracking
 from ..operators.graph import cut
 from ..operators.masks import VOXEL
 from ..sources.derive import SRC, TGT, TYX, YX, ZYX, channel, tyx, yx, zyx
@@ -679,6 +679,29 @@ def events(spark, sf_dir):
     return rows.select("kind", "frame_from", "frame_to", F.array_join("sources", ",").alias("sources"), F.array_join("targets", ",").alias("targets"))
 
 
+#: Every shared voxel position is a selected link at first; of odd frames those of one voxel are deselected, and then selected again where the source has an even id.
+_EDITED = LINKS.replace("links AS (SELECT", "every AS (SELECT") + ", links AS (SELECT * FROM every WHERE NOT (matched_points = 1 AND t % 2 = 1 AND src % 2 = 1))"
+
+
+def _refined(spark, sf_dir):
+    labels, dets = _dets(spark, sf_dir)
+    dets, links = cut(dets), cut(tracking.overlap_links(labels, dets).withColumn("selected", F.lit(True)))
+    weak = links.where("matched_points = 1 AND t % 2 = 1")
+    edits = weak.select(F.lit(1).alias("seq"), "src", "dst", F.lit(False).alias("selected")).union(weak.where("src % 2 = 0").select(F.lit(2), "src", "dst", F.lit(True)))
+    return editing.refine(dets, links, edits, tracking.events(dets, links, 0.2, 2), editing.ancestry(dets, links), 0.2, 2)
+
+
+@query(ORACLE_SQL["events"].replace(LINKS, _EDITED))
+def edited_events(spark, sf_dir):
+    rows = _refined(spark, sf_dir).events
+    return rows.select("kind", "frame_from", "frame_to", F.array_join("sources", ",").alias("sources"), F.array_join("targets", ",").alias("targets"))
+
+
+@query(ORACLE_SQL["lineages"].replace(LINKS, _EDITED))
+def edited_lineages(spark, sf_dir):
+    return editing.lineage_ids(_refined(spark, sf_dir).ancestry)
+
+
 @query(f"""WITH RECURSIVE {LINKS} SELECT det_id, t, area, 'source' AS missing FROM dets WHERE area > 1 AND t > (SELECT min(t) FROM dets) AND det_id NOT IN (SELECT dst FROM links)
 UNION ALL SELECT det_id, t, area, 'target' FROM dets WHERE area > 1 AND t < (SELECT max(t) FROM dets) AND det_id NOT IN (SELECT src FROM links)""")
 def unlinked_large(spark, sf_dir):
