@@ -112,3 +112,27 @@ def test_otsu(spark, bins):
     best = [count[: k + 1].sum() * count[k + 1 :].sum() * ((count * center)[: k + 1].sum() / count[: k + 1].sum() - (count * center)[k + 1 :].sum() / count[k + 1 :].sum()) ** 2 if count[: k + 1].sum() and count[k + 1 :].sum() else -1 for k in range(bins - 1)]
     got = segment.otsu(spark.createDataFrame([(float(v),) for v in values], "value double"), bins).head()
     assert got.threshold_bin == int(np.argmax(best)) and got.threshold == pytest.approx(center[int(np.argmax(best))])
+
+
+def test_segmentation_ends_by_itself(spark):
+    """With the usual limits the labels are those of higher ones, however rows are dealt out, and split two kinds of values."""
+    rng = np.random.default_rng(4)
+    inside = np.zeros((12, 14), bool)
+    inside[3:9, 4:10] = True
+    values = np.where(inside, rng.normal(180, 12, inside.shape), rng.normal(60, 12, inside.shape)).round(3)
+    rows = [(0, 0, y, x, float(values[y, x]), float(inside[y, x])) for y in range(12) for x in range(14)]
+    frame = lambda n: spark.createDataFrame(rows, "t int, z int, y int, x int, value double, response double").repartition(n)
+    run = lambda n, **kw: {(r.y, r.x): r.label for r in segment.segment(frame(n).drop("response"), frame(n).drop("value"), **kw).collect()}
+    got = run(2)
+    assert got == {(y, x): int(inside[y, x]) for y in range(12) for x in range(14)}
+    assert got == run(9, outer=60, inner=40)
+
+
+def test_log_likelihood(spark):
+    model = [(0, 0, 0.4, 10.0, 2.0), (0, 1, 0.6, 20.0, 3.0), (1, 0, 1.0, 50.0, 5.0)]
+    points = [(0, 11.0), (0, 19.0), (0, 19.0), (1, 47.0)]
+    pdf = lambda v, m, s: math.exp(-((v - m) ** 2) / (2 * s * s)) / (s * math.sqrt(2 * math.pi))
+    want = sum(math.log(sum(p * pdf(v, m, s) for k, _, p, m, s in model if k == c)) for c, v in points) / len(points)
+    table = spark.createDataFrame(model, "class int, k int, pi double, mu double, sigma double")
+    assert segment.log_likelihood(spark.createDataFrame(points, "class int, value double"), table).head()[0] == pytest.approx(want)
+    assert segment.log_likelihood(spark.createDataFrame([(0, 11.0, 1), (0, 19.0, 2), (1, 47.0, 1)], "class int, value double, n long"), table).head()[0] == pytest.approx(want)

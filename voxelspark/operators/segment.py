@@ -30,6 +30,21 @@ def otsu(voxels: DataFrame, bins: int = 256) -> DataFrame:
     return rows.orderBy(F.desc("variance"), "bin").limit(1).select(F.col("bin").alias("threshold_bin"), ((F.col("bin") + 0.5) * (255.0 / bins)).alias("threshold"), "variance")
 
 
+def _densities(points: DataFrame, model: DataFrame) -> DataFrame:
+    """Distinct values of each class with their count n, the densities of the model's parts and their sum.  A column n of points counts its rows so often."""
+    times = F.sum("n") if "n" in points.columns else F.count("*")
+    counted = points.groupBy("class", "value").agg(times.alias("n")).join(F.broadcast(model.groupBy("class").agg(F.collect_list(F.struct("k", "pi", "mu", "sigma")).alias("parts"))), "class")
+    value = F.col("value")
+    dens = F.transform("parts", lambda m: m["pi"] * gaussian_pdf(value, m["mu"], m["sigma"]))
+    return counted.withColumn("dens", dens).withColumn("total", F.aggregate("dens", F.lit(0.0), lambda a, b: a + b))
+
+
+def log_likelihood(points: DataFrame, model: DataFrame) -> DataFrame:
+    """Mean log density (log_likelihood) of all points under their class's mixture; densities below 1e-300 count as that."""
+    rows = _densities(points, model)
+    return rows.agg((F.sum(F.col("n") * F.log(F.greatest("total", F.lit(1e-300)))) / F.sum("n")).alias("log_likelihood"))
+
+
 def em_step(points: DataFrame, model: DataFrame) -> DataFrame:
     """One expectation and maximisation step of a mixture of normals per class.
 
@@ -37,10 +52,7 @@ def em_step(points: DataFrame, model: DataFrame) -> DataFrame:
     first two moments of the responsibilities.
     """
     # Equal values have equal parts, so each distinct value is taken once.
-    counted = points.groupBy("class", "value").agg(F.count("*").alias("n")).join(F.broadcast(model.groupBy("class").agg(F.collect_list(F.struct("k", "pi", "mu", "sigma")).alias("parts"))), "class")
-    value = F.col("value")
-    dens = F.transform("parts", lambda m: m["pi"] * gaussian_pdf(value, m["mu"], m["sigma"]))
-    counted = counted.withColumn("dens", dens).withColumn("total", F.aggregate("dens", F.lit(0.0), lambda a, b: a + b))
+    counted = _densities(points, model)
     rows = counted.select("class", "value", "n", "total", F.posexplode("dens").alias("i", "d"), "parts").select("class", F.col("parts")[F.col("i")]["k"].alias("k"), "value", F.coalesce(F.try_divide(F.col("n") * F.col("d"), "total"), F.lit(0.0)).alias("r"))
     sums = rows.groupBy("class", "k").agg(F.sum("r").alias("w"), F.sum(F.col("r") * F.col("value")).alias("s"), F.sum(F.col("r") * F.col("value") * F.col("value")).alias("q"))
     total = F.sum("w").over(W.partitionBy("class"))
@@ -78,11 +90,12 @@ def map_labels(voxels: DataFrame, model: DataFrame, beta2: float = 1.0) -> DataF
     return rows.select(*VOXEL, (score1 > score0).cast("int").alias("label"))
 
 
-def segment(image: DataFrame, response: DataFrame, foreground: int = 1, background: int = 1, beta1: float = 1.0, beta2: float = 1.0, outer: int = 10, inner: int = 5, axes: Sequence[str] = ("y", "x")) -> DataFrame:
+def segment(image: DataFrame, response: DataFrame, foreground: int = 1, background: int = 1, beta1: float = 1.0, beta2: float = 1.0, outer: int = 50, inner: int = 30, axes: Sequence[str] = ("y", "x"), tolerance: float = 1e-8, inner_tolerance: float = 1e-6) -> DataFrame:
     """Binary labels of an image by a mixture per class and a neighbourhood prior, started from an Otsu split of the response.
 
-    Values are mapped to [0, 255].  Each round fits the mixtures to the present classes and takes the better class of every voxel; it ends when no
-    label changes.  Raises ValueError for an empty or constant image.
+    Values are mapped to [0, 255].  Each round fits the mixtures to the present classes and takes the better class of every voxel.  Rounds end when no
+    label changes, or the mean log-likelihood of the classes by less than tolerance, at the latest after `outer`; the steps of a fit when it changes by less than
+    inner_tolerance, at the latest after `inner`.  All voxels take part, by their distinct values.  Raises ValueError for an empty or constant image.
     """
     low, high, n = image.agg(F.min("value"), F.max("value"), F.count("*")).head()
     if not n:
@@ -96,21 +109,31 @@ def segment(image: DataFrame, response: DataFrame, foreground: int = 1, backgrou
     first = split["threshold"] if split else 0.0
     labels = cut(rows.select(*VOXEL, (F.col("response") * 255.0 / F.lit(float(most)) > first).cast("int").alias("label")))
     spark = image.sparkSession
+    last = None
     for _ in range(outer):
-        marked = rows.join(labels, VOXEL).select(F.col("label").alias("class"), "value")
-        ends = {r[0]: r[1:] for r in marked.groupBy("class").agg(F.avg("value"), F.stddev_pop("value")).collect()}
+        marked = cut(rows.join(labels, VOXEL).groupBy(F.col("label").alias("class"), "value").agg(F.count("*").alias("n")))
+        mean = F.sum(F.col("n") * F.col("value")) / F.sum("n")
+        square = F.sum(F.col("n") * F.col("value") * F.col("value")) / F.sum("n")
+        ends = {r[0]: r[1:] for r in marked.groupBy("class").agg(mean, F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))).collect()}
         start = []
         for c, k in ((0, background), (1, foreground)):
             mean, spread = ends.get(c, (127.5, 64.0))
             start += [(c, i, 1.0 / k, float(mean + (spread or 1.0) * (2 * i - k + 1) / k), float(max(spread or 1.0, 1.0))) for i in range(k)]
         model = spark.createDataFrame(start, "class int, k int, pi double, mu double, sigma double")
+        fit = None
         for _ in range(inner):
-            # A few rows, so the driver holds them.
-            model = spark.createDataFrame(em_step(marked, model).collect(), model.schema) if ends else model
+            # A few rows, so the driver holds them; a class without voxels keeps its parts.
+            found = em_step(marked, model).collect()
+            held = {r["class"] for r in found}
+            model = spark.createDataFrame([*map(tuple, found), *(tuple(r) for r in model.collect() if r["class"] not in held)], model.schema)
+            before, fit = fit, log_likelihood(marked, model).head()[0]
+            if before is not None and abs(fit - before) < inner_tolerance:
+                break
         prior = smoothness(labels, beta1, axes=axes)
         new = cut(map_labels(rows.join(prior.select(*VOXEL, "potential"), VOXEL), model, beta2))
         changed = new.join(labels.withColumnRenamed("label", "old"), VOXEL).where("label <> old").head(1)
         labels = new
-        if not changed:
+        if not changed or (last is not None and fit is not None and abs(fit - last) < tolerance):
             break
+        last = fit
     return labels
