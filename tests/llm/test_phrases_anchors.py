@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from voxelspark.llm import anchors, packed, phrases
+from voxelspark.llm import anchors, packed, phrases, queries
 
 SF = Path("/root/testdata/sf0.001")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -139,10 +139,12 @@ def test_very_long_texts(spark):
 
 
 @pytest.mark.skipif(not SF.exists(), reason="no test tables")
-@pytest.mark.parametrize(("run", "sql"), [(phrases.collocations, phrases.ORACLE), (anchors.remove_repeats, anchors.ORACLE)])
-def test_same_rows_as_sql(spark, run, sql):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    df, rel = run(spark.read.parquet(f"{SF}/documents.parquet")), con.sql(sql)
+    for f in SF.glob("*.parquet"):
+        con.sql(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    df, rel = queries.QUERIES[name](spark, str(SF)), con.sql(queries.ORACLE_SQL[name])
+    assert sorted(df.columns) == sorted(rel.columns)
     at = [rel.columns.index(c) for c in df.columns]
-    assert sorted(map(tuple, df.collect())) == sorted(tuple(r[i] for i in at) for r in rel.fetchall())
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(repr(tuple(r[i] for i in at)) for r in rel.fetchall())

@@ -209,8 +209,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     two-bit sketches rule a link out.  component_id is the smallest id reachable over links, kept marks that document.
 
     Null and empty texts and texts without words: n_shingles 0, linked with nothing, kept.  A row with a null id: component_id
-    null and kept.  Ids must be integers; an id that occurs in several rows gives several rows and is one document, linked through any of its
-    texts.  Other columns of docs are not looked at.
+    null and kept.  Ids must be integers; an id that occurs in several rows gives several rows, each linked through its own
+    text.  Other columns of docs are not looked at.
     """
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     seen = cut(texts.mapInArrow(_describe, "doc_id long, n long, k1 long, k2 long, sig binary, bands array<long>"))

@@ -141,8 +141,8 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     """doc_id, start_word, end_word (exclusive), other_id: passages of 50 words or more that another document has too.
 
     A-Z is lower-cased, words are runs other than blanks and told apart by 64-bit hashes.  Suffixes at minimiser positions are
-    sorted by content, in range partitions that may split a run of equal prefixes, and neighbours are compared: only suffixes that
-    agree with one of another document on 35 words go on.  Any passage of 50 words has such a suffix among its first 16
+    sorted by hashes of their first words and of the 35 words that follow, in range partitions that may split a run of equal keys, and neighbours are compared: only
+    suffixes whose key another document has too go on; words themselves are not compared.  Any passage of 50 words has such a suffix among its first 16
     words.  These matches are extended to the left and right by the windows of 50 words around them, again sorted and compared
     with their neighbours.  Repeated windows that overlap or touch are one passage, so all words of all repeated passages are covered;
     other_id is the least document that has one of the windows.  No pairs of documents are made.
