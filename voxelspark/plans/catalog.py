@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import components as C
 from ..operators import holes as H
-from ..operators import analysis, assignment, branches as B, distance, editing, kernels, masks, morphology, neighbors, proximity, proximity_result, segment, topology, tracking
+from ..operators import analysis, assignment, branches as B, distance, editing, kernels, masks, morphology, neighbors, proximity, proximity_result, quantiles, segment, topology, tracking
 from ..operators.graph import cut
 from ..operators.masks import VOXEL
 from ..sources.derive import SRC, TGT, TYX, YX, ZYX, channel, tyx, yx, zyx
@@ -32,6 +32,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 R6 = "floor(({}) * 1000000 + 0.5) / 1000000"
+#: For values of some millions, whose sixth decimal is beyond what two engines add up alike.
+R3 = "floor(({}) * 1000 + 0.5) / 1000"
 MASK = "mask AS (SELECT t, z, y, x FROM tyx)"
 #: Face-connected components of the time series by recursion; label is the rank of the least voxel in raster order.
 LABELS = f"""{TYX}, {MASK},
@@ -498,20 +500,62 @@ def gaussian_smooth(spark, sf_dir):
     return kernels.smooth(yx(spark, sf_dir).select(*VOXEL, F.col("value").cast("double").alias("value")), 5, 1.0).select("y", "x", F.floor(F.col("value") + 0.5).cast("double").alias("value"))
 
 
-@query()
+def _filters(size: int, sigma: float, source: str, steps: list[tuple[str, str, str, str]], tag: str = "") -> str:
+    """SQL of separable filters, one table for each step (name, source, axis, s to smooth or d to derive), with borders mirrored as in _reflect."""
+    half, out = size // 2, []
+    weights = f"k{tag} AS (SELECT o, w AS s, o / ({sigma!r}::DOUBLE * {sigma!r}) * w AS d FROM (SELECT o, exp(-(o / {sigma!r}::DOUBLE) * (o / {sigma!r}) / 2) / sum(exp(-(o / {sigma!r}::DOUBLE) * (o / {sigma!r}) / 2)) OVER () AS w FROM range({-half}, {half + 1}) r(o)))"
+    for name, before, axis, kind in steps:
+        far, end = f"abs(g.{axis} + k{tag}.o)", f"e.m{axis}"
+        other = "x" if axis == "y" else "y"
+        at = f"greatest(0, least({end}, CASE WHEN {far} > {end} THEN 2 * {end} - {far} ELSE {far} END))"
+        out.append(f"{name} AS MATERIALIZED (SELECT g.y, g.x, sum(k{tag}.{kind} * s.value) AS value FROM {source} g CROSS JOIN k{tag} CROSS JOIN e JOIN {before} s ON s.{other} = g.{other} AND s.{axis} = {at} GROUP BY g.y, g.x)")
+    return ", ".join([weights, *out])
+
+
+_ENDS = "e AS (SELECT max(y) AS my, max(x) AS mx FROM yx)"
+
+
+def _r3(c):
+    return F.floor(c * 1000 + 0.5) / 1000
+
+
+@query(f"WITH {YX}, {_ENDS}, {_filters(5, 1.0, 'yx', [('a', 'yx', 'y', 's'), ('b', 'a', 'x', 'd')])} SELECT y, x, {R3.format('value')} AS value FROM b")
 def gaussian_derivative(spark, sf_dir):
-    return kernels.derivative(yx(spark, sf_dir).select(*VOXEL, F.col("value").cast("double").alias("value")), 5, 1.0, "x").select("y", "x", "value")
+    return kernels.derivative(yx(spark, sf_dir).select(*VOXEL, F.col("value").cast("double").alias("value")), 5, 1.0, "x").select("y", "x", _r3(F.col("value")).alias("value"))
 
 
-@query()
+def _hessian(size: int, sigma: float, source: str, tag: str = "") -> str:
+    """SQL of the tables hyy, hxy and hxx (each with the tag): two first derivatives each, at sigma / sqrt 2."""
+    of = {"yy": "dsds", "xy": "dssd", "xx": "sdsd"}
+    steps = [(f"{f'p{i}{c}{tag}' if i < 3 else f'h{c}{tag}'}", source if not i else f"p{i - 1}{c}{tag}", "yxyx"[i], kind) for c, kinds in of.items() for i, kind in enumerate(kinds)]
+    return _filters(size, sigma / 2**0.5, source, steps, tag)
+
+
+@query(f"""WITH {YX}, {_ENDS}, {_hessian(7, 1.5, 'yx')}
+SELECT y, x, {R3.format('2.25 * a.value')} AS hyy, {R3.format('2.25 * b.value')} AS hxy, {R3.format('2.25 * c.value')} AS hxx FROM hyy a JOIN hxy b USING (y, x) JOIN hxx c USING (y, x)""")
 def hessian(spark, sf_dir):
-    return kernels.hessian_2d(yx(spark, sf_dir), 7, 1.5).select("y", "x", "hyy", "hxy", "hxx")
+    return kernels.hessian_2d(yx(spark, sf_dir), 7, 1.5).select("y", "x", *[_r3(F.col(c)).alias(c) for c in ("hyy", "hxy", "hxx")])
 
 
-@query()
+def _vessel(sigma: float, tag: str) -> str:
+    """SQL of the response at one scale, from eigenvalues sorted by magnitude: bright lines have the larger one negative."""
+    mean, reach = "(a.value + c.value) / 2", "sqrt((a.value - c.value) * (a.value - c.value) / 4 + b.value * b.value)"
+    return f"""SELECT y, x, CASE WHEN big < 0 THEN exp(-(small / big) * (small / big) / 0.5) * (1 - exp(-(small * small + big * big) / 8)) ELSE 0 END AS response
+  FROM (SELECT y, x, CASE WHEN abs(p) > abs(q) THEN q ELSE p END AS small, CASE WHEN abs(p) > abs(q) THEN p ELSE q END AS big
+    FROM (SELECT y, x, {sigma * sigma!r} * ({mean} + {reach}) AS p, {sigma * sigma!r} * ({mean} - {reach}) AS q FROM hyy{tag} a JOIN hxy{tag} b USING (y, x) JOIN hxx{tag} c USING (y, x)))"""
+
+
+@query(f"""WITH {YX}, {_ENDS}, image AS (SELECT y, x, value / 1000000.0::DOUBLE AS value FROM yx), {_hessian(7, 1.0, 'image', '1')}, {_hessian(7, 2.0, 'image', '2')}
+SELECT y, x, {R6.format('greatest(0, max(response))')} AS response FROM ({_vessel(1.0, '1')} UNION ALL {_vessel(2.0, '2')}) GROUP BY y, x""")
 def vesselness(spark, sf_dir):
     scaled = yx(spark, sf_dir).select(*VOXEL, (F.col("value") / 1000000.0).alias("value"))
-    return kernels.vesselness(scaled, 7, (1.0, 2.0)).select("y", "x", "response")
+    return kernels.vesselness(scaled, 7, (1.0, 2.0)).select("y", "x", S.r6(F.col("response")).alias("response"))
+
+
+@query(f"""WITH {TYX}, q AS (SELECT t, quantile_disc(value, 0.018) AS low, quantile_disc(value, 0.982) AS high FROM tyx GROUP BY t)
+SELECT t, y, x, {R6.format('CASE WHEN high = low THEN 0 ELSE greatest(0, least(1, (value - low) / CAST(high - low AS DOUBLE))) END')} AS value FROM tyx JOIN q USING (t)""")
+def percentile_rescale(spark, sf_dir):
+    return quantiles.rescale_between(tyx(spark, sf_dir), ["t"], 0.018, 0.982).select("t", "y", "x", S.r6(F.col("value")).alias("value"))
 
 
 @query()
@@ -578,7 +622,13 @@ def mrf_potential(spark, sf_dir):
     return segment.smoothness(labels, 0.7).select("y", "x", S.r6(F.col("potential")).alias("potential"))
 
 
-@query()
+@query(_BYTE + f""", {_MODEL_SQL}, l AS (SELECT y, x, value, CASE WHEN value > 127 THEN 1 ELSE 0 END AS label FROM v),
+p AS (SELECT a.y, a.x, a.value, 0.7::DOUBLE * (2 * (coalesce(n.label, 0) + coalesce(s.label, 0) + coalesce(w.label, 0) + coalesce(e.label, 0)) - 4) AS potential
+  FROM l a LEFT JOIN l n ON n.y = a.y - 1 AND n.x = a.x LEFT JOIN l s ON s.y = a.y + 1 AND s.x = a.x LEFT JOIN l w ON w.y = a.y AND w.x = a.x - 1 LEFT JOIN l e ON e.y = a.y AND e.x = a.x + 1),
+d AS (SELECT value, class, ln(greatest(sum(pi * exp(-(value - mu) * (value - mu) / (2 * sigma * sigma)) / (sigma * sqrt(2 * pi()))), 1e-15)) AS mix FROM (SELECT DISTINCT value FROM l) CROSS JOIN model GROUP BY value, class),
+f AS (SELECT value, value / 255.0::DOUBLE / (SELECT max(value) / 255.0::DOUBLE FROM l) AS share FROM (SELECT DISTINCT value FROM l))
+SELECT y, x, CASE WHEN d1.mix + ln(share + 1e-15) + potential > d0.mix + ln(1 - share + 1e-15) - potential THEN 1 ELSE 0 END AS label
+FROM p JOIN d d1 ON d1.class = 1 AND d1.value = p.value JOIN d d0 ON d0.class = 0 AND d0.value = p.value JOIN f ON f.value = p.value""")
 def map_label(spark, sf_dir):
     rows = _bytes(spark, sf_dir)
     prior = segment.smoothness(rows.select(*VOXEL, (F.col("value") > 127).cast("int").alias("label")), 0.7)
