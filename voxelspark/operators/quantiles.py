@@ -11,17 +11,17 @@ from .graph import cut
 from .masks import VOXEL
 
 
-def quantiles(values: DataFrame, by: Sequence[str], shares: Sequence[float], column: str = "value", bins: int = 1024) -> DataFrame:
+def quantiles(values: DataFrame, by: Sequence[str], shares: Sequence[float], column: str = "value", times: str | None = None, bins: int = 1024) -> DataFrame:
     """(by..., share, quantile): the least value of each group that at least that share of its values doesn't exceed.
 
     Each round counts a group's remaining values in equal bins and goes on with the values of the bin that holds the wanted rank, until they are all
     equal; a round leaves about one of `bins` values, nothing is sorted, and a group of any size adds up in partial counts.  Null and NaN values don't count; a
-    group without others has no row.  A column n of values counts its rows so often.  The range of a group must fit the column's type.
+    group without others has no row.  A column `times` counts rows more than once.  The range of a group must fit the column's type.
     """
     if not shares or any(not 0 <= s <= 1 for s in shares):
         raise ValueError("shares must lie between 0 and 1")
-    times = F.col("n") if "n" in values.columns else F.lit(1)
-    rows = values.select(*by, F.col(column).alias("v"), times.cast("long").alias("n")).where(F.col("v").isNotNull() & ~F.isnan(F.col("v").cast("double")))
+    often = F.col(times) if times else F.lit(1)
+    rows = values.select(*by, F.col(column).alias("v"), often.cast("long").alias("n")).where(F.col("v").isNotNull() & ~F.isnan(F.col("v").cast("double")))
     ends = rows.groupBy(*by).agg(F.sum("n").alias("total"), F.min("v").alias("low"), F.max("v").alias("high"))
     ends = ends.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in sorted(set(shares))])))
     key = [*by, "share"]
