@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.scalars import gaussian_pdf, response_potential
 from .graph import cut
 from .masks import VOXEL
+from .quantiles import quantiles
+from .training import Part, class_sizes, draw, exchange, sample_sizes, start
+
+MODEL = "class int, k int, pi double, mu double, sigma double"
 
 
 def otsu(voxels: DataFrame, bins: int = 256) -> DataFrame:
@@ -45,21 +50,48 @@ def log_likelihood(points: DataFrame, model: DataFrame) -> DataFrame:
     return rows.agg((F.sum(F.col("n") * F.log(F.greatest("total", F.lit(1e-300)))) / F.sum("n")).alias("log_likelihood"))
 
 
+def _moments(points: DataFrame, model: DataFrame) -> DataFrame:
+    """(class, k, w, s, q, l): sums of the responsibilities, of them times value and squared value, and in the first part's row the log density of the class."""
+    # Equal values have equal parts, so each distinct value is taken once.
+    counted = _densities(points, model)
+    rows = counted.select("class", "value", "n", "total", F.posexplode("dens").alias("i", "d"), "parts").select("class", F.col("parts")[F.col("i")]["k"].alias("k"), "value", F.coalesce(F.try_divide(F.col("n") * F.col("d"), "total"), F.lit(0.0)).alias("r"), F.when(F.col("i") == 0, F.col("n") * F.log(F.greatest("total", F.lit(1e-300)))).otherwise(F.lit(0.0)).alias("l"))
+    return rows.groupBy("class", "k").agg(F.sum("r").alias("w"), F.sum(F.col("r") * F.col("value")).alias("s"), F.sum(F.col("r") * F.col("value") * F.col("value")).alias("q"), F.sum("l").alias("l"))
+
+
 def em_step(points: DataFrame, model: DataFrame) -> DataFrame:
     """One expectation and maximisation step of a mixture of normals per class.
 
     points: (class, value); model: (class, k, pi, mu, sigma), a few rows and broadcast.  The deviation is taken from the new mean, by the
     first two moments of the responsibilities.
     """
-    # Equal values have equal parts, so each distinct value is taken once.
-    counted = _densities(points, model)
-    rows = counted.select("class", "value", "n", "total", F.posexplode("dens").alias("i", "d"), "parts").select("class", F.col("parts")[F.col("i")]["k"].alias("k"), "value", F.coalesce(F.try_divide(F.col("n") * F.col("d"), "total"), F.lit(0.0)).alias("r"))
-    sums = rows.groupBy("class", "k").agg(F.sum("r").alias("w"), F.sum(F.col("r") * F.col("value")).alias("s"), F.sum(F.col("r") * F.col("value") * F.col("value")).alias("q"))
+    sums = _moments(points, model)
     total = F.sum("w").over(W.partitionBy("class"))
     mu = F.try_divide("s", "w")
     return sums.select("class", "k", F.try_divide(F.col("w"), total).alias("pi"), mu.alias("mu"), F.sqrt(F.greatest(F.try_divide("q", "w") - mu * mu, F.lit(1e-12))).alias("sigma"))
 
 
+def fit(points: DataFrame, model: Sequence[Part], steps: int = 30, tolerance: float = 1e-6) -> list[Part]:
+    """Expectation and maximisation until the log-likelihood changes by less than that share of it, at the latest after `steps`.
+
+    points: (class, value, n).  A step is one job, whose sums also give the likelihood of the model before it.  A part or class without values keeps its place.
+    """
+    before, model = None, list(model)
+    for i in range(steps):
+        sums = {(r[0], r[1]): r[2:] for r in _moments(points, points.sparkSession.createDataFrame(model, MODEL)).collect()}
+        likelihood = sum(r[3] for r in sums.values())
+        # The start counts for no comparison.
+        if i > 1 and abs(likelihood - before) < tolerance * abs(likelihood):
+            return model
+        before = likelihood
+        weight = {c: sum(r[0] for (q, _), r in sums.items() if q == c) for c in (0, 1)}
+        new = []
+        for c, k, pi, mu, sigma in model:
+            w, s, q, _ = sums.get((c, k), (0.0, 0.0, 0.0, 0.0))
+            new.append((c, k, w / weight[c] if weight[c] else pi, *((s / w, max(q / w - (s / w) ** 2, 1e-12) ** 0.5) if w > 0 else (mu, sigma))))
+        model = new
+    return model
+
+
 def smoothness(labels: DataFrame, beta: float, dxy: float = 1.0, dz: float = 1.0, axes: Sequence[str] = ("y", "x")) -> DataFrame:
     """Potential of class 0 from the neighbours on a dense grid, the sum of weight * (2 * label - 1); that of class 1 is its negative.
 
@@ -75,7 +107,7 @@ def smoothness(labels: DataFrame, beta: float, dxy: float = 1.0, dz: float = 1.0
 
 
 def map_labels(voxels: DataFrame, model: DataFrame, beta2: float = 1.0) -> DataFrame:
-    """label 1 where the foreground's score is the greater: ln of the mixture minus the potential.
+    """label 1 where the foreground's score is the greater: ln of the mixture minus the potential; and the score of the label taken.
 
     voxels: (t, z, y, x, value, response, potential of class 0); model as in em_step with class 0 and 1.
     """
@@ -84,56 +116,71 @@ def map_labels(voxels: DataFrame, model: DataFrame, beta2: float = 1.0) -> DataF
     rows = voxels.join(F.broadcast(parts[0])).join(F.broadcast(parts[1])).join(F.broadcast(most))
     mix = lambda c: F.log(F.greatest(F.aggregate(F.transform(f"m{c}", lambda m: m["pi"] * gaussian_pdf(F.col("value"), m["mu"], m["sigma"])), F.lit(0.0), lambda a, b: a + b), F.lit(1e-15)))
     share = F.coalesce(F.try_divide("response", "most"), F.lit(0.0))
-    fore = response_potential(share, F.lit(1.0), beta2)
-    back = F.lit(float(beta2)) * F.log(1 - share + F.lit(1e-15))
-    score1, score0 = mix(1) + fore + F.col("potential"), mix(0) + back - F.col("potential")
-    return rows.select(*VOXEL, (score1 > score0).cast("int").alias("label"))
+    # The potential of a class is that of the other one's evidence.
+    score1 = mix(1) - F.lit(float(beta2)) * F.log(1 - share + F.lit(1e-15)) + F.col("potential")
+    score0 = mix(0) - response_potential(share, F.lit(1.0), beta2) - F.col("potential")
+    rows = rows.select(*VOXEL, score1.alias("score1"), score0.alias("score0"))
+    return rows.select(*VOXEL, (F.col("score1") > F.col("score0")).cast("int").alias("label"), F.greatest("score1", "score0").alias("score"))
+
 
+class Trained(NamedTuple):
+    """Labels, the mixtures, the relative changes of the score from the second round on, and whether the last one was small enough."""
 
-def segment(image: DataFrame, response: DataFrame, foreground: int = 1, background: int = 1, beta1: float = 1.0, beta2: float = 1.0, outer: int = 50, inner: int = 30, axes: Sequence[str] = ("y", "x"), tolerance: float = 1e-8, inner_tolerance: float = 1e-6) -> DataFrame:
-    """Binary labels of an image by a mixture per class and a neighbourhood prior, started from an Otsu split of the response.
+    labels: DataFrame
+    model: list[Part]
+    deltas: list[float]
+    converged: bool
 
-    Values are mapped to [0, 255].  Each round fits the mixtures to the present classes and takes the better class of every voxel.  Rounds end when no
-    label changes, or the mean log-likelihood of the classes by less than tolerance, at the latest after `outer`; the steps of a fit when it changes by less than
-    inner_tolerance, at the latest after `inner`.  All voxels take part, by their distinct values.  Raises ValueError for an empty or constant image.
+
+def train(image: DataFrame, response: DataFrame, foreground: int = 1, background: int = 1, beta1: float = 1.0, beta2: float = 1.0, outer: int = 50, inner: int = 30, axes: Sequence[str] = ("y", "x"), dxy: float = 1.0, dz: float = 1.0, tolerance: float = 1e-8, inner_tolerance: float = 1e-6, most: int | None = None, most_foreground: int | None = None, most_background: int | None = None, seed: int = 0, model: Sequence[Part] | None = None) -> Trained:
+    """Two-class segmentation by a mixture per class, the response and a neighbourhood prior.
+
+    Values are mapped to [0, 255] and split by Otsu's threshold, or above the lower median where a class would be empty.  The first round starts the mixtures from
+    k-means, unless a model is given.  Each round fits them to the values of the present classes, exchanges crossed parts and takes the
+    better class of every voxel.  Rounds end when the score of all voxels changes by less than that share of it, at the latest after `outer`.  Without `most...` all voxels
+    are fitted, by their distinct values; with them a sample drawn with replacement, see training.draw.  Raises ValueError for an empty or constant image.
     """
     low, high, n = image.agg(F.min("value"), F.max("value"), F.count("*")).head()
     if not n:
         raise ValueError("the image must be nonempty")
     if low == high:
         raise ValueError("the image must not be constant")
-    most = response.agg(F.max("response")).head()[0] or 1.0
+    spark = image.sparkSession
     scaled = image.select(*VOXEL, ((F.col("value") - F.lit(low)) * 255.0 / F.lit(high - low)).alias("value"))
     rows = cut(scaled.join(response.select(*VOXEL, "response"), VOXEL))
-    split = otsu(rows.select((F.col("response") * 255.0 / F.lit(float(most))).alias("value"))).head()
-    first = split["threshold"] if split else 0.0
-    labels = cut(rows.select(*VOXEL, (F.col("response") * 255.0 / F.lit(float(most)) > first).cast("int").alias("label")))
-    spark = image.sparkSession
-    last = None
-    for _ in range(outer):
-        marked = cut(rows.join(labels, VOXEL).groupBy(F.col("label").alias("class"), "value").agg(F.count("*").alias("n")))
-        mean = F.sum(F.col("n") * F.col("value")) / F.sum("n")
-        square = F.sum(F.col("n") * F.col("value") * F.col("value")) / F.sum("n")
-        ends = {r[0]: r[1:] for r in marked.groupBy("class").agg(mean, F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))).collect()}
-        start = []
-        for c, k in ((0, background), (1, foreground)):
-            mean, spread = ends.get(c, (127.5, 64.0))
-            start += [(c, i, 1.0 / k, float(mean + (spread or 1.0) * (2 * i - k + 1) / k), float(max(spread or 1.0, 1.0))) for i in range(k)]
-        model = spark.createDataFrame(start, "class int, k int, pi double, mu double, sigma double")
-        fit = None
-        for _ in range(inner):
-            # A few rows, so the driver holds them; a class without voxels keeps its parts.
-            found = em_step(marked, model).collect()
-            held = {r["class"] for r in found}
-            model = spark.createDataFrame([*map(tuple, found), *(tuple(r) for r in model.collect() if r["class"] not in held)], model.schema)
-            before, fit = fit, log_likelihood(marked, model).head()[0]
-            if before is not None and abs(fit - before) < inner_tolerance:
-                break
-        prior = smoothness(labels, beta1, axes=axes)
-        new = cut(map_labels(rows.join(prior.select(*VOXEL, "potential"), VOXEL), model, beta2))
-        changed = new.join(labels.withColumnRenamed("label", "old"), VOXEL).where("label <> old").head(1)
-        labels = new
-        if not changed or (last is not None and fit is not None and abs(fit - last) < tolerance):
-            break
-        last = fit
-    return labels
+    first = otsu(rows).head()["threshold"]
+    labels = cut(rows.select(*VOXEL, (F.col("value") > first).cast("int").alias("label")))
+    deltas, last = [], None
+    counts = lambda: cut(rows.join(labels, VOXEL).groupBy(F.col("label").alias("class"), "value").agg(F.count("*").alias("n")))
+    for i in range(outer):
+        counted = counts()
+        sizes = class_sizes(counted)
+        if len(sizes) < 2:
+            middle = quantiles(rows, [], [0.5]).head()["quantile"]
+            labels = cut(rows.select(*VOXEL, (F.col("value") > middle).cast("int").alias("label")))
+            counted = counts()
+            sizes = class_sizes(counted)
+            if len(sizes) < 2:
+                raise ValueError("no value tells foreground from background")
+        total = {c: k for c, (k, _) in sizes.items()}
+        points = counted
+        if most or most_foreground or most_background:
+            points = cut(draw(counted, sample_sizes(total, most, most_foreground, most_background), seed + i))
+        if model is None:
+            model = start(points, {0: background, 1: foreground})
+        model = exchange(fit(points, model, inner, inner_tolerance), total)
+        prior = smoothness(labels, beta1, dxy, dz, axes)
+        new = cut(map_labels(rows.join(prior.select(*VOXEL, "potential"), VOXEL), spark.createDataFrame(model, MODEL), beta2))
+        score = new.agg(F.sum("score")).head()[0]
+        labels = new.select(*VOXEL, "label")
+        if last is not None:
+            deltas.append(abs((score - last) / (score or 1e-15)))
+            if deltas[-1] < tolerance:
+                return Trained(labels, model, deltas, True)
+        last = score
+    return Trained(labels, model or [], deltas, False)
+
+
+def segment(image: DataFrame, response: DataFrame, **settings: object) -> DataFrame:
+    """The labels of train."""
+    return train(image, response, **settings).labels

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import components as C
 from ..operators import holes as H
-from ..operators import analysis, assignment, branches as B, distance, editing, kernels, masks, morphology, neighbors, proximity, proximity_result, quantiles, segment, topology, tracking
+from ..operators import analysis, assignment, branches as B, distance, editing, kernels, masks, morphology, neighbors, proximity, proximity_result, quantiles, segment, topology, tracking, training
 from ..operators.graph import cut
 from ..operators.masks import VOXEL
 from ..sources.derive import SRC, TGT, TYX, YX, ZYX, channel, tyx, yx, zyx
@@ -635,6 +635,44 @@ def map_label(spark, sf_dir):
     return segment.map_labels(rows.select(*VOXEL, F.col("value").cast("double").alias("value"), (F.col("value") / 255.0).alias("response")).join(prior.select(*VOXEL, "potential"), VOXEL), _model(spark)).select("y", "x", "label")
 
 
+_CLASSES = _BYTE + ", c AS (SELECT CASE WHEN value > 127 THEN 1 ELSE 0 END AS class, value, CAST(count(*) AS BIGINT) AS n FROM v GROUP BY 1, 2)"
+
+
+def _counted(spark, sf_dir):
+    return _bytes(spark, sf_dir).groupBy((F.col("value") > 127).cast("int").alias("class"), F.col("value").cast("double").alias("value")).agg(F.count("*").alias("n"))
+
+
+@query(f"""{_CLASSES}, parts(class, k) AS (VALUES (0, 3), (1, 2)), d AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY value) - 1 AS place, count(*) OVER (PARTITION BY class) AS d FROM c),
+s AS (SELECT d.class, i AS k, d.value AS mu FROM d JOIN parts p USING (class) CROSS JOIN range(0, 3) r(i) WHERE i < least(p.k, d.d) AND d.place = (2 * i + 1) * d.d // (2 * least(p.k, d.d))),
+near AS (SELECT c.class, c.value, c.n, s.k, row_number() OVER (PARTITION BY c.class, c.value ORDER BY abs(c.value - s.mu), s.k) AS r FROM c JOIN s USING (class))
+SELECT class, CAST(k AS INTEGER) AS k, {R6.format('sum(n * value) / CAST(sum(n) AS DOUBLE)')} AS mu FROM near WHERE r = 1 GROUP BY class, k""")
+def kmeans_round(spark, sf_dir):
+    """Seeds of the mixtures and one round of k-means."""
+    counted = _counted(spark, sf_dir)
+    moved = training.lloyd(counted, training.seeds(counted, {0: 3, 1: 2}))
+    return spark.createDataFrame(moved, "class int, k int, mu double").select("class", "k", S.r6(F.col("mu")).alias("mu"))
+
+
+_DRAWS = {0: 2000, 1: 1000}
+
+
+@query(f"""{_CLASSES}, e AS (SELECT *, sum(n) OVER (PARTITION BY class ORDER BY value) AS upto, sum(n) OVER (PARTITION BY class) AS total FROM c),
+w AS (SELECT class, any_value(total) AS total FROM e GROUP BY class),
+draws AS (SELECT w.class, CAST('0x' || substr(md5('5:' || w.class || ':' || i), 1, 15) AS BIGINT) % w.total AS place FROM w CROSS JOIN range(0, 2000) r(i) WHERE i < CASE WHEN w.class = 0 THEN 2000 ELSE 1000 END)
+SELECT e.class, CAST(e.value AS DOUBLE) AS value, count(*) AS n FROM draws d JOIN e ON e.class = d.class AND d.place >= e.upto - e.n AND d.place < e.upto GROUP BY e.class, e.value""")
+def training_draw(spark, sf_dir):
+    """A training sample with replacement of both classes."""
+    return training.draw(_counted(spark, sf_dir), _DRAWS, 5).select("class", "value", "n")
+
+
+@query()
+def segmentation(spark, sf_dir):
+    """Labels of the static image by its line response, after the whole training."""
+    image = yx(spark, sf_dir).select(*VOXEL, (F.col("value") / 1000000.0).alias("value"))
+    response = cut(kernels.vesselness(image, 7, (1.0,)))
+    return segment.segment(image, response, beta1=0.5, beta2=0.5).select("y", "x", "label")
+
+
 # Tracking
 
 
