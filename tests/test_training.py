@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from voxelspark.operators import segment, training
+from voxelspark.operators import masks, segment, training
 
 SCHEMA = "class int, value double, n long"
 
@@ -147,3 +147,15 @@ def test_a_class_without_voxels_takes_the_upper_half(spark):
     assert {r.label for r in run(1).labels.collect()} == {0}
     fore = [p for p in run(2).model if p[0] == 1]
     assert len(fore) == 1 and fore[0][3] == pytest.approx(np.mean([(v - 10) * 255 / 191 for v in (10.2, 120.0, 201.0)]))
+
+
+def test_strided_samples(spark):
+    df = spark.createDataFrame([(t, 0, y, x, 100 * t + 10 * y + x) for t in range(3) for y in range(4) for x in range(9)], "t int, z int, y int, x int, value int")
+    order = [r.value for r in df.orderBy("t", "z", "y", "x").collect()]
+    for most in (1, 7, 50, 54, 107, 108, 500):
+        step = -(-len(order) // most)
+        for parts in (1, 6):
+            assert sorted(r.value for r in masks.strided(df.repartition(parts), most).collect()) == order[::step][:most]
+    assert masks.strided(df.limit(0), 5).count() == 0
+    with pytest.raises(ValueError, match="at least one"):
+        masks.strided(df, 0)

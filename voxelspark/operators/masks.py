@@ -83,3 +83,13 @@ def lossless_type(voxels: DataFrame) -> DataFrame:
 def last_writer(overlays: DataFrame, order: Column, value: str) -> DataFrame:
     """One value per voxel where several were painted: that of the greatest order."""
     return overlays.groupBy(*VOXEL).agg(F.max_by(value, order).alias(value))
+
+
+def strided(voxels: DataFrame, most: int) -> DataFrame:
+    """At most that many voxels at even steps of the raster order, from the first one on; all where there are no more.  The places follow from counts by range partition."""
+    if most < 1:
+        raise ValueError("a sample needs at least one voxel")
+    n = voxels.count()
+    step = max(-(-n // most), 1)
+    placed = numbered(voxels, VOXEL, "_place", 0)
+    return placed.where((F.col("_place") % step == 0) & (F.col("_place") < step * most)).drop("_place")

@@ -653,6 +653,13 @@ def kmeans_round(spark, sf_dir):
     return spark.createDataFrame(moved, "class int, k int, mu double").select("class", "k", S.r6(F.col("mu")).alias("mu"))
 
 
+@query(f"""WITH {TYX}, p AS (SELECT *, row_number() OVER (ORDER BY t, z, y, x) - 1 AS place, count(*) OVER () AS total FROM tyx)
+SELECT t, y, x, value FROM p WHERE place % CAST(ceil(total / 300.0) AS BIGINT) = 0 AND place // CAST(ceil(total / 300.0) AS BIGINT) < 300""")
+def strided_sample(spark, sf_dir):
+    """Evenly spaced voxels of the time series, such as a monitor of a fit looks at."""
+    return masks.strided(tyx(spark, sf_dir), 300).select("t", "y", "x", "value")
+
+
 _DRAWS = {0: 2000, 1: 1000}
 
 
