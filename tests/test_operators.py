@@ -283,3 +283,29 @@ def test_rescued_links(spark):
                 sources.add(a)
                 targets.add(b)
         assert got == want
+
+
+def test_connected_across_ranges(spark):
+    """Random edges over many ranges and batches, with chains that wind through all ranges, against a plain search."""
+    rng = random.Random(3)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + 97 * i % 500, 1000 + 97 * (i + 1) % 500) for i in range(300)]
+    root = {i: i for p in pairs for i in p}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(root[a], root[b])
+            changed |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+    edges = spark.createDataFrame(pairs, "a int, b int").repartition(7)
+    got = connected(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), edges)
+    assert got.schema["root"].dataType.simpleString() == "int"
+    assert {r.id: r.root for r in got.collect()} == root
+
+
+def test_roots_of_a_range():
+    """A range of edges is contracted in one call, to the least id of each part."""
+    from voxelspark.operators.graph import roots_of
+
+    ids, roots = roots_of(np.array([5, 9, 3, 8, 20]), np.array([9, 3, 7, 5, 21]))
+    assert dict(zip(ids.tolist(), roots.tolist())) == {3: 3, 5: 3, 7: 3, 8: 3, 9: 3, 20: 20, 21: 20}

@@ -131,7 +131,7 @@ def match_optimal(edges: DataFrame, unmatched: float) -> DataFrame:
     # Nodes that share a hash only put two components together.
     near = edges.select(F.col("t").cast("int").alias("t"), *[F.col(c).cast("long").alias(c) for c in ("src", "dst")], *[F.col(c).cast("double").alias(c) for c in ("cost", "dist")]).where(F.col("cost") <= float(unmatched))
     near = cut(near.withColumn("a", node("src", "src")))
-    roots = connected(near.select(F.col("a").alias("id")).distinct(), near.select("a", node("dst", "dst").alias("b")))
+    roots = connected(near.select(F.col("a").alias("id")).distinct(), near.select("a", node("dst", "dst").alias("b"), "t", "src"), ["t", "src"])
     order = ["root", "t", "src", "dst", "cost", "dist"]
     rows = near.join(roots.withColumnRenamed("id", "a"), "a").select(*order)
     return rows.repartition("root").sortWithinPartitions(*order).mapInArrow(_matched(float(unmatched)), "t int, src long, dst long, cost double, dist double")
