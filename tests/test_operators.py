@@ -309,3 +309,20 @@ def test_roots_of_a_range():
 
     ids, roots = roots_of(np.array([5, 9, 3, 8, 20]), np.array([9, 3, 7, 5, 21]))
     assert dict(zip(ids.tolist(), roots.tolist())) == {3: 3, 5: 3, 7: 3, 8: 3, 9: 3, 20: 20, 21: 20}
+
+
+def test_lines_are_swept_in_slices(monkeypatch):
+    """Memory follows some positions or one line, not the number of long lines in a batch."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    line = [[{"ny": int(p), "d2": float(rng.integers(0, 50))} for p in rng.permutation(40)[: rng.integers(1, 30)]] for _ in range(50)]
+    at = [rng.permutation(40)[: rng.integers(1, 30)].tolist() for _ in line]
+    batch = pa.RecordBatch.from_pylist([{"x": i, "line": a, "at": b} for i, (a, b) in enumerate(zip(line, at))], pa.schema([("x", pa.int32()), ("line", pa.list_(pa.struct([("ny", pa.int32()), ("d2", pa.float64())]))), ("at", pa.list_(pa.int32()))]))
+    seen, plain = [], distance.lowest
+    monkeypatch.setattr(distance, "lowest", lambda *a: seen.append(len(a[0]) + len(a[4])) or plain(*a))
+    monkeypatch.setattr(distance, "_AT_ONCE", 100)
+    out = pa.Table.from_batches(distance._swept(1, 2.0, ["x", "y", "d2", "ny"])(iter([batch]))).to_pylist()
+    assert len(seen) > 1 and max(seen) <= 100
+    got = {(r["x"], r["y"]): r["d2"] for r in out}
+    assert got == {(i, y): min(p["d2"] + (2.0 * (p["ny"] - y)) ** 2 for p in line[i]) for i, ys in enumerate(at) for y in ys}

@@ -15,6 +15,8 @@ from .masks import VOXEL
 
 #: Rows of the image around a voxel up to which a bounded search looks into each of them.
 MOST_ROWS = 400
+#: Parabolas and asked positions of lines that a task works on at once; a longer line comes alone.
+_AT_ONCE = 1 << 17
 
 
 def lowest(line: np.ndarray, place: np.ndarray, height: np.ndarray, ask_line: np.ndarray, ask: np.ndarray, spacing: float) -> np.ndarray:
@@ -45,11 +47,30 @@ def lowest(line: np.ndarray, place: np.ndarray, height: np.ndarray, ask_line: np
     return out
 
 
+def _pieces(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of rows whose sizes add up to at most so much, or of one row."""
+    upto = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _swept(keys: int, spacing: float, names: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """keys, line (place, d2, ...), at to keys, asked position, d2, place, ...: the lowest parabola of each line at its asked positions."""
+    """keys, line (place, d2, ...), at to keys, asked position, d2, place, ...: the lowest parabola of each line at its asked positions.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A batch counts lines, however long; it is worked on in slices of about equal memory.
+    """
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if batch.num_rows:
+                sizes = [batch.column(keys + i).value_lengths().to_numpy().astype(np.int64) for i in range(2)]
+                yield from _pieces(batch, sizes[0] + sizes[1], _AT_ONCE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
             lines, asked = batch.column(keys), batch.column(keys + 1)
             own = np.repeat(np.arange(len(lines)), lines.value_lengths().to_numpy())
             fields = [f.to_numpy(zero_copy_only=False) for f in lines.flatten().flatten()]
