@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from math import fsum
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -70,14 +73,55 @@ def em_step(points: DataFrame, model: DataFrame) -> DataFrame:
     return sums.select("class", "k", F.try_divide(F.col("w"), total).alias("pi"), mu.alias("mu"), F.sqrt(F.greatest(F.try_divide("q", "w") - mu * mu, F.lit(1e-12))).alias("sigma"))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (class, value, n) to one row for each class of a batch, values and counts in a block of bytes each."""
+    for batch in batches:
+        of, value, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        own = np.unique(of)
+        blocks = [[c[of == k].astype(kind).tobytes() for k in own] for c, kind in ((value, np.float64), (n, np.int64))]
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(pa.array(b, pa.binary()) for b in blocks)], ["class", "value", "n"])
+
+
+def _block_moments(model: Sequence[Part]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The sums of _moments over the blocks of a task, a row for each part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for of, value, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts = [p for p in model if p[0] == of]
+                if not parts:
+                    continue
+                value, n = np.frombuffer(value), np.frombuffer(n, np.int64)
+                pi, mu, sigma = (np.array([[p[i]] for p in parts]) for i in (2, 3, 4))
+                dens = pi * (np.exp(-((value - mu) ** 2) / (2 * sigma**2)) / (sigma * np.sqrt(2.0 * np.pi)))
+                total = dens.sum(0)
+                r = np.divide(n * dens, total, out=np.zeros_like(dens), where=total > 0)
+                new = np.zeros((len(parts), 4))
+                new[:, :3] = np.stack([r.sum(1), (r * value).sum(1), (r * value * value).sum(1)], 1)
+                new[0, 3] = (n * np.log(np.maximum(total, 1e-300))).sum()
+                sums[of] = sums.get(of, 0.0) + new
+        rows = [(p[0], p[1], *v) for of, own in sums.items() for p, v in zip((p for p in model if p[0] == of), own.tolist(), strict=True)]
+        if rows:
+            kinds = [pa.int32(), pa.int32(), *[pa.float64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["class", "k", *"wsql"])
+
+    return run
+
+
 def fit(points: DataFrame, model: Sequence[Part], steps: int = 30, tolerance: float = 1e-6) -> list[Part]:
     """Expectation and maximisation until the log-likelihood changes by less than that share of it, at the latest after `steps`.
 
-    points: (class, value, n).  A step is one job, whose sums also give the likelihood of the model before it.  A part or class without values keeps its place.
+    points: (class, value, n).  A step is one job without a shuffle over blocks of values, of which a few numbers for each task reach the driver; its sums also give the
+    likelihood of the model before it.  A part or class without values keeps its place.
     """
+    blocks = cut(points.where("class IS NOT NULL AND value IS NOT NULL").select("class", F.col("value").cast("double").alias("value"), F.col("n").cast("long").alias("n")).mapInArrow(_packed, "class int, value binary, n binary"))
     before, model = None, list(model)
     for i in range(steps):
-        sums = {(r[0], r[1]): r[2:] for r in _moments(points, points.sparkSession.createDataFrame(model, MODEL)).collect()}
+        found: dict[tuple[int, int], list[tuple[float, ...]]] = {}
+        for r in blocks.mapInArrow(_block_moments(model), "class int, k int, w double, s double, q double, l double").collect():
+            found.setdefault((r[0], r[1]), []).append(tuple(r[2:]))
+        sums = {k: tuple(fsum(c) for c in zip(*v, strict=True)) for k, v in found.items()}
         likelihood = sum(r[3] for r in sums.values())
         # The start counts for no comparison.
         if i > 1 and abs(likelihood - before) < tolerance * abs(likelihood):
@@ -92,10 +136,10 @@ def fit(points: DataFrame, model: Sequence[Part], steps: int = 30, tolerance: fl
     return model
 
 
-def smoothness(labels: DataFrame, beta: float, dxy: float = 1.0, dz: float = 1.0, axes: Sequence[str] = ("y", "x")) -> DataFrame:
+def smoothness(labels: DataFrame, beta: float, dxy: float = 1.0, dz: float = 1.0, axes: Sequence[str] = ("y", "x"), keep: Sequence[str] = ()) -> DataFrame:
     """Potential of class 0 from the neighbours on a dense grid, the sum of weight * (2 * label - 1); that of class 1 is its negative.
 
-    A neighbour outside counts as 0; along z the weight is beta * min(1, dxy / dz).
+    keep: more columns of labels to hand on.  A neighbour outside counts as 0; along z the weight is beta * min(1, dxy / dz).
     """
     out = labels
     for axis in axes:
@@ -103,24 +147,29 @@ def smoothness(labels: DataFrame, beta: float, dxy: float = 1.0, dz: float = 1.0
         line = W.partitionBy(*[c for c in VOXEL if c != axis]).orderBy(axis)
         pair = sum((F.lit(weight) * (2 * F.coalesce(f("label").over(line), F.lit(0)) - 1) for f in (F.lag, F.lead)), F.lit(0.0))
         out = out.withColumn(f"p_{axis}", pair)
-    return out.select(*VOXEL, "label", sum((F.col(f"p_{a}") for a in axes), F.lit(0.0)).alias("potential"))
+    return out.select(*VOXEL, *keep, "label", sum((F.col(f"p_{a}") for a in axes), F.lit(0.0)).alias("potential"))
 
 
-def map_labels(voxels: DataFrame, model: DataFrame, beta2: float = 1.0) -> DataFrame:
+def map_labels(voxels: DataFrame, model: DataFrame | Sequence[Part], beta2: float = 1.0, most: float | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """label 1 where the foreground's score is the greater: ln of the mixture minus the potential; and the score of the label taken.
 
-    voxels: (t, z, y, x, value, response, potential of class 0); model as in em_step with class 0 and 1.
+    voxels: (t, z, y, x, value, response, potential of class 0); model as in em_step with class 0 and 1.  most: the greatest response, where it is known.  keep:
+    more columns of voxels to hand on.
     """
-    parts = {c: model.where(F.col("class") == c).agg(F.collect_list(F.struct("pi", "mu", "sigma")).alias(f"m{c}")) for c in (0, 1)}
-    most = voxels.agg(F.max("response").alias("most"))
-    rows = voxels.join(F.broadcast(parts[0])).join(F.broadcast(parts[1])).join(F.broadcast(most))
+    if isinstance(model, DataFrame):
+        model = [tuple(r) for r in model.select("class", "k", "pi", "mu", "sigma").collect()]
+    part = lambda p: F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("pi", "mu", "sigma"), p[2:], strict=True)])
+    # One row, so that the code which Spark makes for the voxels is the same in every round.
+    parts = voxels.sparkSession.range(1).select(*[F.array(*[part(p) for p in model if p[0] == c]).cast("array<struct<pi: double, mu: double, sigma: double>>").alias(f"m{c}") for c in (0, 1)])
+    rows = voxels.join(F.broadcast(parts))
+    rows = rows.join(F.broadcast(voxels.agg(F.max("response").alias("most")))) if most is None else rows.withColumn("most", F.lit(float(most)))
     mix = lambda c: F.log(F.greatest(F.aggregate(F.transform(f"m{c}", lambda m: m["pi"] * gaussian_pdf(F.col("value"), m["mu"], m["sigma"])), F.lit(0.0), lambda a, b: a + b), F.lit(1e-15)))
     share = F.coalesce(F.try_divide("response", "most"), F.lit(0.0))
     # The potential of a class is that of the other one's evidence.
     score1 = mix(1) - F.lit(float(beta2)) * F.log(1 - share + F.lit(1e-15)) + F.col("potential")
     score0 = mix(0) - response_potential(share, F.lit(1.0), beta2) - F.col("potential")
-    rows = rows.select(*VOXEL, score1.alias("score1"), score0.alias("score0"))
-    return rows.select(*VOXEL, (F.col("score1") > F.col("score0")).cast("int").alias("label"), F.greatest("score1", "score0").alias("score"))
+    rows = rows.select(*VOXEL, *keep, score1.alias("score1"), score0.alias("score0"))
+    return rows.select(*VOXEL, *keep, (F.col("score1") > F.col("score0")).cast("int").alias("label"), F.greatest("score1", "score0").alias("score"))
 
 
 class Trained(NamedTuple):
@@ -145,19 +194,21 @@ def train(image: DataFrame, response: DataFrame, foreground: int = 1, background
         raise ValueError("the image must be nonempty")
     if low == high:
         raise ValueError("the image must not be constant")
-    spark = image.sparkSession
     scaled = image.select(*VOXEL, ((F.col("value") - F.lit(low)) * 255.0 / F.lit(high - low)).alias("value"))
     rows = cut(scaled.join(response.select(*VOXEL, "response"), VOXEL))
     first = otsu(rows).head()["threshold"]
-    labels = cut(rows.select(*VOXEL, (F.col("value") > first).cast("int").alias("label")))
+    greatest = rows.agg(F.max("response")).head()[0]
+    # Value and response go along with the labels, so that no round has to join them.
+    keep = ["value", "response"]
+    state = rows.select(*VOXEL, *keep, (F.col("value") > first).cast("int").alias("label"))
     deltas, last = [], None
-    counts = lambda: cut(rows.join(labels, VOXEL).groupBy(F.col("label").alias("class"), "value").agg(F.count("*").alias("n")))
+    counts = lambda: cut(state.groupBy(F.col("label").alias("class"), "value").agg(F.count("*").alias("n")))
     for i in range(outer):
         counted = counts()
         sizes = class_sizes(counted)
         if len(sizes) < 2:
             middle = quantiles(rows, [], [0.5]).head()["quantile"]
-            labels = cut(rows.select(*VOXEL, (F.col("value") > middle).cast("int").alias("label")))
+            state = rows.select(*VOXEL, *keep, (F.col("value") > middle).cast("int").alias("label"))
             counted = counts()
             sizes = class_sizes(counted)
             if len(sizes) < 2:
@@ -169,16 +220,15 @@ def train(image: DataFrame, response: DataFrame, foreground: int = 1, background
         if model is None:
             model = start(points, {0: background, 1: foreground})
         model = exchange(fit(points, model, inner, inner_tolerance), total)
-        prior = smoothness(labels, beta1, dxy, dz, axes)
-        new = cut(map_labels(rows.join(prior.select(*VOXEL, "potential"), VOXEL), spark.createDataFrame(model, MODEL), beta2))
+        new = cut(map_labels(smoothness(state, beta1, dxy, dz, axes, keep), model, beta2, greatest, keep))
         score = new.agg(F.sum("score")).head()[0]
-        labels = new.select(*VOXEL, "label")
+        state = new.select(*VOXEL, *keep, "label")
         if last is not None:
             deltas.append(abs((score - last) / (score or 1e-15)))
             if deltas[-1] < tolerance:
-                return Trained(labels, model, deltas, True)
+                return Trained(state.select(*VOXEL, "label"), model, deltas, True)
         last = score
-    return Trained(labels, model or [], deltas, False)
+    return Trained(state.select(*VOXEL, "label"), model or [], deltas, False)
 
 
 def segment(image: DataFrame, response: DataFrame, **settings: object) -> DataFrame:
