@@ -80,6 +80,23 @@ def test_volumes_respond_to_lines_and_sheets(spark):
     assert flat.agg(F.max("response")).head()[0] < 1e-6 and flat.count() == 120
 
 
+@pytest.mark.parametrize("within, spacing", [(0.0, (1, 1, 1)), (2**0.5, (1, 1, 1)), (3.0, (2.0, 1.5, 0.75)), (-1.0, (1, 1, 1))])
+def test_bounded_search_on_tiles(spark, within, spacing, monkeypatch):
+    """Steps on tiles find the same targets as the rows around each voxel, across borders of tiles and below 0."""
+    rng = np.random.default_rng(11)
+    some = lambda share: [tuple(map(int, p)) for p in np.argwhere(rng.random((3, 40, 9)) < share)]
+    src = spark.createDataFrame([(t, z - 2, y + 108, x - 4) for t in (0, 1) for z, y, x in some(0.2)] * 2, V)
+    dst = spark.createDataFrame([(0, z - 1, y + 110, x - 4, k) for z, y, x in some(0.05) for k in (7, 3)], V + ", label int")
+    steps = distance._steps_within(within, [float(s) for s in spacing])
+    assert steps is not None and distance._steps_within(1e9, (1.0, 1.0, 1.0)) is None
+    got = distance.nearest(src, dst, spacing, within)
+    rows = sorted(got.collect(), key=lambda r: r[:4])
+    monkeypatch.setattr(distance, "MOST_STEPS", -1)
+    other = distance.nearest(src, dst.groupBy("t", "z", "y", "x").agg(F.min("label").alias("label")), spacing, within)
+    assert got.schema == other.schema and rows == sorted(other.collect(), key=lambda r: r[:4])
+    assert any(r.d2 is not None for r in rows) == (within > 0 or any(r.d2 == 0 for r in rows))
+
+
 @pytest.mark.parametrize("full", [False, True])
 def test_components(spark, full):
     rng = np.random.default_rng(3)

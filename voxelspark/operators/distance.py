@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import product
+from math import prod
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .masks import VOXEL
+from .tiles import TILE, spread
 
+#: Steps up to which a bounded search looks at each of them, on tiles of this edge.
+MOST_STEPS, _EDGE = 400, (32, 128, 128)
 #: Rows of the image around a voxel up to which a bounded search looks into each of them.
 MOST_ROWS = 400
 #: Parabolas and asked positions of lines that a task works on at once; a longer line comes alone.
@@ -119,12 +125,14 @@ def nearest(src: DataFrame, dst: DataFrame, spacing: Sequence[float] = (1.0, 1.0
 
     Separable: first the nearest target along x in every target row at the x of the sources (a window looking both ways), then the best row
     for each source y, then the best plane, each by the lower envelope of parabolas over a line.  Lines are rows of arrays, so a line must fit in a task.  A small reach
-    looks only into the rows of the image that it touches, in one shuffle.
+    looks at the voxels around on tiles of the image, or into the rows that it touches, in one shuffle.
     """
     spacing = [float(s) for s in spacing]
     label = ["label"] if "label" in dst.columns else []
-    own = src.select(*VOXEL).distinct()
     hit = dst.select(*VOXEL, *label)
+    if within is not None and (steps := _steps_within(float(within), spacing)) is not None:
+        return _nearest_on_tiles(src.select(*VOXEL), hit, steps)
+    own = src.select(*VOXEL).distinct()
     if within is not None:
         near = _rows_within(float(within), spacing)
         if len(near) <= MOST_ROWS:
@@ -138,6 +146,70 @@ def nearest(src: DataFrame, dst: DataFrame, spacing: Sequence[float] = (1.0, 1.0
     return own.join(found, VOXEL, "left").select(*VOXEL, "d2", "nz", "ny", "nx", *label)
 
 
+def _steps_within(within: float, spacing: Sequence[float]) -> list[tuple[float, int, int, int]] | None:
+    """(d2, dz, dy, dx) of the steps up to this length, in the order of choice; None if they are too many."""
+    if within < 0:
+        return []
+    if not prod(2 * (within // s) + 1 for s in spacing) <= 8 * MOST_STEPS:
+        return None
+    square = lambda v: v * v
+    around = product(*(range(-int(within // s) - 1, int(within // s) + 2) for s in spacing))
+    steps = [(square(dx * spacing[2]) + (square(dz * spacing[0]) + square(dy * spacing[1])), dz, dy, dx) for dz, dy, dx in around]
+    steps = sorted(s for s in steps if s[0] <= within * within)
+    return steps if len(steps) <= MOST_STEPS else None
+
+
+def _on_tile(steps: Sequence[tuple[float, int, int, int]], reach: Sequence[int], schema: Sequence[str], label: bool) -> Callable[[tuple, pa.Table], pa.Table]:
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        kind = {f.name: f.type for f in rows.schema}
+        asked = rows["ask"].to_numpy()
+        at = [rows[c].to_numpy().astype(np.int64) for c in "zyx"]
+        own = [a[asked] for a in at]
+        hits = rows.filter(pc.invert(rows["ask"]))
+        if label:
+            # Of several targets at one place the least label counts, which is written last.
+            hits = hits.sort_by([("label", "descending")])
+        # A border around the image, so that no step leaves it.
+        first = [int(a.min()) - r if len(a) else 0 for a, r in zip(own, reach)]
+        shape = [int(a.max()) + r - f + 1 if len(a) else 0 for a, r, f in zip(own, reach, first)]
+        place = np.ravel_multi_index([a - f for a, f in zip(own, first)], shape) if len(own[0]) else np.empty(0, np.int64)
+        place = np.unique(place)
+        held = np.full(int(np.prod(shape)), -1, np.int32)
+        there = [hits[c].to_numpy().astype(np.int64) - f for c, f in zip("zyx", first)]
+        inside = np.flatnonzero(np.all([(a >= 0) & (a < n) for a, n in zip(there, shape)], 0))
+        if len(place):
+            held[np.ravel_multi_index([a[inside] for a in there], shape)] = inside
+        best, step = np.full(len(place), -1, np.int64), np.zeros(len(place), np.int64)
+        left = np.arange(len(place))
+        for i, (_, dz, dy, dx) in enumerate(steps):
+            found = held[place[left] + (dz * shape[1] + dy) * shape[2] + dx]
+            some = found >= 0
+            best[left[some]], step[left[some]] = found[some], i
+            left = left[~some]
+            if not len(left):
+                break
+        z, y, x = np.unravel_index(place, shape) if len(place) else (place,) * 3
+        take = pa.array(best, mask=best < 0)
+        d2 = pa.array(np.array([s[0] for s in steps] or [0.0])[step], mask=best < 0)
+        columns = [pa.array([key[0].as_py()] * len(place), kind["t"]), *(pa.array(a + f, kind[c]) for a, f, c in zip((z, y, x), first, "zyx")), d2, *(hits[c].combine_chunks().take(take) for c in ("z", "y", "x", *["label"] * label))]
+        return pa.table(columns, names=list(schema))
+
+    return run
+
+
+def _nearest_on_tiles(src: DataFrame, hit: DataFrame, steps: Sequence[tuple[float, int, int, int]]) -> DataFrame:
+    """nearest, by the steps from each source voxel; a tile of the image, with the targets around it, is worked on at once."""
+    label = ["label"] if "label" in hit.columns else []
+    reach = [max((abs(s[i]) for s in steps), default=0) for i in (1, 2, 3)]
+    blank = [F.lit(None).cast(hit.schema[c].dataType).alias(c) for c in label]
+    asked = spread(src, _EDGE, (0, 0, 0)).select(*TILE, "z", "y", "x", F.lit(True).alias("ask"), *blank)
+    held = spread(hit, _EDGE, reach).select(*TILE, "z", "y", "x", F.lit(False).alias("ask"), *label)
+    kind = {f.name: f.dataType for f in asked.union(held).schema}
+    names = [*VOXEL, "d2", "nz", "ny", "nx", *label]
+    schema = StructType([StructField(n, DoubleType() if n == "d2" else kind[n[-1] if n in ("nz", "ny", "nx") else n]) for n in names])
+    return asked.union(held).groupBy(*TILE).applyInArrow(_on_tile(steps, reach, names, bool(label)), schema)
+
+
 def _rows_within(within: float, spacing: Sequence[float]) -> list[tuple[int, int]]:
     """Steps (dz, dy) to the rows that a ball of this radius touches."""
     reach = [int(within // s) + 1 if within >= 0 else -1 for s in spacing[:2]]
