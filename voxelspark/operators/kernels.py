@@ -5,12 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from math import exp
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.scalars import eigenvalues_2x2, line_and_sheet, sort_by_magnitude, vesselness_2d
 from .masks import VOXEL
+from .tiles import TILE, spread
+
+#: Edge of the tiles of a volume, and its second derivatives.
+_EDGE = 64
+_SECOND = ("zz", "zy", "zx", "yy", "yx", "xx")
 
 
 def gaussian_weights(size: int, sigma: float) -> list[float]:
@@ -94,18 +103,89 @@ def hessian_2d(image: DataFrame, size: int, sigma: float) -> DataFrame:
     return df.select(*VOXEL, *[(F.col(c) * s2).alias(c) for c in ("hyy", "hxy", "hxx")])
 
 
-def hessian_3d(image: DataFrame, size: int, sigma: float, z_factor: float = 1.0) -> DataFrame:
-    """Second derivatives hzz, hzy, hzx, hyy, hyx, hxx in six passes; the scale along z is sigma * z_factor."""
-    zs, zd = _pair(size, sigma * z_factor)
-    s, d = _pair(size, sigma)
-    df = _pass(image.select(*VOXEL, F.col("value").cast("double").alias("v")), "z", {"s": ("v", zs), "d": ("v", zd)})
-    df = _pass(df, "y", {"fz": ("d", s), "fy": ("s", d), "fx": ("s", s)})
-    df = _pass(df, "x", {"iz": ("fz", s), "iy": ("fy", s), "ix": ("fx", d)})
-    df = _pass(df, "z", {"zz": ("iz", zd), "zy": ("iy", zd), "zx": ("ix", zd), "yy": ("iy", zs), "yx": ("ix", zs)})
-    df = _pass(df, "y", {"zz": ("zz", s), "zy": ("zy", s), "zx": ("zx", s), "yy": ("yy", d), "yx": ("yx", d), "xx": ("yx", s)})
-    df = _pass(df, "x", {"zz": ("zz", s), "zy": ("zy", s), "zx": ("zx", s), "yy": ("yy", s), "yx": ("yx", s), "xx": ("xx", d)})
-    scale = {"z": sigma * z_factor, "y": sigma, "x": sigma}
-    return df.select(*VOXEL, *[(F.col(c) * F.lit(scale[c[0]] * scale[c[1]])).alias(f"h{c}") for c in ("zz", "zy", "zx", "yy", "yx", "xx")])
+def _stencil(work: np.ndarray, axis: int, first: int, n: int, weights: Sequence[float], steep: bool) -> np.ndarray:
+    """Weighted sums along an axis of a tile whose voxels are first, first + 1, ... of n in the image; mirrored at the image's borders, meaningless near other ends of the tile."""
+    at = np.arange(work.shape[axis]) + first
+
+    def value(k: int) -> np.ndarray:
+        j = np.abs(at + k)
+        j = np.clip(np.where(j >= n, 2 * (n - 1) - j, j), 0, n - 1)
+        return np.take(work, np.clip(j - first, 0, len(at) - 1), axis)
+
+    out = np.zeros(work.shape) if steep else weights[0] * work
+    for k in range(1, len(weights)):
+        out += weights[k] * (value(k) - value(-k) if steep else value(-k) + value(k))
+    return out
+
+
+def _tile_hessian(size: int, sigma: float, z_factor: float, edge: Sequence[int], fill: float | None) -> Callable[[tuple, pa.Table], pa.Table]:
+    scale = [sigma * z_factor, sigma, sigma]
+    weights = {}
+    for axis, s in enumerate(scale):
+        half = s / 2**0.5
+        w = gaussian_weights(size, half)
+        weights[axis, False], weights[axis, True] = w, [k / half**2 * v for k, v in enumerate(w)]
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        kind = {f.name: f.type for f in rows.schema}
+        schema = pa.schema([(c, kind[c]) for c in VOXEL] + [(f"h{c}", pa.float64()) for c in _SECOND])
+        mark = rows.filter(pc.is_valid(rows["z0"]))
+        if not mark.num_rows:
+            # Only the border of a tile beyond the image.
+            return schema.empty_table()
+        rows = rows.filter(pc.is_null(rows["z0"]))
+        low, high = ([mark[f"{c}{i}"][0].as_py() for c in "zyx"] for i in (0, 1))
+        corner = [k.as_py() * n for k, n in zip(key[1:], edge)]
+        # What lies in the image, first of the tile with its border and then of the tile itself.
+        reach = 2 * (size // 2)
+        first = [max(c - reach, v) for c, v in zip(corner, low)]
+        last = [min(c + n - 1 + reach, v) for c, n, v in zip(corner, edge, high)]
+        own = tuple(slice(max(c, v) - f, min(c + n - 1, w) - f + 1) for c, n, v, w, f in zip(corner, edge, low, high, first))
+        place = tuple(rows[c].to_numpy() - f for c, f in zip("zyx", first))
+        value = np.full([b - a + 1 for a, b in zip(first, last)], 0.0 if fill is None else fill)
+        value[place] = rows["value"].to_numpy()
+        along = lambda work, axis, steep: _stencil(work, axis, first[axis] - low[axis], high[axis] - low[axis] + 1, weights[axis, steep], steep)
+        soft = [along(value, 0, False), along(value, 0, True)]
+        once = [along(soft[1], 1, False), along(soft[0], 1, True), along(soft[0], 1, False)]
+        once = [along(v, 2, i == 2) for i, v in enumerate(once)]
+        second = []
+        for a, b in _SECOND:
+            work = once["zyx".index(b)]
+            for axis, c in enumerate("zyx"):
+                work = along(work, axis, c == a)
+            second.append(work * (scale["zyx".index(a)] * scale["zyx".index(b)]))
+        if fill is None:
+            there = np.zeros(value.shape, bool)
+            there[place] = True
+        else:
+            there = np.ones(value.shape, bool)
+        at = np.nonzero(there[own])
+        missing = rows["value"].null_count > 0
+        columns = [pa.array(np.full(len(at[0]), key[0].as_py()), kind["t"]), *(pa.array(a + s.start + f, kind[c]) for a, s, f, c in zip(at, own, first, "zyx"))]
+        return pa.table([*columns, *(pa.array(h[own][at], from_pandas=missing) for h in second)], schema=schema)
+
+    return run
+
+
+def hessian_3d(image: DataFrame, size: int, sigma: float, z_factor: float = 1.0, fill: float | None = None) -> DataFrame:
+    """Second derivatives hzz, hzy, hzx, hyy, hyx, hxx; the scale along z is sigma * z_factor.
+
+    All six are made in one shuffle, in tiles with a border as wide as the two derivatives reach.  fill: the value of voxels that image lacks in the box around
+    a frame, which then have rows too; without it the image is taken to be dense, and a voxel that it lacks counts as 0 for its neighbours.
+    """
+    edge, reach = [max(_EDGE, 4 * (size // 2))] * 3, [2 * (size // 2)] * 3
+    image = image.select(*VOXEL, F.col("value").cast("double").alias("value"))
+    box = image.groupBy("t").agg(*[f(c).alias(f"{c}{i}") for c in "zyx" for i, f in enumerate((F.min, F.max))])
+    ends = [f"{c}{i}" for c in "zyx" for i in (0, 1)]
+    tiles = box
+    for c, n in zip("zyx", edge, strict=True):
+        tiles = tiles.withColumn(f"t{c}", F.explode(F.sequence(F.floor(F.col(f"{c}0") / n), F.floor(F.col(f"{c}1") / n))))
+    # A row without a voxel tells each tile the frame's box.
+    kind = {f.name: f.dataType for f in image.schema}
+    marks = tiles.select("t", *[F.lit(None).cast(kind[c]).alias(c) for c in (*"zyx", "value")], *TILE[1:], *ends)
+    rows = spread(image, edge, reach).select(*VOXEL, "value", *TILE[1:], *[F.lit(None).cast(tiles.schema[c].dataType).alias(c) for c in ends])
+    schema = StructType([*(StructField(c, kind[c]) for c in VOXEL), *(StructField(f"h{c}", DoubleType()) for c in _SECOND)])
+    return rows.union(marks).groupBy(*TILE).applyInArrow(_tile_hessian(size, sigma, z_factor, edge, fill), schema)
 
 
 def _curvatures(h: DataFrame) -> DataFrame:
@@ -131,14 +211,16 @@ def _curvatures(h: DataFrame) -> DataFrame:
     return df.select(*VOXEL, (F.col("high") * F.col("scale")).alias("e0"), (middle * F.col("scale")).alias("e1"), (F.col("low") * F.col("scale")).alias("e2"))
 
 
-def response_3d(image: DataFrame, size: int, sigmas: Sequence[float], mode: str = "combined", z_factor: float = 1.0, alpha: float = 0.5, beta: float = 0.5, gamma: float = 2.0) -> DataFrame:
-    """Response of a volume to bright lines (vesselness), bright sheets (sheetness) or the greater of both, over the scales."""
+def response_3d(image: DataFrame, size: int, sigmas: Sequence[float], mode: str = "combined", z_factor: float = 1.0, alpha: float = 0.5, beta: float = 0.5, gamma: float = 2.0, fill: float | None = None) -> DataFrame:
+    """Response of a volume to bright lines (vesselness), bright sheets (sheetness) or the greater of both, over the scales.  fill: see hessian_3d."""
     out = None
     for sigma in sigmas:
-        e = _curvatures(hessian_3d(image, size, sigma, z_factor))
+        e = _curvatures(hessian_3d(image, size, sigma, z_factor, fill))
         one = e.select(*VOXEL, sort_by_magnitude([F.col("e0"), F.col("e1"), F.col("e2")]).alias("e")).select(*VOXEL, *[F.col("e")[i].alias(f"l{i}") for i in range(3)])
         one = one.select(*VOXEL, line_and_sheet(F.col("l0"), F.col("l1"), F.col("l2"), mode, alpha, beta, gamma).alias("response"))
         out = one if out is None else out.union(one)
+    if len(sigmas) == 1:
+        return out.select(*VOXEL, F.greatest(F.lit(0.0), "response").alias("response"))
     return out.groupBy(*VOXEL).agg(F.greatest(F.lit(0.0), F.max("response")).alias("response"))
 
 
