@@ -2,43 +2,74 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import product
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import connected, cut
+from .graph import cut, roots_of, rounds
 from .masks import VOXEL
+from .tiles import EDGE, TILE, spread
+
+
+def _pieces(full: bool) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Voxels of a tile with the first voxel (rz, ry, rx) of their piece in it, whether they are its own, and whether other tiles have them too."""
+    half = [o for o in product((-1, 0, 1), repeat=3) if o > (0, 0, 0) and (full or sum(map(abs, o)) == 1)]
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        kind = {f.name: f.type for f in rows.schema}
+        corner = [k.as_py() * n for k, n in zip(key[1:], EDGE)]
+        at = [rows[c].to_numpy().astype(np.int64) for c in "zyx"]
+        first = [int(v.min()) for v in at]
+        shape = [int(v.max()) - f + 1 for v, f in zip(at, first)]
+        place = np.unique(np.ravel_multi_index([v - f for v, f in zip(at, first)], shape))
+        held = np.full(shape, -1, np.int64)
+        held.ravel()[place] = np.arange(len(place))
+        pairs = []
+        for o in half:
+            here, there = (held[tuple(slice(max(0, s * d), n + min(0, s * d)) for d, n in zip(o, shape))] for s in (-1, 1))
+            both = (here >= 0) & (there >= 0)
+            pairs.append((here[both], there[both]))
+        root = np.arange(len(place))
+        ids, least = roots_of(*(np.concatenate(p) for p in zip(*pairs)))
+        root[ids] = least
+        voxel = [v + f for v, f in zip(np.unravel_index(place, shape), first)]
+        own = np.all([v >= c for v, c in zip(voxel, corner)], 0)
+        last = np.any([v == c + n - 1 for v, c, n in zip(voxel, corner, EDGE)], 0)
+        columns = {"t": pa.array([key[0].as_py()] * len(place), kind["t"])} | {c: pa.array(v, kind[c]) for c, v in zip("zyx", voxel)}
+        columns |= {f"r{c}": pa.array(v[root], kind[c]) for c, v in zip("zyx", voxel)} | {"own": pa.array(own), "shared": pa.array(~own | last)}
+        return pa.table(columns)
+
+    return run
 
 
 def label(mask: DataFrame, full: bool = False) -> DataFrame:
     """(t, z, y, x, label) of mask voxels: components per frame, numbered from 1 by raster order of their first voxel.
 
-    Face connectivity, or with full also across edges and corners.  Voxels are first joined to runs along x, so the graph has a node
-    per run and an edge per pair of touching runs in neighbouring rows.
+    Face connectivity, or with full also across edges and corners.  Voxels are first joined to pieces on tiles of the image, each with the last voxels of the
+    tiles before it; rounds over the whole image are left for pieces that share such a voxel.
     """
-    row = W.partitionBy("t", "z", "y").orderBy("x")
-    runs = mask.select(*VOXEL).distinct().withColumn("start", F.coalesce((F.col("x") - F.lag("x").over(row) > 1).cast("int"), F.lit(1)))
-    runs = runs.withColumn("run", F.sum("start").over(row.rowsBetween(W.unboundedPreceding, 0)))
-    runs = cut(runs.select(*VOXEL, "run"))
-    spans = runs.groupBy("t", "z", "y", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    # A number for each run that grows in raster order within its frame.
-    extent = runs.agg(F.max("z"), F.min("z"), F.max("y"), F.min("y"), F.max("x"), F.min("x")).head()
+    kind = {f.name: f.dataType.simpleString() for f in mask.schema}
+    schema = ", ".join([f"{c} {kind[c]}" for c in VOXEL] + [f"r{c} {kind[c]}" for c in "zyx"] + ["own boolean", "shared boolean"])
+    pieces = cut(spread(mask.select(*VOXEL), EDGE, (1, 1, 1), (0, 0, 0)).groupBy(*TILE).applyInArrow(_pieces(full), schema))
+    # A number for each voxel that grows in raster order within its frame.
+    extent = pieces.agg(*[f(c) for c in "zyx" for f in (F.max, F.min)]).head()
     if extent[0] is None:
         return mask.select(*VOXEL, F.lit(1).alias("label")).limit(0)
     nz, ny, nx = (extent[i] - extent[i + 1] + 1 for i in (0, 2, 4))
-    number = (((F.col("t").cast("long") * nz + F.col("z") - extent[1]) * ny + F.col("y") - extent[3]) * nx) + F.col("x0") - extent[5]
-    spans = cut(spans.withColumn("id", number))
-    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if full else [])
-    reach = 1 if full else 0
-    moved = spans.select("t", F.explode(F.array(*[F.struct((F.col("z") + dz).alias("z"), (F.col("y") + dy).alias("y")) for dz, dy in steps])).alias("at"), F.col("x0").alias("p0"), F.col("x1").alias("p1"), F.col("id").alias("other"))
-    moved = moved.select("t", "at.z", "at.y", "p0", "p1", "other")
-    edges = spans.join(moved, ["t", "z", "y"]).where((F.col("x0") <= F.col("p1") + reach) & (F.col("p0") <= F.col("x1") + reach)).select(F.col("id").alias("a"), F.col("other").alias("b"))
-    roots = connected(spans, edges)
-    # Objects of a frame are far fewer than its voxels; ranks are taken over the roots alone.
-    ranked = roots.select("root").distinct().withColumn("frame", F.floor(F.col("root") / (nz * ny * nx)))
-    ranked = ranked.select("root", F.dense_rank().over(W.partitionBy("frame").orderBy("root")).alias("label"))
-    named = spans.join(roots, "id").join(ranked, "root").select("t", "z", "y", "run", "label")
-    return runs.join(named, ["t", "z", "y", "run"]).select(*VOXEL, "label")
+    number = (((F.col("t").cast("long") * nz + F.col("rz") - extent[1]) * ny + F.col("ry") - extent[3]) * nx) + F.col("rx") - extent[5]
+    pieces = pieces.select(*VOXEL, number.alias("root"), "own", "shared")
+    meet = pieces.where("shared").groupBy(*VOXEL).agg(F.collect_set("root").alias("roots")).where("size(roots) > 1")
+    joined = rounds(meet.select(F.explode("roots").alias("a"), F.array_min("roots").alias("b")))
+    # Pieces of a frame are far fewer than its voxels; ranks are taken over them alone.
+    roots = pieces.where("own").select("root").distinct().join(joined.withColumnsRenamed({"root": "better", "id": "root"}), "root", "left")
+    ranked = roots.withColumn("least", F.coalesce("better", "root")).withColumn("frame", F.floor(F.col("least") / (nz * ny * nx)))
+    ranked = ranked.select("root", F.dense_rank().over(W.partitionBy("frame").orderBy("least")).alias("label"))
+    return pieces.where("own").select(*VOXEL, "root").join(ranked, "root").select(*VOXEL, "label")
 
 
 def objects(labels: DataFrame) -> DataFrame:

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .masks import VOXEL
-from .tiles import TILE, spread
+from .tiles import EDGE, TILE, spread
 
-#: Steps up to which a bounded search looks at each of them, on tiles of this edge.
-MOST_STEPS, _EDGE = 400, (32, 128, 128)
+#: Steps up to which a bounded search looks at each of them, on tiles.
+MOST_STEPS = 400
 #: Rows of the image around a voxel up to which a bounded search looks into each of them.
 MOST_ROWS = 400
 #: Parabolas and asked positions of lines that a task works on at once; a longer line comes alone.
@@ -202,8 +202,8 @@ def _nearest_on_tiles(src: DataFrame, hit: DataFrame, steps: Sequence[tuple[floa
     label = ["label"] if "label" in hit.columns else []
     reach = [max((abs(s[i]) for s in steps), default=0) for i in (1, 2, 3)]
     blank = [F.lit(None).cast(hit.schema[c].dataType).alias(c) for c in label]
-    asked = spread(src, _EDGE, (0, 0, 0)).select(*TILE, "z", "y", "x", F.lit(True).alias("ask"), *blank)
-    held = spread(hit, _EDGE, reach).select(*TILE, "z", "y", "x", F.lit(False).alias("ask"), *label)
+    asked = spread(src, EDGE, (0, 0, 0)).select(*TILE, "z", "y", "x", F.lit(True).alias("ask"), *blank)
+    held = spread(hit, EDGE, reach).select(*TILE, "z", "y", "x", F.lit(False).alias("ask"), *label)
     kind = {f.name: f.dataType for f in asked.union(held).schema}
     names = [*VOXEL, "d2", "nz", "ny", "nx", *label]
     schema = StructType([StructField(n, DoubleType() if n == "d2" else kind[n[-1] if n in ("nz", "ny", "nx") else n]) for n in names])

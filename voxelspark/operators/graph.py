@@ -100,12 +100,12 @@ def connected(nodes: DataFrame, edges: DataFrame, near: Sequence[str] = ("a",))
     stars = cut(work.repartitionByRange(*near).select("_a", "_b").mapInArrow(_stars, "id long, root long"))
     least = cut(stars.groupBy("id").agg(F.min("root").alias("star"), F.max("root").alias("most")))
     shared = stars.join(least.where("star <> most").select("id", "star"), "id").where("root <> star").select(F.col("root").alias("a"), F.col("star").alias("b"))
-    joined = _rounds(shared).select(F.col("id").alias("star"), F.col("root").alias("better"))
+    joined = rounds(shared).select(F.col("id").alias("star"), F.col("root").alias("better"))
     found = least.join(joined, "star", "left").select("id", F.coalesce("better", "star").alias("root"))
     return nodes.select(F.col("id").cast("long").alias("id")).join(found, "id", "left").select(F.col("id").cast(kind).alias("id"), F.coalesce("root", "id").cast(kind).alias("root"))
 
 
-def _rounds(edges: DataFrame) -> DataFrame:
+def rounds(edges: DataFrame) -> DataFrame:
     """(id, root) of the ids in edges(a, b) but the roots themselves.
 
     Each round replaces every edge by edges to the least neighbour, first of the larger and then of the smaller end; the rounds grow with the

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: The columns that tell a tile.
 TILE = ("t", "tz", "ty", "tx")
+#: Edges of a tile along z, y and x, for work on arrays of small numbers.
+EDGE = (32, 128, 128)
 
 
 def spread(rows: DataFrame, edge: Sequence[int], before: Sequence[int], after: Sequence[int] | None = None) -> DataFrame:
