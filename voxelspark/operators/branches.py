@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import connected, cut, tables
 from .holes import holes
-from .neighbors import skeleton_edges
 from .numbering import numbered
+from .tiles import EDGE, TILE, spread
 
 OBJECT = ["t", "label"]
 #: Edge of the tiles in which boxes meet voxels.
 _TILE = 32
+#: What is told of a pair of touching voxels.
+_PAIR = [("u", pa.int64()), ("v", pa.int64()), ("code", pa.int64()), ("length", pa.float64()), ("step", pa.bool_()), ("lead", pa.bool_()), ("degree", pa.int64()), ("other", pa.int64())]
 
 
 @dataclass(frozen=True)
@@ -43,12 +47,59 @@ def _numbers(skeleton: DataFrame) -> DataFrame:
     return skeleton.groupBy("t", "z", "y", "x").agg(F.min("label").alias("label")).withColumn("id", number)
 
 
-def _regions(nodes: DataFrame) -> DataFrame:
+def _touching(planar: bool, spacing: Sequence[float]) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Pairs of neighbours (u, v) within an object whose u is the tile's own, with the degrees of both; steps are those that skeleton_edges keeps."""
+    around = [o for o in product((0,) if planar else (-1, 0, 1), (-1, 0, 1), (-1, 0, 1)) if any(o)]
+    every = [o for o in product((-1, 0, 1), repeat=3) if any(o)]
+    # The voxels between the ends of a diagonal: all proper parts of the step.
+    between = {o: {q for m in product((0, 1), repeat=3) if any(q := tuple(i * j for i, j in zip(o, m))) and q != o} for o in around}
+    length = {o: sum(((d * s) * (d * s) for d, s in zip(o, spacing)), 0.0) ** 0.5 for o in around}
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        kind = {f.name: f.type for f in rows.schema}
+        corner = [k.as_py() * n for k, n in zip(key[1:], EDGE)]
+        at = [rows[c].to_numpy().astype(np.int64) for c in "zyx"]
+        low = [int(v.min()) - 1 for v in at]
+        shape = [int(v.max()) - f + 2 for v, f in zip(at, low)]
+        place = np.ravel_multi_index([v - f for v, f in zip(at, low)], shape)
+        held = np.full(int(np.prod(shape)), -1, np.int64)
+        held[place] = np.arange(len(place))
+        object_, number = np.unique(rows["label"].to_numpy(), return_inverse=True)[1], rows["id"].to_numpy()
+        other = {o: held[place + (o[0] * shape[1] + o[1]) * shape[2] + o[2]] for o in every}
+        beside = {o: (n >= 0) & (object_[n] == object_) for o, n in other.items()}
+        step = {o: beside[o] & ~np.any([beside[q] for q in between[o]] or [np.zeros(len(place), bool)], 0) for o in around}
+        degree = np.sum(list(step.values()), 0)
+        own = np.all([(v >= c) & (v < c + n) for v, c, n in zip(at, corner, EDGE)], 0)
+        u, v, code, far, kept = [], [], [], [], []
+        for o in every:
+            some = np.flatnonzero(beside[o] & own)
+            u.append(some)
+            v.append(other[o][some])
+            code.append(np.full(len(some), (o[0] + 1) * 9 + (o[1] + 1) * 3 + o[2] + 1))
+            far.append(np.full(len(some), length.get(o, 0.0)))
+            kept.append(step[o][some] if o in step else np.zeros(len(some), bool))
+        u, v, code, far, kept = (np.concatenate(c) for c in (u, v, code, far, kept))
+        # One step of each voxel stands for it.
+        order = np.lexsort((code, ~kept, u))
+        u, v, code, far, kept = (c[order] for c in (u, v, code, far, kept))
+        lead = np.concatenate([[True], u[1:] != u[:-1]])[: len(u)] & kept
+        take = pa.array(u)
+        columns = {c: rows[c].combine_chunks().take(take) for c in ("t", "label", "z", "y", "x")}
+        return pa.table(columns | {"u": pa.array(number[u]), "v": pa.array(number[v]), "code": pa.array(code), "length": pa.array(far), "step": pa.array(kept), "lead": pa.array(lead), "degree": pa.array(degree[u]), "other": pa.array(degree[v])}).cast(pa.schema([(c, kind[c]) for c in ("t", "label", "z", "y", "x")] + _PAIR))
+
+    return run
+
+
+def _pairs(voxels: DataFrame, spacing: Sequence[float], planar: bool) -> DataFrame:
+    """All touching pairs of voxels (t, label, z, y, x, id) in one shuffle, see _touching; the border of a tile holds the neighbours of neighbours."""
+    kinds = {f.name: f.dataType.simpleString() for f in voxels.schema}
+    schema = ", ".join([f"{c} {kinds[c]}" for c in (*OBJECT, "z", "y", "x")] + [f"{c} {'boolean' if k == pa.bool_() else 'double' if k == pa.float64() else 'long'}" for c, k in _PAIR])
+    return spread(voxels, EDGE, (2, 2, 2)).groupBy(*TILE).applyInArrow(_touching(planar, [float(s) for s in spacing]), schema)
+
+
+def _regions(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Nodes (t, label, z, y, x, id, kind) with the least id of the touching nodes of their kind and object."""
-    half = [o for o in product((-1, 0, 1), repeat=3) if o > (0, 0, 0)]
-    steps = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("dz", "dy", "dx"), o, strict=True)]) for o in half])).alias("o")
-    moved = nodes.select(*OBJECT, "kind", F.col("id").alias("b"), "z", "y", "x", steps).select(*OBJECT, "kind", "b", *[(F.col(c) + F.col(f"o.d{c}")).alias(c) for c in "zyx"])
-    edges = nodes.join(moved, [*OBJECT, "kind", "z", "y", "x"]).select(F.col("id").alias("a"), "b")
+    edges = pairs.where("u > v AND (degree = 1 AND other = 1 OR degree >= 3 AND other >= 3)").select(F.col("u").alias("a"), F.col("v").alias("b"))
     return nodes.join(connected(nodes, edges).withColumnRenamed("root", "node"), "id")
 
 
@@ -94,18 +145,12 @@ def trace(skeleton: DataFrame, spacing: Sequence[float] = (1.0, 1.0, 1.0), plana
     """
     voxels = cut(_numbers(skeleton.select(*OBJECT, "z", "y", "x")))
     place = voxels.select(*OBJECT, "z", "y", "x", "id")
-    code = ((F.col("dz") + 1) * 9 + (F.col("dy") + 1) * 3 + F.col("dx") + 1).cast("long")
-    steps = skeleton_edges(voxels, planar, OBJECT)
-    ahead = place.select(*OBJECT, *[F.col(c).alias(f"p{c}") for c in "zyx"], F.col("id").alias("v"))
-    steps = steps.select(*OBJECT, "z", "y", "x", *[(F.col(c) + F.col(f"d{c}")).alias(f"p{c}") for c in "zyx"], code.alias("code"), F.sqrt(sum((F.pow(F.col(f"d{c}") * F.lit(float(s)), 2) for c, s in zip("zyx", spacing, strict=True)), F.lit(0.0))).alias("length"))
-    steps = steps.join(place.withColumnRenamed("id", "u"), [*OBJECT, "z", "y", "x"]).join(ahead, [*OBJECT, "pz", "py", "px"]).select(*OBJECT, "u", "v", "code", "length")
+    pairs = cut(_pairs(voxels, spacing, planar))
     # A dart is named by its tail and direction, so the reverse of each is known.
-    both = steps.union(steps.select(*OBJECT, "v", "u", 26 - F.col("code"), "length"))
-    darts = cut(both.select(*OBJECT, "u", "v", "length", (F.col("u") * 27 + F.col("code")).alias("dart"), (F.col("v") * 27 + 26 - F.col("code")).alias("back")))
-    degree = darts.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("degree"))
+    darts = pairs.where("step").select(*OBJECT, "u", "v", "length", (F.col("u") * 27 + F.col("code")).alias("dart"), (F.col("v") * 27 + 26 - F.col("code")).alias("back"))
     kind = F.when(F.col("degree") == 1, "endpoint").when(F.col("degree") >= 3, "junction")
-    nodes = cut(voxels.join(degree, "id").withColumn("kind", kind).where("kind IS NOT NULL").drop("degree"))
-    nodes = cut(_regions(nodes))
+    nodes = cut(pairs.where("lead AND degree <> 2").select(F.col("u").alias("id"), *OBJECT, "z", "y", "x", kind.alias("kind")))
+    nodes = cut(_regions(nodes, pairs))
     of = lambda c, n: nodes.select(F.col("id").alias(c), F.col("node").alias(f"{n}_node"), F.col("kind").alias(f"{n}_kind"))
     darts = darts.join(of("u", "tail"), "u", "left").join(of("v", "head"), "v", "left").where("NOT coalesce(tail_node = head_node, false)")
     darts = cut(darts)
