@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from voxelspark.functions.scalars import fraction
 from voxelspark.operators import proximity
-from voxelspark.sources.derive import marked_words
+from voxelspark.sources.derive import marked_both
 
 from . import common
 
@@ -36,10 +36,9 @@ def colocalisation(documents: DataFrame, source: str, target: str, threshold: fl
     """
     rows = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("t"), F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     # Words of a repeated id at one place count once.
-    own, other = (marked_words(rows, p).groupBy("t", "z", "y", "x").agg(F.max("value").alias("value")) for p in (source, target))
-    summary = proximity.overlap_summary(own, other, ["t"])
-    near = proximity.proximity_voxels(own, other, threshold, surface_only=False, beyond=False).groupBy("t").agg(F.count_if("near").alias("near_size"))
-    found = rows.groupBy("t").agg(F.min("lang").alias("lang")).join(summary, "t", "left").join(near, "t", "left")
+    marks = proximity.near_in_rows(marked_both(rows, source, target), threshold)
+    summary = proximity.overlap_of(marks, ["t"], [F.count_if(F.col("near") & F.col("s").isNotNull()).alias("near_size")])
+    found = rows.groupBy("t").agg(F.min("lang").alias("lang")).join(summary, "t", "left")
     found = found.fillna(0, SIZES).withColumn("near_fraction", fraction(F.col("near_size"), F.col("source_size")))
     return found.fillna(0.0, SHARES).select(F.col("t").alias("doc_id"), *SIZES, *SHARES, "lang")
 

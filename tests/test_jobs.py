@@ -1,5 +1,7 @@
 """The two jobs: growing input, repeated runs, failures, odd rows, the command line, and their queries' SQL."""
 
+import contextlib
+import io
 import json
 import math
 import os
@@ -112,6 +114,15 @@ def test_text_colocalisation(spark, tmp_path, threshold):
     assert {p.name for p in Path(f"{tmp_path}/out").glob("lang=*")} == {"lang=en", "lang=de", "lang=fr", "lang=und"}
 
 
+def test_texts_are_read_once_and_without_a_call_for_each(spark):
+    config = common.settings(text_colocalisation.CONFIG)
+    texts = spark.createDataFrame(TEXTS, "doc_id long, lang string, text string, t int")
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        text_colocalisation.colocalisation(texts, config["source_pattern"], config["target_pattern"], config["threshold"]).explain()
+    plan = plan.getvalue()
+    assert plan.count("posexplode(") == 1 and "InArrow" not in plan and "InPandas" not in plan
+
+
 def test_unknown_settings():
     with pytest.raises(ValueError, match="nonsense"):
         common.settings(text_colocalisation.CONFIG, {"nonsense": 1})

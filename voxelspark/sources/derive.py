@@ -30,10 +30,15 @@ def tyx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_voxels(table(spark, sf_dir, "events"))
 
 
-def marked_words(texts: DataFrame, pattern: str) -> DataFrame:
-    """Words of texts (t, text) that hold a pattern, as voxels of a line for each text: x is the word's place, value its bytes."""
+def marked_both(texts: DataFrame, source: str, target: str) -> DataFrame:
+    """Words of texts (t, text) that hold a pattern, as voxels of a line for each text, from one reading: (t, z, y, x, s, g).
+
+    x is the word's place; s and g are its bytes where it holds the pattern of source and target, the most at each place.
+    """
     words = texts.select("t", F.posexplode(F.regexp_extract_all("text", F.lit("([^ \\t-\\r]+)"))).alias("x", "word"))
-    return words.where(F.col("word").rlike(pattern)).select("t", F.lit(0).alias("z"), F.lit(0).alias("y"), "x", F.octet_length("word").cast("long").alias("value"))
+    value = lambda p: F.when(F.col("word").rlike(p), F.octet_length("word").cast("long"))
+    marked = words.select("t", F.lit(0).alias("z"), F.lit(0).alias("y"), "x", value(source).alias("s"), value(target).alias("g")).where("s IS NOT NULL OR g IS NOT NULL")
+    return marked.groupBy("t", "z", "y", "x").agg(F.max("s").alias("s"), F.max("g").alias("g"))
 
 
 def zyx(spark: SparkSession, sf_dir: str) -> DataFrame:
